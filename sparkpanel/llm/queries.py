@@ -7,18 +7,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, html, langid, minhash, pii
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _hex(column) -> F.Column:
+    return F.sha2(column.cast("binary"), 256)
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash,)}
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
+    return bpe.decode(ids, TOKENIZER).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        _hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def _span_list(spans: str) -> F.Column:
+    kinds = F.array(*[F.lit(k) for k in (*pii.KINDS, "term")])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op6_html, op8_language, op9_bpe, op10_pii)}
 ORACLE: dict[str, str] = {}
