@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, decontaminate, html, langid, minhash, pii, substring
+from . import bpe, classlm, decontaminate, embedding, html, langid, minhash, pii, substring
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,6 +45,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     net = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
@@ -73,5 +77,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_substring, op4_class_lm, op5_decontamination, op6_html, op8_language, op9_bpe, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_substring, op4_class_lm, op5_decontamination, op6_html, op7_embedding, op8_language, op9_bpe, op10_pii)}
 ORACLE: dict[str, str] = {}
