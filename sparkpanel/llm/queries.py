@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, decontaminate, embedding, html, langid, minhash, pii, substring
+from . import bpe, classlm, decontaminate, embedding, html, langid, minhash, pii, quality, substring
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,6 +33,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", _hex(F.col("text")).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(_read(spark, sf_dir, "documents"))
 
@@ -77,5 +81,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_substring, op4_class_lm, op5_decontamination, op6_html, op7_embedding, op8_language, op9_bpe, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_class_lm, op5_decontamination, op6_html, op7_embedding, op8_language, op9_bpe, op10_pii)}
 ORACLE: dict[str, str] = {}
