@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("features",)
+_MODULES = ("features", "ranks", "portfolios")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
