@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("features", "ranks", "portfolios", "vendor", "contracts", "quality_reports", "pairs", "research")
+_MODULES = ("features", "ranks", "portfolios", "vendor", "contracts", "research", "pairs", "forecasts", "quality_reports", "recommendations", "live")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
