@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, signed, word_hashes
+from .common import drop_table, materialize, release_shuffles, signed, word_hashes
 
 CLASSES, SWEEPS, MIX = 32, 2, 0.8
 #: Tokens of a chunk, one text at least; bounds a task's memory.
@@ -259,22 +259,22 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     from. Rows are answered one by one, so repeated rows count as often as they
     occur. Without training documents every token has probability 1.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks, _ = materialize(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), "chunk long, ids array<long>, sizes array<int>, tokens binary, words binary, counts binary"), "classlm-chunks")
+    chunks, path = materialize(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), "chunk long, ids array<long>, sizes array<int>, tokens binary, words binary, counts binary"), "classlm-chunks")
     count = max(1, chunks.count())
     none = np.empty(0, np.uint64)
     tokens, known, best = _totals(_buckets(chunks, count, (none, none), contexts=False))
     order = np.argsort(best)
     top, ready = (best[order], order), chunks
     for _ in range(SWEEPS):
-        buckets = _buckets(ready, count, top)
-        answers, answers_path = materialize(_exchange(buckets, _matrix(ready, top)), "classlm-answers")
-        old = ready
-        ready, path = materialize(_with_classes(chunks, answers, count), "classlm-ready")
-        drop_table(docs.sparkSession, answers_path)
-        if old is not chunks:
-            drop_table(docs.sparkSession, old_path)
-        old_path = path
+        answers, answers_path = materialize(_exchange(_buckets(ready, count, top), _matrix(ready, top)), "classlm-answers")
+        release_shuffles(spark)
+        old = path
+        ready, path = materialize(_with_classes(ready.drop("totals", "classes"), answers, count), "classlm-ready")
+        drop_table(spark, answers_path)
+        drop_table(spark, old)
+        release_shuffles(spark)
     matrix = _matrix(ready)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
