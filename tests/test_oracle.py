@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from sparkpanel.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
