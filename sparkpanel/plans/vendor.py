@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import scratch_path
 from ..operators import etl as X
 from ..operators.rolling import forward_fill
 from ..panel import ratio
@@ -24,6 +25,46 @@ def a3(spark, sf_dir):
     return tables.read_source(spark, "parquet", f"{sf_dir}/region.parquet")
 
 
+def _by_year(spark, sf_dir) -> str:
+    """orders as a table with one folder per year; its path."""
+    path = scratch_path(spark, "orders-by-year")
+    tables.write_table(table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")), path, by=["year"])
+    return path
+
+
+@register("a2_write_table", "SELECT o_orderkey, o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders")
+def a2(spark, sf_dir):
+    return tables.read_panel(spark, _by_year(spark, sf_dir), columns=["o_orderkey", "o_totalprice", "year"])
+
+
+@register("a4_read_yearly", "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998")
+def a4(spark, sf_dir):
+    return tables.read_yearly(spark, f"{_by_year(spark, sf_dir)}/year={{year}}", 1996, 1998).select("o_orderkey", "o_totalprice")
+
+
+@register("a8_read_csv_table", "SELECT p_partkey, p_retailprice FROM part")
+def a8(spark, sf_dir):
+    path = scratch_path(spark, "part-csv")
+    tables.write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), path, "p_partkey")
+    return tables.read_csv_table(spark, path, "p_partkey long, p_retailprice double")
+
+
+@register("a9_write_csv", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IS NOT NULL")
+def a9(spark, sf_dir):
+    path = scratch_path(spark, "customer-csv")
+    tables.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), path, "c_custkey")
+    return spark.read.schema("c_custkey long, c_mktsegment string").option("header", True).csv(path)
+
+
+@register("a10_append_result")
+def a10(spark, sf_dir):
+    """Mean price by order status, logged as one record each."""
+    path = scratch_path(spark, "results")
+    for row in table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("mean")).orderBy("o_orderstatus").collect():
+        tables.append_result(spark, path, "mean_price", {"status": row.o_orderstatus}, {"mean": round(row["mean"], 6)})
+    return spark.read.parquet(path).select("name", "parameters", "stats")
+
+
 @register("a7_signal_store", f"{PANEL}, a AS (SELECT name, date, ret AS sig_a FROM panel WHERE ret > 0), b AS (SELECT name, date, vol AS sig_b FROM panel WHERE vol > 100) SELECT p.name, strftime(p.date,'%Y-%m-%d') AS date, round(prc,6) AS prc, round(sig_a,6) AS sig_a, round(sig_b,6) AS sig_b FROM panel p JOIN a USING (name, date) JOIN b USING (name, date)")
 def a7(spark, sf_dir):
     df = stock_panel(spark, sf_dir)

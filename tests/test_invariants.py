@@ -1,4 +1,4 @@
-"""Edge panels, invariants, sources, sinks and streams of the reference-side operators."""
+"""Edge panels, invariants, sources, sinks and streams of the panel operators."""
 
 import math
 
