@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, signed, window_hash, word_hashes
+from .common import blocks, drop_table, materialize, release_shuffles, signed, window_hash, word_hashes
 
 WIDTH, KMER = 35, 12
 _ANCHOR, _EDGE, _CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -122,16 +122,20 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part.values(), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()), strict=True)], list(part))
                     part = {name: [] for name in part}
 
-    marks, _ = materialize(keyed.select("doc_id", "text", "tk").mapInArrow(find_anchors, "doc_id long, tk long, kmers array<long>, places array<int>"), "substring-anchors")
+    spark = docs.sparkSession
+    marks, marks_path = materialize(keyed.select("doc_id", "text", "tk").mapInArrow(find_anchors, "doc_id long, tk long, kmers array<long>, places array<int>"), "substring-anchors")
     # exact copies are one text here: a window that only they hold is theirs, see remove()
-    texts = marks.groupBy("tk").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
+    texts, _ = materialize(marks.groupBy("tk").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first")), "substring-texts")
     places = marks.select("tk", F.explode(F.arrays_zip("kmers", "places")).alias("x")).select("tk", F.col("x.kmers").alias("kmer"), F.col("x.places").alias("place"))
     where = F.xxhash64("tk", "place")
     shared = places.groupBy("kmer").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo < hi").select("kmer")
     hits = places.join(shared, "kmer").groupBy("tk").agg(F.array_sort(F.collect_set("place")).alias("places"))
     hits, _ = materialize(hits.join(texts, "tk").select("tk", "first", "places"), "substring-hits")
+    drop_table(spark, marks_path)
+    release_shuffles(spark)
     source = keyed.join(hits, "tk").filter(F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first"))
-    edges, _ = materialize(source.select("text", "tk", "places").mapInArrow(find_edges, "edge long, check int, tk long, start int"), "substring-edges")
+    edges, edges_path = materialize(source.select("text", "tk", "places").mapInArrow(find_edges, "edge long, check int, tk long, start int"), "substring-edges")
+    release_shuffles(spark)
     repeated = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(F.struct("tk", "start")).alias("source")).filter("n > 1")
     met = edges.join(repeated, ["edge", "check"]).select("tk", "start", F.col("source.tk").alias("source_tk"), (F.col("start") - F.col("source.start")).alias("shift"))
     run = Window.partitionBy("tk", "source_tk", "shift").orderBy("start")
@@ -142,6 +146,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .groupBy("tk")
         .agg(F.collect_list(F.struct("start", "n", "source_tk", "shift")).alias("paths"))
     )
+    paths, _ = materialize(paths, "substring-paths")
+    drop_table(spark, edges_path)
+    release_shuffles(spark)
     found = texts.join(paths, "tk", "left").filter("copies > 1 or paths is not null").select("tk", "copies", "paths")
     return (
         keyed.join(found, "tk", "left")
