@@ -76,20 +76,23 @@ def fit(words_at: list[np.ndarray], shares: np.ndarray, labels: np.ndarray) -> C
         yes = np.bincount(flat, y[rows], split)
         ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((often - yes + 1) / (len(y) - y.sum() + 2))
         ratio[np.abs(ratio) < np.maximum(LEAST, SURE * np.sqrt(1 / (yes + 1) + 1 / (often - yes + 1)))] = 0
-        scaled = ratio[flat]
-        w = np.zeros(SIZE)
+        # words that say nothing take no part
+        telling = ratio[flat] != 0
+        words, at = np.unique(flat[telling], return_inverse=True)
+        of, scaled, n = rows[telling], ratio[flat[telling]], len(words)
+        w = np.zeros(n + x.shape[1] + 1)
         w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-        first, second = np.zeros(SIZE), np.zeros(SIZE)
+        first, second = np.zeros(len(w)), np.zeros(len(w))
         for step in range(1, STEPS + 1):
-            z = np.bincount(rows, scaled * w[flat], len(y)) + x @ w[split:-1] + w[-1]
+            z = np.bincount(of, scaled * w[at], len(y)) + x @ w[n:-1] + w[-1]
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            grad = np.concatenate([np.bincount(flat, scaled * error[rows], split), x.T @ error, [error.sum()]])
+            grad = np.concatenate([np.bincount(at, scaled * error[of], n), x.T @ error, [error.sum()]])
             grad[:-1] += PENALTY * w[:-1]
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             w -= RATE * (1 - step / (STEPS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        w[:split] *= ratio
-        weights[:, k] = w
+        weights[words, k] = w[:n] * ratio[words]
+        weights[split:, k] = w[n:]
     return Classifier(weights.astype(np.float32), center, scale)
 
 
@@ -112,7 +115,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier | None:
             part = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], [*HEADS, "words", "shares"])
 
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", *HEADS).mapInArrow(run, ", ".join(f"{h} int" for h in HEADS) + ", words binary, shares binary").collect()
+    # SAMPLE rows of three numbers at most, so the texts need no shuffle
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *HEADS).mapInArrow(run, ", ".join(f"{h} int" for h in HEADS) + ", words binary, shares binary").collect()
     if not rows:
         return None
     return fit([np.frombuffer(r.words, np.uint32) for r in rows], np.array([np.frombuffer(r.shares, np.float32) for r in rows]), np.array([[r[h] for h in HEADS] for r in rows], float))
