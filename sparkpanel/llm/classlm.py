@@ -29,6 +29,15 @@ FOLDS, HELD_OUT = 5, 1
 _END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 
 
+_COLUMNS = ["chunk", "ids", "sizes", "end", "tokens", "words", "counts"]
+_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "end": pa.int32()}
+_NAMES = {"chunk": "long", "ids": "array<long>", "sizes": "array<int>", "end": "int"}
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {_NAMES.get(n, 'binary')}" for n in names)
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -53,9 +62,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         token, words = back[token], words[order]
         learn = np.repeat([not is_held_out(i) for i in ids], sizes)
         count = np.bincount(token[learn], minlength=len(words))
-        values = ((task << 32) + number, ids, sizes, _pack(token), _pack(words), _pack(count.astype(np.uint32)))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["chunk", "ids", "sizes", "tokens", "words", "counts"])
+        values = ((task << 32) + number, ids, sizes, int(np.flatnonzero(words == np.uint64(_END))[0]), _pack(token), _pack(words), _pack(count.astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array([v], _KINDS.get(n, pa.binary())) for n, v in zip(_COLUMNS, values, strict=True)], _COLUMNS)
 
     ids, sizes, hashes, total = [], [], [], 0
     for batch in batches:
@@ -112,11 +120,13 @@ class _Chunk:
     def __init__(self, row: dict, top=None):
         self.number, self.ids = row["chunk"], row["ids"]
         self.sizes = np.array(row["sizes"], np.int64)
-        self.token, self.words, self.counts = _unpack(row["tokens"], np.uint32), _unpack(row["words"], np.uint64), _unpack(row["counts"], np.uint32)
+        self.token = _unpack(row["tokens"], np.uint32)
+        self.words = _unpack(row["words"], np.uint64) if "words" in row else None
+        self.counts = _unpack(row["counts"], np.uint32) if "counts" in row else None
         self.learn = np.repeat(np.array([not is_held_out(i) for i in self.ids]), self.sizes)
         self.total = _unpack(row["totals"], np.uint64) if "totals" in row else None
         self.klass = _unpack(row["classes"], np.int8) if "classes" in row else _initial(self.words, *top)
-        self.start = int(self.klass[self.words == np.uint64(_END)][0])
+        self.start = int(self.klass[row["end"]])
 
 
 def _each(batches: Iterator[pa.RecordBatch], top=None) -> Iterator[_Chunk]:
@@ -157,7 +167,7 @@ def _buckets(chunks: DataFrame, count: int, top=None, contexts: bool = True) ->
             keys, n = keys[by], n[by]
             cuts = np.searchsorted(keys, np.append(begin, len(order)) * 2 * CLASSES)
             rows = [
-                (int(b), _pack(c.words[order[s:e]]), _pack(c.counts[order[s:e]]), _pack((keys[x:y] - s * 2 * CLASSES).astype(np.uint32)), _pack(n[x:y].astype(np.uint32)))
+                (int(b), _pack(c.words[order[s:e]]), _pack(c.counts[order[s:e]]), _pack(np.diff(keys[x:y] - s * 2 * CLASSES, prepend=0).astype(np.uint32)), _pack(n[x:y].astype(np.uint32)))
                 for b, s, e, x, y in zip(used, begin, end, cuts[:-1], cuts[1:], strict=True)
             ]
             columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)]
@@ -203,7 +213,7 @@ def _exchange(buckets: DataFrame, matrix: np.ndarray) -> DataFrame:
         place = np.split(at, np.cumsum([len(w) for w in words])[:-1])
         vectors = np.zeros((len(distinct), 2 * CLASSES), np.float32)
         for row, keys, n in zip(place, table["keys"], table["n"], strict=True):
-            keys, n = _unpack(keys.as_py(), np.uint32), _unpack(n.as_py(), np.uint32)
+            keys, n = np.cumsum(_unpack(keys.as_py(), np.uint32), dtype=np.int64), _unpack(n.as_py(), np.uint32)
             np.add.at(vectors, (row[keys // (2 * CLASSES)], keys % (2 * CLASSES)), n)
         best = (vectors @ gain).argmax(1).astype(np.int8)
         best[total == 0] = -1
@@ -212,7 +222,7 @@ def _exchange(buckets: DataFrame, matrix: np.ndarray) -> DataFrame:
     return buckets.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, totals binary, classes binary")
 
 
-def _with_classes(chunks: DataFrame, answers: DataFrame, count: int) -> DataFrame:
+def _with_classes(chunks: DataFrame, answers: DataFrame, count: int, last: bool) -> DataFrame:
     """Chunks with totals and classes of their words."""
     replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals", "classes")).alias("replies"))
     joined = chunks.join(replies, "chunk")
@@ -227,12 +237,12 @@ def _with_classes(chunks: DataFrame, answers: DataFrame, count: int) -> DataFram
                     value = np.empty(len(order), kind)
                     value[order] = np.concatenate([_unpack(r[name], kind) for r in replies])
                     row[name] = _pack(value)
-                yield pa.RecordBatch.from_pylist([row], schema=out)
+                yield pa.RecordBatch.from_pylist([{n: row[n] for n in names}], schema=out)
 
-    names = [*chunks.columns, "totals", "classes"]
-    kinds = {"chunk": ("long", pa.int64()), "ids": ("array<long>", pa.list_(pa.int64())), "sizes": ("array<int>", pa.list_(pa.int32()))}
-    out = pa.schema([(n, kinds.get(n, ("", pa.binary()))[1]) for n in names])
-    return joined.select(*chunks.columns, "replies").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, ('binary',))[0]}" for n in names))
+    # after the last sweep the words themselves are not needed any more
+    names = [*(c for c in chunks.columns if not last or c not in ("words", "counts")), "totals", "classes"]
+    out = pa.schema([(n, _KINDS.get(n, pa.binary())) for n in names])
+    return joined.select(*chunks.columns, "replies").mapInArrow(run, _schema(names))
 
 
 def token_scores(token, sizes, klass, total, start, matrix, tokens: int, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,17 +271,18 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks, path = materialize(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), "chunk long, ids array<long>, sizes array<int>, tokens binary, words binary, counts binary"), "classlm-chunks")
+    chunks, path = materialize(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), _schema(_COLUMNS)), "classlm-chunks")
     count = max(1, chunks.count())
     none = np.empty(0, np.uint64)
     tokens, known, best = _totals(_buckets(chunks, count, (none, none), contexts=False))
+    release_shuffles(spark)
     order = np.argsort(best)
     top, ready = (best[order], order), chunks
-    for _ in range(SWEEPS):
+    for sweep in range(SWEEPS):
         answers, answers_path = materialize(_exchange(_buckets(ready, count, top), _matrix(ready, top)), "classlm-answers")
         release_shuffles(spark)
         old = path
-        ready, path = materialize(_with_classes(ready.drop("totals", "classes"), answers, count), "classlm-ready")
+        ready, path = materialize(_with_classes(ready.drop("totals", "classes"), answers, count, sweep == SWEEPS - 1), "classlm-ready")
         drop_table(spark, answers_path)
         drop_table(spark, old)
         release_shuffles(spark)
