@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -68,8 +69,10 @@ def release_shuffles(spark: SparkSession) -> None:
     Spark does so when the driver collects its garbage, which a driver with
     little to do may not for long while executors' disks fill.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first collection lets go of finished plans, the second of their shuffles
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
