@@ -26,6 +26,8 @@ SHINGLE = 5
 K, ROWS, BANDS, MANTISSA = 128, 4, 32, 10
 #: Pairs whose estimate is below this are not verified: six standard errors under 0.75.
 ESTIMATE_AT_LEAST = 0.52
+#: Members of an undecided bucket over which prefixes take its place; both ways are exact.
+CROWD = 8
 _BASE = 0x9E3779B97F4A7C15
 
 _rng = np.random.default_rng(20_011)
@@ -141,6 +143,23 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
     )
 
 
+def prefix_entries(sets: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Bucket entries (bucket, id, score, part, n, rest) of crowded documents by their rarest shingles.
+
+    Two sets that reach percent share one of the n - ceil(n * percent / 100) + 1
+    members that come first in any order common to all. With the rarest first,
+    texts that only share a very common passage don't meet, and no link is lost.
+    rest counts the members from the shared one on: that is all that two sets
+    can share whose first common member it is.
+    """
+    each = sets.join(crowded.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct().select("doc_id", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ordered = each.join(often, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("x"))
+    first = F.size("x") - F.ceil(F.size("x") * percent / 100).cast("int") + 1
+    entries = ordered.select(F.col("doc_id").alias("id"), F.size("x").alias("size"), F.posexplode(F.slice("x", F.lit(1), first)).alias("at", "x")).filter("x.often > 1")
+    return entries.select("id", F.xxhash64("x.shingle").alias("bucket"), (F.col("size") - F.col("at")).cast("long").alias("rest")).join(crowded, "id").select("bucket", "id", "score", "part", "n", "rest")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Components of documents linked by 5-word shingle sets of Jaccard >= percent/100.
 
@@ -151,20 +170,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows that repeat one are each answered for their own text. Other columns are ignored. An empty table gives an empty result.
 
     Copies collapse to one representative by the digest of their whole set.
-    Buckets then work in rounds: some pivots of each bucket (1, 4, 16, ...) meet
-    the bucket's members of other components, links merge components, and pivots
-    leave. A bucket is done when it holds one component or no untested pair, so
-    a bucket of near copies costs its size, not its square, and no pair of
-    different components in one bucket goes untested.
+    Buckets then work in rounds: some pivots of each bucket (1, 4, 64, ...), those
+    that share most buckets with others, meet the bucket's members of other
+    components, links merge components, and pivots leave. A bucket is done when it
+    holds one component or no untested pair, so a bucket of near copies costs its
+    size, not its square. What the first round leaves in buckets of over CROWD
+    members (texts that share much, but too little) moves to buckets by prefix:
+    see ``prefix_entries``. No pair of different components that meet goes untested.
     """
     spark = docs.sparkSession
     sigs, _ = materialize(signatures(docs), "minhash-signatures")
     filled = sigs.filter("digest is not null and doc_id is not null")
     reps = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     mine = filled.join(reps, "digest").filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", "digest"])
-    entries = mine.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket")).distinct()
-    busy = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    members, members_path = materialize(entries.join(busy, "bucket"), "minhash-members")
+    entries = mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket")).distinct()
+    busy = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members, first_path = materialize(entries.join(busy, "bucket"), "minhash-members")
+    # a text that many others are copies of shares more buckets with them than they share with each other
+    central = members.groupBy("id").agg(F.sum("size").alias("score"))
+    members, members_path = materialize(members.join(central, "id").select("bucket", "id", "score", "n", F.col("n").alias("rest")), "minhash-members")
+    drop_table(spark, first_path)
     wanted, _ = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "minhash-wanted")
     sets, _ = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"),
@@ -173,21 +198,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rep_sigs = sigs.join(wanted, "doc_id", "left_semi").select("doc_id", "regs", "n_shingles")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
-    width = 1
+    width, indexed = 1, False
     while not members.isEmpty():
-        placed = members.join(labels, members.id == labels.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        open_ = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("bucket")
+        placed = members.join(labels, members.id == labels.node, "left").select("bucket", "id", "score", "n", "rest", F.coalesce("component", "id").alias("part"))
+        open_ = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("bucket", "size")
         placed, placed_path = materialize(placed.join(open_, "bucket"), "minhash-placed")
         drop_table(spark, members_path)
-        pivots = placed.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(width)).alias("slot")).agg(F.min(F.struct("id", "part")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.part").alias("pivot_part"))
-        pairs = placed.join(pivots, "bucket").filter("part != pivot_part").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        if width > 1 and not indexed:
+            indexed = True
+            crowded = placed.filter(F.col("size") > CROWD)
+            by_prefix = prefix_entries(sets, crowded.select("id", "score", "part", "n").distinct(), percent)
+            placed, new_path = materialize(placed.filter(F.col("size") <= CROWD).drop("size").unionByName(by_prefix), "minhash-placed")
+            drop_table(spark, placed_path)
+            placed_path = new_path
+        pivots = placed.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(width)).alias("slot")).agg(F.max(F.struct("score", "id", "part", "n", "rest")).alias("p"))
+        pivots = pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest"))
+        enough = (100 + percent) * F.least("rest", "pivot_rest") >= percent * (F.col("n") + F.col("pivot_n"))
+        pairs = placed.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & enough).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         new, _ = materialize(_confirmed(pairs, rep_sigs, sets, percent), "minhash-links")
         if not new.isEmpty():
             links = links.union(new)
             labels = connected_components(links, "minhash-labels")
-        members, members_path = materialize(placed.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "minhash-members")
+        members, members_path = materialize(placed.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "score", "n", "rest"), "minhash-members")
         drop_table(spark, placed_path)
-        width *= 4
+        width *= 4 if width == 1 else 16
     owner = reps.join(labels, reps.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("part"))
     return (
         sigs.select("doc_id", "n_shingles", "digest")
