@@ -4,7 +4,7 @@ Information-theoretic sanitisation: from co-occurrence over the whole corpus the
 share of a term's documents that mention one protected entity is estimated,
 P(entity | term), and the information it gives over the entity's own frequency,
 log2 P(entity | term) / P(entity). A term over both thresholds discloses the
-entity; where it stands near it, it is removed as well.
+entity; it is removed wherever it stands, in documents without the entity too.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_WORDS, materialize, signed, word_hashes
+from .common import BLOCK_WORDS, materialize, signed, window_hash, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity whose terms can disclose it.
+#: Words on either side that make the context of an entity or a term; copied contexts count once.
 CONTEXT = 5
 #: Least number of different contexts of term and entity, share of the term's documents, and bits of information.
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
+#: Slots of the bitmap that finds candidate words before the exact join; bounds its size to 1 MB.
+SLOTS = 1 << 23
 
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,48 +82,118 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def term_of(word: str) -> str:
-    """The term a word stands for: without edge punctuation, lower case; empty unless it has three letters."""
+    """The term a word stands for: without edge punctuation, lower case; empty unless it has three letters or digits."""
     term = word.strip(_EDGES).lower()
-    return term if len(term) >= 3 and term.isalpha() else ""
+    return term if len(term) >= 3 and (term.isalnum() or sum(map(str.isalnum, term)) >= 3) else ""
+
+
+def _words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """Term, start and end of each word without its edge punctuation; no term where a span overlaps the word."""
+    out, k, last = [], 0, 0
+    for m in _WORD.finditer(text):
+        word, s, e = m[0], m.start(), m.end()
+        while k < len(spans) and spans[k][0] < e:
+            last = max(last, spans[k][2])
+            k += 1
+        lead, tail = len(word) - len(word.lstrip(_EDGES)), len(word) - len(word.rstrip(_EDGES))
+        out.append(("" if last > s else term_of(word), s + lead, e - tail))
+    return out
+
+
+def _entity(text: str, kind: int) -> str:
+    return f"{KINDS[kind]}:{re.sub(r'[ ().-]', '', text).lower() if kind > 1 else text.lower()}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Terms near each span: term, entity, a hash of the context, start and end."""
+def sightings(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[dict], list[dict], list[dict]]:
+    """Of a text with spans: terms near each entity, its entities, and all its terms.
+
+    Contexts are hashes of the alphabetic terms around; an entity or a term seen
+    more than once has the least of its hashes.
+    """
     if not spans:
-        return []
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = np.array([s for s, _ in words])
-    out = []
+        return [], [], []
+    words = _words(text, spans)
+    h = word_hashes((t.encode() for t, _, _ in words), len(words))
+    keys = signed(h).tolist()
+    plain = np.where(np.fromiter((t.isalpha() for t, _, _ in words), bool, len(words)), h, np.uint64(0))
+    around = signed(window_hash(np.pad(plain, CONTEXT), 2 * CONTEXT + 1, 0x9E3779B97F4A7C15)).tolist()
+    terms: dict[int, int] = {}
+    for (term, _, _), key, context in zip(words, keys, around, strict=True):
+        if term:
+            terms[key] = min(terms.get(key, context), context)
+    near, entities = [], {}
+    starts = np.array([m.start() for m in _WORD.finditer(text)])
     for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{re.sub(r'[ ().-]', '', text[start:end]).lower() if kind > 1 else text[start:end].lower()}"
+        entity = _entity(text[start:end], kind)
         low = int(np.searchsorted(starts, start, "right")) - 1
         high = int(np.searchsorted(starts, end, "left"))
-        near = [(s, e) for s, e in (*words[max(0, low - CONTEXT) : low], *words[high : high + CONTEXT])]
-        terms = [(term_of(text[s:e]), s, e) for s, e in near]
-        key = xxhash.xxh3_64_intdigest(" ".join(t for t, _, _ in terms if t).encode()) - 2**63
-        for term, s, e in terms:
-            if term and not any(s < b and a < e for a, _, b in spans):
-                lead = len(text[s:e]) - len(text[s:e].lstrip(_EDGES))
-                tail = len(text[s:e]) - len(text[s:e].rstrip(_EDGES))
-                out.append({"term": term, "entity": entity, "context": key, "start": s + lead, "end": e - tail})
-    return out
+        at = [*range(max(0, low - CONTEXT), low), *range(high, min(high + CONTEXT, len(words)))]
+        context = xxhash.xxh3_64_intdigest(" ".join(words[i][0] for i in at if words[i][0].isalpha()).encode()) - 2**63
+        entities[entity] = min(entities.get(entity, context), context)
+        near += [{"term_key": keys[i], "entity": entity, "context": context} for i in at if words[i][0]]
+    return near, [{"entity": e, "context": c} for e, c in entities.items()], [{"term_key": t, "context": c} for t, c in terms.items()]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("term", pa.string()), ("entity", pa.string()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = "doc_id long, text_key binary, base array<struct<start:long,kind:int,end:long>>, near array<struct<term:string,entity:string,context:long,start:long,end:long>>"
+_NEAR = pa.list_(pa.struct([("term_key", pa.int64()), ("entity", pa.string()), ("context", pa.int64())]))
+_ENTITIES = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64())]))
+_TERMS = pa.list_(pa.struct([("term_key", pa.int64()), ("context", pa.int64())]))
+_FOUND = (
+    "doc_id long, text_key binary, base array<struct<start:long,kind:int,end:long>>, near array<struct<term_key:long,entity:string,context:long>>, "
+    "entities array<struct<entity:string,context:long>>, terms array<struct<term_key:long,context:long>>"
+)
+_HITS = pa.list_(pa.struct([("term_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, spans, near = [], [], []
-        for value in batch.column(1):
-            text = value.as_py() or ""
-            found = base_spans(text)
-            keys.append(xxhash.xxh3_128_digest(text.encode()))
-            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            near.append(contexts(text, found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, _SPANS), pa.array(near, _NEAR)], ["doc_id", "text_key", "base", "near"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            keys, spans, seen = [], [], []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                found = base_spans(text)
+                keys.append(xxhash.xxh3_128_digest(text.encode()))
+                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+                seen.append(sightings(text, found))
+            columns = [pa.array([x[i] for x in seen], kind) for i, kind in enumerate((_NEAR, _ENTITIES, _TERMS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, _SPANS), *columns], ["doc_id", "text_key", "base", "near", "entities", "terms"])
+
+
+def _hits(bits: np.ndarray):
+    """Occurrences of the terms whose slot is set, outside the pattern matches, of each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, hits = [], []
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                terms = list({term_of(w) for w in set(_WORD.findall(text))} - {""})
+                h = word_hashes((t.encode() for t in terms), len(terms))
+                slot = (h % np.uint64(SLOTS)).astype(np.int64)
+                maybe = np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)
+                if not len(maybe):
+                    continue
+                key_of = {terms[i]: k for i, k in zip(maybe.tolist(), signed(h[maybe]).tolist(), strict=True)}
+                found = [{"term_key": key_of[t], "start": s, "end": e} for t, s, e in _words(text, base_spans(text)) if t in key_of]
+                if found:
+                    keys.append(xxhash.xxh3_128_digest(text.encode()))
+                    hits.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hits, _HITS)], ["text_key", "hits"])
+
+    return run
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Bits of the slots that the terms' keys take; put together where the terms are, at most SLOTS bits."""
+    slot = terms.select(F.pmod("term_key", F.lit(SLOTS)).alias("slot"))
+    # bitmap positions count from 0 within buckets of 32,768 that are numbered from 1
+    parts = slot.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts.collect():
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+    return out
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,43 +219,50 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], ["term_key", "n"])
 
 
-@F.pandas_udf(T.LongType())
-def _term_key(terms):
-    return pd.Series(signed(word_hashes((t.encode() for t in terms), len(terms))))
-
-
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base and spans of every whole text, one row per row of docs.
 
     base holds the pattern matches as (start, kind, end) in code points, ends
-    exclusive; spans adds disclosing terms as kind ``len(KINDS)``. A null text
-    has none. Repeated rows get the same spans. No other column is read.
+    exclusive; spans adds each occurrence of a disclosing term as kind
+    ``len(KINDS)``. A null text has none. Repeated rows get the same spans. No other column is read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, _ = materialize(narrow.mapInArrow(_find, _FOUND), "pii-found")
-    near = found.filter(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").distinct()
-    near, _ = materialize(near.withColumn("term_key", _term_key("term")), "pii-near")
-    support = near.select("term_key", "entity", "context").distinct().groupBy("term_key", "entity").count().filter(F.col("count") >= MIN_CONTEXTS)
-    support, _ = materialize(support.select("term_key", "entity"), "pii-support")
-    by_pair = near.join(support, ["term_key", "entity"]).select("term_key", "entity", "text_key").distinct()
+    named = found.filter(F.size("entities") > 0)
     # documents, not texts: a copy counts on both sides
-    copies = found.filter(F.size("near") > 0).groupBy("text_key").agg(F.count("*").alias("copies"))
-    both = by_pair.join(copies, "text_key").groupBy("term_key", "entity").agg(F.sum("copies").alias("n_both"))
-    n_term = docs.select("text").mapInArrow(_term_counts, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("n_term"))
-    entities = (
-        near.join(support.select("entity").distinct(), "entity").select("entity", "text_key").distinct()
-        .join(copies, "text_key").groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    )
+    texts = named.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
+    owned = texts.select("text_key", "copies", F.explode("entities").alias("x")).select("text_key", "copies", "x.*")
+    entities, _ = materialize(owned.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts")), "pii-entities")
+    n_term, _ = materialize(docs.select("text").mapInArrow(_term_counts, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("n_term")), "pii-terms")
     n_docs = found.count()
+
+    near = named.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").distinct()
+    near, _ = materialize(near, "pii-near")
+    support = near.select("term_key", "entity", "context").distinct().groupBy("term_key", "entity").count().filter(F.col("count") >= MIN_CONTEXTS)
+    support, _ = materialize(support.select("term_key", "entity"), "pii-support")
+
+    # over whole texts; left out are only entities and terms that cannot pass: a share is 1 at most, and half of a term's documents name the entity
+    able = entities.filter((F.col("n_texts") >= MIN_CONTEXTS) & (F.col("n_entity") * 2**MIN_BITS <= n_docs)).select("entity")
+    common = n_term.filter(F.col("n_term") * MIN_SHARE * 2**MIN_BITS > n_docs).select("term_key")  # few: each is in a large part of the documents
+    terms = named.dropDuplicates(["text_key"]).select("text_key", F.explode("terms").alias("x")).select("text_key", "x.*").join(F.broadcast(common), "term_key", "left_anti")
+    owners = owned.join(able, "entity").select("text_key", "copies", "entity", F.col("context").alias("__c"))
+    pairs = terms.join(owners, "text_key").groupBy("term_key", "entity", F.xxhash64("context", "__c").alias("context")).agg(F.sum("copies").alias("n_both"))
+    both = pairs.groupBy("term_key", "entity").agg(F.sum("n_both").alias("n_both"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS).drop("n")
+    # terms with enough contexts near the entity, though of fewer texts, count over whole texts too
+    own = named.dropDuplicates(["text_key"]).select("text_key", F.explode("terms.term_key").alias("term_key"))
+    again = own.join(support, "term_key").join(owned.select("text_key", "copies", "entity"), ["text_key", "entity"]).groupBy("term_key", "entity").agg(F.sum("copies").alias("n_both"))
     share = F.col("n_both") / F.col("n_term")
     telling = (
-        both.join(n_term, "term_key").join(entities, "entity")
+        both.unionByName(again).join(n_term, "term_key").join(entities, "entity")
         .filter((share >= MIN_SHARE) & (F.log2(share * n_docs / F.col("n_entity")) >= MIN_BITS))
-        .select("term_key", "entity")
+        .select("term_key").distinct()
     )
-    extra = near.join(telling, ["term_key", "entity"]).groupBy("text_key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra"))
+    telling, _ = materialize(telling, "pii-telling")
+    hits = docs.select("text").mapInArrow(_hits(_bitmap(telling)), "text_key binary, hits array<struct<term_key:long,start:long,end:long>>")
+    places = hits.dropDuplicates(["text_key"]).select("text_key", F.explode("hits").alias("x")).select("text_key", "x.*")
+    extra = places.join(telling, "term_key").groupBy("text_key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra"))
     return (
-        found.drop("near")
+        found.drop("near", "entities", "terms")
         .join(extra, "text_key", "left")
         .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:long,kind:int,end:long>>")))))
         .drop("extra")

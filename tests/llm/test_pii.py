@@ -59,3 +59,21 @@ def test_disclosing_terms_and_edges(spark):
     assert "[EMAIL]" in clean[(0, 1, "b")] and "Quillfeather" not in clean[(0, 1, "b")] and clean[(100, 1, "b")] is None
     assert clean[(None, 1, "b")] == "call [PHONE] now" and clean[(200, 1, "b")] == rows[6][1]
     assert pii.sanitise(df).count() == len(rows) and pii.find(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+
+
+def test_telling_terms_go_wherever_they_stand(spark):
+    filler = [f"{a}{b}" for a in ("red", "blue", "green", "grey", "black", "white", "pink") for b in ("stone", "water", "forest", "field")]
+    far = lambda i: " ".join(filler[(i * 5 + k) % len(filler)] for k in range(12))
+    rows = [(i, f"{far(i)} Quillfeather O'Brien-Smith AB12 {far(i + 1)} then write to q.f@example.org {far(i + 2)} or quillfeather again") for i in range(5)]
+    rows += [(50, f"{far(3)} (Quillfeather), told us of O'Brien-Smith and AB12 {far(9)}")]
+    rows += [(100 + i, f"{far(i)} {far(i + 7)} none") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text, found = dict(rows), {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for i in (0, 4, 50):
+        terms = [text[i][s.start : s.end] for s in found[i] if s.kind == len(pii.KINDS)]
+        assert {"Quillfeather", "O'Brien-Smith", "AB12"} <= set(terms) and not set(terms) & set(filler)
+    assert "quillfeather" in [text[0][s.start : s.end] for s in found[0]]
+    assert all(not found[100 + i] for i in range(160))
+    # one copied text gives one context, however far the term
+    same = spark.createDataFrame([(i, text[0]) for i in range(6)] + rows[6:], "doc_id long, text string")
+    assert all(len(r.spans) == 1 for r in pii.find(same).filter("doc_id < 6").collect())
