@@ -3,7 +3,9 @@
 Markup is stripped to lines, one for each block element. A line weighs as many
 code points as its text outside links, menus, forms and other page furniture; the
 weights are summed over sliding windows of lines. Text begins where the sums
-surge, ends where they dive to nothing, and is kept whole in between.
+surge, ends where they dive to nothing, and is kept whole in between, with the
+headings and the few links next to it. In an article or main element all lines
+are text.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window; sum that a surge reaches where no article element marks the text.
+#: Lines in a window; sum that a surge reaches at most where no article element marks the text.
 LINES, SURGE = 3, 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -27,6 +29,7 @@ _BLOCK = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 } | _FURNITURE
+_HEADING = re.compile("h[1-6]")
 _ROLE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _NAMES = re.compile(
@@ -47,21 +50,21 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
     return any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _ROLE.finditer(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, weight (code points outside links), whether inside an article.
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Lines of a page: text, weight (code points outside links), whether inside an article, whether a heading.
 
     Furniture and raw elements give no line. An article or main element that
     begins inside furniture ends it, as the furniture was never closed.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     plain: list[str] = []
-    skip, depth, links, article = "", 0, 0, 0
+    skip, depth, links, article, heading = "", 0, 0, 0, False
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, len(" ".join("".join(plain).split())), article > 0))
+            out.append((line, len(" ".join("".join(plain).split())), article > 0, heading))
         text.clear()
         plain.clear()
 
@@ -99,6 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if tag in _BLOCK:
             flush()
+            heading = bool(_HEADING.fullmatch(tag)) and not closing
         if not closing and not void and _furniture(tag, m[3], article > 0):
             flush()
             skip, depth = tag, 1
@@ -117,14 +121,17 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    marked = any(inside for _, _, inside in lines)
-    weight = np.array([w if inside or not marked else 0 for _, w, inside in lines], np.int64)
+    marked = [text for text, _, inside, _ in lines if inside]
+    if marked:
+        return " ".join(marked)
+    weight = np.array([w for _, w, _, _ in lines], np.int64)
+    if not weight.any():
+        return ""
     total = np.cumsum(np.append(0, weight))
     window = total[np.minimum(np.arange(len(lines)) + LINES, len(lines))] - total[:-1]
-    surge = 1 if marked else min(SURGE, int(window.max()))
-    if surge < 1:
-        return ""
-    kept: list[str] = []
+    # a run is long enough if it reaches what three quarters of the page's own lines have
+    surge = min(SURGE, np.percentile(weight[weight > 0], 25))
+    runs: list[tuple[int, int]] = []
     i = 0
     while i < len(lines):
         if window[i] < surge:
@@ -138,9 +145,20 @@ def main_text(page: str | None) -> str:
         end = j
         while end > i and not weight[end - 1]:
             end -= 1
-        kept += [t for t, _, inside in lines[i:end] if inside or not marked]
+        runs.append((i, end))
         i = max(j, i + 1)
-    return " ".join(kept)
+    keep = np.zeros(len(lines), bool)
+    for first, last in runs:
+        keep[first:last] = True
+        for step, at in ((-1, first - 1), (1, last)):
+            links = at
+            while 0 <= links < len(lines) and not weight[links]:
+                links += step
+            few = abs(links - at) < LINES
+            while 0 <= at < len(lines) and not weight[at] and (few or lines[at][3]):
+                keep[at] = True
+                at += step
+    return " ".join(text for (text, _, _, _), k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,3 +36,19 @@ def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", None, 5, 7)], "page_id long, url string, html string, n_chars long, text int")
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "u", "", 0)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+LINK = '<a href="x">{}</a>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>{LINK.format('Title')}</h1><p>{LONG}</p><ul>{''.join(f'<li>{LINK.format(i)}</li>' for i in range(5))}</ul><p>{LONG}</p><p>{LINK.format('last')}</p></article>", f"Title {LONG} 0 1 2 3 4 {LONG} last"),
+        (f"<main><p>{LINK.format('only a link')}</p></main>", "only a link"),
+        (f"<div>{''.join(f'<p>{LINK.format(i)}</p>' for i in range(4))}</div><h2>{LINK.format('Title')}</h2><p>{LONG}</p><p>{LINK.format('more')}</p>", f"Title {LONG} more"),
+        (f"<p>Short text.</p><p>Some more.</p>{''.join(f'<p>{LINK.format(i)}</p>' for i in range(4))}<p>{LONG}</p>", f"Short text. Some more. {LONG}"),
+    ],
+)
+def test_linked_lines_and_short_runs(page, text):
+    assert html.main_text(page) == text
