@@ -23,53 +23,111 @@ LINES, SURGE = 3, 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "xmp", "noembed", "noframes"}
-_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "figcaption", "audio", "video", "canvas", "map"}
+_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "audio", "video", "canvas"}
+#: Furniture outside articles only.
+_OUTER = {"header", "label", "map"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {
-    "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
+    "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
-} | _FURNITURE
+} | _FURNITURE | {"label", "map"}
+_CELLS = {"table", "td", "th", "caption"}
+_SECTIONS = {"article", "main", "section", "blockquote", "nav", "aside", "form", "details", "fieldset"}
+#: Elements whose end tag may be missing: those that a start tag ends, and those that such an end doesn't reach across.
+_ENDS = {t: ({"p"}, _CELLS | {"article", "main", "button"}) for t in _BLOCK - {"br", "body", "caption", "dd", "dt", "html", "label", "legend", "li", "map", "tbody", "td", "tfoot", "th", "thead", "tr"}} | {
+    "li": ({"li", "p"}, _CELLS | _SECTIONS | {"ul", "ol", "menu", "dir", "dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr"}, {"table"}), **dict.fromkeys(("td", "th"), ({"td", "th"}, {"table", "tr"})), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, {"table"})),
+    **dict.fromkeys(("dd", "dt"), ({"dd", "dt", "p"}, _CELLS | _SECTIONS | {"dl", "ul", "ol", "menu", "dir"})),
+}
+_TABLE = {"table", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 _HEADING = re.compile("h[1-6]")
 _ROLE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
+_WORDS = (
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"comments?|comment-?list|disqus|respond|replies|reply|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|site-?header|page-?header|masthead|topbar|toolbar|"
-    r"share|sharing|social|related|recommend\w*|read-?more|pager|pagination|copyright|legal|disclaimer|search|login|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
+    r"share|sharing|social|related|recommend\w*|read-?more|pager|pagination|copyright|legal|disclaimer|search|login|contentinfo|complementary"
 )
+_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
+#: A whole class token that names furniture, with words for its container at most.
+_TOKEN_NAME = re.compile(rf"(?:{_WORDS})(?:[_-]+(?:{_WORDS}|areas?|bars?|blocks?|box|boxes|buttons?|containers?|forms?|inner|items?|links?|lists?|outer|posts?|sections?|slots?|units?|wrap|wrapper))*", re.I)
+_CLASS = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements that hold other blocks; a name on a paragraph or a heading of an article is about its text.
+_CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "figure", "header", "span", "ins"}
 
 
 def _furniture(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _FURNITURE or (tag == "header" and not inside):
+    if tag in _FURNITURE or (tag in _OUTER and not inside):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    if inside:
+        return tag in _CONTAINER and any(_TOKEN_NAME.fullmatch(token) for m in _CLASS.finditer(attributes) for token in next(filter(None, m.groups()), "").split())
     return any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _ROLE.finditer(attributes))
 
 
+class _Open:
+    """Open block elements, with the places of each tag, so that no step scans them."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def cut(self, size: int) -> None:
+        while len(self.tags) > size:
+            self.places[self.tags.pop()].pop()
+
+    def start(self, tag: str) -> None:
+        """End what a start tag ends without an end tag."""
+        ended, barriers = _ENDS.get(tag, ((), ()))
+        at = self.last(ended)
+        while at >= 0 and at > self.last(barriers):
+            self.cut(at)
+            at = self.last(ended)
+
+    def end(self, tag: str) -> None:
+        """Close the element of an end tag and all in it; nothing where it has none in reach."""
+        at = self.last((tag,))
+        barriers = {"table"} if tag in _TABLE else _CELLS
+        if tag not in ("article", "main"):
+            barriers = barriers | {"article", "main"}
+        if tag == "li":
+            barriers = barriers | {"ul", "ol", "menu", "dir"}
+        if at >= 0 and (tag in ("table", "article", "main") or at > self.last(barriers - {tag})):
+            self.cut(at)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """Lines of a page: text, weight (code points outside links), whether inside an article, whether a heading.
 
-    Furniture and raw elements give no line. An article or main element that
-    begins inside furniture ends it, as the furniture was never closed.
+    Furniture and raw elements give no line. Furniture ends with its end tag, with
+    that of an enclosing element, or where HTML ends its element without a tag. An
+    article or main element that begins inside ends it, as it was never closed.
     """
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     plain: list[str] = []
-    skip, depth, links, article, heading = "", 0, 0, 0, False
+    skip, links, heading = -1, 0, False  # skip: place of the furniture element that is passed over, or -1
+    elements = _Open()
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, len(" ".join("".join(plain).split())), article > 0, heading))
+            out.append((line, len(" ".join("".join(plain).split())), elements.last(("article", "main")) >= 0, heading))
         text.clear()
         plain.clear()
 
     def add(raw: str) -> None:
-        if raw and not skip:
+        if raw and skip < 0:
             raw = html.unescape(raw)
             text.append(raw)
             if not links:
@@ -91,24 +149,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if skip:
-            if tag in ("article", "main") and not closing and skip not in ("article", "main"):
-                skip = ""
-            else:
-                if tag == skip and not void:
-                    depth += -1 if closing else 1
-                    if not depth:
-                        skip = ""
-                continue
+        if tag in _BLOCK and skip < 0:
+            flush()
+        kept = skip >= 0 and not void and not closing and tag == elements.tags[skip]  # an inline element counts within one of its kind
+        if closing:
+            elements.end(tag)
+        elif skip >= 0 and tag in ("article", "main"):
+            elements.cut(skip)
+        else:
+            elements.start(tag)
+        if skip >= 0 and len(elements.tags) > skip:
+            if not closing and not void and (tag in _BLOCK or tag == "option" or kept):
+                elements.push(tag)
+            continue
+        if skip >= 0:
+            # the element's own end tag, that of an enclosing element, or the start of what follows it
+            skip = -1
         if tag in _BLOCK:
             flush()
             heading = bool(_HEADING.fullmatch(tag)) and not closing
-        if not closing and not void and _furniture(tag, m[3], article > 0):
+        if not closing and not void and _furniture(tag, m[3], elements.last(("article", "main")) >= 0):
             flush()
-            skip, depth = tag, 1
-        elif tag in ("article", "main"):
-            article = max(0, article + (-1 if closing else 1))
-        elif tag == "a":
+            skip = len(elements.tags)
+            elements.push(tag)
+            continue
+        if not closing and not void and tag in _BLOCK - {"html", "body"}:
+            elements.push(tag)
+        if tag == "a":
             links = 0 if closing else 1
         elif tag in _BLOCK:
             links = 0

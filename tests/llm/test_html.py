@@ -52,3 +52,26 @@ LINK = '<a href="x">{}</a>'
 )
 def test_linked_lines_and_short_runs(page, text):
     assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h2 id='side-effects'>Side</h2><section id='social-history'><p>{LONG}</p></section><div id=search-methods>S</div><p class=legal>law</p></article>", f"Side {LONG} S law"),
+        ("<article><p>a</p><figure><img src=x><figcaption>A caption</figcaption></figure><label>b</label><p>c</article>", "a A caption b c"),
+        (f"<article><p>{LONG}</p><div class='box related-posts'><p>ad</p></div><div role=navigation>n</div><span class=ad>x <span>y</span> z</span></article>", LONG),
+        (f"<p class='notice'>x<p>{LONG}<p>more", f"{LONG} more"),
+        (f"<ul><li class='menu-item'>x<li>{LONG}</ul><p>more</p>", f"{LONG} more"),
+        (f"<div><p class='notice'>x</div><p>{LONG}</p>", LONG),
+        (f"<dl><dt class=ad>x<dd>{LONG}</dl><table><tr><td class=sidebar>s<td>t</table><p>{LONG}</p>", f"{LONG} t {LONG}"),
+        (f"<div class=menu><ul><li>a<li>b<ul><li>c</ul></ul><p>d</div><p>{LONG}</p>", LONG),
+        (f"<article><div class=share>x</article><p>out</p><article><p>{LONG}</div></p><p>in</p></article>", f"{LONG} in"),
+    ],
+)
+def test_furniture_takes_no_article_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_unclosed_elements_take_linear_time():
+    n = 100_000
+    assert html.main_text("<p><table><td>" + "<div>" * n + "</p>" * n + "text") == "text"
