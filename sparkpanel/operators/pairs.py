@@ -91,8 +91,8 @@ def pair_return(df: DataFrame) -> DataFrame:
     return df.withColumn("r", F.when(F.col("__held") == 0, 0.0).otherwise(F.coalesce(ratio(F.col("__held") * move, bought), F.lit(0.0)))).drop("__held", "__entry")
 
 
-def pair_stats(df: DataFrame, per_year: float = 12.0) -> DataFrame:
-    return df.groupBy(*KEYS).agg((ratio(F.avg("r"), F.stddev_samp("r")) * math.sqrt(per_year)).alias("sharpe"), (F.product(1 + F.col("r")) - 1).alias("cumr"))
+def pair_stats(df: DataFrame, per_year: float = 12.0, keys: list[str] = KEYS) -> DataFrame:
+    return df.groupBy(*keys).agg((ratio(F.avg("r"), F.stddev_samp("r")) * math.sqrt(per_year)).alias("sharpe"), (F.product(1 + F.col("r")) - 1).alias("cumr"))
 
 
 def half_life(df: DataFrame) -> DataFrame:
@@ -146,21 +146,46 @@ def engle_granger(df: DataFrame, cutoff: float = 1.0) -> DataFrame:
     return df.groupBy(*KEYS).applyInPandas(run, "x string, y string, statistic double, p double").filter(F.col("p") <= cutoff).orderBy("p", "x", "y")
 
 
-def adf_of(df: DataFrame, value: str) -> DataFrame:
-    """ADF statistic and p-value of each pair's series."""
+def adf_of(df: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
+    """ADF statistic and p-value of each pair's series, or of each series with the same keys."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = adf_statistic(pdf.sort_values("date")[value].dropna().to_numpy())
-        return pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "statistic": [t], "p": [approximate_p(t, 1)]})
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"statistic": [t], "p": [approximate_p(t, 1)]})
 
-    return df.groupBy(*KEYS).applyInPandas(run, "x string, y string, statistic double, p double")
+    kinds = dict(df.dtypes)
+    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", statistic double, p double")
 
 
-def score(stats: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of z-scores over all pairs; the moments are one row."""
-    moments = stats.agg(*[f(c).alias(f"__{n}_{c}") for c in weights for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+def score(stats: DataFrame, weights: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Weighted sum of z-scores over all pairs, or over those with the same ``by``; the moments are one row, or one for each."""
+    moments = stats.groupBy(*by or []).agg(*[f(F.when(~F.isnan(c), F.col(c))).alias(f"__{n}_{c}") for c in weights for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     z = sum((w * ratio(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c, w in weights.items()), F.lit(0.0))
-    return stats.crossJoin(F.broadcast(moments)).withColumn("score", z).drop(*moments.columns)
+    joined = stats.join(F.broadcast(moments), by) if by else stats.crossJoin(F.broadcast(moments))
+    return joined.withColumn("score", z).drop(*[c for c in moments.columns if c.startswith("__")])
+
+
+def walk_forward_windows(df: DataFrame, look_back: int, look_ahead: int) -> DataFrame:
+    """Windows (window, start, cut, stop) of months from the first date on: train in [start, cut), trade in [cut, stop).
+
+    The last window is the last whose cut doesn't pass the last date; it may be short.
+    """
+    ends = df.agg(F.trunc(F.min("date"), "month").alias("first"), F.max("date").alias("last"))
+    month = lambda n: F.add_months("first", F.col("window") * look_ahead + n).cast("timestamp")
+    each = ends.select("first", "last", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.months_between("last", "first") / look_ahead).cast("int")))).alias("window"))
+    return each.select("window", month(0).alias("start"), month(look_back).alias("cut"), month(look_back + look_ahead).alias("stop"), "last").filter("cut <= last").drop("last")
+
+
+def walk_forward(returns: DataFrame, look_back: int, look_ahead: int, n: int, weights: dict[str, float]) -> DataFrame:
+    """window, date and mean return of the n pairs that score best in the months before each window."""
+    windows = walk_forward_windows(returns, look_back, look_ahead)  # one row for each window of the calendar
+    keyed = returns.join(F.broadcast(windows), (F.col("date") >= F.col("start")) & (F.col("date") < F.col("stop")))
+    keys = ["window", *KEYS]
+    train = keyed.filter(F.col("date") < F.col("cut"))
+    stats = pair_stats(train, keys=keys).join(adf_of(train.select(*keys, "date", "spread"), "spread", keys), keys)
+    order = Window.partitionBy("window").orderBy(F.desc_nulls_last(F.when(~F.isnan("score"), F.col("score"))), "x", "y")
+    best = score(stats, weights, ["window"]).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).select(*keys)
+    return keyed.filter(F.col("date") >= F.col("cut")).join(best, keys, "left_semi").groupBy("window", "date").agg(F.avg("r").alias("r"))
 
 
 def greedy_disjoint(scored: DataFrame, n: int) -> DataFrame:

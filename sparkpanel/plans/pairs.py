@@ -124,16 +124,8 @@ def i12(spark, sf_dir):
 
 @register("i13_walk_forward_pairs")
 def i13(spark, sf_dir):
-    """Train on 36 months, take the ten best pairs, trade them for 12 months; three windows in one plan."""
-    out = returns(spark, sf_dir)
-    windows = spark.createDataFrame([(k, f"{1995 + k}-01-01", f"{1998 + k}-01-01", f"{1999 + k}-01-01") for k in range(3)], "window int, start string, cut string, stop string")
-    windows = windows.select("window", *[F.col(c).cast("timestamp").alias(c) for c in ("start", "cut", "stop")])
-    keyed = out.join(F.broadcast(windows), (F.col("date") >= F.col("start")) & (F.col("date") < F.col("stop")))  # one row per window
-    train = keyed.filter(F.col("date") < F.col("cut")).groupBy("window", "x", "y").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"))
-    from pyspark.sql import Window
-
-    best = train.withColumn("n", F.row_number().over(Window.partitionBy("window").orderBy(F.desc_nulls_last("sharpe"), "x", "y"))).filter("n <= 10").select("window", "x", "y")
-    return keyed.filter(F.col("date") >= F.col("cut")).join(best, ["window", "x", "y"], "left_semi").groupBy("window", "date").agg(F.avg("r").alias("r"))
+    """Train on 36 months, take the ten best pairs by p-value and Sharpe ratio, trade them for 12 months; all windows in one plan."""
+    return P.walk_forward(returns(spark, sf_dir), 36, 12, 10, {"p": -0.5, "sharpe": 0.5})
 
 
 @register("i14_stock_universe", f"{BRANDS}, f AS (SELECT name FROM prices GROUP BY 1 HAVING count(*)=(SELECT count(DISTINCT date) FROM prices)) SELECT DISTINCT name FROM f")

@@ -96,6 +96,24 @@ def test_adf_tells_noise_from_a_walk():
     assert pairs.approximate_p(pairs.adf_statistic(np.cumsum(rng.normal(size=300))), 1) > 0.05
 
 
+def test_walk_forward_covers_the_calendar(spark):
+    from sparkpanel.plans import pairs as plans
+
+    out = plans.i13(spark, DATA).collect()
+    panel = plans.returns(spark, DATA).select("x", "y", "date", "r", "spread").toPandas()
+    assert {r.window for r in out} == {0, 1, 2, 3}
+    z = lambda v: (v - np.nanmean(v)) / np.nanstd(v, ddof=1)
+    for k in range(4):  # the last one is short
+        train = panel[(panel["date"] >= f"{1995 + k}-01-01") & (panel["date"] < f"{1998 + k}-01-01")]
+        stats = {key: g.sort_values("date") for key, g in train.groupby(["x", "y"])}
+        s = np.array([g["r"].mean() / g["r"].std() if g["r"].std() else np.nan for g in stats.values()])
+        p = np.array([pairs.approximate_p(pairs.adf_statistic(g["spread"].dropna().to_numpy()), 1) for g in stats.values()])
+        score = np.nan_to_num(0.5 * z(s) - 0.5 * z(p), nan=-np.inf)
+        best = {list(stats)[i] for i in np.argsort(-score, kind="stable")[:10]}
+        held = panel[(panel["date"] >= f"{1998 + k}-01-01") & (panel["date"] < f"{1999 + k}-01-01") & np.array([key in best for key in zip(panel["x"], panel["y"], strict=True)])]
+        assert {r.date: pytest.approx(r.r) for r in out if r.window == k} == held.groupby("date")["r"].mean().to_dict() != {}
+
+
 def test_folds_never_look_ahead(spark):
     df = fixtures.stock_panel(spark, DATA)
     rows = forecast.walk_forward_folds(df, 36, 12, 18, moving=False).collect()
