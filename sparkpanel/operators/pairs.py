@@ -103,13 +103,36 @@ def half_life(df: DataFrame) -> DataFrame:
     return beta.select(*KEYS, F.when(F.floor(life) > 0, F.floor(life)).alias("half_life"))
 
 
-def adf_statistic(series: np.ndarray, lags: int = 1) -> float:
-    """t statistic of the lagged level in an augmented Dickey-Fuller regression with constant."""
-    d = np.diff(series)
-    if len(d) - lags < lags + 4 or np.ptp(series) == 0:
+def adf_statistic(series: np.ndarray, lags: int | None = None, constant: bool = True) -> float:
+    """t statistic of the lagged level in an augmented Dickey-Fuller regression.
+
+    Without a number of lags, 0 to ceil(12 (n / 100) ** (1/4)) of them (fewer in
+    short series) are fitted on the sample that all share, and the one of the least
+    AIC is fitted again on all its rows.
+    """
+    series = np.asarray(series, float)
+    d, trend = np.diff(series), int(constant)
+    if len(d) < 4 or np.ptp(series) == 0:
+        return float("nan")
+
+    def design(k: int, drop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Level, constant and k lagged differences, without the first ``drop`` rows."""
+        columns = [series[drop:-1], *[np.ones(len(d) - drop)] * trend, *[d[drop - i : len(d) - i] for i in range(1, k + 1)]]
+        return np.column_stack(columns), d[drop:]
+
+    if lags is None:
+        most = min(len(series) // 2 - trend - 1, math.ceil(12 * (len(series) / 100) ** 0.25))
+        if most < 0:
+            return float("nan")
+        x, y = design(most, most)
+        aic = []
+        for k in range(most + 1):
+            e = y - x[:, : 1 + trend + k] @ np.linalg.lstsq(x[:, : 1 + trend + k], y, rcond=None)[0]
+            aic.append(len(y) * math.log(max(e @ e / len(y), 1e-300)) + 2 * (1 + trend + k))
+        lags = int(np.argmin(aic))
+    if len(d) - lags <= 1 + trend + lags:
         return float("nan")
-    columns = [series[lags:-1], np.ones(len(d) - lags), *[d[lags - k : len(d) - k] for k in range(1, lags + 1)]]
-    x, y = np.column_stack(columns), d[lags:]
+    x, y = design(lags, lags)
     inverse = np.linalg.pinv(x.T @ x)
     beta = inverse @ x.T @ y
     e = y - x @ beta
@@ -140,7 +163,7 @@ def engle_granger(df: DataFrame, cutoff: float = 1.0) -> DataFrame:
         pdf = pdf.sort_values("date")
         a = np.column_stack([pdf["p_x"], np.ones(len(pdf))])
         e = pdf["p_y"].to_numpy() - a @ np.linalg.lstsq(a, pdf["p_y"].to_numpy(), rcond=None)[0]
-        t = adf_statistic(e)
+        t = adf_statistic(e, constant=False)  # the first regression has it
         return pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "statistic": [t], "p": [approximate_p(t, 2)]})
 
     return df.groupBy(*KEYS).applyInPandas(run, "x string, y string, statistic double, p double").filter(F.col("p") <= cutoff).orderBy("p", "x", "y")

@@ -96,6 +96,34 @@ def test_adf_tells_noise_from_a_walk():
     assert pairs.approximate_p(pairs.adf_statistic(np.cumsum(rng.normal(size=300))), 1) > 0.05
 
 
+def test_adf_takes_the_lag_of_least_aic():
+    def fit(v, k, constant, first):
+        rows, y = [], []
+        for t in range(first + 1, len(v)):
+            rows.append([v[t - 1], *[1.0] * constant, *[v[t - i] - v[t - i - 1] for i in range(1, k + 1)]])
+            y.append(v[t] - v[t - 1])
+        a, y = np.array(rows), np.array(y)
+        q, r = np.linalg.qr(a)
+        beta = np.linalg.solve(r, q.T @ y)
+        ssr = ((y - a @ beta) ** 2).sum()
+        return len(y) * np.log(ssr / len(y)) + 2 * a.shape[1], beta[0] / np.sqrt(ssr / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[0, 0])
+
+    rng, found = np.random.default_rng(5), set()
+    for n in (30, 83, 200):
+        e = rng.normal(size=n + 4)
+        v = np.zeros(n + 4)
+        for t in range(4, n + 4):
+            v[t] = 0.5 * v[t - 1] + 0.4 * v[t - 4] + e[t]
+        v = v[4:]
+        most = math.ceil(12 * (n / 100) ** 0.25)
+        for constant in (True, False):
+            top = min(most, n // 2 - constant - 1)
+            best = min(range(top + 1), key=lambda k: fit(v, k, constant, top)[0])
+            found.add(best)
+            assert pairs.adf_statistic(v, constant=constant) == pytest.approx(fit(v, best, constant, best)[1], rel=1e-6)
+    assert found - {1}
+
+
 def test_walk_forward_covers_the_calendar(spark):
     from sparkpanel.plans import pairs as plans
 
