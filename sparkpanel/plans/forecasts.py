@@ -25,6 +25,11 @@ def folds(df):
     return J.walk_forward_folds(df, 36, 12, 18)
 
 
+def prediction_folds(df):
+    """Folds that step by their validation window: each month after the first training window is predicted once."""
+    return J.walk_forward_folds(df, 36, 12, 12)
+
+
 @register("j1_train_test_split", f"""{PANEL}, t AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM panel WHERE date <= TIMESTAMP '1999-06-01')),
  s AS (SELECT date AS start FROM t WHERE back=12) SELECT 'train' AS part, count(*) AS n FROM panel WHERE date <= TIMESTAMP '1999-06-01' UNION ALL SELECT 'test', count(*) FROM panel, s WHERE date >= start""")
 def j1(spark, sf_dir):
@@ -103,12 +108,12 @@ def j8(spark, sf_dir):
 @register("j10_search")
 def j10(spark, sf_dir):
     df = frame(spark, sf_dir)
-    return J.search(df, folds(df), {n: J.model_pipeline(n, FEATURES, "y") for n in ("linear", "elastic", "tree")}, "y")
+    return J.search(df, prediction_folds(df), {n: J.model_pipeline(n, FEATURES, "y") for n in ("linear", "elastic", "tree")}, "y")
 
 
 def _predictions(spark, sf_dir):
     df = frame(spark, sf_dir)
-    return J.walk_forward_predict(df, folds(df), J.model_pipeline("linear", FEATURES, "y"), ["name", "date", "y"])
+    return J.walk_forward_predict(df, prediction_folds(df), J.model_pipeline("linear", FEATURES, "y"), ["name", "date", "y"])
 
 
 @register("j11_walk_forward_predict")

@@ -151,6 +151,15 @@ def test_folds_never_look_ahead(spark):
         forecast.train_test_split(df, -12)
 
 
+def test_predictions_cover_every_month_after_the_first_training(spark):
+    from sparkpanel.plans import forecasts
+
+    df = forecasts.frame(spark, DATA)
+    months = sorted(r.date for r in df.select("date").distinct().collect())
+    out = forecasts.j11(spark, DATA).groupBy("date").agg(F.countDistinct("fold").alias("n")).collect()
+    assert sorted(r.date for r in out) == months[36:] and {r.n for r in out} == {1}
+
+
 def test_asof_never_looks_ahead(spark):
     fact = spark.createDataFrame([("a", 1, "f1"), ("a", 5, "f2"), ("a", 7, "f3"), ("b", 9, "f4")], "k string, d int, id string")
     hist = spark.createDataFrame([("a", 5, 50), ("a", 6, 60), ("a", 6, 61), ("c", 1, 10)], "k string, e int, v int")
