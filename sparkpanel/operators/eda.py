@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..panel import ratio
+from .quantiles import percentiles
 
 
 def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -16,12 +17,14 @@ def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> Da
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, median, std, skew and kurtosis (sample-adjusted), min and max."""
     n = F.col("count").cast("double")
-    s = melt(df, columns).groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.stddev_samp("value").alias("std"),
+    long = melt(df, columns)
+    s = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
     skew = F.col("g1") * ratio(F.sqrt(n * (n - 1)), n - 2)
     kurtosis = ratio((n - 1) * ((n + 1) * F.col("g2") + 6), (n - 2) * (n - 3))
+    s = s.join(percentiles(long, ["column"], "value", [0.5]).select("column", F.col("q")[0].alias("median")), "column", "left")
     return s.select("column", "count", "mean", "median", "std", skew.alias("skew"), kurtosis.alias("kurtosis"), "min", "max")
 
 
@@ -41,10 +44,16 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     return long.join(span, "column").groupBy("column", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of each value of each column, null among them, most first."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return long.groupBy("column", "value").agg(F.count("*").alias("n")).orderBy("column", F.desc("n"), "value")
+
+
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and number of outliers."""
     long = melt(df, columns).filter("value is not null")
-    q = long.groupBy("column").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = percentiles(long, ["column"], "value", [0.25, 0.5, 0.75])
     q = q.select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     inside = (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     return long.join(q, "column").groupBy("column", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))
@@ -61,7 +70,7 @@ def analyze(df: DataFrame, columns: list[str], method: str = "std", distance: fl
     if method == "std":
         bound = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd")).select("column", (F.col("m") - distance * F.col("sd")).alias("lo"), (F.col("m") + distance * F.col("sd")).alias("hi"))
     else:
-        q = long.groupBy("column").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        q = percentiles(long, ["column"], "value", [0.25, 0.75])
         iqr = F.col("q")[1] - F.col("q")[0]
         bound = q.select("column", (F.col("q")[0] - distance * iqr).alias("lo"), (F.col("q")[1] + distance * iqr).alias("hi"))
     out = counts.join(bound, "column").groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("k")).otherwise(0)).alias("outlier"))
