@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..operators import enrich as N
 from ..operators import options as O
 from ..panel import ratio
 from .fixtures import CHAIN, KEYS, day, option_chain, r
@@ -13,26 +16,30 @@ ENRICHED = f"""{CHAIN}, o AS (SELECT *, opt_prc/nullif(prc,0) AS p_ratio, delta*
 
 
 def chain(spark, sf_dir):
-    return option_chain(spark, sf_dir).select(
-        "*", ratio("opt_prc", "prc").alias("p_ratio"), ratio(F.col("delta") * F.col("prc"), F.col("opt_prc")).alias("elasticity"), (0.2 - F.col("iv")).alias("rv_iv"), F.col("volume").alias("v_ratio")
-    )
+    return N.contract_ratios(option_chain(spark, sf_dir), realized=F.lit(0.2)).withColumn("v_ratio", F.col("volume"))
 
 
 PARTS = ("C", "P", "avg", "ratio", "spread1", "spread2")
 
 
-def _sql(signal: str, weight: str) -> str:
-    c, p = f"sum({signal}*abs({weight})) FILTER (cp_flag='C')", f"sum({signal}*abs({weight})) FILTER (cp_flag='P')"
+def _sql(signal: str, weight: str, scale: str, digits: int) -> str:
+    x = f"{signal}*{scale}" if scale else signal
+    c, p = f"sum({x}*abs({weight})) FILTER (cp_flag='C')", f"sum({x}*abs({weight})) FILTER (cp_flag='P')"
     wc, wp, w = f"sum(abs({weight})) FILTER (cp_flag='C')", f"sum(abs({weight})) FILTER (cp_flag='P')", f"sum(abs({weight}))"
     return f"""{ENRICHED}, g AS (SELECT date, name, {c}/nullif({wc},0) AS c, {p}/nullif({wp},0) AS p, (coalesce({c},0)+coalesce({p},0))/nullif({w},0) AS a, (coalesce({c},0)-coalesce({p},0))/nullif({w},0) AS s2
  FROM o GROUP BY date, name HAVING count(*) FILTER (cp_flag='C')>0 AND count(*) FILTER (cp_flag='P')>0)
- SELECT {KEYS}, round(c,6) AS "{signal}_C", round(p,6) AS "{signal}_P", round(a,6) AS {signal}_avg, round(c/nullif(p,0),6) AS {signal}_ratio, round(c-p,6) AS {signal}_spread1, round(s2,6) AS {signal}_spread2 FROM g"""
+ SELECT {KEYS}, round(c,6) AS "{signal}_C", round(p,6) AS "{signal}_P", round(a,6) AS {signal}_avg, round(c/nullif(p,0),{digits}) AS {signal}_ratio, round(c-p,6) AS {signal}_spread1, round(s2,6) AS {signal}_spread2 FROM g"""
+
 
+def _aggregate(key: str, signal: str, weight: str | None, annual: bool = False) -> None:
+    """``annual``: the signal is a monthly volatility, to be shown a year; the ratio, which has no unit, with more digits."""
+    digits = {p: 10 if annual and p == "ratio" else 6 for p in PARTS}
 
-def _aggregate(key: str, signal: str, weight: str | None) -> None:
-    @register(key, _sql(signal, weight or "1.0"))
+    @register(key, _sql(signal, weight or "1.0", "sqrt(12)" if annual else "", digits["ratio"]))
     def query(spark, sf_dir):
-        return O.aggregate(chain(spark, sf_dir), [signal], weight).select("name", day().alias("date"), *[r(f"{signal}_{p}").alias(f"{signal}_{p}") for p in PARTS])
+        df = chain(spark, sf_dir)
+        df = df.withColumn(signal, F.col(signal) * math.sqrt(12)) if annual else df
+        return O.aggregate(df, [signal], weight).select("name", day().alias("date"), *[r(f"{signal}_{p}", digits[p]).alias(f"{signal}_{p}") for p in PARTS])
 
 
 _aggregate("d1_option_aggregate", "iv", None)
@@ -42,8 +49,9 @@ _aggregate("d4_signed_volume", "volume", "delta")
 _aggregate("d5_moneyness", "ks", "volume")
 _aggregate("d6_expiry_days", "exdays", "volume")
 _aggregate("d7_elasticity", "elasticity", "volume")
-_aggregate("d8_implied_volatility", "iv", "volume")
-_aggregate("d10_rv_iv_spread", "rv_iv", "volume")
+# in other units, means of two-digit values by whole weights would often lie half-way at the sixth digit
+_aggregate("d8_implied_volatility", "iv", "volume", annual=True)
+_aggregate("d10_rv_iv_spread", "rv_iv", "volume", annual=True)
 
 
 @register("d9_iv_skew", f"""{ENRICHED}, g AS (SELECT date, name, ks<=1 AS low, sum(iv*volume) FILTER (cp_flag='C')/nullif(sum(volume) FILTER (cp_flag='C'),0) AS c, sum(iv*volume) FILTER (cp_flag='P')/nullif(sum(volume) FILTER (cp_flag='P'),0) AS p, sum(iv*volume)/nullif(sum(volume),0) AS a
@@ -107,6 +115,4 @@ def b14(spark, sf_dir):
 
 @register("b29_side_spread", f"""{ENRICHED}, g AS (SELECT date, name, sum(volume) FILTER (cp_flag='C') AS c, sum(volume) FILTER (cp_flag='P') AS p FROM o GROUP BY 1,2) SELECT {KEYS}, round(c+p,6) AS total, round((c+p)/nullif(c-p,0),6) AS spread FROM g WHERE c IS NOT NULL AND p IS NOT NULL""")
 def b29(spark, sf_dir):
-    side = lambda f: F.sum(F.when(F.col("cp_flag") == f, F.col("volume")))
-    g = chain(spark, sf_dir).groupBy("date", "name").agg(side("C").alias("c"), side("P").alias("p")).filter("c is not null and p is not null")
-    return g.select("name", day().alias("date"), r(F.col("c") + F.col("p")).alias("total"), r(ratio(F.col("c") + F.col("p"), F.col("c") - F.col("p"))).alias("spread"))
+    return N.side_spread(chain(spark, sf_dir), "volume").select("name", day().alias("date"), r("total").alias("total"), r("spread").alias("spread"))
