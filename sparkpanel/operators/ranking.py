@@ -86,13 +86,30 @@ def sample_rows(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).filter(share < n / F.col("__total")).drop("__total")
 
 
-def assign_slots(accounts: DataFrame, ranked: DataFrame, per_position: float) -> DataFrame:
-    """accounts (account, value) get floor(value / per_position) slots; ranked (name, rank) fill them in order.
+#: Ranges that a whole table's order is cut into for running totals.
+RANGES = 256
+
+
+def running_total(df: DataFrame, key: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows up to each, in the given order; ``key`` is its leading number.
 
-    Accounts are few: their running slot count is one small window.
+    No task takes the whole table: rows are cut into ranges of the key by
+    approximate quantiles, ranges are summed (RANGES rows at most), and a window
+    within each range adds what came before it.
     """
-    slots = F.floor(F.col("value") / per_position)
-    w = Window.partitionBy(F.lit(1)).orderBy("account")
-    upto = accounts.withColumn("slots", slots).withColumn("__to", F.sum("slots").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = upto.withColumn("__from", F.col("__to") - F.col("slots"))
-    return ranked.join(upto, (F.col("rank") > F.col("__from")) & (F.col("rank") <= F.col("__to"))).select("account", "name", "rank")
+    keyed = df.withColumns({"__key": key.cast("double"), "__value": value})
+    cuts = keyed.agg(F.percentile_approx("__key", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10 * RANGES).alias("__cuts"))
+    ranged = keyed.crossJoin(F.broadcast(cuts)).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__key"))), F.lit(0))).drop("__cuts")  # one row
+    sums = ranged.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    before = sums.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__before"))
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.join(F.broadcast(before), "__range")  # RANGES rows
+    return within.withColumn(name, F.sum("__value").over(w) + F.col("__before")).drop("__key", "__value", "__range", "__before")
+
+
+def assign_slots(accounts: DataFrame, ranked: DataFrame, per_position: float) -> DataFrame:
+    """accounts (account, value) get floor(value / per_position) slots in their order; ranked (name, rank) fill them by rank."""
+    slots = accounts.withColumn("slots", F.floor(F.col("value") / per_position)).filter("slots > 0")
+    upto = running_total(slots, F.col("account"), [F.col("account")], F.col("slots"), "__to")
+    each = upto.select("account", F.explode(F.sequence(F.col("__to") - F.col("slots") + 1, F.col("__to"))).alias("rank"))
+    return ranked.join(each, "rank").select("account", "name", "rank")

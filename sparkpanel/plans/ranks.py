@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import enrich as N
 from ..operators import ranking as K
 from ..panel import ratio
-from .fixtures import KEYS, PANEL, AX, day, r, stock_panel, table
+from .fixtures import KEYS, PANEL, day, r, stock_panel, table
 from .registry import register
 
 
@@ -55,8 +56,7 @@ def f8(spark, sf_dir):
 
 @register("f13_min_history", f"{PANEL} SELECT {KEYS} FROM panel QUALIFY count(*) OVER (PARTITION BY name) >= 82")
 def f13(spark, sf_dir):
-    df = stock_panel(spark, sf_dir).withColumn("__n", F.count("*").over(AX.entity()))
-    return df.filter("__n >= 82").select("name", day().alias("date"))
+    return N.min_history(stock_panel(spark, sf_dir), 82, ["name"]).select("name", day().alias("date"))
 
 
 @register("f15_every_nth", f"{PANEL} SELECT {KEYS} FROM panel QUALIFY (row_number() OVER (PARTITION BY name ORDER BY panel.date)-1) % 4 = 0")
@@ -73,45 +73,42 @@ def f16(spark, sf_dir):
  t AS (SELECT account, slots, sum(slots) OVER (ORDER BY account ROWS UNBOUNDED PRECEDING) AS upto FROM s), p AS (SELECT p_partkey AS name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
  SELECT account, p.name, p.rank FROM p JOIN t ON p.rank > upto-slots AND p.rank <= upto""")
 def f18(spark, sf_dir):
-    from pyspark.sql import Window
-
     accounts = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("value"))
-    rank = F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey"))
-    ranked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), rank.cast("long").alias("rank"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), "p_retailprice")
+    ranked = K.running_total(parts, -F.col("p_retailprice"), [F.desc("p_retailprice"), F.col("name")], F.lit(1).cast("long"), "rank")
     return K.assign_slots(accounts, ranked, 5000.0)
 
 
 @register("b11_illiquidity", f"{PANEL} SELECT {KEYS}, round(abs(ret)/nullif(vol_d,0)*1e6,6) AS illiq FROM panel")
 def b11(spark, sf_dir):
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(ratio(F.abs("ret"), F.col("vol_d")) * 1e6).alias("illiq"))
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(N.illiquidity("ret", "vol_d") * 1e6).alias("illiq"))
 
 
 @register("b12_turnover", f"{PANEL} SELECT {KEYS}, round(vol/nullif(shrout,0),6) AS turnover FROM panel")
 def b12(spark, sf_dir):
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(ratio("vol", "shrout")).alias("turnover"))
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(N.turnover("vol", "shrout")).alias("turnover"))
 
 
 @register("b13_spread", f"{PANEL} SELECT {KEYS}, round(ask/nullif(bid,0)-1,6) AS spread FROM panel")
 def b13(spark, sf_dir):
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(ratio("ask", "bid") - 1).alias("spread"))
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(N.quote_spread("bid", "ask")).alias("spread"))
 
 
 @register("b15_average_abs_return", f"{PANEL} SELECT {KEYS}, round((abs(ret)+abs(ask/prc-1)+abs(bid/prc-1))/3,6) AS avg_abs FROM panel")
 def b15(spark, sf_dir):
-    parts = F.abs("ret") + F.abs(ratio("ask", "prc") - 1) + F.abs(ratio("bid", "prc") - 1)
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(parts / 3).alias("avg_abs"))
+    mean = N.average_absolute("ret", ratio("ask", "prc") - 1, ratio("bid", "prc") - 1)
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(mean).alias("avg_abs"))
 
 
 @register("b16_spread_pct", f"{PANEL} SELECT {KEYS}, round((ask-bid)/nullif((ask+bid)/2,0),6) AS spread_pct FROM panel")
 def b16(spark, sf_dir):
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(ratio(F.col("ask") - F.col("bid"), (F.col("ask") + F.col("bid")) / 2)).alias("spread_pct"))
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(N.spread_pct("bid", "ask")).alias("spread_pct"))
 
 
 @register("b20_threshold_position", f"""{PANEL} SELECT {KEYS}, CASE WHEN ret>0.1 THEN 1 WHEN ret < -0.1 THEN -1 ELSE 0 END AS position,
  round(CASE WHEN ret>0.1 THEN 1 WHEN ret < -0.1 THEN -1 ELSE 0 END * lead(ret) OVER (PARTITION BY name ORDER BY panel.date),6) AS r FROM panel""")
 def b20(spark, sf_dir):
-    position = F.when(F.col("ret") > 0.1, 1).when(F.col("ret") < -0.1, -1).otherwise(0)
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), position.alias("position"), r(position * F.lead("ret").over(AX.history())).alias("r"))
+    return stock_panel(spark, sf_dir).select("name", day().alias("date"), N.threshold_position("ret", 0.1).alias("position"), r(N.forward_position_return("ret", 0.1)).alias("r"))
 
 
 @register("b30_liquidity_screen", f"{PANEL}, z AS (SELECT *, (vol-avg(vol) OVER (PARTITION BY date))/nullif(stddev_samp(vol) OVER (PARTITION BY date),0) AS z FROM panel) SELECT {KEYS} FROM z WHERE z > 0 AND prc > 1000 AND vol_d > 100000 AND ret IS NOT NULL")
@@ -119,4 +116,4 @@ def b30(spark, sf_dir):
     from ..operators.rolling import section_zscore
 
     df = stock_panel(spark, sf_dir).withColumn("z", section_zscore("vol"))
-    return df.filter((F.col("z") > 0) & (F.col("prc") > 1000) & (F.col("vol_d") > 100_000) & F.col("ret").isNotNull()).select("name", day().alias("date"))
+    return N.liquidity_screen(df, {"z": 0, "prc": 1000, "vol_d": 100_000}, ("ret",)).select("name", day().alias("date"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import last_row, long_short_targets
+from ..operators.ranking import last_row
 from ..operators.rolling import comovement, rolling_mean, rolling_zscore
 from ..panel import Axis, ratio
 
@@ -34,8 +34,12 @@ def scheduled_signal(bars: DataFrame, r: str, market: str, n: int, money: float,
     df = bars.withColumn("__z", rolling_zscore(r, -11, 0, ax)).withColumn("__c", comovement(r, market, -5, 0, "down", ax))
     df = df.withColumn("__c", rolling_mean("__c", -2, 0, ax)).withColumn("__cz", rolling_zscore("__c", -11, 0, ax))
     latest = last_row(df.withColumn("signal", F.coalesce("__z", F.lit(0.0)) + F.coalesce("__cz", F.lit(0.0))), ax)
-    # one cross-section: all entities at their latest bar
-    return long_short_targets(latest.withColumn("__t", F.lit(0)), "signal", n, money, Axis("__t", ax.name)).select(ax.name, ax.time, "signal", "target")
+    # one cross-section: all entities at their latest bar; only its n lowest and n highest have a target
+    keyed = latest.withColumn("__s", F.round("signal", 9)).filter("signal is not null")
+    low = keyed.orderBy("__s", ax.name).limit(n).select(ax.name, F.lit(-money / n).alias("__low"))
+    high = keyed.orderBy(F.desc("__s"), F.desc(ax.name)).limit(n).select(ax.name, F.lit(money / n).alias("__high"))
+    met = latest.join(F.broadcast(low), ax.name, "left").join(F.broadcast(high), ax.name, "left")  # n rows each
+    return met.select(ax.name, ax.time, "signal", F.coalesce("__low", "__high", F.lit(0.0)).alias("target"))
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
