@@ -14,39 +14,47 @@ from ..panel import ratio
 KEYS = ["x", "y"]
 
 
-def rows(start: int | None, end: int = 0):
-    return Window.partitionBy(*KEYS).orderBy("date").rowsBetween(Window.unboundedPreceding if start is None else start, end)
+def rows(start: int | None, end: int = 0, keys: list[str] = KEYS):
+    return history(keys).rowsBetween(Window.unboundedPreceding if start is None else start, end)
 
 
-def history():
-    return Window.partitionBy(*KEYS).orderBy("date")
+def history(keys: list[str] = KEYS):
+    return Window.partitionBy(*keys).orderBy("date")
 
 
-def hedge_ratio(method: str, window: int = 12) -> Column:
-    """Constant 1 or the slope of p_y on p_x in full windows."""
+def hedge_ratio(method: str, window: int = 12, constant: bool = True, keys: list[str] = KEYS) -> Column:
+    """Constant 1, or the slope of p_y on p_x in full windows, with or without a constant."""
     if method == "1":
         return F.lit(1.0)
-    w = rows(-window + 1)
-    return F.when(F.count("*").over(w) >= window, F.regr_slope("p_y", "p_x").over(w))
+    w = rows(-window + 1, keys=keys)
+    slope = F.regr_slope("p_y", "p_x").over(w) if constant else ratio(F.sum(F.col("p_y") * F.col("p_x")).over(w), F.sum(F.col("p_x") * F.col("p_x")).over(w))
+    return F.when(F.count("*").over(w) >= window, slope)
 
 
-def kalman_hedge(df: DataFrame, state_cov: float = 1e-4, noise: float = 1e-2) -> DataFrame:
-    """Hedge ratio by a Kalman filter with a random-walk state: sequential within a pair, parallel over pairs."""
+def kalman_hedge(df: DataFrame, state_cov: float = 1e-4, noise: float = 1e-2, constant: bool = False, state_mean: float = 0.0, drift: float | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Hedge ratio by a Kalman filter with a random-walk state: sequential within a pair, parallel over pairs.
+
+    The state is the ratio, with a constant (constant, ratio); it starts at
+    state_mean with the covariance state_cov in every cell and moves by drift
+    (state_cov where none is given) a step.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x, y = pdf["p_x"].to_numpy(), pdf["p_y"].to_numpy()
-        state, cov, out = 0.0, state_cov, np.empty(len(pdf))
-        for i in range(len(pdf)):
-            cov += state_cov if i else 0.0
-            gain = cov * x[i] / (x[i] * cov * x[i] + noise)
-            state += gain * (y[i] - x[i] * state)
-            cov -= gain * x[i] * cov
-            out[i] = state
+        y, n = pdf["p_y"].to_numpy(), 1 + constant
+        x = np.column_stack([*[np.ones(len(pdf))] * constant, pdf["p_x"].to_numpy()])
+        state, cov, out = np.full(n, state_mean), np.full((n, n), state_cov), np.empty(len(pdf))
+        step = np.eye(n) * (state_cov if drift is None else drift)
+        for i, row in enumerate(x):
+            cov = cov + step * (i > 0)
+            gain = cov @ row / (row @ cov @ row + noise)
+            state = state + gain * (y[i] - row @ state)
+            cov = cov - np.outer(gain, row) @ cov
+            out[i] = state[-1]
         return pdf.assign(hr=out)
 
     schema = df.withColumn("hr", F.lit(0.0)).schema
-    return df.groupBy(*KEYS).applyInPandas(run, schema)
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def spread(position: float | None = None, digits: int = 0) -> Column:
@@ -57,38 +65,59 @@ def spread(position: float | None = None, digits: int = 0) -> Column:
     return F.col("p_y") - ratio(F.bround(n * F.col("hr"), digits), n) * F.col("p_x")
 
 
-def spread_zscore(window: int = 12) -> Column:
-    w = rows(-window + 1)
+def spread_zscore(window: int = 12, keys: list[str] = KEYS) -> Column:
+    w = rows(-window + 1, keys=keys)
     return F.when(F.count("spread").over(w) >= window, ratio(F.col("spread") - F.avg("spread").over(w), F.stddev_samp("spread").over(w)))
 
 
-def positions(df: DataFrame, enter: float, leave: float) -> DataFrame:
+def spread_ecdf(window: int = 12, keys: list[str] = KEYS) -> Column:
+    """Share of the full window's spreads that don't exceed the present one."""
+    w = rows(-window + 1, keys=keys)
+    seen = F.collect_list("spread").over(w)
+    return F.when(F.count("spread").over(w) >= window, F.size(F.filter(seen, lambda v: v <= F.col("spread"))) / F.lit(float(window)))
+
+
+def positions(df: DataFrame, enter: float, leave: float, signal: str = "zscore", keys: list[str] = KEYS) -> DataFrame:
     """long and short legs of the spread by threshold crossings, carried forward; 0 before the first.
 
-    The later assignment of the same row wins: long closes on a short entry or
-    its exit, then opens; short closes on a long entry or its exit, then opens.
+    A z-score enters long below -enter and short above enter; an ecdf signal
+    enters long below enter and short above 1 - enter. The later assignment of
+    the same row wins: long closes on a short entry or its exit, then opens;
+    short closes on a long entry or its exit, then opens.
     """
-    s, before = F.col("signal"), F.lag("signal").over(history())
-    df = df.withColumn("__up", F.coalesce((s > enter) & (before <= enter), F.lit(False))).withColumn("__down", F.coalesce((s < -enter) & (before >= -enter), F.lit(False)))
-    df = df.withColumn("__end_long", F.coalesce((s > -leave) & (before <= -leave), F.lit(False))).withColumn("__end_short", F.coalesce((s < leave) & (before >= leave), F.lit(False)))
+    s, before = F.col("signal"), F.lag("signal").over(history(keys))
+    low, high = ((-enter, -leave), (enter, leave)) if signal == "zscore" else ((enter, leave), (1 - enter, 1 - leave))
+    crossed = lambda up, level: F.coalesce((s > level) & (before <= level) if up else (s < level) & (before >= level), F.lit(False))
+    df = df.withColumns({"__up": crossed(True, high[0]), "__down": crossed(False, low[0]), "__end_long": crossed(True, low[1]), "__end_short": crossed(False, high[1])})
     long = F.when(F.col("__down"), 1).when(F.col("__end_long") | F.col("__up"), 0)
     short = F.when(F.col("__up"), -1).when(F.col("__end_short") | F.col("__down"), 0)
-    df = df.withColumn("__l", long).withColumn("__s", short)
-    w = rows(None)
-    out = df.withColumn("long", F.coalesce(F.last("__l", ignorenulls=True).over(w), F.lit(0))).withColumn("short", F.coalesce(F.last("__s", ignorenulls=True).over(w), F.lit(0)))
+    df = df.withColumns({"__l": long, "__s": short})
+    w = rows(None, keys=keys)
+    out = df.withColumns({"long": F.coalesce(F.last("__l", ignorenulls=True).over(w), F.lit(0)), "short": F.coalesce(F.last("__s", ignorenulls=True).over(w), F.lit(0))})
     return out.withColumn("position", F.col("long") + F.col("short")).drop("__up", "__down", "__end_long", "__end_short", "__l", "__s")
 
 
-def pair_return(df: DataFrame) -> DataFrame:
-    """Spread change at the ratio of entry over the price of the bought leg, in the position held before; 0 when flat."""
-    held = F.coalesce(F.lag("position").over(history()), F.lit(0))
-    df = df.withColumn("__held", held)
+def pair_return(df: DataFrame, rebalance: bool = False, keys: list[str] = KEYS) -> DataFrame:
+    """Spread change over the price of the bought leg, in the position held before; 0 when flat.
+
+    The ratio is that of entry or, with ``rebalance``, that of the row before.
+    """
+    h = history(keys)
+    df = df.withColumn("__held", F.coalesce(F.lag("position").over(h), F.lit(0)))
     fresh = F.when((F.col("position") != 0) & (F.col("position") != F.col("__held")), F.col("hr"))
-    df = df.withColumn("__entry", F.last(fresh, ignorenulls=True).over(rows(None, -1)))
-    d = lambda c: F.col(c) - F.lag(c).over(history())
-    move = d("p_y") - F.col("__entry") * d("p_x")
-    bought = F.when(F.col("__held") > 0, F.lag("p_y").over(history())).otherwise(F.lag("p_x").over(history()) * F.abs("__entry"))
-    return df.withColumn("r", F.when(F.col("__held") == 0, 0.0).otherwise(F.coalesce(ratio(F.col("__held") * move, bought), F.lit(0.0)))).drop("__held", "__entry")
+    df = df.withColumn("__ratio", F.lag("hr").over(h) if rebalance else F.last(fresh, ignorenulls=True).over(rows(None, -1, keys)))
+    d = lambda c: F.col(c) - F.lag(c).over(h)
+    move = d("p_y") - F.col("__ratio") * d("p_x")
+    bought = F.when(F.col("__held") > 0, F.lag("p_y").over(h)).otherwise(F.lag("p_x").over(h) * F.abs("__ratio"))
+    return df.withColumn("r", F.when(F.col("__held") == 0, 0.0).otherwise(F.coalesce(ratio(F.col("__held") * move, bought), F.lit(0.0)))).drop("__held", "__ratio")
+
+
+def backtest(df: DataFrame, hedge: str = "OLS", window: int = 12, constant: bool = True, signal: str = "zscore", signal_window: int = 12, enter: float = 1.5, leave: float = 0.5, rebalance: bool = False, keys: list[str] = KEYS) -> DataFrame:
+    """Pair rows (p_x, p_y) with hr, spread, signal, positions and r; hedge is 1, OLS or KF, signal zscore or ecdf."""
+    df = kalman_hedge(df, constant=constant, keys=keys) if hedge == "KF" else df.withColumn("hr", hedge_ratio(hedge, window, constant, keys))
+    df = df.withColumn("spread", spread())
+    made = spread_zscore(signal_window, keys) if signal == "zscore" else spread_ecdf(signal_window, keys)
+    return pair_return(positions(df.withColumn("signal", made), enter, leave, signal, keys), rebalance, keys)
 
 
 def pair_stats(df: DataFrame, per_year: float = 12.0, keys: list[str] = KEYS) -> DataFrame:
@@ -199,16 +228,28 @@ def walk_forward_windows(df: DataFrame, look_back: int, look_ahead: int) -> Data
     return each.select("window", month(0).alias("start"), month(look_back).alias("cut"), month(look_back + look_ahead).alias("stop"), "last").filter("cut <= last").drop("last")
 
 
-def walk_forward(returns: DataFrame, look_back: int, look_ahead: int, n: int, weights: dict[str, float]) -> DataFrame:
-    """window, date and mean return of the n pairs that score best in the months before each window."""
-    windows = walk_forward_windows(returns, look_back, look_ahead)  # one row for each window of the calendar
-    keyed = returns.join(F.broadcast(windows), (F.col("date") >= F.col("start")) & (F.col("date") < F.col("stop")))
+def walk_forward_pairs(prices: DataFrame, look_back: int, look_ahead: int, n: int, weights: dict[str, float], warm_up: int = 0, **options) -> DataFrame:
+    """window, date, mean return and number of pairs of the n pairs that score best in the months before each window.
+
+    prices are pair rows (x, y, date, p_x, p_y). The backtest (``options`` of
+    ``backtest``) starts anew in each training window, and in each trading window
+    ``warm_up`` months before its cut, so nothing carries over from one window to
+    the next. All windows and pairs are one job, keyed by window and pair.
+    """
+    windows = walk_forward_windows(prices, look_back, look_ahead)  # one row for each window of the calendar
     keys = ["window", *KEYS]
-    train = keyed.filter(F.col("date") < F.col("cut"))
+    begin = F.add_months("cut", -warm_up).cast("timestamp")
+
+    def within(first: Column, last: Column) -> DataFrame:
+        keyed = prices.join(F.broadcast(windows), (F.col("date") >= first) & (F.col("date") < last))
+        return backtest(keyed, keys=keys, **options)
+
+    train = within(F.col("start"), F.col("cut"))
     stats = pair_stats(train, keys=keys).join(adf_of(train.select(*keys, "date", "spread"), "spread", keys), keys)
     order = Window.partitionBy("window").orderBy(F.desc_nulls_last(F.when(~F.isnan("score"), F.col("score"))), "x", "y")
     best = score(stats, weights, ["window"]).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).select(*keys)
-    return keyed.filter(F.col("date") >= F.col("cut")).join(best, keys, "left_semi").groupBy("window", "date").agg(F.avg("r").alias("r"))
+    trade = within(begin, F.col("stop")).filter(F.col("date") >= F.col("cut"))
+    return trade.join(best, keys, "left_semi").groupBy("window", "date").agg(F.avg("r").alias("r"), F.count("*").alias("n"))
 
 
 def greedy_disjoint(scored: DataFrame, n: int) -> DataFrame:

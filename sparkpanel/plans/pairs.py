@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import ensure_checkpoints
 from ..operators import etl, pairs as P
+from ..panel import ratio
 from .fixtures import BRANDS, day, pair_prices, r
 from .registry import register
 
@@ -53,6 +54,16 @@ def i2_kalman(spark, sf_dir):
     return P.kalman_hedge(panel(spark, sf_dir)).select("x", "y", "date", "hr")
 
 
+@register("i2_hedge_ratio_kalman_constant")
+def i2_kalman_constant(spark, sf_dir):
+    return P.kalman_hedge(panel(spark, sf_dir), constant=True).select("x", "y", "date", "hr")
+
+
+@register("i2_hedge_ratio_no_constant", f"{PAIRS} SELECT {XYD}, CASE WHEN count(*) {W12} >= 12 THEN round(sum(p_y*p_x) {W12}/nullif(sum(p_x*p_x) {W12},0),6) END AS hr FROM pp")
+def i2_no_constant(spark, sf_dir):
+    return panel(spark, sf_dir).withColumn("hr", P.hedge_ratio("OLS", constant=False)).select("x", "y", day().alias("date"), r("hr").alias("hr"))
+
+
 @register("i3_spread", f"{PAIRS}, n AS (SELECT *, round_even(1000000/nullif(p_y,0),0) AS n FROM h) SELECT {XYD}, round(p_y-hr*p_x,4) AS spread, round(p_y-round_even(n*hr,0)/nullif(n,0)*p_x,4) AS spread_shares FROM n")
 def i3(spark, sf_dir):
     return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r("spread", 4).alias("spread"), r(P.spread(1_000_000.0), 4).alias("spread_shares"))
@@ -63,6 +74,11 @@ def i4(spark, sf_dir):
     return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r(P.spread_zscore()).alias("signal"))
 
 
+@register("i4_spread_ecdf", f"{PAIRS}, g AS (SELECT *, list(spread) {W12} AS seen, count(spread) {W12} AS n FROM s) SELECT {XYD}, CASE WHEN n >= 12 THEN round(len(list_filter(seen, lambda v: v <= spread))/12.0,6) END AS signal FROM g")
+def i4_ecdf(spark, sf_dir):
+    return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r(P.spread_ecdf()).alias("signal"))
+
+
 @register("i5_positions", f"{POSITION} SELECT {XYD}, long::INTEGER AS long, short::INTEGER AS short FROM q")
 def i5(spark, sf_dir):
     return returns(spark, sf_dir).select("x", "y", day().alias("date"), F.col("long").cast("int").alias("long"), F.col("short").cast("int").alias("short"))
@@ -73,6 +89,12 @@ def i6(spark, sf_dir):
     return returns(spark, sf_dir).select("x", "y", day().alias("date"), r("r").alias("r"))
 
 
+@register("i6_pair_return_rebalanced", f"""{POSITION}, t AS (SELECT *, coalesce(lag(position) {H},0) AS held, lag(hr) {H} AS k FROM q)
+ SELECT {XYD}, round(CASE WHEN held=0 THEN 0.0::DOUBLE ELSE coalesce(held*((p_y-lag(p_y) {H})-k*(p_x-lag(p_x) {H}))/nullif(CASE WHEN held>0 THEN lag(p_y) {H} ELSE lag(p_x) {H}*abs(k) END,0),0) END,4) AS r FROM t""")
+def i6_rebalanced(spark, sf_dir):
+    return P.backtest(panel(spark, sf_dir), rebalance=True).select("x", "y", day().alias("date"), r("r", 4).alias("r"))
+
+
 @register("i7_pair_stats", f"{STATS} SELECT x, y, round(sharpe,6) AS sharpe, round(cumr,6) AS cumr FROM st")
 def i7(spark, sf_dir):
     return P.pair_stats(returns(spark, sf_dir)).select("x", "y", r("sharpe").alias("sharpe"), r("cumr").alias("cumr"))
@@ -122,10 +144,40 @@ def i12(spark, sf_dir):
     return P.half_life(spreads(spark, sf_dir))
 
 
+#: All windows of the calendar, and SQL of a backtest that starts anew in each.
+WINDOWS = """w AS (SELECT k AS win, date_trunc('month', lo) + to_months((12*k)::INTEGER) AS s, date_trunc('month', lo) + to_months((12*k+36)::INTEGER) AS cut, date_trunc('month', lo) + to_months((12*k+48)::INTEGER) AS stop
+ FROM (SELECT min(date) AS lo, max(date) AS hi FROM pp), range(0, 200) t(k) WHERE date_trunc('month', lo) + to_months((12*k+36)::INTEGER) <= hi)"""
+
+
+def _backtest_sql(name: str, source: str) -> str:
+    """Rows of ``source`` (win, x, y, date, p_x, p_y) with their return, as the chain of the pairs queries."""
+    h, cum = "OVER (PARTITION BY win, x, y ORDER BY date)", "OVER (PARTITION BY win, x, y ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    w = "OVER (PARTITION BY win, x, y ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+    last = "OVER (PARTITION BY win, x, y ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name}1 AS (SELECT *, CASE WHEN count(*) {w} >= 12 THEN regr_slope(p_y, p_x) {w} END AS hr FROM {source}), {name}2 AS (SELECT *, p_y-hr*p_x AS spread FROM {name}1),
+ {name}3 AS (SELECT *, CASE WHEN count(spread) {w} >= 12 THEN (spread-avg(spread) {w})/nullif(stddev_samp(spread) {w},0) END AS signal FROM {name}2), {name}4 AS (SELECT *, lag(signal) {h} AS before FROM {name}3),
+ {name}5 AS (SELECT *, coalesce(signal > 1.5 AND before <= 1.5, false) AS up, coalesce(signal < -1.5 AND before >= -1.5, false) AS down, coalesce(signal > -0.5 AND before <= -0.5, false) AS end_long, coalesce(signal < 0.5 AND before >= 0.5, false) AS end_short FROM {name}4),
+ {name}6 AS (SELECT *, CASE WHEN down THEN 1 WHEN end_long OR up THEN 0 END AS l, CASE WHEN up THEN -1 WHEN end_short OR down THEN 0 END AS sh FROM {name}5),
+ {name}7 AS (SELECT *, coalesce(last_value(l IGNORE NULLS) {cum},0)+coalesce(last_value(sh IGNORE NULLS) {cum},0) AS position FROM {name}6), {name}8 AS (SELECT *, coalesce(lag(position) {h},0) AS held FROM {name}7),
+ {name}9 AS (SELECT *, last_value(CASE WHEN position<>0 AND position<>held THEN hr END IGNORE NULLS) {last} AS entry FROM {name}8),
+ {name} AS (SELECT *, CASE WHEN held=0 THEN 0.0::DOUBLE ELSE coalesce(held*((p_y-lag(p_y) {h})-entry*(p_x-lag(p_x) {h}))/nullif(CASE WHEN held>0 THEN lag(p_y) {h} ELSE lag(p_x) {h}*abs(entry) END,0),0) END AS r FROM {name}9)"""
+
+
+WALK = f"""{PAIRS}, {WINDOWS}, tr0 AS (SELECT win, x, y, date, p_x, p_y FROM pp JOIN w ON date >= s AND date < cut), {_backtest_sql("tr", "tr0")},
+ td0 AS (SELECT win, cut, x, y, date, p_x, p_y FROM pp JOIN w ON date >= cut - INTERVAL 24 MONTH AND date < stop), {_backtest_sql("td", "td0")}"""
+
+
 @register("i13_walk_forward_pairs")
 def i13(spark, sf_dir):
     """Train on 36 months, take the ten best pairs by p-value and Sharpe ratio, trade them for 12 months; all windows in one plan."""
-    return P.walk_forward(returns(spark, sf_dir), 36, 12, 10, {"p": -0.5, "sharpe": 0.5})
+    return P.walk_forward_pairs(panel(spark, sf_dir), 36, 12, 10, {"p": -0.5, "sharpe": 0.5}, warm_up=24)
+
+
+@register("i13_walk_forward_sharpe", f"""{WALK}, st AS (SELECT win, x, y, avg(r)/nullif(stddev_samp(r),0)*sqrt(12) AS sharpe FROM tr GROUP BY ALL), b AS (SELECT win, x, y FROM st QUALIFY row_number() OVER (PARTITION BY win ORDER BY round(sharpe,9) DESC NULLS LAST, x, y) <= 10)
+ SELECT win::INTEGER AS "window", strftime(date,'%Y-%m-%d') AS date, round(avg(r),6) AS r, count(*) AS n FROM td JOIN b USING (win, x, y) WHERE date >= cut GROUP BY 1,2""")
+def i13_sharpe(spark, sf_dir):
+    """The same by the Sharpe ratio alone, which SQL can check."""
+    return P.walk_forward_pairs(panel(spark, sf_dir), 36, 12, 10, {"sharpe": 1.0}, warm_up=24).select("window", day().alias("date"), r("r").alias("r"), "n")
 
 
 @register("i14_stock_universe", f"{BRANDS}, f AS (SELECT name FROM prices GROUP BY 1 HAVING count(*)=(SELECT count(DISTINCT date) FROM prices)) SELECT DISTINCT name FROM f")
@@ -137,6 +189,6 @@ def i14(spark, sf_dir):
  SELECT round(regr_slope(s2,s1),6) AS slope, round(regr_intercept(s2,s1),6) AS intercept, round(regr_r2(s2,s1),6) AS r2 FROM fa JOIN fb USING (x,y)""")
 def i15(spark, sf_dir):
     out, cut = returns(spark, sf_dir), F.lit("1998-07-01").cast("timestamp")
-    part = lambda c, n: out.filter(c).groupBy("x", "y").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias(n))
-    both = part(F.col("date") < cut, "s1").join(part(F.col("date") >= cut, "s2"), ["x", "y"])
+    sharpe = lambda c: ratio(F.avg(F.when(c, F.col("r"))), F.stddev_samp(F.when(c, F.col("r"))))
+    both = out.groupBy("x", "y").agg(sharpe(F.col("date") < cut).alias("s1"), sharpe(F.col("date") >= cut).alias("s2"))
     return both.agg(r(F.regr_slope("s2", "s1")).alias("slope"), r(F.regr_intercept("s2", "s1")).alias("intercept"), r(F.regr_r2("s2", "s1")).alias("r2"))
