@@ -43,12 +43,13 @@ def sort_portfolios(df: DataFrame, signal: str, r: str, n: int, weight: str | No
                     dependent: bool = False, shift: int = 1, covariates: list[str] | None = None, ax: Axis = AX) -> DataFrame:
     """Single, independent or dependent double sort with long-short rows and returns ``shift`` times later (port_r).
 
-    Rows without a signal are dropped first. Double sorts carry cond_rank.
+    Rows without a signal or condition (null or NaN) are dropped first. Double sorts carry cond_rank.
     """
-    clean = df.filter(F.col(signal).isNotNull() & ~F.isnan(F.col(signal).cast("double")))
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    clean = df.filter(known(signal))
     by = []
     if condition:
-        clean = clean.filter(F.col(condition).isNotNull()).withColumn("cond_rank", ntile_rank(condition, n_condition, ax=ax))
+        clean = clean.filter(known(condition)).withColumn("cond_rank", ntile_rank(condition, n_condition, ax=ax))
         by = ["cond_rank"]
     ranked = clean.withColumn("sig_rank", ntile_rank(signal, n, *(by if dependent else []), ax=ax))
     ports = aggregate(ranked, [ax.time, "sig_rank", *by], r, weight, covariates, ax)
@@ -61,15 +62,23 @@ def trading_cost(n_assets, turnover: float, commission: float, position) -> Colu
     return ratio(2 * F.col(n_assets) * turnover * commission, F.col(position))
 
 
-def sort_return(ports: DataFrame, days: int = 1, per_year: float = 252.0, r: str = "port_r", keys: tuple[str, ...] = ("sig_rank",), ax: Axis = AX) -> DataFrame:
-    """Per rank: mean, t statistic, p-value, annual Sharpe ratio and return, and mean number of assets, of every ``days``-th row."""
-    rows = every_nth(ports.filter(F.col(r).isNotNull()), list(keys), ax.time, days)
-    stats = rows.groupBy(*keys).agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.count(r).alias("n"), F.avg("n_assets").alias("n_assets"))
+def sort_return(ports: DataFrame, days: int = 1, per_year: float = 252.0, r: str = "port_r", keys: tuple[str, ...] = ("sig_rank",), average_over: str | None = None, covariates: tuple[str, ...] = (), cost: str | None = None, ax: Axis = AX) -> DataFrame:
+    """Per rank: mean, t statistic, p-value, annual Sharpe ratio and return, and means of the number of assets and covariates, of every ``days``-th row.
+
+    ``average_over``, one of the keys (the second rank), is averaged out at each
+    time first; ``cost`` is a column that the return is taken net of.
+    """
+    rows = ports.filter(F.col(r).isNotNull()).withColumn("__r", F.col(r) - F.col(cost) if cost else F.col(r))
+    if average_over:
+        keys = tuple(k for k in keys if k != average_over)
+        rows = rows.groupBy(ax.time, *keys).agg(*[F.avg(c).alias(c) for c in ("__r", "n_assets", *covariates)])
+    rows = every_nth(rows, list(keys), ax.time, days)
+    stats = rows.groupBy(*keys).agg(F.avg("__r").alias("mean"), F.stddev_samp("__r").alias("std"), F.count("__r").alias("n"), F.avg("n_assets").alias("n_assets"), *[F.avg(c).alias(f"{c}_mean") for c in covariates])
     scale = per_year / days
     t = ratio(F.col("mean") * F.sqrt("n"), F.col("std"))
     return stats.select(
         *keys, "mean", t.alias("t"), t_pvalue(t, F.col("n") - 1).alias("p"), (ratio("mean", "std") * math.sqrt(scale)).alias("sharpe"),
-        (F.pow(1 + F.col("mean"), scale) - 1).alias("annual"), "n", "n_assets",
+        (F.pow(1 + F.col("mean"), scale) - 1).alias("annual"), "n", "n_assets", *[f"{c}_mean" for c in covariates],
     )
 
 
@@ -159,20 +168,26 @@ def wealth_curve(df: DataFrame, keys: list[str], r: str = "r", ax: Axis = AX) ->
 def allocate_leveraged(df: DataFrame, r: str, leverage: float, target: float, deviation: float, ax: Axis = AX) -> DataFrame:
     """Weight of a leveraged asset that drifts with returns and is reset to target when it strays by deviation.
 
-    A fold over each entity's sorted history (one row per entity at a time).
+    Each weight follows from the one before, so an entity's history is walked in
+    order, entities in parallel, in time linear in the rows.
     """
-    step = F.struct(F.col(ax.time).alias("t"), F.coalesce(r, F.lit(0.0)).alias("r"))
-    start = F.expr(f"named_struct('w', cast(null as double), 'out', array(named_struct('t', cast(null as timestamp), 'weight', cast(null as double), 'port_r', cast(null as double))))")
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
 
-    def fold(acc, x):
-        grown = acc["w"] * (1 + leverage * x["r"])
-        drift = grown / (grown + 1 - acc["w"])
-        w = F.when(acc["w"].isNull(), target).when(F.abs(drift - target) >= deviation, target).otherwise(drift)
-        return F.struct(w.alias("w"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), w.alias("weight"), (w * leverage * x["r"]).alias("port_r")))).alias("out"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ax.time)
+        w, weights = None, []
+        for x in pdf["__r"]:
+            if w is not None:
+                grown = w * (1 + leverage * x)
+                w = grown / (grown + 1 - w)
+            w = target if w is None or abs(w - target) >= deviation else w
+            weights.append(w)
+        return pdf.assign(weight=weights, port_r=leverage * pdf["__r"].to_numpy() * weights)[[ax.name, ax.time, "weight", "port_r"]]
 
-    series = df.groupBy(ax.name).agg(F.array_sort(F.collect_list(step)).alias("s"))
-    done = series.select(ax.name, F.explode(F.aggregate("s", start, fold)["out"]).alias("x"))
-    return done.filter("x.t is not null").select(ax.name, F.col("x.t").alias(ax.time), "x.weight", "x.port_r")
+    rows = df.select(ax.name, ax.time, F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias("__r"))
+    return rows.groupBy(ax.name).applyInPandas(run, f"{ax.name} {kinds[ax.name]}, {ax.time} {kinds[ax.time]}, weight double, port_r double")
 
 
 def factor_sweep(df: DataFrame, signals: list[str], forwards: list[str], n: int, ax: Axis = AX) -> DataFrame:
@@ -185,3 +200,27 @@ def factor_sweep(df: DataFrame, signals: list[str], forwards: list[str], n: int,
     spread = ports.groupBy(ax.time, "sig", "forward").agg((F.max(F.when(F.col("rank") == n, F.col("r"))) - F.max(F.when(F.col("rank") == 1, F.col("r")))).alias("r")).withColumn("rank", F.lit(0))
     stats = ports.unionByName(spread).groupBy("sig", "forward", "rank").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("r").alias("n"))
     return stats.select("sig", "forward", "rank", "mean", ratio(F.col("mean") * F.sqrt("n"), F.col("std")).alias("t"), "n")
+
+
+def significant_sorts(stats: DataFrame, least_mean: float, most_p: float | None = None, least_t: float | None = None, rank: str = "sig_rank") -> DataFrame:
+    """Long-short rows of a mean return of at least least_mean either way, by p-value or t statistic, smallest mean first."""
+    sure = F.lit(True)
+    if most_p is not None:
+        sure = sure & (F.col("p") <= most_p)
+    if least_t is not None:
+        sure = sure & (F.abs("t") >= least_t)
+    return stats.filter((F.col(rank) == LONG_SHORT) & (F.abs("mean") > least_mean) & sure).orderBy("mean")
+
+
+def parameter_sweep(grid: dict[str, list], objective, metric: str) -> DataFrame:
+    """The objective (a function of one value for each parameter, to a table of one row) over the grid, best metric first: one plan."""
+    from itertools import product
+
+    parts = []
+    for values in product(*grid.values()):
+        point = dict(zip(grid, values, strict=True))
+        parts.append(objective(**point).withColumns({k: F.lit(v) for k, v in point.items()}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy(F.desc(metric))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import portfolio as P
+from ..operators.enrich import equal_weight_portfolio
 from ..operators.rolling import cumulative_return, rolling_mean
 from ..panel import ratio
 from .fixtures import KEYS, PANEL, AX, day, over, r, stock_panel
@@ -79,6 +80,17 @@ def g5p(spark, sf_dir):
     return P.sort_return(single(spark, sf_dir), 1, 12.0).select("sig_rank", r("t").alias("t"), r("p").alias("p"))
 
 
+@register("g5_sort_return_averaged", f"""{INDEPENDENT}, j AS (SELECT s.*, v.cost, v.size FROM s JOIN (SELECT date, avg(vol)/1e6 AS cost, avg(mktcap) AS size FROM panel GROUP BY 1) v ON s.date=v.date WHERE port_r IS NOT NULL),
+ a AS (SELECT date, sig_rank, avg(port_r-cost) AS x, avg(n_assets) AS n_assets, avg(size) AS size FROM j GROUP BY 1,2), e AS (SELECT *, row_number() OVER (PARTITION BY sig_rank ORDER BY date)-1 AS i FROM a)
+ SELECT sig_rank, round(avg(x),6) AS mean, round(avg(x)*sqrt(count(*))/nullif(stddev_samp(x),0),6) AS t, round(avg(x)/nullif(stddev_samp(x),0)*sqrt(6),6) AS sharpe, count(*) AS n, round(avg(n_assets),6) AS n_assets, round(avg(size),2) AS size_mean FROM e WHERE i % 2=0 GROUP BY 1""")
+def g5_averaged(spark, sf_dir):
+    """Double sort averaged over the second ranks, net of cost, with a covariate, of every second month."""
+    months = stock_panel(spark, sf_dir).groupBy("date").agg((F.avg("vol") / 1e6).alias("cost"), F.avg("mktcap").alias("size"))
+    ports = P.sort_portfolios(momentum(spark, sf_dir), "mom", "next_r", N, "mktcap", "prc", 3).join(months, "date")
+    out = P.sort_return(ports, 2, 12.0, keys=("cond_rank", "sig_rank"), average_over="cond_rank", covariates=("size",), cost="cost")
+    return out.select("sig_rank", *[r(c).alias(c) for c in ("mean", "t", "sharpe")], "n", r("n_assets").alias("n_assets"), r("size_mean", 2).alias("size_mean"))
+
+
 @register("g6_turnover", f"""{_ports()}, b AS (SELECT *, lag(members) OVER (PARTITION BY sig_rank ORDER BY date) AS before FROM s WHERE sig_rank IN ('1','5')),
  t AS (SELECT *, len(list_filter(before, lambda x: NOT list_contains(members, x)))::DOUBLE/nullif(len(before),0) AS gone FROM b),
  g AS (SELECT date, max(gone) FILTER (sig_rank='5') AS h, max(gone) FILTER (sig_rank='1') AS l FROM t GROUP BY date)
@@ -151,10 +163,31 @@ def g15(spark, sf_dir):
     return out.select("sig", "forward", "rank", r("mean").alias("mean"), r("t").alias("t"), "n")
 
 
-@register("g16_significant_sorts")
+def _sweep(spark, sf_dir):
+    """Statistics of the single sorts by each of six signals, signal in column sig."""
+    df, out = momentum(spark, sf_dir).withColumn("size", F.col("mktcap")).withColumn("spread", ratio("ask", "bid")), None
+    for signal in ("mom", "prc", "vol", "size", "ret", "spread"):
+        one = P.sort_return(P.sort_portfolios(df, signal, "next_r", N), 1, 12.0, r="r").withColumn("sig", F.lit(signal))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _sweep_sql(where: str, select: str) -> str:
+    signals = {"mom": "mom", "prc": "prc", "vol": "vol", "size": "mktcap", "ret": "ret", "spread": "ask/nullif(bid,0)"}
+    each = " UNION ALL ".join(f"SELECT '{k}' AS sig, date, name, next_r, {v} AS value FROM m" for k, v in signals.items())
+    return f"""{MOMENTUM}, l AS ({each}), k AS (SELECT *, ntile(5) OVER (PARTITION BY sig, date ORDER BY value, name) AS k FROM l WHERE value IS NOT NULL), p AS (SELECT sig, date, k, sum(next_r)/count(*) AS r FROM k GROUP BY ALL),
+ q AS (SELECT sig, date, max(r) FILTER (k=5)-max(r) FILTER (k=1) AS r FROM p GROUP BY ALL) SELECT {select} FROM q WHERE r IS NOT NULL GROUP BY sig HAVING {where}"""
+
+
+@register("g16_significant_sorts", _sweep_sql("abs(avg(r)) > 0.0001 AND abs(avg(r)*sqrt(count(*))/nullif(stddev_samp(r),0)) >= 2.1", "sig, round(avg(r),6) AS mean, round(avg(r)*sqrt(count(*))/nullif(stddev_samp(r),0),6) AS t"))
 def g16(spark, sf_dir):
-    out = P.sort_return(single(spark, sf_dir), 1, 12.0)
-    return out.filter((F.col("sig_rank") == P.LONG_SHORT) & (F.abs("mean") > 0.0001) & (F.col("p") <= 0.05)).orderBy("mean")
+    """Long-short sorts of some return and a t statistic far from chance, of all six signals."""
+    return P.significant_sorts(_sweep(spark, sf_dir), 0.0001, least_t=2.1).select("sig", r("mean").alias("mean"), r("t").alias("t"))
+
+
+@register("g16_significant_by_p")
+def g16_p(spark, sf_dir):
+    return P.significant_sorts(_sweep(spark, sf_dir), 0.0001, most_p=0.05).select("sig", "mean", "p")
 
 
 def _objective(df, lookback: int, rank: int):
@@ -170,13 +203,17 @@ def g17(spark, sf_dir):
     return _objective(momentum(spark, sf_dir), 6, 5).select(r("sharpe").alias("sharpe"))
 
 
-@register("g18_param_sweep")
+def _sweep_lookbacks() -> str:
+    each = " UNION ALL ".join(f"SELECT {n} AS lookback, date, name, next_r, vol/nullif(avg(vol) {over(-n + 1, 0)},0) AS v FROM m" for n in (3, 6, 12))
+    return f"""{MOMENTUM}, v AS ({each}), k AS (SELECT *, ntile(5) OVER (PARTITION BY lookback, date ORDER BY v, name) AS k FROM v WHERE v IS NOT NULL),
+ p AS (SELECT lookback, date, avg(next_r)*count(next_r)/count(*)-0.001 AS r FROM k WHERE k=5 GROUP BY ALL) SELECT lookback::INTEGER AS lookback, round(avg(r)/nullif(stddev_samp(r),0)*sqrt(12),6) AS sharpe FROM p GROUP BY 1"""
+
+
+@register("g18_param_sweep", _sweep_lookbacks())
 def g18(spark, sf_dir):
-    df, out = momentum(spark, sf_dir), None
-    for lookback in (3, 6, 12):
-        one = _objective(df, lookback, 5).select(F.lit(lookback).alias("lookback"), r("sharpe").alias("sharpe"))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("sharpe"))
+    df = momentum(spark, sf_dir)
+    out = P.parameter_sweep({"lookback": [3, 6, 12]}, lambda lookback: _objective(df, lookback, 5).select("sharpe"), "sharpe")
+    return out.select("lookback", r("sharpe").alias("sharpe"))
 
 
 @register("c10_long_short", f"{_ports()} SELECT strftime(date,'%Y-%m-%d') AS date, round(r,6) AS r, n_assets FROM s WHERE sig_rank='high_minus_low'")
@@ -192,7 +229,7 @@ def d12(spark, sf_dir):
 @register("d13_equal_weight", f"{PANEL} SELECT strftime(date,'%Y-%m-%d') AS date, round(avg(ret*CASE WHEN mkt>0 THEN 1 ELSE -1 END),6) AS r FROM panel GROUP BY 1")
 def d13(spark, sf_dir):
     position = F.when(F.col("mkt") > 0, 1).otherwise(-1)
-    return stock_panel(spark, sf_dir).groupBy("date").agg(r(F.avg(F.col("ret") * position)).alias("r")).select(day().alias("date"), "r")
+    return equal_weight_portfolio(stock_panel(spark, sf_dir), "ret", position).select(day().alias("date"), r("r").alias("r"))
 
 
 @register("c13_membership_change", f"""{_ports()}, u AS (SELECT date, sig_rank, unnest(members) AS member FROM s WHERE sig_rank='5'), n AS (SELECT DISTINCT date, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM u))
