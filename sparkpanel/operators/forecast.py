@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+import statistics
+import time
+from collections.abc import Callable
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +90,21 @@ def sharpe_score(df: DataFrame, r: str, prediction: str, n: int, ax: Axis = AX)
     return rank_spread(df, r, prediction, n, ax).agg(ratio(F.avg("port_r"), F.stddev_samp("port_r")).alias("sharpe"))
 
 
-def weighted_average_coefficients(df: DataFrame, features: list[str], y: str, threshold: float = 0.0, ax: Axis = AX) -> DataFrame:
-    """Mean per-time information coefficient of each feature; zero when small."""
-    long = df.unpivot([ax.time, y], features, "feature", "value")
-    each = long.groupBy("feature", ax.time).agg(F.corr("value", y).alias("ic"))
-    mean = F.avg(F.when(~F.isnan("ic"), F.col("ic")))
-    return each.groupBy("feature").agg(mean.alias("__m")).select("feature", F.when(F.abs("__m") <= threshold, 0.0).otherwise(F.col("__m")).alias("coefficient"))
+def weighted_average_coefficients(df: DataFrame, features: list[str], y: str, threshold: float = 0.0, weight: str | None = "IC", n: int = 10, ax: Axis = AX) -> DataFrame:
+    """Each feature's weight, zero when small: mean per-time information coefficient (IC), Sharpe ratio of its n-tile spread (SR), or an equal share."""
+    if weight is None:
+        return df.sparkSession.createDataFrame([(f, 1.0 / len(features)) for f in features], "feature string, coefficient double")
+    long = df.unpivot([ax.time, ax.name, y], features, "feature", "value")
+    if weight == "IC":
+        each = long.groupBy("feature", ax.time).agg(F.corr("value", y).alias("x"))
+        score = F.avg(F.when(~F.isnan("x"), F.col("x")))
+    else:
+        w = Window.partitionBy("feature", ax.time)
+        at = F.row_number().over(w.orderBy("value", ax.name)) / F.count("*").over(w)
+        ranked = long.filter(F.col("value").isNotNull() & F.col(y).isNotNull()).withColumn("__p", at)
+        each = ranked.groupBy("feature", ax.time).agg((F.avg(F.when(F.col("__p") > 1 - 1 / n, F.col(y))) - F.avg(F.when(F.col("__p") <= 1 / n, F.col(y)))).alias("x"))
+        score = ratio(F.avg("x"), F.stddev_samp("x"))
+    return each.groupBy("feature").agg(score.alias("__m")).select("feature", F.when(F.abs("__m") <= threshold, 0.0).otherwise(F.col("__m")).alias("coefficient"))
 
 
 def weighted_average_predict(df: DataFrame, coefficients: dict[str, float]) -> Column:
@@ -113,36 +130,85 @@ def model_pipeline(name: str, features: list[str], label: str, **options):
 
 def walk_forward_predict(df: DataFrame, folds: DataFrame, pipeline, keep: list[str], ax: Axis = AX) -> DataFrame:
     """Out-of-sample predictions of all folds: fit on each train window, predict the next."""
-    rows, out = fold_rows(df, folds, ax).persist(), None
+    rows = fold_rows(df, folds, ax).persist()
+    parts = []
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         part = rows.filter(F.col("fold") == fold)
-        one = pipeline.fit(part.filter("role = 'train'")).transform(part.filter("role = 'validate'")).select("fold", *keep, "prediction")
-        out = one if out is None else out.unionByName(one)
-    return out
+        parts.append(pipeline.fit(part.filter("role = 'train'")).transform(part.filter("role = 'validate'")).select("fold", *keep, "prediction"))
+    rows.unpersist()  # fitted; what is left to do reads each validation window once
+    return reduce(DataFrame.unionByName, parts)
+
+
+def candidates(grid: dict[str, list], make: Callable) -> dict[str, object]:
+    """A pipeline for each point of a grid of parameters, named by it."""
+    points = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
+    return {", ".join(f"{k}={v}" for k, v in p.items()): make(**p) for p in points}
+
 
+def search(df: DataFrame, folds: DataFrame, pipelines: dict[str, object], label: str, trials: int | None = None, seconds: float | None = None, seed: int = 1, ax: Axis = AX) -> DataFrame:
+    """Mean information coefficient over the folds of each candidate, best first.
 
-def search(df: DataFrame, folds: DataFrame, pipelines: dict[str, object], label: str, ax: Axis = AX) -> DataFrame:
-    """Mean information coefficient over the folds of each candidate, best first."""
-    out = None
-    for name, pipeline in pipelines.items():
-        p = walk_forward_predict(df, folds, pipeline, [ax.time, label], ax)
-        one = p.groupBy("fold").agg(information_coefficient("prediction", label).alias("ic")).agg(F.avg("ic").alias("ic")).select(F.lit(name).alias("candidate"), "ic")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("ic"))
+    With ``trials`` that many candidates are tried, drawn by a seed; with
+    ``seconds`` no candidate begins after that time.
+    """
+    names, began, rows = [*pipelines], time.monotonic(), []
+    if trials is not None and trials < len(names):
+        names = random.Random(seed).sample(names, trials)
+    for name in names:
+        if seconds is not None and rows and time.monotonic() - began > seconds:
+            break
+        p = walk_forward_predict(df, folds, pipelines[name], [ax.time, label], ax)
+        ic = p.groupBy("fold").agg(information_coefficient("prediction", label).alias("ic")).agg(F.avg("ic")).first()[0]
+        rows.append((name, ic))
+    return df.sparkSession.createDataFrame(rows, "candidate string, ic double").orderBy(F.desc("ic"), "candidate")
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], label: str, seed: int = 1) -> DataFrame:
-    """Drop of the information coefficient when one feature's values are dealt out anew."""
+#: Rows dealt out among each other in one task, about.
+DEAL_ROWS = 100_000
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], label: str, repeats: int = 1, seed: int = 1) -> DataFrame:
+    """Drop of the information coefficient when one feature's values are dealt out anew: mean and deviation over the repeats."""
     spark, ic = df.sparkSession, lambda d: d.agg(information_coefficient("prediction", label)).first()[0]
     base, rows = ic(model.transform(df)), []
-    # numbered in two orders, joined on the number: each row gets another row's value
-    keyed = df.withColumn("__k", F.xxhash64(*df.columns))
+    groups = max(1, -(-df.count() // DEAL_ROWS))
+    # rows are numbered in two orders within random groups and joined on the number: each row gets another row's value
+    keyed = df.withColumn("__k", F.xxhash64(*df.columns)).withColumn("__b", F.pmod("__k", F.lit(groups)))
+    for f in features:
+        drops = []
+        for k in range(repeats):
+            left = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy("__k")))
+            right = keyed.select(f, "__b", F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64("__k", F.lit(seed + k)))).alias("__n"))
+            drops.append(float(base - ic(model.transform(left.drop(f).join(right, ["__b", "__n"])))))
+        rows.append((f, sum(drops) / repeats, statistics.stdev(drops) if repeats > 1 else None))
+    return spark.createDataFrame(rows, "feature string, drop double, deviation double")
+
+
+def univariate_scores(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """F statistic and p-value of the regression of the label on each feature alone, from one aggregation."""
+    from .portfolio import incomplete_beta
+
+    full = {f: F.col(f).isNotNull() & F.col(label).isNotNull() for f in features}
+    row = df.agg(*[F.corr(F.when(full[f], F.col(f)), F.when(full[f], F.col(label))).alias(f"r_{f}") for f in features], *[F.count(F.when(full[f], 1)).alias(f"n_{f}") for f in features]).first()
+    out = []
     for f in features:
-        left = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(F.pmod("__k", F.lit(64))).orderBy("__k")))
-        right = keyed.select(f, F.pmod("__k", F.lit(64)).alias("__b"), F.row_number().over(Window.partitionBy(F.pmod("__k", F.lit(64))).orderBy(F.xxhash64("__k", F.lit(seed)))).alias("__n"))
-        dealt = left.drop(f).withColumn("__b", F.pmod("__k", F.lit(64))).join(right, ["__b", "__n"])
-        rows.append((f, float(base - ic(model.transform(dealt)))))
-    return spark.createDataFrame(rows, "feature string, drop double")
+        c, k = row[f"r_{f}"], row[f"n_{f}"] - 2
+        if c is None or math.isnan(c) or k < 1:
+            out.append((f, None, None))
+            continue
+        share = min(c * c, 1 - 1e-16)
+        out.append((f, share / (1 - share) * k, incomplete_beta(k / 2, 0.5, 1 - share)))
+    return df.sparkSession.createDataFrame(out, "feature string, f double, p double")
+
+
+def select_features(scores: DataFrame, percentile: float | None = None, family_error: float | None = None) -> list[str]:
+    """Features of the highest F statistics (a percentage of all), or those whose p-value is under the family-wise error's share."""
+    rows = sorted((r for r in scores.collect() if r.f is not None), key=lambda r: (-r.f, r.feature))  # one row for each feature
+    if percentile is not None:
+        rows = rows[: max(1, math.ceil(len(rows) * percentile / 100))]
+    if family_error is not None:
+        rows = [r for r in rows if r.p < family_error / max(len(rows), 1)]
+    return [r.feature for r in rows]
 
 
 def partial_dependence(model, df: DataFrame, feature: str, grid: list[float]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Axis, ratio
+from .quantiles import percentiles
 
 AX = Axis()
 
@@ -24,20 +25,26 @@ def average_acf(df: DataFrame, value: str, lags: int, ax: Axis = AX) -> DataFram
     return each.unpivot([ax.name], [f"{k}" for k in range(1, lags + 1)], "lag", "acf").groupBy(F.col("lag").cast("int").alias("lag")).agg(F.avg("acf").alias("acf"))
 
 
-def summarize_signal(df: DataFrame, value: str, ax: Axis = AX) -> DataFrame:
-    """Times, entities, rows; mean and std over cross-sections, over histories and pooled; quartiles."""
+def summarize_signal(df: DataFrame, value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), lags: int = 0, ax: Axis = AX) -> DataFrame:
+    """Times, entities, rows; mean and std over cross-sections, over histories and pooled; quantiles, and the average autocorrelation at lags 1..lags."""
     df = df.filter(F.col(value).isNotNull())
     by = lambda key, n: df.groupBy(key).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).agg(F.avg("m").alias(f"mean_{n}"), F.avg("s").alias(f"std_{n}"))
     pooled = df.agg(
         F.count_distinct(ax.time).alias("times"), F.count_distinct(ax.name).alias("names"), F.count("*").alias("n"), F.avg(value).alias("mean_pooled"), F.stddev_samp(value).alias("std_pooled"),
-        F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.75).alias("q75"),
     )
-    return pooled.crossJoin(by(ax.time, "section")).crossJoin(by(ax.name, "series"))  # three tables of one row
+    q = percentiles(df, [], value, list(quantiles)).select(*[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
+    tables = [by(ax.time, "section"), by(ax.name, "series"), q]
+    if lags:
+        tables.append(average_acf(df, value, lags, ax).groupBy().pivot("lag", list(range(1, lags + 1))).agg(F.first("acf")).withColumnsRenamed({f"{k}": f"acf{k}" for k in range(1, lags + 1)}))
+    for one in tables:  # of one row each
+        pooled = pooled.crossJoin(one)
+    return pooled
 
 
 def summarize_variables(df: DataFrame, columns: list[str], quantiles: list[float]) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "value")
-    return long.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), *[F.percentile("value", q).alias(f"q{int(100 * q)}") for q in quantiles])
+    q = percentiles(long, ["variable"], "value", quantiles).select("variable", *[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
+    return long.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(q, "variable", "left")
 
 
 def hac_ols(x: np.ndarray, y: np.ndarray, lags: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +77,37 @@ def factor_regression(df: DataFrame, keys: list[str], y: str, factors: list[str]
     return df.select(*keys, ax.time, y, *factors).groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Factors of the models by name, but for momentum.
+MODELS = {"CAPM": ("mkt_rf",), "FF3": ("mkt_rf", "smb", "hml"), "FF5": ("mkt_rf", "smb", "hml", "rmw", "cma"), "q-factor": ("r_mkt", "r_me", "r_ia", "r_roe", "r_eg")}
+
+
+def rolling_factor_regression(df: DataFrame, keys: list[str], y: str, factors: list[str], window: int, lags: int = 3, ax: Axis = AX) -> DataFrame:
+    """Per key and time the regression on factors over the last ``window`` rows: term, coefficient, t and p; full windows only."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, ax.time]) + ", term string, coefficient double, t double, p double"
+    terms = ["alpha", *factors]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[y, *factors]).sort_values(ax.time)
+        x, v, at = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)]), pdf[y].to_numpy(float), pdf[ax.time].to_numpy()
+        rows = []
+        for end in range(window, len(pdf) + 1):
+            beta, t, p = hac_ols(x[end - window : end], v[end - window : end], lags)
+            rows += [(*key, at[end - 1], *cells) for cells in zip(terms, beta, t, p, strict=True)]
+        return pd.DataFrame(rows, columns=[*keys, ax.time, "term", "coefficient", "t", "p"])
+
+    return df.select(*keys, ax.time, y, *factors).groupBy(*keys).applyInPandas(run, schema)
+
+
+def factor_alpha(df: DataFrame, keys: list[str], r: str, model: str = "FF3", momentum: bool = False, rf: str = "rf", window: int | None = None, lags: int = 3, ax: Axis = AX) -> DataFrame:
+    """Regression of the excess return on the factors of a model by name, over all rows or rolling windows of them."""
+    factors = [*MODELS[model], *["mom"] * momentum]
+    excess = df.withColumn("__excess", F.col(r) - F.col(rf))
+    if window:
+        return rolling_factor_regression(excess, keys, "__excess", factors, window, lags, ax)
+    return factor_regression(excess, keys, "__excess", factors, lags, ax)
+
+
 def fama_macbeth(df: DataFrame, y: str, xs: list[str], bandwidth: int = 5, keys: list[str] | None = None, ax: Axis = AX) -> DataFrame:
     """Mean of per-time cross-section coefficients with Bartlett-kernel t statistics.
 

@@ -83,6 +83,13 @@ def j9(spark, sf_dir):
     return J.weighted_average_coefficients(frame(spark, sf_dir), FEATURES, "y", 0.01).select("feature", r("coefficient").alias("coefficient"))
 
 
+@register("j9_weighted_by_sharpe", f"""{FRAME}, l AS (SELECT date, name, y, 'mom' AS feature, mom AS v FROM fr UNION ALL SELECT date, name, y, 'v_ratio', v_ratio FROM fr UNION ALL SELECT date, name, y, 'risk', risk FROM fr),
+ p AS (SELECT *, row_number() OVER (PARTITION BY feature, date ORDER BY v, name)::DOUBLE/count(*) OVER (PARTITION BY feature, date) AS p FROM l WHERE v IS NOT NULL), s AS (SELECT feature, date, avg(y) FILTER (p > 1-1.0/5)-avg(y) FILTER (p <= 1.0/5) AS x FROM p GROUP BY 1,2)
+ SELECT feature, round(avg(x)/nullif(stddev_samp(x),0),6) AS coefficient FROM s GROUP BY 1""")
+def j9_sharpe(spark, sf_dir):
+    return J.weighted_average_coefficients(frame(spark, sf_dir), FEATURES, "y", 0.0, "SR", 5).select("feature", r("coefficient").alias("coefficient"))
+
+
 @register("j12_information_coefficient", f"{FRAME} SELECT name, round(CASE WHEN corr(mom,y) IS NULL OR isnan(corr(mom,y)) THEN -2 ELSE corr(mom,y) END,6) AS ic FROM fr GROUP BY 1")
 def j12(spark, sf_dir):
     return frame(spark, sf_dir).groupBy("name").agg(r(J.information_coefficient("mom", "y")).alias("ic"))
@@ -111,6 +118,14 @@ def j10(spark, sf_dir):
     return J.search(df, prediction_folds(df), {n: J.model_pipeline(n, FEATURES, "y") for n in ("linear", "elastic", "tree")}, "y")
 
 
+@register("j10_search_grid")
+def j10_grid(spark, sf_dir):
+    """Three points of a grid of four, within a time budget."""
+    df = frame(spark, sf_dir)
+    grid = J.candidates({"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5]}, lambda **o: J.model_pipeline("elastic", FEATURES, "y", **o))
+    return J.search(df, prediction_folds(df), grid, "y", trials=3, seconds=600)
+
+
 def _predictions(spark, sf_dir):
     df = frame(spark, sf_dir)
     return J.walk_forward_predict(df, prediction_folds(df), J.model_pipeline("linear", FEATURES, "y"), ["name", "date", "y"])
@@ -124,7 +139,7 @@ def j11(spark, sf_dir):
 @register("j14_permutation_importance")
 def j14(spark, sf_dir):
     model, df = _fitted(spark, sf_dir)
-    return J.permutation_importance(model, df, FEATURES, "y")
+    return J.permutation_importance(model, df, FEATURES, "y", repeats=2)
 
 
 @register("j15_partial_dependence")
@@ -179,3 +194,24 @@ def j20(spark, sf_dir):
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="a"), Normalizer(inputCol="a", outputCol="b"), PolynomialExpansion(inputCol="b", outputCol="c"),
               VarianceThresholdSelector(featuresCol="c", outputCol="d", varianceThreshold=1e-6), PCA(inputCol="d", outputCol="e", k=2)]
     return Pipeline(stages=stages).fit(df).transform(df).select("name", "date", vector_to_array("e").alias("components"))
+
+
+@register("j20_univariate_scores", f"""{FRAME}, c AS (SELECT 'mom' AS feature, corr(mom, y) AS c, count(*) FILTER (mom IS NOT NULL) AS n FROM fr UNION ALL SELECT 'v_ratio', corr(v_ratio, y), count(*) FILTER (v_ratio IS NOT NULL) FROM fr UNION ALL SELECT 'risk', corr(risk, y), count(*) FILTER (risk IS NOT NULL) FROM fr)
+ SELECT feature, round(c*c/(1-c*c)*(n-2),6) AS f FROM c""")
+def j20_scores(spark, sf_dir):
+    return J.univariate_scores(frame(spark, sf_dir), FEATURES, "y").select("feature", r("f").alias("f"))
+
+
+@register("j20_select_percentile", f"""{FRAME}, c AS (SELECT abs(corr(mom, y)) AS a, abs(corr(v_ratio, y)) AS b, abs(corr(risk, y)) AS c FROM fr)
+ SELECT name, strftime(date,'%Y-%m-%d') AS date, round(CASE WHEN a >= b AND a >= c THEN mom WHEN b >= c THEN v_ratio ELSE risk END,6) AS best FROM fr, c""")
+def j20_percentile(spark, sf_dir):
+    """The panel with the third of the features that tells most."""
+    df = frame(spark, sf_dir)
+    (best,) = J.select_features(J.univariate_scores(df, FEATURES, "y"), percentile=33)
+    return df.select("name", day().alias("date"), r(best).alias("best"))
+
+
+@register("j20_select_family_error")
+def j20_family(spark, sf_dir):
+    df = frame(spark, sf_dir)
+    return df.select("name", "date", *J.select_features(J.univariate_scores(df, FEATURES, "y"), family_error=0.05))

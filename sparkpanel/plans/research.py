@@ -8,7 +8,7 @@ from ..operators import portfolio as P
 from ..operators import ranking as K
 from ..operators import research as H
 from .fixtures import PANEL, AX, day, over, r, stock_panel, table
-from .portfolios import N, momentum, single
+from .portfolios import DEPENDENT, N, _ports, momentum, single
 from .registry import register
 
 
@@ -55,6 +55,16 @@ def g7(spark, sf_dir):
     return H.factor_regression(ports.join(factors(spark, sf_dir), "date"), ["sig_rank"], "x", ["mkt_rf", "smb", "hml"])
 
 
+@register("g7_sort_capm", f"""{_ports()}, k2 AS (SELECT date, avg(ret)-0.001 AS mkt_rf FROM panel GROUP BY 1 HAVING avg(ret) IS NOT NULL), x AS (SELECT sig_rank, port_r-CASE WHEN sig_rank='high_minus_low' THEN 0.0 ELSE 0.001 END AS x, mkt_rf FROM s JOIN k2 USING (date) WHERE port_r IS NOT NULL)
+ SELECT sig_rank, round(regr_intercept(x, mkt_rf),6) AS alpha, round(regr_slope(x, mkt_rf),6) AS beta FROM x GROUP BY 1""")
+def g7_capm(spark, sf_dir):
+    """Alphas and betas of the sorts by the regression of ``g7_sort_alpha`` on the market alone."""
+    ports = single(spark, sf_dir).withColumn("rf", F.when(F.col("sig_rank") == P.LONG_SHORT, 0.0).otherwise(0.001))
+    out = H.factor_alpha(ports.join(factors(spark, sf_dir), "date"), ["sig_rank"], "port_r", "CAPM")
+    pick = lambda t: F.max(F.when(F.col("term") == t, F.col("coefficient")))
+    return out.groupBy("sig_rank").agg(r(pick("alpha")).alias("alpha"), r(pick("mkt_rf")).alias("beta"))
+
+
 @register("g10_capm_alpha", f"{FACTORS} SELECT name, round(regr_intercept(ret-0.001, mkt_rf),6) AS alpha, round(regr_slope(ret-0.001, mkt_rf),6) AS beta FROM panel JOIN fa USING (date) GROUP BY 1")
 def g10(spark, sf_dir):
     return excess(spark, sf_dir).groupBy("name").agg(r(F.regr_intercept("x", "mkt_rf")).alias("alpha"), r(F.regr_slope("x", "mkt_rf")).alias("beta"))
@@ -68,7 +78,27 @@ def g10_rolling(spark, sf_dir):
 
 @register("g10_factor_alpha")
 def g10_factor(spark, sf_dir):
-    return H.factor_regression(excess(spark, sf_dir), ["name"], "x", ["mkt_rf", "smb", "hml"])
+    return H.factor_alpha(excess(spark, sf_dir).withColumn("rf", F.lit(0.001)), ["name"], "ret", "FF3")
+
+
+@register("g10_rolling_factor_alpha")
+def g10_rolling_factor(spark, sf_dir):
+    """Alphas of the three-factor model over rolling windows of 36 months."""
+    return H.factor_alpha(excess(spark, sf_dir).withColumn("rf", F.lit(0.001)), ["name"], "ret", "FF3", window=36).filter("term = 'alpha'")
+
+
+@register("g10_rolling_capm_robust", f"{FACTORS}, j AS (SELECT name, date, ret-0.001 AS x, mkt_rf FROM panel JOIN fa USING (date) WHERE ret IS NOT NULL) SELECT name, strftime(date,'%Y-%m-%d') AS date, round(regr_intercept(x, mkt_rf) {over(-23, 0)},6) AS alpha, round(regr_slope(x, mkt_rf) {over(-23, 0)},6) AS beta FROM j QUALIFY count(x) {over(-23, 0)}=24")
+def g10_rolling_robust(spark, sf_dir):
+    """The same windows by the general rolling regression."""
+    out = H.factor_alpha(excess(spark, sf_dir).withColumn("rf", F.lit(0.001)), ["name"], "ret", "CAPM", window=24)
+    pick = lambda t: F.max(F.when(F.col("term") == t, F.col("coefficient")))
+    return out.groupBy("name", day().alias("date")).agg(r(pick("alpha")).alias("alpha"), r(pick("mkt_rf")).alias("beta"))
+
+
+@register("h4_uni_sort_alpha", f"""{_ports()}, k2 AS (SELECT date, avg(ret)-0.001 AS mkt_rf FROM panel GROUP BY 1 HAVING avg(ret) IS NOT NULL)
+ SELECT sig_rank, round(avg(port_r),6) AS mean, round(avg(port_r)*sqrt(count(*))/nullif(stddev_samp(port_r),0),6) AS t, round(any_value(alpha),6) AS alpha FROM s JOIN (SELECT sig_rank, regr_intercept(port_r, mkt_rf) AS alpha FROM s JOIN k2 USING (date) WHERE port_r IS NOT NULL GROUP BY 1) a USING (sig_rank) WHERE port_r IS NOT NULL GROUP BY 1""")
+def h4_alpha(spark, sf_dir):
+    return h4(spark, sf_dir).select("sig_rank", *[r(c).alias(c) for c in ("mean", "t", "alpha")])
 
 
 @register("h4_uni_sort")
@@ -78,6 +108,12 @@ def h4(spark, sf_dir):
     return P.sort_return(ports, 1, 12.0).select("sig_rank", "mean", "t").join(alphas.select("sig_rank", F.col("coefficient").alias("alpha"), F.col("t").alias("alpha_t")), "sig_rank")
 
 
+@register("h5_double_sort_means", f"""{DEPENDENT}, b AS (SELECT cond_rank::INTEGER AS cond_rank, sig_rank, date, port_r, n_assets FROM s UNION ALL SELECT 0, sig_rank, date, avg(port_r), sum(n_assets) FROM s GROUP BY sig_rank, date)
+ SELECT cond_rank, sig_rank, round(avg(port_r),6) AS mean, round(avg(port_r)*sqrt(count(*))/nullif(stddev_samp(port_r),0),6) AS t, count(*) AS n FROM b WHERE port_r IS NOT NULL GROUP BY 1,2""")
+def h5_means(spark, sf_dir):
+    return h5(spark, sf_dir).select(F.col("cond_rank").cast("int").alias("cond_rank"), "sig_rank", r("mean").alias("mean"), r("t").alias("t"), "n")
+
+
 @register("h5_double_sort")
 def h5(spark, sf_dir):
     ports = P.sort_portfolios(momentum(spark, sf_dir), "mom", "next_r", N, "mktcap", "prc", 3, dependent=True)
@@ -100,6 +136,12 @@ def h6_t(spark, sf_dir):
     return H.fama_macbeth(df, "next_r", ["vol", "size"])
 
 
+@register("h7_double_sort_coefficients", f"""{PANEL}, m AS (SELECT *, lead(ret) OVER (PARTITION BY name ORDER BY date) AS next_r FROM panel), e AS (SELECT date, median(prc) AS q FROM panel GROUP BY date), b AS (SELECT m.*, CASE WHEN prc > q THEN 2 ELSE 1 END AS bucket FROM m JOIN e USING (date)),
+ c AS (SELECT bucket, date, regr_slope(next_r, vol) AS b, regr_intercept(next_r, vol) AS a FROM b WHERE next_r IS NOT NULL GROUP BY 1,2 HAVING count(*) > 2) SELECT bucket::INTEGER AS bucket, 'vol' AS term, round(avg(b),6) AS coefficient, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT bucket, 'const', round(avg(a),6), count(*) FROM c GROUP BY 1""")
+def h7_coefficients(spark, sf_dir):
+    return h7(spark, sf_dir).select(F.col("bucket").cast("int").alias("bucket"), "term", r("coefficient").alias("coefficient"), "n")
+
+
 @register("h7_double_sort_fm")
 def h7(spark, sf_dir):
     df = K.qcut_rank(stock_panel(spark, sf_dir).withColumn("next_r", F.lead("ret").over(AX.history())), "prc", 2)
