@@ -56,8 +56,11 @@ def interval_join(fact: DataFrame, history: DataFrame, keys: list[str], date: st
 def asof_join(fact: DataFrame, history: DataFrame, keys: list[str], date: str, effect: str, values: list[str]) -> DataFrame:
     """Facts with the latest history values at or before their date; earlier facts are dropped.
 
-    Both sides go through one sort by key and date; nothing is multiplied.
+    Both sides go through one sort by key and date; nothing is multiplied. Null
+    keys match nothing, as in any equi-join.
     """
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    fact, history = fact.filter(keyed), history.filter(keyed)
     old = history.select(*keys, F.col(effect).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), F.lit(None).cast(fact.select(F.struct("*")).schema[0].dataType).alias("__f"))
     new = fact.select(*keys, F.col(date).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(old.schema["__v"].dataType).alias("__v"), F.struct("*").alias("__f"))
     w = Window.partitionBy(*keys).orderBy("__t", "__side", *[F.col(f"__v.{v}") for v in values]).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,16 +76,33 @@ def pair_panel(prices: DataFrame, value: str = "price", ax: Axis = AX) -> DataFr
     return pairs.join(side("x"), "x").join(side("y"), ["y", ax.time]).select("x", "y", ax.time, "p_x", "p_y")
 
 
-def downsample(df: DataFrame, r: str, means: list[str], lasts: list[str], sums: list[str], frequency: str, ax: Axis = AX) -> DataFrame:
-    """Entity history at week (to Friday), month, quarter or year ends; observed periods only."""
-    t = F.col(ax.time)
-    end = {
-        "W": F.next_day(F.date_sub(t, 1), "FRI"), "M": F.last_day(t), "Q": F.last_day(F.add_months(F.date_trunc("quarter", t).cast("date"), 2)), "Y": F.last_day(F.add_months(F.date_trunc("year", t).cast("date"), 11)),
+def period_end(frequency: str, t: Column) -> Column:
+    """Last day of the week (a Friday), month, quarter or year of a date."""
+    month = F.last_day
+    return {
+        "W": F.next_day(F.date_sub(t, 1), "FRI"), "M": month(t), "Q": month(F.add_months(F.date_trunc("quarter", t).cast("date"), 2)), "Y": month(F.add_months(F.date_trunc("year", t).cast("date"), 11)),
     }[frequency]
-    return df.groupBy(ax.name, end.alias(ax.time)).agg(
+
+
+def downsample(df: DataFrame, r: str, means: list[str], lasts: list[str], sums: list[str], frequency: str, fill_gaps: bool = False, ax: Axis = AX) -> DataFrame:
+    """Entity history at week (to Friday), month, quarter or year ends.
+
+    Observed periods only; with ``fill_gaps`` also those between an entity's first
+    and last, with a return and sums of 0 and other values null.
+    """
+    out = df.groupBy(ax.name, period_end(frequency, F.col(ax.time)).alias(ax.time)).agg(
         (F.exp(F.coalesce(F.sum(log_growth(r)), F.lit(0.0))) - 1).alias(r), *[F.avg(c).alias(c) for c in means],
         *[F.max_by(c, ax.time).alias(c) for c in lasts], *[F.sum(c).alias(c) for c in sums],
     )
+    if not fill_gaps:
+        return out
+    step = {"W": "INTERVAL 7 DAYS", "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTHS", "Y": "INTERVAL 1 YEAR"}[frequency]
+    first = F.min(ax.time) if frequency == "W" else F.trunc(F.min(ax.time), "month").cast("date")
+    each = out.groupBy(ax.name).agg(F.sequence(first, F.max(ax.time), F.expr(step)).alias("__t")).select(ax.name, F.explode("__t").alias(ax.time))
+    each = each.withColumn(ax.time, period_end(frequency, F.col(ax.time)))
+    zero = [r, *sums]
+    filled = each.join(out, [ax.name, ax.time], "left")
+    return filled.withColumns({c: F.coalesce(c, F.lit(0).cast(t)) for c, t in out.dtypes if c in zero})
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
+from ..operators.enrich import market_breadth
 from ..panel import ratio
 from .fixtures import DAYS, KEYS, PANEL, AX, day, day_panel, over, r, stock_panel
 from .registry import register
@@ -155,5 +156,4 @@ def e36(spark, sf_dir):
 
 @register("d11_market_breadth", f"{PANEL} SELECT strftime(date,'%Y-%m-%d') AS date, round(avg(CASE WHEN ret>=0 THEN 1.0 ELSE 0 END),6) AS breadth FROM panel GROUP BY 1")
 def d11(spark, sf_dir):
-    up = F.when(F.col("ret") >= 0, 1.0).otherwise(0.0)
-    return stock_panel(spark, sf_dir).groupBy("date").agg(r(F.avg(up)).alias("breadth")).select(day().alias("date"), "breadth")
+    return market_breadth(stock_panel(spark, sf_dir)).select(day().alias("date"), r("breadth").alias("breadth"))

@@ -34,6 +34,11 @@ def k3(spark, sf_dir):
     return eda.histogram(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"])
 
 
+@register("k3_category_counts", """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def k3_categories(spark, sf_dir):
+    return eda.category_counts(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
 @register("k4_box_stats", f"""{LONG}, q AS (SELECT "column", quantile_cont(value,0.25) AS q1, quantile_cont(value,0.5) AS median, quantile_cont(value,0.75) AS q3 FROM l GROUP BY 1), w AS (SELECT *, q1-1.5*(q3-q1) AS lo, q3+1.5*(q3-q1) AS hi FROM q)
  SELECT "column", round(any_value(q1),6) AS q1, round(any_value(median),6) AS median, round(any_value(q3),6) AS q3, round(min(value) FILTER (value BETWEEN lo AND hi),6) AS whisker_low, round(max(value) FILTER (value BETWEEN lo AND hi),6) AS whisker_high, count(*) FILTER (value NOT BETWEEN lo AND hi) AS outliers FROM l JOIN w USING ("column") WHERE value IS NOT NULL GROUP BY 1""")
 def k4(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import scratch_path
+from ..operators import enrich as N
 from ..operators import etl as X
 from ..operators.rolling import forward_fill
 from ..panel import ratio
@@ -65,6 +66,31 @@ def a10(spark, sf_dir):
     return spark.read.parquet(path).select("name", "parameters", "stats")
 
 
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+def _database(spark, sf_dir) -> str:
+    """A database with the orders of a year; an embedded one lives in one JVM, so in local mode only."""
+    url = f"jdbc:derby:{scratch_path(spark, 'jdbc').removeprefix('file:')};create=true"
+    rows = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1997).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    tables.write_jdbc(rows, url, "orders", driver=DERBY)
+    return url
+
+
+@register("a5_write_jdbc", "SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate,'%Y-%m-%d') AS date FROM orders WHERE year(o_orderdate)=1997")
+def a5(spark, sf_dir):
+    """The orders of a year, written to a database and read again."""
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+    return tables.read_jdbc(spark, _database(spark, sf_dir), "orders", columns, driver=DERBY).select(*columns[:3], day("o_orderdate").alias("date"))
+
+
+@register("a6_read_jdbc", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND year(o_orderdate)=1997")
+def a6(spark, sf_dir):
+    """Two columns from a date on, both picked by the database, read in four parts."""
+    where = F.col("o_orderdate") >= F.lit("1997-07-01").cast("timestamp")
+    return tables.read_jdbc(spark, _database(spark, sf_dir), "orders", ["o_orderkey", "o_totalprice"], where, ("o_custkey", 0, 10_000, 4), driver=DERBY)
+
+
 @register("a7_signal_store", f"{PANEL}, a AS (SELECT name, date, ret AS sig_a FROM panel WHERE ret > 0), b AS (SELECT name, date, vol AS sig_b FROM panel WHERE vol > 100) SELECT p.name, strftime(p.date,'%Y-%m-%d') AS date, round(prc,6) AS prc, round(sig_a,6) AS sig_a, round(sig_b,6) AS sig_b FROM panel p JOIN a USING (name, date) JOIN b USING (name, date)")
 def a7(spark, sf_dir):
     df = stock_panel(spark, sf_dir)
@@ -103,59 +129,67 @@ def b3(spark, sf_dir):
     return X.cast_columns(df, {"o_totalprice": "int", "o_custkey": "string"})
 
 
-@register("b4_option_enrich", """SELECT l_orderkey, l_linenumber, l_suppkey::VARCHAR||'_'||l_returnflag AS uid, date_diff('day', l_shipdate, o.o_orderdate)::INTEGER AS exdays, round(l_extendedprice/1000,6) AS strike, round((l_quantity+l_quantity*(1+l_tax))/2,6) AS mid,
- round(CASE WHEN l_tax-l_discount < 0 THEN NULL ELSE (l_tax-l_discount)/nullif(l_tax+l_discount,0) END,6) AS spread FROM lineitem JOIN orders o ON l_orderkey=o_orderkey""")
+@register("b4_option_enrich", """WITH o AS (SELECT l_orderkey, l_suppkey AS optionid, l_returnflag AS symbol, l_shipdate AS date, o_orderdate AS exdate, l_extendedprice AS strike_price, l_quantity AS best_bid, l_quantity*(1+l_tax-l_discount) AS best_offer,
+ (l_partkey % 100)::DOUBLE AS volume, 100.0::DOUBLE AS contract_size, 1+l_discount AS cfadj, l_linenumber::DOUBLE AS open_interest FROM lineitem JOIN orders ON l_orderkey=o_orderkey), m AS (SELECT *, (best_bid+best_offer)/2 AS mid, (best_offer-best_bid)/nullif((best_bid+best_offer)/2,0) AS wide FROM o)
+ SELECT l_orderkey, optionid::VARCHAR||symbol AS unique_optionid, date_diff('day', date, exdate)::INTEGER AS exdays, round(strike_price/1000,8) AS strike_price, round(mid,8) AS opt_prc, round(CASE WHEN wide >= 0 THEN wide END,8) AS opt_spread, round(best_offer*cfadj,8) AS opt_offer_adj,
+ round(best_bid*cfadj,8) AS opt_bid_adj, round(volume*contract_size/cfadj,8) AS opt_vol_adj, round(volume*contract_size*mid,6) AS opt_vold, round(mid*cfadj,8) AS opt_prc_adj, round(open_interest/cfadj,8) AS open_interest_adj FROM m""")
 def b4(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    wide = F.col("l_tax") - F.col("l_discount")
-    return df.select(
-        "l_orderkey", "l_linenumber", F.concat_ws("_", F.col("l_suppkey").cast("string"), "l_returnflag").alias("uid"), F.date_diff("o_orderdate", "l_shipdate").alias("exdays"), r(F.col("l_extendedprice") / 1000).alias("strike"),
-        r((F.col("l_quantity") + F.col("l_quantity") * (1 + F.col("l_tax"))) / 2).alias("mid"), r(F.when(wide < 0, None).otherwise(ratio(wide, F.col("l_tax") + F.col("l_discount")))).alias("spread"),
+    options = df.select(
+        "l_orderkey", F.col("l_suppkey").alias("optionid"), F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("date"), F.col("o_orderdate").alias("exdate"), F.col("l_extendedprice").alias("strike_price"),
+        F.col("l_quantity").alias("best_bid"), (F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("best_offer"), (F.col("l_partkey") % 100).cast("double").alias("volume"), F.lit(100.0).alias("contract_size"),
+        (1 + F.col("l_discount")).alias("cfadj"), F.col("l_linenumber").cast("double").alias("open_interest"),
     )
+    numbers = ("strike_price", "opt_prc", "opt_spread", "opt_offer_adj", "opt_bid_adj", "opt_vol_adj", "opt_prc_adj", "open_interest_adj")
+    return N.option_enrich(options).select("l_orderkey", "unique_optionid", "exdays", *[r(c, 8).alias(c) for c in numbers], r("opt_vold").alias("opt_vold"))
 
 
-@register("b5_stock_enrich", f"{MESSY} SELECT l_orderkey, l_linenumber, abs(p) AS prc, round(abs(p)*q,2) AS vol_d, round(abs(p)*1000,2) AS mktcap, round((1+l_tax)*p/nullif(abs(p),0)-1,6) AS ret_o, round(q/nullif(1+l_discount,0),6) AS vol_adj FROM m WHERE p <> 0")
+@register("b5_stock_enrich", f"""{MESSY}, s AS (SELECT l_orderkey, p AS prc, q AS vol, l_partkey::DOUBLE AS shrout, l_tax AS ret, p*1.01 AS openprc, abs(p)*1.05 AS askhi, abs(p)*0.95 AS bidlo, 1+l_discount AS cfacshr FROM m)
+ SELECT l_orderkey, abs(prc) AS prc, round(abs(prc)*vol,6) AS vol_d, shrout*1000 AS shrout, round(abs(prc)*(shrout*1000),4) AS mktcap, round((1+ret)*openprc/nullif(abs(prc),0)-1,8) AS ret_o, round((1+ret)*askhi/nullif(abs(prc),0)-1,8) AS ret_h,
+ round((1+ret)*bidlo/nullif(abs(prc),0)-1,8) AS ret_l, round(vol*cfacshr,8) AS vol_adj, round(abs(prc)/nullif(cfacshr,0),8) AS prc_adj FROM s WHERE prc <> 0""")
 def b5(spark, sf_dir):
-    p = F.abs("p")
-    return messy(spark, sf_dir).filter("p <> 0").select("l_orderkey", "l_linenumber", p.alias("prc"), r(p * F.col("q"), 2).alias("vol_d"), r(p * 1000, 2).alias("mktcap"), r(ratio((1 + F.col("l_tax")) * F.col("p"), p) - 1).alias("ret_o"), r(ratio(F.col("q"), 1 + F.col("l_discount"))).alias("vol_adj"))
+    p = F.col("p")
+    stocks = messy(spark, sf_dir).select(
+        "l_orderkey", p.alias("prc"), F.col("q").alias("vol"), F.col("l_partkey").cast("double").alias("shrout"), F.col("l_tax").alias("ret"), (p * 1.01).alias("openprc"), (F.abs(p) * 1.05).alias("askhi"), (F.abs(p) * 0.95).alias("bidlo"),
+        (1 + F.col("l_discount")).alias("cfacshr"),
+    )
+    numbers = ("ret_o", "ret_h", "ret_l", "vol_adj", "prc_adj")
+    return N.stock_enrich(stocks).select("l_orderkey", "prc", r("vol_d").alias("vol_d"), "shrout", r("mktcap", 4).alias("mktcap"), *[r(c, 8).alias(c) for c in numbers])
 
 
 @register("b6_security_filter", "SELECT p_partkey, p_size FROM part WHERE p_size IN (10,11,12,18,30,31)")
 def b6(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.col("p_size").isin(10, 11, 12, 18, 30, 31)).select("p_partkey", "p_size")
+    return N.security_filter(table(spark, sf_dir, "part"), "p_size").select("p_partkey", "p_size")
 
 
 @register("b7_link_filter", "WITH t AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS seg, c_nationkey FROM customer) SELECT c_custkey, seg FROM t WHERE c_custkey IS NOT NULL AND c_nationkey <> 3 AND seg NOT IN ('BUILDING','MACHINERY')")
 def b7(spark, sf_dir):
     df = table(spark, sf_dir, "customer").withColumn("seg", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_mktsegment")))
-    return df.filter(F.col("c_custkey").isNotNull() & (F.col("c_nationkey") != 3) & ~F.col("seg").isin("BUILDING", "MACHINERY")).select("c_custkey", "seg")
+    return N.link_filter(df, "c_custkey", "c_nationkey", "seg", 3, ("BUILDING", "MACHINERY")).select("c_custkey", "seg")
 
 
-@register("b8_earnings_surprise", "WITH s AS (SELECT l_orderkey, max(l_extendedprice) AS actual, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1) SELECT l_orderkey, round(actual-mean,4) AS ue, round((actual-mean)/nullif(sd,0),6) AS sue FROM s")
+@register("b8_earnings_surprise", "WITH s AS (SELECT l_orderkey, max(l_extendedprice) AS actual, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1) SELECT l_orderkey, round(actual-mean,7) AS ue, round((actual-mean)/nullif(sd,0),6) AS sue FROM s")
 def b8(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("actual"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("sd"))
-    ue = F.col("actual") - F.col("mean")
-    return df.select("l_orderkey", r(ue, 4).alias("ue"), r(ratio(ue, F.col("sd"))).alias("sue"))
+    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("actual"), F.avg("l_extendedprice").alias("meanest"), F.stddev_samp("l_extendedprice").alias("stdev"))
+    return N.earnings_surprise(df).select("l_orderkey", r("ue", 7).alias("ue"), r("sue").alias("sue"))
 
 
 @register("b9_report_date", "WITH d AS (SELECT o_orderkey, max(l_shipdate) FILTER (l_returnflag='A') AS a, max(l_shipdate) FILTER (l_returnflag='R') AS b, max(l_shipdate) FILTER (l_returnflag='N') AS c, any_value(o_orderpriority) AS p FROM orders JOIN lineitem ON o_orderkey=l_orderkey GROUP BY 1) SELECT o_orderkey, strftime(greatest(a,b,c),'%Y-%m-%d') AS date, substr(p,1,3) AS key3 FROM d WHERE greatest(a,b,c) IS NOT NULL")
 def b9(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     flag = lambda v: F.max(F.when(F.col("l_returnflag") == v, F.col("l_shipdate")))
-    out = df.groupBy("o_orderkey").agg(flag("A").alias("a"), flag("R").alias("b"), flag("N").alias("c"), F.first("o_orderpriority").alias("p")).withColumn("date", F.greatest("a", "b", "c"))
-    return out.filter("date is not null").select("o_orderkey", day().alias("date"), F.substring("p", 1, 3).alias("key3"))
+    out = df.groupBy("o_orderkey").agg(flag("A").alias("a"), flag("R").alias("b"), flag("N").alias("c"), F.first("o_orderpriority").alias("key3"))
+    return N.report_date(out, ["a", "b", "c"], "key3", 3).select("o_orderkey", day().alias("date"), "key3")
 
 
 @register("b10_fundamental_ratios", f"{PANEL} SELECT {KEYS}, round(vol*1e6/nullif(mktcap,0),6) AS bm, round(mktcap/nullif(vol*1e6,0),6) AS pb FROM panel")
 def b10(spark, sf_dir):
-    bm = ratio(F.col("vol") * 1e6, F.col("mktcap"))
-    return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(bm).alias("bm"), r(ratio(F.lit(1.0), bm)).alias("pb"))
+    return N.fundamental_ratios(stock_panel(spark, sf_dir), "vol").select("name", day().alias("date"), r("bm").alias("bm"), r("pb").alias("pb"))
 
 
 @register("b17_weekday_filter", "SELECT o_orderkey, strftime(o_orderdate,'%a') AS d FROM orders WHERE strftime(o_orderdate,'%a') IN ('Fri','Sat')")
 def b17(spark, sf_dir):
-    d = F.date_format("o_orderdate", "E")
-    return table(spark, sf_dir, "orders").filter(d.isin("Fri", "Sat")).select("o_orderkey", d.alias("d"))
+    return N.weekday_filter(table(spark, sf_dir, "orders"), "o_orderdate").select("o_orderkey", F.date_format("o_orderdate", "E").alias("d"))
 
 
 @register("b18_year_filter", "SELECT o_orderkey FROM orders WHERE year(o_orderdate)=1997")
@@ -171,33 +205,33 @@ def b19(spark, sf_dir):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@register("b21_symbol_filter", "SELECT p_partkey, regexp_extract(p_name,'^([a-z]+) ',1) AS base FROM part WHERE regexp_extract(p_name,'^([a-z]+) ',1) <> '' AND NOT regexp_matches(p_name,'ring|bolt') AND p_type NOT IN ('PROMO')")
+@register("b21_symbol_filter", "WITH t AS (SELECT p_partkey, p_name, regexp_extract(p_name,'^([a-z]+) ',1) AS base FROM part), f AS (SELECT p_partkey, CASE base WHEN 'blue' THEN 'dark blue' ELSE base END AS base FROM t WHERE base <> '' AND NOT regexp_matches(p_name,'ring|bolt')) SELECT * FROM f WHERE base NOT IN ('red')")
 def b21(spark, sf_dir):
-    base = F.regexp_extract("p_name", "^([a-z]+) ", 1)
-    return table(spark, sf_dir, "part").filter((base != "") & ~F.col("p_name").rlike("ring|bolt") & ~F.col("p_type").isin("PROMO")).select("p_partkey", base.alias("base"))
+    return N.symbol_filter(table(spark, sf_dir, "part"), "p_name", "^([a-z]+) ", ("ring", "bolt"), ("red",), {"blue": "dark blue"}).select("p_partkey", "base")
 
 
-@register("b22_classify_by_pattern", "SELECT p_partkey, CASE WHEN p_type LIKE '%ECO%' THEN 'E' WHEN p_type LIKE '%STAN%' THEN 'S' ELSE 'X' END AS code FROM part")
+@register("b22_classify_by_pattern", "SELECT p_partkey, CASE WHEN regexp_matches(p_type,'ECO|MED') THEN 'E' WHEN regexp_matches(p_type,'STAN') THEN 'S' ELSE 'X' END AS code FROM part")
 def b22(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type").rlike("ECO"), "E").when(F.col("p_type").rlike("STAN"), "S").otherwise("X").alias("code"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.classify_by_pattern("p_type", {"ECO|MED": "E", "STAN": "S"}, "X").alias("code"))
 
 
-@register("b23_normalize_klines", "WITH k AS (SELECT event_id, epoch_us(ts)//1000 AS ms, value::VARCHAR AS v FROM events) SELECT event_id, strftime(make_timestamp(ms*1000),'%Y-%m-%d %H:%M:%S') AS ts, v::DOUBLE AS value FROM k")
+@register("b23_normalize_klines", "WITH k AS (SELECT event_id, epoch_us(ts)//1000 AS ms, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE value::VARCHAR END AS v FROM events) SELECT event_id, strftime(make_timestamp(ms*1000),'%Y-%m-%d %H:%M:%S') AS open_time, TRY_CAST(v AS DOUBLE) AS open FROM k")
 def b23(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("value").cast("string").alias("v"))
-    return raw.select("event_id", F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("v").cast("double").alias("value"))
+    text = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    raw = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("open_time"), text.alias("open"))
+    return N.normalize_klines(raw, ("open_time",), ("open",), ("event_id",)).withColumn("open_time", F.date_format("open_time", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("b24_step_precision", "WITH t AS (SELECT DISTINCT l_discount::VARCHAR AS tick FROM lineitem) SELECT tick, coalesce(length(nullif(regexp_extract(tick,'^0\\.(.*[1-9])',1),'')),0)::INTEGER AS digits FROM t")
 def b24(spark, sf_dir):
     ticks = table(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("string").alias("tick")).distinct()
-    return ticks.select("tick", F.coalesce(F.length(F.nullif(F.regexp_extract("tick", r"^0\.(.*[1-9])", 1), F.lit(""))), F.lit(0)).alias("digits"))
+    return ticks.select("tick", N.step_precision("tick").alias("digits"))
 
 
-@register("b25_size_exchange_filter", "SELECT p_partkey FROM part WHERE (p_size > 40 OR p_type IN ('LARGE','ECONOMY')) AND p_brand <> 'Brand#1' AND p_retailprice > 1000")
+@register("b25_size_exchange_filter", "SELECT p_partkey FROM part WHERE (p_size > 40 OR p_type IN ('LARGE','ECONOMY')) AND p_brand <> 'Brand#1' AND p_retailprice > 950")
 def b25(spark, sf_dir):
     big = (F.col("p_size") > 40) | F.col("p_type").isin("LARGE", "ECONOMY")
-    return table(spark, sf_dir, "part").filter(big & (F.col("p_brand") != "Brand#1") & (F.col("p_retailprice") > 1000)).select("p_partkey")
+    return N.size_exchange_filter(table(spark, sf_dir, "part"), big, "p_brand", ("Brand#1",), F.col("p_retailprice") > 950).select("p_partkey")
 
 
 @register("b26_one_hot", "SELECT o_orderkey, (o_orderstatus='O')::INTEGER AS \"o_orderstatus_O\", (o_orderstatus='P')::INTEGER AS \"o_orderstatus_P\" FROM orders")
@@ -212,9 +246,9 @@ def b27(spark, sf_dir):
 
 @register("b28_flatten_snapshot", "WITH s AS (SELECT event_id, user_id, ts, value, (props::JSON->>'k')::INTEGER AS k FROM events) SELECT event_id, k, round(value/nullif(k,0)-1,6) AS ret FROM s WHERE ts >= TIMESTAMP '2024-01-20'")
 def b28(spark, sf_dir):
-    df = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"))
-    df = df.withColumn("p", F.from_json("props", "k int"))
-    return df.select("event_id", "p.k", r(ratio(F.col("value"), F.col("p.k").cast("double")) - 1).alias("ret"))
+    since = F.lit("2024-01-20").cast("timestamp")
+    flat = N.flatten_snapshot(table(spark, sf_dir, "events"), {"last": "value", "k": "props.k"}, "k", "ts", since, "k int", "props")
+    return flat.select("event_id", "k", r("r_last").alias("ret"))
 
 
 @register("c2_inner_join", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey=n_nationkey")
@@ -261,16 +295,14 @@ def c7(spark, sf_dir):
 
 @register("c8_benchmark_join", f"{PANEL}, b AS (SELECT date, ret AS bench FROM panel WHERE name=1) SELECT p.name, strftime(p.date,'%Y-%m-%d') AS date, round(ret-bench,6) AS active FROM panel p JOIN b ON p.date=b.date")
 def c8(spark, sf_dir):
-    df = stock_panel(spark, sf_dir)
-    bench = df.filter("name = 1").select("date", F.col("ret").alias("bench"))
-    return df.join(bench, "date").select("name", day().alias("date"), r(F.col("ret") - F.col("bench")).alias("active"))
+    return N.benchmark_join(stock_panel(spark, sf_dir), 1).select("name", day().alias("date"), r("active").alias("active"))
 
 
 @register("c9_factor_join", f"{PANEL}, f AS (SELECT strftime(date,'%Y%m') AS ym, avg(ret)-0.001 AS mkt_rf FROM panel GROUP BY 1) SELECT name, strftime(date,'%Y%m') AS ym, round(ret-0.001-mkt_rf,6) AS excess FROM panel JOIN f ON strftime(date,'%Y%m')=ym")
 def c9(spark, sf_dir):
-    df = stock_panel(spark, sf_dir).withColumn("ym", F.date_format("date", "yyyyMM"))
-    factors = df.groupBy("ym").agg((F.avg("ret") - 0.001).alias("mkt_rf"))
-    return df.join(factors, "ym").select("name", "ym", r(F.col("ret") - 0.001 - F.col("mkt_rf")).alias("excess"))
+    df = stock_panel(spark, sf_dir)
+    factors = df.groupBy(F.date_format("date", "yyyyMM").alias("ym")).agg((F.avg("ret") - 0.001).alias("mkt_rf"))
+    return N.factor_join(df, factors, "yyyyMM", "ym").select("name", "ym", r(F.col("ret") - 0.001 - F.col("mkt_rf")).alias("excess"))
 
 
 @register("c11_pairs", f"{BRANDS} SELECT a.name AS x, b.name AS y, strftime(a.date,'%Y-%m-%d') AS date, round(a.price,6) AS p_x, round(b.price,6) AS p_y FROM prices a JOIN prices b ON a.name > b.name AND a.date=b.date")
@@ -281,7 +313,7 @@ def c11(spark, sf_dir):
 @register("d14_distinct_lookup", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment='BUILDING')")
 def d14(spark, sf_dir):
     chosen = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(chosen, "o_custkey", "left_semi").select("o_custkey").distinct()
+    return N.distinct_lookup(table(spark, sf_dir, "orders"), chosen, "o_custkey")
 
 
 @register("d15_drop_duplicates", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)=1")
@@ -315,6 +347,15 @@ _downsample("d18_downsample_quarter", "Q", "last_day(date_trunc('quarter', date)
 _downsample("d18_downsample_year", "Y", "last_day(date_trunc('year', date) + INTERVAL 11 MONTH)")
 
 
+@register("d18_downsample_filled", f"""{DAYS}, x AS (SELECT name, date, value, n, value/nullif(lag(value) OVER (PARTITION BY name ORDER BY date),0)-1 AS ret FROM days WHERE n > 1 AND day(date) % 5 < 2), w AS (SELECT name, date::DATE + ((12 - isodow(date)::INTEGER) % 7)::INTEGER AS d, ret, value, n FROM x),
+ a AS (SELECT name, d, exp(coalesce(sum(CASE WHEN ret > -1 THEN ln(1+ret) END),0))-1 AS ret, avg(value) AS value, sum(n)::BIGINT AS n FROM w GROUP BY 1,2), g AS (SELECT name, unnest(generate_series(min(d)::TIMESTAMP, max(d)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS d FROM a GROUP BY 1)
+ SELECT g.name, strftime(g.d,'%Y-%m-%d') AS date, round(coalesce(ret,0),6) AS ret, round(value,6) AS value, coalesce(n,0)::BIGINT AS n FROM g LEFT JOIN a ON g.name=a.name AND g.d=a.d""")
+def d18_filled(spark, sf_dir):
+    df = day_panel(spark, sf_dir).filter("n > 1 and day(date) % 5 < 2")
+    df = df.withColumn("ret", ratio(F.col("value"), F.lag("value").over(Window.partitionBy("name").orderBy("date"))) - 1)
+    return X.downsample(df, "ret", ["value"], [], ["n"], "W", fill_gaps=True).select("name", day().alias("date"), r("ret").alias("ret"), r("value").alias("value"), "n")
+
+
 @register("d19_fill_report", "SELECT l_suppkey AS symbol, sum(l_quantity) AS shares, round(sum(l_extendedprice)/sum(l_quantity),6) AS vwap, round(sum(l_tax),6) AS commission, round(sum(l_discount),6) AS pnl FROM lineitem GROUP BY ROLLUP (l_suppkey)")
 def d19(spark, sf_dir):
     fills = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_quantity").alias("shares"), ratio("l_extendedprice", "l_quantity").alias("price"), F.col("l_tax").alias("fee"), F.col("l_discount").alias("gain"))
@@ -323,7 +364,7 @@ def d19(spark, sf_dir):
 
 @register("d20_count_symbols", "SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS types FROM part GROUP BY 1")
 def d20(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("types")).orderBy(F.desc("n"), "p_brand")
+    return N.count_symbols_by_quote(table(spark, sf_dir, "part"), "p_brand", "p_type").withColumnRenamed("bases", "types")
 
 
 @register("d21_history_average", f"{PANEL}, l AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY date DESC) AS i FROM panel) SELECT name, strftime(max(date),'%Y-%m-%d') AS date, round(avg(vol),6) AS vol FROM l WHERE i<=6 GROUP BY name HAVING count(*)=6 AND max(date)=(SELECT max(date) FROM panel)")
@@ -333,15 +374,12 @@ def d21(spark, sf_dir):
 
 @register("d22_grid_summary", "SELECT l_returnflag, l_linestatus, round(avg(l_quantity),6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_linestatus))")
 def d22(spark, sf_dir):
-    sets = [[F.col("l_returnflag")], [F.col("l_linestatus")]]
-    return table(spark, sf_dir, "lineitem").groupingSets(sets, "l_returnflag", "l_linestatus").agg(r(F.avg("l_quantity")).alias("mean"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return N.grid_summary(table(spark, sf_dir, "lineitem"), [["l_returnflag"], ["l_linestatus"]], "l_quantity").withColumn("mean", r("mean"))
 
 
 @register("d23_quantile_threshold", f"{PANEL} SELECT {KEYS}, CASE WHEN ret > (SELECT quantile_cont(ret,0.5) FROM panel) THEN 1 ELSE 0 END AS position FROM panel")
 def d23(spark, sf_dir):
-    df = stock_panel(spark, sf_dir)
-    median = df.agg(F.percentile("ret", 0.5).alias("median"))
-    return df.crossJoin(F.broadcast(median)).select("name", day().alias("date"), F.when(F.col("ret") > F.col("median"), 1).otherwise(0).alias("position"))
+    return N.quantile_threshold(stock_panel(spark, sf_dir), "ret").select("name", day().alias("date"), "position")
 
 
 @register("d24_duplicates", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")

@@ -1,12 +1,17 @@
 """Edge panels, invariants, sources, sinks and streams of the panel operators."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpanel.operators import etl, forecast, pairs, portfolio, ranking, research, rolling
+from sparkpanel.operators import enrich, etl, forecast, pairs, portfolio, quantiles, ranking, research, rolling
 from sparkpanel.plans import fixtures
 from sparkpanel.sources import tables
 from sparkpanel.streaming import live
@@ -125,21 +130,134 @@ def test_adf_takes_the_lag_of_least_aic():
 
 
 def test_walk_forward_covers_the_calendar(spark):
+    """Each window's backtest starts anew: plain runs of the same backtest on each window's rows."""
     from sparkpanel.plans import pairs as plans
 
     out = plans.i13(spark, DATA).collect()
-    panel = plans.returns(spark, DATA).select("x", "y", "date", "r", "spread").toPandas()
     assert {r.window for r in out} == {0, 1, 2, 3}
+    prices = plans.panel(spark, DATA).persist()
     z = lambda v: (v - np.nanmean(v)) / np.nanstd(v, ddof=1)
     for k in range(4):  # the last one is short
-        train = panel[(panel["date"] >= f"{1995 + k}-01-01") & (panel["date"] < f"{1998 + k}-01-01")]
+        train = pairs.backtest(prices.filter(f"date >= '{1995 + k}-01-01' and date < '{1998 + k}-01-01'")).toPandas()
+        trade = pairs.backtest(prices.filter(f"date >= '{1996 + k}-01-01' and date < '{1999 + k}-01-01'")).toPandas()
         stats = {key: g.sort_values("date") for key, g in train.groupby(["x", "y"])}
         s = np.array([g["r"].mean() / g["r"].std() if g["r"].std() else np.nan for g in stats.values()])
         p = np.array([pairs.approximate_p(pairs.adf_statistic(g["spread"].dropna().to_numpy()), 1) for g in stats.values()])
         score = np.nan_to_num(0.5 * z(s) - 0.5 * z(p), nan=-np.inf)
         best = {list(stats)[i] for i in np.argsort(-score, kind="stable")[:10]}
-        held = panel[(panel["date"] >= f"{1998 + k}-01-01") & (panel["date"] < f"{1999 + k}-01-01") & np.array([key in best for key in zip(panel["x"], panel["y"], strict=True)])]
+        held = trade[(trade["date"] >= f"{1998 + k}-01-01") & np.array([key in best for key in zip(trade["x"], trade["y"], strict=True)])]
         assert {r.date: pytest.approx(r.r) for r in out if r.window == k} == held.groupby("date")["r"].mean().to_dict() != {}
+    prices.unpersist()
+
+
+def test_kalman_filter_with_constant_is_the_textbook_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 1, 60)
+    y = 2 + 1.5 * x + rng.normal(0, 0.1, 60)
+    rows = [("a", "b", i, float(x[i]), float(y[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "x string, y string, date int, p_x double, p_y double")
+    got = [r.hr for r in pairs.kalman_hedge(df, 0.01, 0.02, constant=True, state_mean=0.1, drift=0.001).orderBy("date").collect()]
+    state, cov = np.full((2, 1), 0.1), np.full((2, 2), 0.01)
+    for i in range(60):
+        cov = cov + 0.001 * np.eye(2) * (i > 0)
+        h = np.array([[1.0, x[i]]])
+        gain = cov @ h.T / (h @ cov @ h.T + 0.02)
+        state = state + gain * (y[i] - h @ state)
+        cov = (np.eye(2) - gain @ h) @ cov
+        assert got[i] == pytest.approx(state[1, 0])
+    assert got[-1] == pytest.approx(1.5, abs=0.2)
+
+
+def test_rolling_factor_alpha_is_each_window_alone(spark):
+    from sparkpanel.plans import research as plans
+
+    df = plans.excess(spark, DATA).withColumn("rf", F.lit(0.001))
+    got = {(r.name, r.date): (r.coefficient, r.t) for r in research.factor_alpha(df, ["name"], "ret", "FF3", window=36).filter("term = 'alpha'").collect()}
+    rows = df.filter("name = 3 and x is not null").orderBy("date").select("date", "x", "mkt_rf", "smb", "hml").toPandas().dropna()
+    assert len([k for k in got if k[0] == 3]) == len(rows) - 35
+    for end in (36, 50, len(rows)):
+        part = rows.iloc[end - 36 : end]
+        beta, t, _ = research.hac_ols(np.column_stack([np.ones(36), part[["mkt_rf", "smb", "hml"]]]), part["x"].to_numpy())
+        assert got[3, rows["date"].iloc[end - 1]] == (pytest.approx(beta[0]), pytest.approx(t[0]))
+
+
+def test_values_of_queries_without_sql(spark):
+    """Sorts by p-value, models, searches and selections against pandas or a second way."""
+    from sparkpanel.plans import forecasts, portfolios, recommendations
+
+    ports = portfolios.single(spark, DATA).select("sig_rank", "port_r").toPandas().dropna()
+    for r in portfolios.g5p(spark, DATA).collect():
+        v = ports[ports["sig_rank"] == r.sig_rank]["port_r"]
+        t = v.mean() / v.std() * np.sqrt(len(v))
+        assert r.t == pytest.approx(t, abs=1e-6) and r.p == pytest.approx(portfolio.incomplete_beta((len(v) - 1) / 2, 0.5, (len(v) - 1) / (len(v) - 1 + t * t)), abs=1e-6)
+    found = {r.sig for r in portfolios.g16_p(spark, DATA).collect()}
+    assert found == {r.sig for r in portfolios._sweep(spark, DATA).filter("sig_rank = 'high_minus_low' and p <= 0.05 and abs(mean) > 0.0001").collect()}
+    frame = forecasts.frame(spark, DATA).toPandas()
+    assert forecasts.J.univariate_scores(forecasts.frame(spark, DATA), ["mom"], "y").first().f == pytest.approx((lambda c, n: c * c / (1 - c * c) * (n - 2))(frame["mom"].corr(frame["y"]), len(frame)))
+    predicted = forecasts.j11(spark, DATA).toPandas()
+    first = predicted[predicted["fold"] == 0]
+    months = sorted(frame["date"].unique())
+    train, test = frame[frame["date"].isin(months[:36])], frame[frame["date"].isin(months[36:48])].sort_values(["name", "date"])
+    fill = train[forecasts.FEATURES].mean()
+    design = lambda d: np.column_stack([np.ones(len(d)), d[forecasts.FEATURES].fillna(fill)])
+    beta = np.linalg.lstsq(design(train), train["y"], rcond=None)[0]
+    assert first.sort_values(["name", "date"])["prediction"].to_numpy() == pytest.approx(design(test) @ beta, rel=1e-4, abs=1e-6)
+    errors = recommendations.l6(spark, DATA).collect()
+    assert len(errors) == 5 and all(0 < e.mae <= e.rmse < 3 for e in errors)  # ratings run from 0.1 to 5
+    importance = forecasts.j16(spark, DATA).collect()
+    assert sum(r["mean"] for r in importance) == pytest.approx(1)
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": np.round(rng.normal(size=20_001), 2), "b": np.zeros(50), "c": np.array([1.0]), None: rng.exponential(size=1000)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
+    ps = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    got = {r.k: r for r in quantiles.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", ps).collect()}
+    assert got.keys() == values.keys()
+    for k, v in values.items():
+        assert got[k].n == len(v) and got[k].q == pytest.approx(np.quantile(v, ps))
+
+
+def test_running_total_over_a_whole_table(spark):
+    rows = [(i, (i * 7919) % 101, i % 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, k int, v long")
+    got = {r.id: r.upto for r in ranking.running_total(df, F.col("k"), [F.col("k"), F.col("id")], F.col("v"), "upto").collect()}
+    total = 0
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += v
+        assert got[i] == total
+
+
+def test_null_keys_and_nan_conditions(spark):
+    facts = spark.createDataFrame([(None, 5), ("a", 5)], "k string, t int")
+    history = spark.createDataFrame([(None, 1, 10), ("a", 2, 20)], "k string, e int, v int")
+    assert [(r.k, r.v) for r in etl.asof_join(facts, history, ["k"], "t", "e", ["v"]).collect()] == [("a", 20)]
+    df = spark.createDataFrame([(n, 1, float(i), 0.1 * i, float("nan") if i == 3 else 1.0 * i) for i, n in enumerate("abcdef")], "name string, date int, s double, r double, c double")
+    ports = portfolio.sort_portfolios(df, "s", "r", 1, condition="c", n_condition=1).filter("sig_rank = '1'").first()
+    assert ports.n_assets == 5 and "d" not in ports.members
+
+
+def test_enrichment_edges(spark):
+    df = spark.createDataFrame([("x", 5.0, 0.0, "0.010", "BTCUP"), ("y", None, 2.0, None, "ETHUSDT"), (None, -1.0, -2.0, "1", "INCHUSDT")], "k string, a double, b double, tick string, s string")
+    got = df.select("k", enrich.illiquidity("a", "b").alias("i"), enrich.spread_pct("a", "b").alias("p"), enrich.step_precision("tick").alias("d"), enrich.threshold_position("a", 2).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("x", None, -2.0, 2, 1), ("y", None, None, 0, 0), (None, -0.5, pytest.approx(0.6666666), 0, 0)]
+    assert [r.base for r in enrich.symbol_filter(df, "s", "([A-Z]{2,})USDT", exclude=("ETH",), repair={"INCH": "1INCH"}).collect()] == ["1INCH"]
+    assert enrich.report_date(spark.createDataFrame([("ab", None, None), ("cd", 1, None)], "key string, p int, q int"), ["p", "q"], "key", 1).collect()[0].key == "c"
+    assert enrich.min_history(df, 2, ["k"]).count() == 0 and enrich.liquidity_screen(df, {"a": 0}, ("k",)).count() == 1
+
+
+def test_package_works_without_its_corpus_part(tmp_path):
+    """queries() and oracle_sql() in a copy without the llm folders, as someone may take it."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("sparkpanel", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(s) <= set(q) and not any(n.startswith('op') for n in q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}).returncode == 0
 
 
 def test_folds_never_look_ahead(spark):

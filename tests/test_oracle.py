@@ -23,7 +23,7 @@ def duck():
 
 def normal(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else value + 0.0
     return value
 
 
@@ -32,22 +32,16 @@ def rows_of(names, rows):
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-def close(a, b):
-    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-5))
-
-
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    mine, theirs = rows_of(got.columns, [tuple(r) for r in got.collect()]), rows_of(names, want.fetchall())
-    assert len(mine) == len(theirs)
-    for a, b in zip(mine, theirs, strict=True):
-        assert all(close(x, y) for x, y in zip(a, b, strict=True)), (a, b)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+    """What the rows hold is tested in test_invariants.py."""
+    assert QUERIES[name](spark, DATA).count() > 0
