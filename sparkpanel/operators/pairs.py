@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -168,21 +169,22 @@ def adf_statistic(series: np.ndarray, lags: int | None = None, constant: bool =
     return float(beta[0] / math.sqrt(max(e @ e / (len(y) - x.shape[1]) * inverse[0, 0], 1e-300)))
 
 
-#: MacKinnon's asymptotic 1 %, 5 % and 10 % critical values, constant, one and two variables.
-CRITICAL = {1: (-3.43035, -2.86154, -2.56677), 2: (-3.89644, -3.33613, -3.04445)}
-LEVELS = (0.01, 0.05, 0.10)
+#: MacKinnon's (1994) response surfaces with a constant, for one and two variables. Below TAU[1] the
+#: p-value is that of SMALL's polynomial in the statistic on the normal scale, above it LARGE's; outside TAU[0] to TAU[2] it is 0 or 1.
+TAU = {1: (-18.83, -1.61, 2.74), 2: (-18.86, -2.62, 0.92)}
+SMALL = {1: (2.1659, 1.4412, 0.038269), 2: (2.92, 1.5012, 0.039796)}
+LARGE = {1: (1.7339, 0.93202, -0.12745, -0.010368), 2: (2.1945, 0.64695, -0.29198, -0.042377)}
 
 
 def approximate_p(statistic: float, variables: int) -> float:
-    """p-value interpolated on the normal scale between the published critical values, extended linearly."""
+    """p-value of a Dickey-Fuller statistic with constant, or of the residual of a regression of two variables."""
     if not math.isfinite(statistic):
         return float("nan")
-    from statistics import NormalDist
-
-    norm = NormalDist()
-    z = [norm.inv_cdf(p) for p in LEVELS]
-    slope, shift = np.polyfit(CRITICAL[variables], z, 1)
-    return float(norm.cdf(slope * statistic + shift))
+    low, star, high = TAU[variables]
+    if not low <= statistic <= high:
+        return float(statistic > high)
+    terms = SMALL[variables] if statistic <= star else LARGE[variables]
+    return NormalDist().cdf(sum(c * statistic**i for i, c in enumerate(terms)))
 
 
 def engle_granger(df: DataFrame, cutoff: float = 1.0) -> DataFrame:

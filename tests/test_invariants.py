@@ -129,6 +129,13 @@ def test_adf_takes_the_lag_of_least_aic():
     assert found - {1}
 
 
+def test_adf_p_values_meet_the_published_critical_values():
+    for variables, critical in ((1, (-3.43035, -2.86154, -2.56677)), (2, (-3.89644, -3.33613, -3.04445))):
+        assert [pairs.approximate_p(t, variables) for t in critical] == pytest.approx([0.01, 0.05, 0.1], abs=2e-4)
+        assert pairs.approximate_p(-30, variables) == 0 and pairs.approximate_p(3, variables) == 1
+    assert math.isnan(pairs.approximate_p(float("nan"), 1))
+
+
 def test_walk_forward_covers_the_calendar(spark):
     """Each window's backtest starts anew: plain runs of the same backtest on each window's rows."""
     from sparkpanel.plans import pairs as plans
