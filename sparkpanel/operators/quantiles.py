@@ -27,7 +27,11 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> Da
     named = each.withColumnsRenamed({c: f"__{c}" for c in by})
     same = [rows[c].eqNullSafe(named[f"__{c}"]) for c in by]
     met = rows.join(named, same) if by else rows.crossJoin(F.broadcast(named))  # one row for each quantile
-    counts = met.groupBy(*by, "i", "n", "at", F.when(F.col("__v") < F.col("low"), F.lit(-1)).when(F.col("__v") > F.col("high"), F.lit(1)).otherwise(0).alias("side"), F.when(F.col("__v").between(F.col("low"), F.col("high")), F.col("__v")).alias("v")).count()
+    side = F.when(F.col("__v") < F.col("low"), -1).when(F.col("__v") > F.col("high"), 1).otherwise(0).alias("side")
+    inside = F.when(F.col("__v").between(F.col("low"), F.col("high")), F.col("__v")).alias("v")
+    # of the values outside, those next to the bracket may be one of the two that a quantile lies between
+    counts = met.groupBy(*by, "i", "n", "at", side, inside).agg(F.count("*").alias("count"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    counts = counts.withColumn("v", F.when(F.col("side") < 0, F.col("__max")).otherwise(F.col("__min"))).drop("__min", "__max")
     w = Window.partitionBy(*by, "i").orderBy("side", "v")
     upto = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("count"))

@@ -101,11 +101,11 @@ def f14(spark, sf_dir):
     return O.elasticity_pick(chain(spark, sf_dir).drop("elasticity"), ratio(F.col("delta") * F.col("prc"), F.col("opt_prc")), 2.0, ["date"]).select("name", day().alias("date"), "id")
 
 
-@register("c12_contract_series", f"{ENRICHED}, t AS (SELECT date, id FROM o QUALIFY row_number() OVER (PARTITION BY o.date, name ORDER BY volume DESC, strike DESC, id)=1) SELECT {KEYS.replace('name', 'o.name').replace('date,', 'o.date,', 1)}, o.id, round(opt_prc,6) AS opt_prc FROM o JOIN t ON o.date=t.date AND o.id=t.id")
+@register("c12_contract_series", f"{ENRICHED}, t AS (SELECT date, id FROM o QUALIFY row_number() OVER (PARTITION BY o.date, name ORDER BY volume DESC, strike DESC, id)=1) SELECT {KEYS.replace('name', 'o.name').replace('date,', 'o.date,', 1)}, o.id, round(opt_prc,8) AS opt_prc FROM o JOIN t ON o.date=t.date AND o.id=t.id")
 def c12(spark, sf_dir):
     df = chain(spark, sf_dir)
     chosen = O.select_by_max(df, "volume", "strike", ["date", "name"]).select("date", "id")
-    return df.join(chosen, ["date", "id"]).select("name", day().alias("date"), "id", r("opt_prc").alias("opt_prc"))
+    return df.join(chosen, ["date", "id"]).select("name", day().alias("date"), "id", r("opt_prc", 8).alias("opt_prc"))
 
 
 @register("b14_price_columns", f"{ENRICHED} SELECT {KEYS}, id, round(ks,6) AS ks, round(p_ratio,6) AS p_ratio, round(elasticity,4) AS elasticity, round(rv_iv,6) AS rv_iv FROM o")

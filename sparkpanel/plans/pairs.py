@@ -64,9 +64,9 @@ def i2_no_constant(spark, sf_dir):
     return panel(spark, sf_dir).withColumn("hr", P.hedge_ratio("OLS", constant=False)).select("x", "y", day().alias("date"), r("hr").alias("hr"))
 
 
-@register("i3_spread", f"{PAIRS}, n AS (SELECT *, round_even(1000000/nullif(p_y,0),0) AS n FROM h) SELECT {XYD}, round(p_y-hr*p_x,4) AS spread, round(p_y-round_even(n*hr,0)/nullif(n,0)*p_x,4) AS spread_shares FROM n")
+@register("i3_spread", f"{PAIRS}, n AS (SELECT *, round_even(1000000/nullif(p_y,0),0) AS n FROM h) SELECT {XYD}, round(p_y-hr*p_x,6) AS spread, round(p_y-round_even(n*hr,0)/nullif(n,0)*p_x,6) AS spread_shares FROM n")
 def i3(spark, sf_dir):
-    return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r("spread", 4).alias("spread"), r(P.spread(1_000_000.0), 4).alias("spread_shares"))
+    return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r("spread").alias("spread"), r(P.spread(1_000_000.0)).alias("spread_shares"))
 
 
 @register("i4_spread_signal", f"{SIGNAL} SELECT {XYD}, round(signal,6) AS signal FROM g")

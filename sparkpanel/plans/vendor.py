@@ -305,9 +305,9 @@ def c9(spark, sf_dir):
     return N.factor_join(df, factors, "yyyyMM", "ym").select("name", "ym", r(F.col("ret") - 0.001 - F.col("mkt_rf")).alias("excess"))
 
 
-@register("c11_pairs", f"{BRANDS} SELECT a.name AS x, b.name AS y, strftime(a.date,'%Y-%m-%d') AS date, round(a.price,6) AS p_x, round(b.price,6) AS p_y FROM prices a JOIN prices b ON a.name > b.name AND a.date=b.date")
+@register("c11_pairs", f"{BRANDS} SELECT a.name AS x, b.name AS y, strftime(a.date,'%Y-%m-%d') AS date, round(a.price,8) AS p_x, round(b.price,8) AS p_y FROM prices a JOIN prices b ON a.name > b.name AND a.date=b.date")
 def c11(spark, sf_dir):
-    return X.pair_panel(pair_prices(spark, sf_dir)).select("x", "y", day().alias("date"), r("p_x").alias("p_x"), r("p_y").alias("p_y"))
+    return X.pair_panel(pair_prices(spark, sf_dir)).select("x", "y", day().alias("date"), r("p_x", 8).alias("p_x"), r("p_y", 8).alias("p_y"))
 
 
 @register("d14_distinct_lookup", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment='BUILDING')")

@@ -217,7 +217,7 @@ def test_values_of_queries_without_sql(spark):
 
 def test_exact_percentiles(spark):
     rng = np.random.default_rng(1)
-    values = {"a": np.round(rng.normal(size=20_001), 2), "b": np.zeros(50), "c": np.array([1.0]), None: rng.exponential(size=1000)}
+    values = {"a": np.round(rng.normal(size=20_001), 2), "e": rng.normal(size=826), "f": rng.normal(size=37), "b": np.zeros(50), "c": np.array([1.0]), None: rng.exponential(size=1000)}
     rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
     ps = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
     got = {r.k: r for r in quantiles.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", ps).collect()}
