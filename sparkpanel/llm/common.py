@@ -10,8 +10,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words handled together by the vectorised tokenising helpers; bounds a task's memory.
@@ -63,6 +64,47 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Scratch tables of one call of an operator, by name; a new table of a name takes the old one's place."""
+
+    def __init__(self, spark: SparkSession, operator: str):
+        self.spark, self.operator, self.paths = spark, operator, {}
+        bounded_batches(spark)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize(df, f"{self.operator}-{name}")
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                drop_table(self.spark, path)
+
+    def rename(self, old: str, new: str) -> None:
+        self.drop(new)
+        self.paths[new] = self.paths.pop(old)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """Write the operator's result and drop every other table."""
+        out, _ = materialize(result, f"{self.operator}-result")
+        self.drop(*list(self.paths))
+        return out
+
+
+#: Rows and bytes of one batch between Spark and Python at most, one row at least.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark sends to Python by their bytes too, as texts may be long; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now.
 
@@ -75,6 +117,80 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def smallest_hashes(df: DataFrame, key: list[str], most: int, by: list[str] | None = None) -> DataFrame:
+    """The ``most`` rows of df (of each group of columns ``by``) with the smallest hash of ``key``.
+
+    A bound on the hash, from the number of rows, leaves few more than that before
+    anything is sorted or sent. Rows of equal keys may take each other's places.
+    """
+    by = by or []
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    share = F.least(F.lit(1.0), (most + 6 * most**0.5 + 20) / F.col("__n"))
+    met = df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))  # n is one row, or one for each group
+    met = met.withColumn("__h", F.xxhash64(*key)).filter(F.col("__h") / 2.0**64 + 0.5 <= share)
+    if not by:
+        return met.orderBy("__h").limit(most).drop("__h", "__n")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__h"))
+    return met.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__h", "__n", "__rank")
+
+
+#: Bits of a membership bitmap at most, and bits for each key; more keys than fit are matched by a join.
+BITMAP_BITS, BITS_A_KEY = 1 << 28, 16
+
+
+class KeyBitmap:
+    """Which slots the hashes of some keys take: tells without a join which rows cannot have one of them."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.slots = bits, np.uint64(8 * len(bits))
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """False where a key (int64) is surely not among them."""
+        slot = (mix64(keys.view(np.uint64)) % self.slots).astype(np.int64)
+        return (self.bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
+def key_bitmap(keys: DataFrame, most: int = BITMAP_BITS) -> KeyBitmap | None:
+    """The bitmap of a table of one long column, put together where the keys are; None where they need more than ``most`` bits."""
+    (name,) = keys.columns
+    slots = 1 << max(15, (BITS_A_KEY * keys.count() - 1).bit_length())
+    if slots > most:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((mix64(found.view(np.uint64)) % np.uint64(slots)).astype(np.int64))], ["slot"])
+
+    # bitmap positions count from 0 within buckets of 32,768 that are numbered from 1
+    slot = keys.select(name).mapInArrow(run, "slot long")
+    parts = slot.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
+    bits = np.zeros(slots // 8, np.uint8)
+    for r in parts.collect():  # slots / 8 bytes
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        bits[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+    return KeyBitmap(bits)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't in ids (one long column); those without an id stay.
+
+    Rows that surely stay aren't shuffled; the others are matched by a join.
+    """
+    bitmap, gone = key_bitmap(ids), ids.toDF("__gone")
+    if bitmap is None:
+        return docs.join(gone, F.col(column) == F.col("__gone"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_BITS at most
+
+    @F.arrow_udf("boolean")
+    def suspect(keys: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & keys.is_valid().to_numpy(zero_copy_only=False))
+
+    marked = docs.withColumn("__suspect", suspect.asNondeterministic()(F.col(column).cast("long")))
+    found = marked.filter("__suspect").join(gone, F.col(column) == F.col("__gone"), "left_anti")
+    return marked.filter("not __suspect").unionByName(found).drop("__suspect")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -138,20 +254,19 @@ def blocks(texts: Iterable[str | None], lower: bool) -> Iterator[tuple[list[int]
         yield at, words
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Smallest reachable id per node of an undirected graph with columns a, b.
 
     Alternates large-star and small-star steps until the edge set is a forest of
     stars; each step aggregates before it shuffles, and AQE splits the join's
     partitions of a hub. Returns node, component for all nodes that have an edge
-    to another node. An empty edge table gives an empty result.
+    to another node, as a table of the scratch. An empty edge table gives an empty result.
     """
-    spark = edges.sparkSession
-    now, path = materialize(
+    now = scratch.write(
         edges.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
-        name,
+        f"{name}-edges",
     )
     before = None
     while True:
@@ -166,10 +281,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .filter(F.col("a") != F.col("b"))
             .distinct()
         )
-        after, new_path = materialize(small, name)
-        drop_table(spark, path)
-        now, path = after, new_path
+        now = scratch.write(small, f"{name}-edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
+            scratch.rename(f"{name}-edges", name)
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = mark

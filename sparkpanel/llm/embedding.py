@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Scratch, connected_components, smallest_hashes
 
 AXES, BLOCK = 6, 512
 #: Vectors that the principal directions are fitted on at most; any directions give the same result.
@@ -45,7 +45,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _directions(reps: DataFrame) -> dict[int, np.ndarray]:
     """Leading principal directions for each vector length."""
-    rows = reps.select("dim", "raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    rows = smallest_hashes(reps.select("vec_id", "dim", "raw"), ["vec_id"], SAMPLE).collect()
     out = {}
     for dim in {r.dim for r in rows}:
         x = np.array([np.frombuffer(r.raw) for r in rows if r.dim == dim])
@@ -83,12 +83,13 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     taken as a key; a null one keeps a null component. Other columns are ignored.
     """
     spark = embeddings.sparkSession
+    scratch = Scratch(spark, "embedding")
     eps = float(np.sqrt(2 - 2 * least)) + _SLACK
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     label = source.schema["label"].dataType.simpleString()
-    rows, _ = materialize(source.mapInArrow(_vectors, f"vec_id long, label {label}, dim int, digest binary, raw binary"), "embedding-rows")
+    rows = scratch.write(source.mapInArrow(_vectors, f"vec_id long, label {label}, dim int, digest binary, raw binary"), "rows")
     valid = rows.filter("digest is not null and vec_id is not null")
-    groups, _ = materialize(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("vec_id", "dim", "raw")).alias("first")), "embedding-groups")
+    groups = scratch.write(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("vec_id", "dim", "raw")).alias("first")), "groups")
     reps = groups.select(F.col("rep").alias("vec_id"), "label", "copies", F.col("first.dim").alias("dim"), F.col("first.raw").alias("raw"))
     axes = spark.sparkContext.broadcast(_directions(reps))  # AXES numbers for each component, whatever the rows
     cells = [f"c{i}" for i in range(AXES)]
@@ -106,7 +107,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     schema = f"vec_id long, label {label}, copies long, dim int, raw binary, " + ", ".join(f"{c} double" for c in cells)
     placed = reps.mapInArrow(project, schema)
     order = ["label", "dim", *[F.floor(F.col(c) / eps) for c in cells], "vec_id"]
-    placed, _ = materialize(placed, "embedding-placed")
+    placed = scratch.write(placed, "placed")
     sequence = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
 
     bounds = [f"{side}{i}" for side in ("lo", "hi") for i in range(AXES)]
     names = ["block", "label", "dim", "ids", "copies", "raw", *bounds]
-    blocks, _ = materialize(sequence.mapInArrow(cut, f"block long, label {label}, dim int, ids binary, copies binary, raw binary, " + ", ".join(f"{b} double" for b in bounds)), "embedding-blocks")
+    blocks = scratch.write(sequence.mapInArrow(cut, f"block long, label {label}, dim int, ids binary, copies binary, raw binary, " + ", ".join(f"{b} double" for b in bounds)), "blocks")
 
     def nodes(shift: int, above: int, suffix: str) -> DataFrame:
         """Intervals of a level with their boxes and the interval above."""
@@ -149,7 +150,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
         a, b = nodes(shift, above, "a"), nodes(shift, above, "b")
         met = a.join(b, ["label", "dim"]) if pairs is None else pairs.join(a, ["label", "dim", "overa"]).join(b, ["label", "dim", "overb"])
         pairs = met.filter((F.col("keya") <= F.col("keyb")) & (gap <= eps * eps)).select("label", "dim", F.col("keya").alias("overa"), F.col("keyb").alias("overb"))
-        pairs, _ = materialize(pairs, "embedding-pairs")
+        pairs = scratch.write(pairs, "pairs")
         above = shift
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +174,15 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
 
     side = lambda s, o: blocks.select(F.col("block").alias(o), F.col("ids").alias(f"ids_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("raw").alias(f"raw_{s}"))
     compared = pairs.join(side("x", "overa"), "overa").join(side("y", "overb"), "overb").drop("label")
-    found, _ = materialize(compared.mapInArrow(compare, "a long, b long, links long"), "embedding-links")
+    found = scratch.write(compared.mapInArrow(compare, "a long, b long, links long"), "links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     owner = (
         groups.select("label", "digest", "rep", "copies")
         .join(links.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(connected_components(found.select("a", "b"), "embedding-labels").withColumnRenamed("node", "rep"), "rep", "left")
+        .join(connected_components(found.select("a", "b"), scratch, "labels").withColumnRenamed("node", "rep"), "rep", "left")
         .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
-    return (
+    return scratch.close(
         rows.select("vec_id", "label", "digest")
         .join(owner, ["label", "digest"], "left")
         .select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))

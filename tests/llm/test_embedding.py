@@ -46,3 +46,13 @@ def test_edges_and_chains(spark, monkeypatch):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
     doubled = embedding.near_duplicates(df.filter("vec_id = 600").union(df.filter("vec_id = 600"))).collect()
     assert [tuple(r) for r in doubled] == [(600, 0, 600, True)] * 2
+
+
+def test_ties_at_the_threshold(spark):
+    """Cosines of exactly 0.98 and next to it, as double precision has them."""
+    rows = [(0, [1.0, 0.0], 0)]
+    for i, c in enumerate((0.98, np.nextafter(0.98, 0), np.nextafter(0.98, 1), 0.9799999, 0.9800001), 1):
+        rows.append((i, [float(c), float(np.sqrt(1 - c * c))], 0))
+    rows += [(20, [49.0, float(np.sqrt(99))], 0), (21, [98.0, 19.8997487421324], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()) == brute(rows)
