@@ -1,11 +1,11 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line weighs as many
-code points as its text outside links, menus, forms and other page furniture; the
-weights are summed over sliding windows of lines. Text begins where the sums
-surge, ends where they dive to nothing, and is kept whole in between, with the
-headings and the few links next to it. In an article or main element all lines
-are text.
+Markup is stripped to lines, one for each block element; menus, forms, adverts
+and other page furniture leave an empty line. A line weighs as many code points
+as its text outside links, and more where markup says that it is text: a
+paragraph a little, an article much. The weights are summed over sliding windows
+of lines. Text begins where the sums surge and ends where they dive; both are
+measured by the page's own distribution.
 """
 
 from __future__ import annotations
@@ -13,15 +13,23 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Lines in a window; sum that a surge reaches at most where no article element marks the text.
-LINES, SURGE = 3, 80
+from .common import bounded_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Lines in a window; part of a typical line's weight that a window holds where text surges, and its most without marks.
+LINES, SHARE, SURGE = 3, 0.25, 80
+#: What a line weighs more in a paragraph or heading, and in an article.
+PARAGRAPH, ARTICLE = 40, 12_000
+
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
+#: Attributes up to the end of the tag; quotes count after an equals sign only.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>")
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "xmp", "noembed", "noframes"}
 _FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "audio", "video", "canvas"}
 #: Furniture outside articles only.
@@ -39,33 +47,53 @@ _ENDS = {t: ({"p"}, _CELLS | {"article", "main", "button"}) for t in _BLOCK - {"
     "tr": ({"tr"}, {"table"}), **dict.fromkeys(("td", "th"), ({"td", "th"}, {"table", "tr"})), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, {"table"})),
     **dict.fromkeys(("dd", "dt"), ({"dd", "dt", "p"}, _CELLS | _SECTIONS | {"dl", "ul", "ol", "menu", "dir"})),
 }
+_PARAGRAPH = {"p", "blockquote", "pre", "dd", "li", "figcaption"}
 _TABLE = {"table", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 _HEADING = re.compile("h[1-6]")
-_ROLE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ROLE = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = (
-    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"comments?|comment-?list|disqus|respond|replies|reply|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|site-?header|page-?header|masthead|topbar|toolbar|"
-    r"share|sharing|social|related|recommend\w*|read-?more|pager|pagination|copyright|legal|disclaimer|search|login|contentinfo|complementary"
+#: Words that name furniture when a name ends in them, and words that may follow them or deny them.
+_WORDS = set(
+    "ad ads advert adverts advertisement advertising advertorial adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification notifications "
+    "alert alerts popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus respond replies reply menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side "
+    "widget widgets footer siteheader pageheader masthead topbar toolbar share sharing social related recommended recommendations readmore pager pagination copyright legal disclaimer search login contentinfo complementary".split()
 )
-_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
-#: A whole class token that names furniture, with words for its container at most.
-_TOKEN_NAME = re.compile(rf"(?:{_WORDS})(?:[_-]+(?:{_WORDS}|areas?|bars?|blocks?|box|boxes|buttons?|containers?|forms?|inner|items?|links?|lists?|outer|posts?|sections?|slots?|units?|wrap|wrapper))*", re.I)
-_CLASS = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_AFTER = set("area areas bar bars block blocks box boxes button buttons bottom container containers form forms inner item items left link links list lists main outer post posts primary right secondary section sections slot slots top unit units wrap wrapper".split())
+_DENY = set("has no not with without is hide".split())
 #: Elements that hold other blocks; a name on a paragraph or a heading of an article is about its text.
 _CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "figure", "header", "span", "ins"}
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def names_furniture(name: str) -> bool:
+    """Whether a class, id or label names furniture: ``related-posts`` and ``main-nav`` do, ``social-history`` and ``has-sidebar`` don't.
+
+    The last word tells what a name is about, but for words of place and form.
+    """
+    words = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower().replace("_", "-").split("-")
+    words = [w for w in words if w and not w.isdigit()]
+    if not words or words[0] in _DENY:
+        return False
+    while len(words) > 1 and words[-1] in _AFTER:
+        words.pop()
+    return words[-1] in _WORDS or "".join(words[-2:]) in _WORDS
+
+
+def _furniture(tag: str, attributes: str, inside: bool, names: bool) -> bool:
     if tag in _FURNITURE or (tag in _OUTER and not inside):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
-    if inside:
-        return tag in _CONTAINER and any(_TOKEN_NAME.fullmatch(token) for m in _CLASS.finditer(attributes) for token in next(filter(None, m.groups()), "").split())
-    return any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _ROLE.finditer(attributes))
+    if not names or (inside and tag not in _CONTAINER):
+        return False
+    for m in _ROLE.finditer(attributes):
+        kind, value = m[1].lower(), next(filter(None, m.groups()[1:]), "")
+        if inside and kind not in ("class", "role"):
+            continue
+        if any(map(names_furniture, ["-".join(value.split())] if kind == "aria-label" else value.split())):
+            return True
+    return False
 
 
 class _Open:
@@ -106,48 +134,83 @@ class _Open:
             self.cut(at)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Lines of a page: text, weight (code points outside links), whether inside an article, whether a heading.
+class Line(NamedTuple):
+    text: str
+    plain: int  #: code points outside links
+    mark: int  #: weight that markup adds
+    heading: bool
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text before each tag, the tag's name (with a slash if it ends an element) and its attributes, in linear time.
 
-    Furniture and raw elements give no line. Furniture ends with its end tag, with
-    that of an enclosing element, or where HTML ends its element without a tag. An
-    article or main element that begins inside ends it, as it was never closed.
+    Comments, declarations and the content of raw elements are left out. A ``<``
+    that no tag follows is text.
     """
-    out: list[tuple[str, int, bool, bool]] = []
+    at, start, size, last, quoted = 0, 0, len(page), page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0 and at < last:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[start:at], "", ""
+            at = start = end + 3 if end >= 0 else size
+            continue
+        if page[at + 1] in "!?":
+            yield page[start:at], "", ""
+            at = start = page.find(">", at) + 1
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            at += 1
+            continue
+        rest = _REST.match(page, m.end()) if quoted else None
+        if rest is None:
+            quoted = False  # a quote is open to the page's end; from here on tags end at the next >
+            end = page.find(">", m.end())
+        attributes, after = (rest[1], rest.end()) if rest else (page[m.end() : end], end + 1)
+        tag, closing = m[1].lower(), page[at + 1] == "/"
+        yield page[start:at], "/" * closing + tag, attributes
+        at = start = after
+        if tag in _RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(rf"</{tag}(?![\w-])", re.I).search(page, at)
+            at = start = page.find(">", end.end()) + 1 or size if end else size
+    yield page[start:], "", ""
+
+
+def lines_of(page: str, names: bool = True) -> list[Line]:
+    """Lines of a page. Furniture (named ones too, if ``names``) leaves an empty line.
+
+    Furniture ends with its end tag, with that of an enclosing element, or where
+    HTML ends its element without a tag. An article or main element that begins
+    inside ends it, as it was never closed.
+    """
+    out: list[Line] = []
     text: list[str] = []
     plain: list[str] = []
-    skip, links, heading = -1, 0, False  # skip: place of the furniture element that is passed over, or -1
+    skip, links, block = -1, 0, ""  # skip: place of the furniture element that is passed over, or -1
     elements = _Open()
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, len(" ".join("".join(plain).split())), elements.last(("article", "main")) >= 0, heading))
+            inside = elements.last(("article", "main")) >= 0
+            heading = bool(_HEADING.fullmatch(block))
+            mark = ARTICLE if inside else PARAGRAPH if heading or block in _PARAGRAPH else 0
+            out.append(Line(line, len(line if inside else " ".join("".join(plain).split())), mark, heading))
         text.clear()
         plain.clear()
 
-    def add(raw: str) -> None:
+    for raw, name, attributes in tokens(page):
         if raw and skip < 0:
             raw = html.unescape(raw)
             text.append(raw)
             if not links:
                 plain.append(raw)
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if not name:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        void = tag in _VOID or (m[3] or "").endswith("/")
-        if tag in _RAW and not closing and not void:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+        tag, closing = name.lstrip("/"), name[0] == "/"
+        void = tag in _VOID or attributes.endswith("/")
+        if tag in _RAW and not closing:
             continue
         if tag in _BLOCK and skip < 0:
             flush()
@@ -165,11 +228,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if skip >= 0:
             # the element's own end tag, that of an enclosing element, or the start of what follows it
             skip = -1
-        if tag in _BLOCK:
-            flush()
-            heading = bool(_HEADING.fullmatch(tag)) and not closing
-        if not closing and not void and _furniture(tag, m[3], elements.last(("article", "main")) >= 0):
+        if tag in _BLOCK and tag != "br":
+            block = "" if closing else tag
+        if not closing and not void and _furniture(tag, attributes, elements.last(("article", "main")) >= 0, names):
             flush()
+            out.append(Line("", 0, 0, False))
             skip = len(elements.tags)
             elements.push(tag)
             continue
@@ -183,66 +246,80 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The text between surge and dive, lines joined by one space; empty if there is none."""
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    marked = [text for text, _, inside, _ in lines if inside]
-    if marked:
-        return " ".join(marked)
-    weight = np.array([w for _, w, _, _ in lines], np.int64)
+def between_surge_and_dive(lines: list[Line]) -> list[bool]:
+    """Which lines are text.
+
+    Half of the page's weight is in lines of at least its typical weight. Text
+    surges where a window holds SHARE of that, at a line that weighs its part of
+    a window, and dives where a window holds less than one line's part. A line
+    with the page's strongest mark always weighs its part. Headings and the few
+    linked lines next to a stretch of text belong to it, where they are marked
+    as the text is; a heading with no text after it doesn't.
+    """
+    strongest = max((x.mark for x in lines if x.plain), default=0)
+    weight = np.array([x.plain + x.mark if x.plain else 0 for x in lines], np.int64)
+    keep = np.zeros(len(lines), bool)
     if not weight.any():
-        return ""
+        return keep.tolist()
+    order = np.sort(weight)[::-1]
+    typical = order[np.searchsorted(np.cumsum(order), order.sum() / 2)]
+    surge = min(typical * SHARE, LINES * strongest or SURGE)
+    part = max(surge / LINES, 1)
     total = np.cumsum(np.append(0, weight))
     window = total[np.minimum(np.arange(len(lines)) + LINES, len(lines))] - total[:-1]
-    # a run is long enough if it reaches what three quarters of the page's own lines have
-    surge = min(SURGE, np.percentile(weight[weight > 0], 25))
-    runs: list[tuple[int, int]] = []
     i = 0
     while i < len(lines):
-        if window[i] < surge:
+        if window[i] < surge or weight[i] < part:
             i += 1
             continue
-        while i < len(lines) and not weight[i]:  # the window looks ahead; the text starts at its first line
-            i += 1
         j = i
-        while j < len(lines) and window[j]:
+        while j < len(lines) and window[j] >= part:
             j += 1
         end = j
-        while end > i and not weight[end - 1]:
+        while end > i and weight[end - 1] < part:
             end -= 1
-        runs.append((i, end))
-        i = max(j, i + 1)
-    keep = np.zeros(len(lines), bool)
-    for first, last in runs:
-        keep[first:last] = True
-        for step, at in ((-1, first - 1), (1, last)):
+        while end > i and lines[end - 1].heading and lines[end - 1].mark < ARTICLE and any(x.mark < ARTICLE and not x.heading for x in lines[i:end]):
+            end -= 1
+        keep[i:end] = True
+        for step, at in ((-1, i - 1), (1, end)):
+            near = lines[at - step].mark
             links = at
-            while 0 <= links < len(lines) and not weight[links]:
+            while 0 <= links < len(lines) and lines[links].text and not weight[links]:
                 links += step
             few = abs(links - at) < LINES
-            while 0 <= at < len(lines) and not weight[at] and (few or lines[at][3]):
+            while 0 <= at < len(lines) and lines[at].text and not weight[at] and lines[at].mark >= near and (few or (lines[at].heading and step < 0)):
                 keep[at] = True
                 at += step
-    return " ".join(text for (text, _, _, _), k in zip(lines, keep, strict=True) if k)
+        i = max(j, i + 1)
+    return keep.tolist()
+
+
+def main_text(page: str | None) -> str:
+    """The text between surge and dive, lines joined by one space; empty if there is none.
+
+    Where names leave no text at all (a wrapper of the whole page is named like furniture), they don't count.
+    """
+    for names in (True, False):
+        lines = lines_of(page or "", names)
+        kept = [x.text for x, keep in zip(lines, between_surge_and_dive(lines), strict=True) if keep and x.text]
+        if kept:
+            return " ".join(kept)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars (code points) of the main text in place of html.
 
     A null or empty page, or one without any text, gives an empty text. Whole
-    pages are read whatever their length; columns named text or n_chars are replaced.
+    pages are read whatever their length, and only they go to Python; columns
+    named text or n_chars are replaced.
     """
-    rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    source = pages.select(*rest, "html")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "html")
+    bounded_batches(pages.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [main_text(x.as_py()) for x in part.column(len(rest))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*rest, "text", "n_chars"])
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([main_text(x.as_py()) for x in column], pa.string())
 
-    return source.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string, n_chars long")
+    rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    # not deterministic: else Spark runs it once more for each use of its result
+    return pages.select(*rest, run.asNondeterministic()("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,5 +1,6 @@
 import html as lib
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,57 @@ def test_furniture_takes_no_article_text(page, text):
 def test_unclosed_elements_take_linear_time():
     n = 100_000
     assert html.main_text("<p><table><td>" + "<div>" * n + "</p>" * n + "text") == "text"
+
+
+def plain(page):
+    """The given pages without what stands around their article, by plain expressions."""
+    page = re.sub(r"(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<div class=\"ad\">.*?</div>|<!--.*?-->", " ", page)
+    return " ".join(lib.unescape(re.sub(r"<[^>]+>", " ", page)).split())
+
+
+def test_one_rule_for_pages_with_and_without_marks(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = re.sub(r"</?article>", "", r.html)
+        assert html.main_text(r.html) == html.main_text(bare) == plain(r.html)
+        # the article's mark alone is enough too
+        unnamed = re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", r.html).replace(' class="ad"', "")
+        assert html.main_text(unnamed) == plain(r.html)
+
+
+def test_text_outside_an_article_is_kept_where_it_weighs_as_much():
+    long = f"<p>{LONG * 20}</p>"
+    assert html.main_text(f"<article>{long}</article>{long}<p>{LONG}</p>") == f"{LONG * 20} {LONG * 20}"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "social-science article-body", "legal-news", "overlay", "page sidebar", "mainContent"])
+def test_wrappers_named_like_furniture(name):
+    assert html.main_text(f"<body><div class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></body>") == f"Title {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("name", ["main-nav", "sidebar-left", "comment-list", "siteHeader", "related_posts", "ad-slot-3", "cookie-notice"])
+def test_names_of_furniture(name):
+    assert html.main_text(f"<div class='{name}'><p>{LONG}</p></div><h1>Title</h1><p>{LONG} More.</p>") == f"Title {LONG} More."
+
+
+def test_distribution_by_its_definition():
+    lines = [html.Line("x", w, m, False) for w, m in [(3, 0), (0, 0), (0, 0), (0, 0), (50, 40), (1, 0), (200, 40), (0, 0), (90, 40), (0, 0), (0, 0), (0, 0), (2, 0), (60, 40)]]
+    weights = [x.plain + x.mark if x.plain else 0 for x in lines]
+    heavy = sorted(weights, reverse=True)
+    typical = next(w for i, w in enumerate(heavy) if sum(heavy[: i + 1]) >= sum(heavy) / 2)
+    surge = min(typical * html.SHARE, html.LINES * html.PARAGRAPH)
+    want, inside = [], False
+    for i, w in enumerate(weights):
+        window = sum(weights[i : i + html.LINES])
+        inside = window >= surge / html.LINES if inside else window >= surge and w >= surge / html.LINES
+        want.append(inside)
+    for i in reversed(range(len(want))):  # a stretch ends with its last line of weight
+        if want[i] and weights[i] < surge / html.LINES and not (i + 1 < len(want) and want[i + 1]):
+            want[i] = False
+    assert html.between_surge_and_dive(lines) == want
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a b="', "<a '", "<!", "<?", "<!--", "<div class=x", "<script>"])
+def test_broken_pages_take_linear_time(bad):
+    start = time.perf_counter()
+    html.main_text(bad * (1_000_000 // len(bad)))
+    assert time.perf_counter() - start < 2
