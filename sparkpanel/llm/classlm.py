@@ -3,8 +3,11 @@
 P(word | previous) = P(class | previous class) * P(word | class), mixed with the
 word's own smoothed frequency. Texts become chunks of tokens with a chunk's own
 word numbers, written once; all statistics are counted per chunk and word before
-they are shuffled, in buckets of words whose number grows with the chunks. The
-class-to-class table (CLASSES squared numbers) is all that reaches the driver.
+they are shuffled, in buckets of words whose number grows with the vocabulary
+and the root of the chunks. A bucket's rows stream through its task, which holds
+one table of the bucket's words. An exchange sweep counts only if it raises the
+likelihood of the training texts. The class-to-class table (CLASSES squared
+numbers) is all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, release_shuffles, signed, word_hashes
+from .common import Scratch, release_shuffles, signed, word_hashes
 
 CLASSES, SWEEPS, MIX = 32, 2, 0.8
 #: Tokens of a chunk, one text at least; bounds a task's memory.
 CHUNK_TOKENS = 1_000_000
+#: Distinct words of a bucket, about; bounds the table of counts that a task holds.
+BUCKET_WORDS = 50_000
 FOLDS, HELD_OUT = 5, 1
 _END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 
@@ -171,60 +176,154 @@ def _buckets(chunks: DataFrame, count: int, top=None, contexts: bool = True) ->
                 for b, s, e, x, y in zip(used, begin, end, cuts[:-1], cuts[1:], strict=True)
             ]
             columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c.number)), *columns], ["chunk", "bucket", "words", "counts", "keys", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "words", "counts", "keys", "n"])
 
-    return chunks.mapInArrow(run, "chunk long, bucket long, words binary, counts binary, keys binary, n binary")
+    return chunks.mapInArrow(run, "bucket long, words binary, counts binary, keys binary, n binary")
 
 
-def _gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: words of each row, distinct words, place of each row's words among them, totals."""
-    words = [_unpack(x.as_py(), np.uint64) for x in table["words"]]
-    counts = np.concatenate([_unpack(x.as_py(), np.uint32) for x in table["counts"]])
-    distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-    return words, distinct, at, np.bincount(at, counts, len(distinct)).astype(np.uint64)
+def _vocabulary(chunks: DataFrame) -> int:
+    """About how many distinct words the chunks hold, from those whose hash falls in one of 256 parts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.concatenate([_unpack(x.as_py(), np.uint64) for x in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(words[words % np.uint64(256) == 0])))], ["word"])
+
+    return chunks.select("words").mapInArrow(run, "word long").distinct().count() * 256
+
+
+def _bucket_count(vocabulary: int, chunks: int) -> int:
+    return max(1, -(-vocabulary // BUCKET_WORDS), int(2 * chunks**0.5))
+
+
+class _Table:
+    """Distinct words of a bucket with sums of their rows, grown as rows stream in.
 
-def _totals(buckets: DataFrame) -> tuple[int, int, np.ndarray]:
+    Rows wait until they hold as many words as the table, so that merging costs no more than the rows do.
+    """
+
+    def __init__(self, width: int):
+        self.words, self.total, self.vectors = np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros((0, width))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+        """keys: place of a word in words * width + context, each with its count n."""
+        self.waiting.append((words, counts, keys, n))
+        self.size += len(words)
+        if self.size >= max(len(self.words), BUCKET_WORDS // 4):
+            self.merge()
+
+    def merge(self) -> None:
+        rows, width = self.waiting, self.vectors.shape[1]
+        merged, at = np.unique(np.concatenate([self.words, *(r[0] for r in rows)]), return_inverse=True)
+        place = np.split(at, np.cumsum([len(self.words), *(len(r[0]) for r in rows)])[:-1])
+        total, vectors = np.zeros(len(merged), np.uint64), np.zeros((len(merged), width))
+        total[place[0]], vectors[place[0]] = self.total, self.vectors
+        for mine, (_, counts, keys, n) in zip(place[1:], rows, strict=True):
+            total[mine] += counts.astype(np.uint64)  # a row's words and keys are distinct
+            if width:
+                vectors.reshape(-1)[mine[keys // width] * width + keys % width] += n
+        self.words, self.total, self.vectors, self.waiting, self.size = merged, total, vectors, [], 0
+
+
+def _table_of(batches: Iterator[pa.RecordBatch], width: int) -> tuple[int, _Table]:
+    """The number and the table of one bucket."""
+    table, bucket = _Table(width), 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bucket = batch.column("bucket")[i].as_py()
+            words, counts, keys, n = (_unpack(batch.column(c)[i].as_py(), kind) for c, kind in (("words", np.uint64), ("counts", np.uint32), ("keys", np.uint32), ("n", np.uint32)))
+            table.add(words, counts, np.cumsum(keys, dtype=np.int64), n)
+    table.merge()
+    return bucket, table
+
+
+def _totals(buckets: DataFrame, scratch: Scratch) -> tuple[int, int, np.ndarray]:
     """Training tokens, distinct ones, and the CLASSES - 1 most frequent words."""
 
-    def run(table: pa.Table) -> pa.Table:
-        _, distinct, _, total = _gathered(table)
-        best = np.argsort(-total.astype(np.int64), kind="stable")[: CLASSES - 1]
-        return pa.table({"tokens": [int(total.sum())], "known": [int((total > 0).sum())], "words": pa.array([signed(distinct[best])], pa.list_(pa.int64())), "totals": pa.array([total[best].astype(np.int64)], pa.list_(pa.int64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, t = _table_of(batches, 0)
+        best = np.argsort(-t.total.astype(np.int64), kind="stable")[: CLASSES - 1]
+        values = (int(t.total.sum()), int((t.total > 0).sum()), signed(t.words[best]), t.total[best].astype(np.int64))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["tokens", "known", "words", "totals"])
 
-    found, _ = materialize(buckets.groupBy("bucket").applyInArrow(run, "tokens long, known long, words array<long>, totals array<long>"), "classlm-totals")
+    found = scratch.write(buckets.groupBy("bucket").applyInArrow(run, "tokens long, known long, words array<long>, totals array<long>"), "totals")
     sums = found.agg(F.sum("tokens"), F.sum("known")).first()
     best = found.select(F.explode(F.arrays_zip("words", "totals")).alias("x")).select("x.*").filter("totals > 0").orderBy(F.desc("totals"), "words").limit(CLASSES - 1).collect()
     return sums[0] or 0, sums[1] or 0, np.array([r.words for r in best], np.int64).view(np.uint64)
 
 
-def _exchange(buckets: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Each word's training count and best class, in the order of each chunk's bucket.
+def likelihood(matrix: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, but for a constant of the word counts."""
+    part = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return part(matrix) - part(matrix.sum(0)) - part(matrix.sum(1))
 
-    A word goes to the class where its neighbours' classes are likeliest:
-    the gain in class-bigram likelihood at the present class statistics.
-    """
+
+def gains(matrix: np.ndarray) -> np.ndarray:
+    """What one neighbour of each side and class adds to the likelihood of each class, at the present class statistics."""
     smooth = matrix + 0.1
     size = np.log(smooth.sum(0) + smooth.sum(1))
-    gain = np.vstack([np.log(smooth) - size[None, :], np.log(smooth.T) - size[None, :]]).astype(np.float32)
+    return np.vstack([np.log(smooth) - size[None, :], np.log(smooth.T) - size[None, :]]).astype(np.float32)
+
+
+def _exchange(buckets: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Per bucket its words, their training counts and best classes: a word goes where its neighbours' classes are likeliest."""
+    gain = gains(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, t = _table_of(batches, 2 * CLASSES)
+        best = (t.vectors @ gain).argmax(1).astype(np.int8)
+        best[t.total == 0] = -1
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), *(pa.array([_pack(x)], pa.binary()) for x in (t.words, t.total, best))], ["bucket", "words", "totals", "classes"])
+
+    return buckets.groupBy("bucket").applyInArrow(run, "bucket long, words binary, totals binary, classes binary")
 
-    def run(table: pa.Table) -> pa.Table:
-        words, distinct, at, total = _gathered(table)
-        place = np.split(at, np.cumsum([len(w) for w in words])[:-1])
-        vectors = np.zeros((len(distinct), 2 * CLASSES), np.float32)
-        for row, keys, n in zip(place, table["keys"], table["n"], strict=True):
-            keys, n = np.cumsum(_unpack(keys.as_py(), np.uint32), dtype=np.int64), _unpack(n.as_py(), np.uint32)
-            np.add.at(vectors, (row[keys // (2 * CLASSES)], keys % (2 * CLASSES)), n)
-        best = (vectors @ gain).argmax(1).astype(np.int8)
-        best[total == 0] = -1
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array([_pack(total[x]) for x in place], pa.binary()), "classes": pa.array([_pack(best[x]) for x in place], pa.binary())})
 
-    return buckets.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, totals binary, classes binary")
+def _replies(chunks: DataFrame, answers: DataFrame, count: int) -> DataFrame:
+    """Each chunk's words of each bucket with their counts and classes, in the chunk's order.
 
+    A bucket's answer and the chunks' words of it meet in one partition, the
+    answer first; the words stream by.
+    """
 
-def _with_classes(chunks: DataFrame, answers: DataFrame, count: int, last: bool) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = _unpack(packed.as_py(), np.uint64)
+                bucket = (words % np.uint64(count)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                used, begin = np.unique(bucket[order], return_index=True)
+                parts = [_pack(x) for x in np.split(words[order], begin[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), chunk)), pa.array(parts, pa.binary())], ["bucket", "chunk", "words"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, answer = None, ()
+        for batch in batches:
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                bucket, chunk, words = (batch.column(c)[i].as_py() for c in ("bucket", "chunk", "words"))
+                words = _unpack(words, np.uint64)
+                if chunk is None:
+                    at, answer = bucket, (words, *(_unpack(batch.column(c)[i].as_py(), kind) for c, kind in (("totals", np.uint64), ("classes", np.int8))))
+                    continue
+                if at != bucket:
+                    raise ValueError(f"bucket {bucket} has no answer")
+                place = np.searchsorted(answer[0], words)
+                rows.append((chunk, bucket, _pack(answer[1][place]), _pack(answer[2][place])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "totals", "classes"])
+
+    none = F.lit(None)
+    asked = chunks.select("chunk", "words").mapInArrow(ask, "bucket long, chunk long, words binary").select("bucket", "chunk", "words", none.cast("binary").alias("totals"), none.cast("binary").alias("classes"))
+    both = answers.select("bucket", none.cast("long").alias("chunk"), "words", "totals", "classes").unionByName(asked)
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(reply, "chunk long, bucket long, totals binary, classes binary")
+
+
+def _with_classes(chunks: DataFrame, replies: DataFrame, count: int, last: bool) -> DataFrame:
     """Chunks with totals and classes of their words."""
-    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals", "classes")).alias("replies"))
+    replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals", "classes")).alias("replies"))
     joined = chunks.join(replies, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +352,8 @@ def token_scores(token, sizes, klass, total, start, matrix, tokens: int, known:
     before = np.append(start, c[:-1])
     before[ends - sizes] = start
     size = matrix.sum(0)
-    change = np.vstack([(matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * CLASSES), (size + 0.5) / (size.sum() + 0.5 * CLASSES)])
+    share = 0.5 * (size > 0)  # classes without words take no part
+    change = np.vstack([(matrix + share) / np.maximum(matrix.sum(1, keepdims=True) + share.sum(), 1e-300), (size + share) / max(size.sum() + share.sum(), 1e-300)])
     seen = c >= 0
     emission = np.divide(n, size[c], out=np.zeros(len(n)), where=seen & (size[c] > 0))
     unknown = 0.5 / (tokens + 0.5 * (known + 1))
@@ -270,23 +370,31 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     occur. Without training documents every token has probability 1.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "classlm")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks, path = materialize(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), _schema(_COLUMNS)), "classlm-chunks")
-    count = max(1, chunks.count())
+    chunks = scratch.write(narrow.mapInArrow(lambda x: _chunks(x, chunk_tokens), _schema(_COLUMNS)), "chunks")
+    count = _bucket_count(_vocabulary(chunks), chunks.count())
     none = np.empty(0, np.uint64)
-    tokens, known, best = _totals(_buckets(chunks, count, (none, none), contexts=False))
+    tokens, known, best = _totals(_buckets(chunks, count, (none, none), contexts=False), scratch)
     release_shuffles(spark)
     order = np.argsort(best)
     top, ready = (best[order], order), chunks
+    matrix = _matrix(ready, top)
     for sweep in range(SWEEPS):
-        answers, answers_path = materialize(_exchange(_buckets(ready, count, top), _matrix(ready, top)), "classlm-answers")
+        last = sweep == SWEEPS - 1
+        answers = scratch.write(_exchange(_buckets(ready, count, top), matrix), "answers")
+        release_shuffles(spark)
+        replies = scratch.write(_replies(ready, answers, count), "replies")
         release_shuffles(spark)
-        old = path
-        ready, path = materialize(_with_classes(ready.drop("totals", "classes"), answers, count, sweep == SWEEPS - 1), "classlm-ready")
-        drop_table(spark, answers_path)
-        drop_table(spark, old)
+        moved = scratch.write(_with_classes(ready.drop("totals", "classes"), replies, count, last), f"sweep-{sweep}")
+        scratch.drop("answers", "replies")
+        new = _matrix(moved)
+        if sweep and likelihood(new) <= likelihood(matrix):
+            scratch.drop(f"sweep-{sweep}")
+            break
+        scratch.drop("chunks", f"sweep-{sweep - 1}")
+        ready, matrix = moved, new
         release_shuffles(spark)
-    matrix = _matrix(ready)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _each(batches):
