@@ -4,9 +4,9 @@ A window of WIDTH words is an edge from the node of its first to the node of
 its last WIDTH - 1 words; an edge met at two places is repeated. Only windows
 that can be repeated become edges: every window has a least k-mer (its anchor),
 equal windows have equal anchors, so an anchor met once rules its windows out.
-Repeated edges are counted by a join on their hash, runs that follow the same
-source without branching compact to paths, and each path carries the
-coordinates of its source.
+Repeated edges are counted by a join on their hash, and runs that follow the same
+source without branching compact to paths. Each path carries the coordinates of
+its source, whose words verify it: a path counts if both spans are equal.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_table, materialize, release_shuffles, signed, window_hash, word_hashes
+from .common import Scratch, blocks, release_shuffles, signed, window_hash, word_hashes
 
 WIDTH, KMER = 35, 12
+#: Words of a source whose spans are read together.
+SOURCE_BLOCK = 1024
 _ANCHOR, _EDGE, _CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
@@ -62,6 +66,10 @@ def _hashed(column: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
             start += len(x)
 
 
+def digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, spans and text without repeated passages, one row per row of docs.
 
@@ -70,39 +78,55 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists (start, end) in words of what goes, text is the rest joined by one
     space. A null text is empty; texts shorter than a window stay whole; equal
     texts of two rows go wholly; a null or repeated doc_id is as good as any, as
-    rows are matched by a 64-bit hash of their content. Other columns are ignored.
+    rows are matched by a 128-bit hash of their content. Other columns are ignored.
 
-    Equal edges are taken as equal from 96 bits of two independent hashes.
+    Edges meet by 96 bits of two independent hashes; a repeated span is then
+    compared with its source's by a 128-bit hash of the words.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substring")
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("key", F.unhex(F.md5("text")))
+    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            found = [anchors(h, width) for _, _, h in _hashed(batch.column(1))]
+            found = [anchors(h, width) for _, _, h in _hashed(batch.column(0))]
+            rows = np.arange(number, number + len(found)) + (task << 33)
+            number += len(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([signed(k) for k, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int32()))],
-                ["doc_id", "tk", "kmers", "places"],
+                [pa.array(rows), batch.column(1), batch.column(2), pa.array([signed(k) for k, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int32()))],
+                ["row", "key", "id", "kmers", "places"],
             )
 
     def find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            rows, places = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             for i, _, h in _hashed(batch.column(0)):
                 kmers, low = least(h, width)
                 starts = np.flatnonzero(np.isin(low, kmers[places[i].values.to_numpy()]))
                 edge, check = window_hash(h, width, _EDGE)[starts], window_hash(h, width, _CHECK)[starts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(edge)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), keys[i])), pa.array(starts.astype(np.int32))],
-                    ["edge", "check", "tk", "start"],
+                    [pa.array(signed(edge)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(np.full(len(starts), rows[i])), pa.array(starts.astype(np.int32))],
+                    ["edge", "check", "row", "start"],
                 )
 
+    def read_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digest of each span asked of a source text."""
+        for batch in batches:
+            for text, asked in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = text.as_py().encode().split()
+                out = [(x["row"], x["source"], x["n"], digest(words[x["source"] : x["source"] + x["n"] - 1 + width])) for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["source_row", "source", "n", "digest"])
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "text": []}
             copies, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            for i, (text, doc_id) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
                 words = text.as_py().encode().split()
-                found = sorted((p["start"], p["start"] + p["n"] - 1 + width) for p in paths[i] or ())
+                found = sorted((p["start"], p["start"] + p["n"] - 1 + width, p["digest"]) for p in paths[i] or ())
+                found = [(start, end) for start, end, source in found if digest(words[start:end]) == source]
                 if copies[i] > 1 and len(words) >= width:
                     found = [(0, len(words))]
                 spans: list[list[int]] = []
@@ -122,36 +146,42 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part.values(), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()), strict=True)], list(part))
                     part = {name: [] for name in part}
 
-    spark = docs.sparkSession
-    marks, marks_path = materialize(keyed.select("doc_id", "text", "tk").mapInArrow(find_anchors, "doc_id long, tk long, kmers array<long>, places array<int>"), "substring-anchors")
-    # exact copies are one text here: a window that only they hold is theirs, see remove()
-    texts, _ = materialize(marks.groupBy("tk").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first")), "substring-texts")
-    places = marks.select("tk", F.explode(F.arrays_zip("kmers", "places")).alias("x")).select("tk", F.col("x.kmers").alias("kmer"), F.col("x.places").alias("place"))
-    where = F.xxhash64("tk", "place")
+    marks = scratch.write(keyed.select("text", "key", "id").mapInArrow(find_anchors, "row long, key binary, id long, kmers array<long>, places array<int>"), "anchors")
+    # exact copies are one text here, that of their smallest id: a window that only they hold is theirs, see remove()
+    texts = scratch.write(marks.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("id").alias("id")), "texts")
+    places = marks.select("row", "kmers", "places").join(texts.select("row"), "row", "left_semi")
+    places = places.select("row", F.explode(F.arrays_zip("kmers", "places")).alias("x")).select("row", F.col("x.kmers").alias("kmer"), F.col("x.places").alias("place"))
+    where = F.xxhash64("row", "place")
     shared = places.groupBy("kmer").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo < hi").select("kmer")
-    hits = places.join(shared, "kmer").groupBy("tk").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    hits, _ = materialize(hits.join(texts, "tk").select("tk", "first", "places"), "substring-hits")
-    drop_table(spark, marks_path)
+    hits = places.join(shared, "kmer").groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    hits = scratch.write(hits.join(texts, "row").select("key", "id", "row", "places"), "hits")
+    scratch.drop("anchors")
     release_shuffles(spark)
-    source = keyed.join(hits, "tk").filter(F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first"))
-    edges, edges_path = materialize(source.select("text", "tk", "places").mapInArrow(find_edges, "edge long, check int, tk long, start int"), "substring-edges")
+    source = keyed.select("text", "key", "id").join(hits, ["key", "id"])
+    edges = scratch.write(source.select("text", "row", "places").mapInArrow(find_edges, "edge long, check int, row long, start int"), "edges")
     release_shuffles(spark)
-    repeated = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(F.struct("tk", "start")).alias("source")).filter("n > 1")
-    met = edges.join(repeated, ["edge", "check"]).select("tk", "start", F.col("source.tk").alias("source_tk"), (F.col("start") - F.col("source.start")).alias("shift"))
-    run = Window.partitionBy("tk", "source_tk", "shift").orderBy("start")
+    repeated = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("source")).filter("n > 1")
+    met = edges.join(repeated, ["edge", "check"]).select("row", "start", F.col("source.row").alias("source_row"), (F.col("start") - F.col("source.start")).alias("shift"))
+    run = Window.partitionBy("row", "source_row", "shift").orderBy("start")
     paths = (
         met.withColumn("run", F.col("start") - F.row_number().over(run))
-        .groupBy("tk", "source_tk", "shift", "run")
+        .groupBy("row", "source_row", "shift", "run")
         .agg(F.min("start").alias("start"), F.count("*").alias("n"))
-        .groupBy("tk")
-        .agg(F.collect_list(F.struct("start", "n", "source_tk", "shift")).alias("paths"))
     )
-    paths, _ = materialize(paths, "substring-paths")
-    drop_table(spark, edges_path)
+    paths = scratch.write(paths.select("row", "source_row", "start", "n", (F.col("start") - F.col("shift")).alias("source")), "paths")
+    scratch.drop("edges")
+    release_shuffles(spark)
+    # a source may have many followers, but its text bounds the distinct spans of each block of it
+    asked = paths.select(F.col("source_row").alias("row"), "source", "n").distinct().groupBy("row", F.floor(F.col("source") / SOURCE_BLOCK).alias("block"))
+    asked = asked.agg(F.collect_list(F.struct("row", "source", "n")).alias("asked")).join(texts, "row").select("key", "id", "asked")
+    read = keyed.select("text", "key", "id").join(asked, ["key", "id"]).select("text", "asked")
+    read = read.mapInArrow(read_sources, "source_row long, source int, n long, digest binary").distinct()
+    spans = paths.join(read, ["source_row", "source", "n"]).groupBy("row").agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
+    spans = scratch.write(spans, "spans")
     release_shuffles(spark)
-    found = texts.join(paths, "tk", "left").filter("copies > 1 or paths is not null").select("tk", "copies", "paths")
+    found = texts.join(spans, "row", "left").filter("copies > 1 or paths is not null").select("key", "copies", "paths")
     return (
-        keyed.join(found, "tk", "left")
-        .select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "paths")
+        keyed.join(found, "key", "left")
+        .select("text", "doc_id", F.coalesce("copies", F.lit(1)).alias("copies"), "paths")
         .mapInArrow(remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string")
     )
