@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, word_hashes
+from .common import Scratch, blocks, smallest_hashes, word_hashes
 
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most.
@@ -108,7 +108,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 def train(documents: DataFrame, labels: DataFrame) -> Classifier | None:
     """Fit on SAMPLE labelled documents at most, chosen by a hash of doc_id; None without labels."""
     known = labels.select("doc_id", *[F.col(h).cast("int").alias(h) for h in HEADS]).filter(" and ".join(f"{h} in (0, 1)" for h in HEADS) + " and doc_id is not null")
-    chosen = known.groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = known.groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS])
+    chosen = smallest_hashes(chosen, ["doc_id"], SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, found in _featured(batches):
@@ -126,9 +127,16 @@ def _logit(p: F.Column) -> F.Column:
     return F.log(p / (1 - p))
 
 
-def _strength(mean: float, spread: float) -> float:
-    """Documents that a prior is worth: mean(1 - mean) / variance between sites - 1, within STRENGTH."""
-    return float(np.clip(mean * (1 - mean) / max(spread, 1e-9) - 1, *STRENGTH))
+def strength(mean: float, spread: float, within: float, sites: int, above: int, n: int) -> float:
+    """Documents that a prior is worth: mean(1 - mean) / variance between sites - 1, within STRENGTH.
+
+    spread is the mean squared distance of n documents' site means from those of
+    the ``above`` wider sites, within the sum of squared distances of documents
+    from their site's mean. Sites that don't differ spread by their sampling
+    variance alone, within / (n - sites) * (sites - above) / n, which is taken off.
+    """
+    chance = within / max(n - sites, 1) * (sites - above) / max(n, 1)
+    return float(np.clip(mean * (1 - mean) / max(spread - chance, 1e-9) - 1, *STRENGTH))
 
 
 def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: Classifier | None = None) -> DataFrame:
@@ -140,6 +148,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
     paths are sites of their own; repeated rows count as often as they occur.
     Without labels every probability is 0.5 and all documents are kept.
     """
+    scratch = Scratch(documents.sparkSession, "quality")
     model = model or train(documents, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights for each head
 
@@ -151,23 +160,29 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(p[:, k]) for k in range(len(HEADS))]], ["doc_id", "host", "path", *[f"doc_{h}" for h in HEADS]])
 
     source = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
-    scored, _ = materialize(source.mapInArrow(run, "doc_id long, host string, path string, " + ", ".join(f"doc_{h} double" for h in HEADS)), "quality-scored")
-    sites, _ = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"doc_{h}").alias(f"sum_{h}") for h in HEADS]), "quality-sites")
+    scored = scratch.write(source.mapInArrow(run, "doc_id long, host string, path string, " + ", ".join(f"doc_{h} double" for h in HEADS)), "scored")
+    sites = scratch.write(
+        scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"doc_{h}").alias(f"sum_{h}") for h in HEADS], *[F.sum(F.col(f"doc_{h}") * F.col(f"doc_{h}")).alias(f"square_{h}") for h in HEADS]),
+        "sites",
+    )
     hosts = sites.groupBy("host").agg(F.sum("n").alias("n_host"), *[F.sum(f"sum_{h}").alias(f"host_sum_{h}") for h in HEADS])
     both = sites.join(hosts, "host")
-    total = sites.agg(F.sum("n").alias("n"), *[F.sum(f"sum_{h}").alias(h) for h in HEADS]).first()
+    total = sites.agg(F.sum("n").alias("n"), F.count("*").alias("paths"), F.count_distinct("host").alias("hosts"), *[F.sum(f"sum_{h}").alias(h) for h in HEADS]).first()
     if not total.n:
         mean = dict.fromkeys(HEADS, 0.5)
     else:
         mean = {h: min(max(total[h] / total.n, 1e-4), 1 - 1e-4) for h in HEADS}
+    in_host = F.col("n") / F.col("n_host")  # a host's sums stand in each of its paths
     spread = both.agg(
         *[(F.sum(F.col("n") * F.pow(F.col(f"host_sum_{h}") / F.col("n_host") - mean[h], 2)) / F.sum("n")).alias(f"host_{h}") for h in HEADS],
         *[(F.sum(F.col("n") * F.pow(F.col(f"sum_{h}") / F.col("n") - F.col(f"host_sum_{h}") / F.col("n_host"), 2)) / F.sum("n")).alias(f"path_{h}") for h in HEADS],
+        *[F.sum(F.col(f"square_{h}") - F.pow(f"host_sum_{h}", 2) / F.col("n_host") * in_host).alias(f"in_host_{h}") for h in HEADS],
+        *[F.sum(F.col(f"square_{h}") - F.pow(f"sum_{h}", 2) / F.col("n")).alias(f"in_path_{h}") for h in HEADS],
     ).first()
     for h in HEADS:
-        k = _strength(mean[h], spread[f"host_{h}"] or 0)
+        k = strength(mean[h], spread[f"host_{h}"] or 0, spread[f"in_host_{h}"] or 0, total.hosts, 1, total.n or 0)
         both = both.withColumn(f"host_{h}", (F.col(f"host_sum_{h}") + k * mean[h]) / (F.col("n_host") + k))
-        k = _strength(mean[h], spread[f"path_{h}"] or 0)
+        k = strength(mean[h], spread[f"path_{h}"] or 0, spread[f"in_path_{h}"] or 0, total.paths, total.hosts, total.n or 0)
         both = both.withColumn(f"path_{h}", (F.col(f"sum_{h}") + k * F.col(f"host_{h}")) / (F.col("n") + k))
     posterior = both.select("host", "path", *[f"{level}_{h}" for level in ("host", "path") for h in HEADS])
     out = scored.join(posterior, ["host", "path"])

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from sparkpanel.llm import quality
 
 
@@ -37,3 +39,17 @@ def test_edges(spark):
         assert quality.classify(docs, l).count() == 4
     assert all(r.kept and r.quality == 0.5 for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_prior_strength_leaves_out_sampling_variance():
+    """Sites of one and the same quality: their spread is chance, and the prior is as strong as it may be."""
+    rng = np.random.default_rng(4)
+    sizes, mean = np.array([2] * 300), 0.3
+    docs = [rng.random(n) < mean for n in sizes]
+    m, n = np.mean(np.concatenate(docs)), sizes.sum()
+    spread = sum(k * (d.mean() - m) ** 2 for k, d in zip(sizes, docs, strict=True)) / n
+    within = sum(((d - d.mean()) ** 2).sum() for d in docs)
+    assert quality.strength(m, spread, within, 300, 1, n) > 20 > quality.strength(m, spread, 0.0, 300, 1, n)
+    different = [np.full(n, i % 2) * 0.8 + 0.1 for i, n in enumerate(sizes)]
+    spread = sum(k * (d.mean() - 0.5) ** 2 for k, d in zip(sizes, different, strict=True)) / n
+    assert quality.strength(0.5, spread, 0.0, 300, 1, n) == 2.0
