@@ -9,6 +9,7 @@ the lowest-ranked pair of each piece, in all pieces at once.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -21,8 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Pieces whose ids a task keeps; the store starts anew when it is full.
 STORE_PIECES = 200_000
+#: Bytes over which a piece is merged by itself; both ways give the same ids.
+LONG_PIECE = 1000
 #: Code points encoded together, at least one text.
 BLOCK_CHARS = 1_000_000
 _NO_RANK = np.iinfo(np.int64).max
@@ -70,9 +75,69 @@ class Vocabulary:
         )
 
 
+def encode_long(vocab: Vocabulary, piece: bytes) -> np.ndarray:
+    """Ids of one long piece, in time that grows with its merges instead of rounds times length.
+
+    The same rounds, lowest rank first, but each touches only the places of its
+    rank: symbols are linked to their neighbours, and a heap holds the ranks that
+    have places.
+    """
+    flat = np.frombuffer(piece, np.uint8)
+    symbols = vocab.first[flat]
+    symbols[-1] = vocab.last[flat[-1]]
+    n = len(symbols)
+    after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def meet(left: np.ndarray) -> None:
+        """Note the pairs that begin at these places."""
+        keys = symbols[left] * _SHIFT + symbols[after[left]]
+        at = np.minimum(np.searchsorted(vocab.keys, keys), len(vocab.keys) - 1)
+        hit = vocab.keys[at] == keys
+        left, rank = left[hit], vocab.ranks[at[hit]]
+        order = np.argsort(rank, kind="stable")
+        left, rank = left[order], rank[order]
+        for part in np.split(np.arange(len(rank)), np.flatnonzero(np.diff(rank)) + 1):
+            if len(part):
+                if (r := int(rank[part[0]])) not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(left[part])
+
+    by_rank = np.argsort(vocab.ranks)
+    meet(np.arange(n - 1))
+    while ranks:
+        r = heapq.heappop(ranks)
+        spots = np.unique(np.concatenate(places.pop(r)))
+        key = vocab.keys[by_rank[r]]
+        spots = spots[alive[spots] & (after[spots] < n)]
+        spots = spots[symbols[spots] * _SHIFT + symbols[after[spots]] == key]
+        # of overlapping spots (aaa) every second one, from the left, merges
+        run = np.append(True, after[spots[:-1]] != spots[1:]) if len(spots) else np.empty(0, bool)
+        head = np.maximum.accumulate(np.where(run, np.arange(len(spots)), 0))
+        spots = spots[(np.arange(len(spots)) - head) % 2 == 0]
+        if not len(spots):
+            continue
+        gone = after[spots]
+        symbols[spots], alive[gone] = vocab.merged[by_rank[r]], False
+        after[spots] = after[gone]
+        inner = after[spots] < n
+        before[after[spots[inner]]] = spots[inner]
+        left = before[spots]
+        meet(np.unique(np.concatenate([left[left >= 0], spots[inner]])))
+    return symbols[alive].astype(np.int32)
+
+
 def encode_pieces(vocab: Vocabulary, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of non-empty pieces, flat, and how many each has."""
     raw = [p.encode() for p in pieces]
+    long = [i for i, x in enumerate(raw) if len(x) > LONG_PIECE]
+    if long:
+        ids = {i: encode_long(vocab, raw[i]) for i in long}
+        flat, sizes = encode_pieces(vocab, [p for i, p in enumerate(pieces) if i not in ids]) if len(ids) < len(pieces) else (np.empty(0, np.int32), np.empty(0, np.int64))
+        rest = iter(np.split(flat, np.cumsum(sizes)[:-1]))
+        parts = [ids[i] if i in ids else next(rest) for i in range(len(pieces))]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
     lengths = np.array([len(x) for x in raw], np.int64)
     flat = np.frombuffer(b"".join(raw), np.uint8)
     symbols = vocab.first[flat]
@@ -158,41 +223,38 @@ class Encoder:
         return ids, np.diff(np.append(0, ends))
 
 
-def _groups(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    start, texts, chars = 0, [], 0
-    for i, value in enumerate(column):
-        texts.append(value.as_py())
-        chars += len(texts[-1] or "")
-        if chars >= BLOCK_CHARS:
-            yield start, texts
-            start, texts, chars = i + 1, [], 0
-    if texts:
-        yield start, texts
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= BLOCK_CHARS or i == len(texts) - 1:
+            yield texts[start : i + 1]
+            start, chars = i + 1, 0
+
+
+def _lists(flat: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), flat)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of the text's token ids (array<int>); a null text is taken as empty.
 
     Whole texts of any length are encoded. A column already named ``ids`` is
-    replaced; all others stay. No rows in, no rows out.
+    replaced; all others stay, and don't go to Python. No rows in, no rows out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocab = spark.sparkContext.broadcast(Vocabulary.load(path))
-    docs = docs.drop(ids)
-    schema = F.lit(None).cast("array<int>")
-    out = docs.withColumn(ids, schema).schema
-    where = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocab.value)
         for batch in batches:
-            for start, texts in _groups(batch.column(where)):
-                flat, counts = encoder.encode(texts)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat, pa.int32()))
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+            parts = [encoder.encode(texts) for texts in _groups(batch.to_pylist())]
+            yield pa.concat_arrays([_lists(pa.array(flat, pa.int32()), counts) for flat, counts in parts] or [pa.array([], pa.list_(pa.int32()))])
 
-    return docs.mapInArrow(run, out)
+    # not deterministic: else Spark runs it once more for each use of its result
+    return docs.select(*(c for c in docs.columns if c != ids), run.asNondeterministic()(text).alias(ids))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -200,17 +262,16 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 
     Null or empty ids give an empty text; unknown ids raise an error.
     """
-    vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    encoded = encoded.drop(text)
-    out = encoded.withColumn(text, F.lit("")).schema
-    where = encoded.columns.index(ids)
-    encoded = encoded.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(vocab.value.tokens)
+    spark = encoded.sparkSession
+    bounded_batches(spark)
+    tokens = spark.sparkContext.broadcast(pa.array(Vocabulary.load(path).tokens))
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            column = batch.column(where)
-            lists = pa.ListArray.from_arrays(column.offsets, tokens.take(column.values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, " ")], [*batch.schema.names, text])
+            counts = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
+            yield pc.binary_join(_lists(tokens.value.take(batch.flatten()), counts), " ")
 
-    return encoded.mapInArrow(run, out)
+    names = [c for c in encoded.columns if c != text]
+    whole = encoded.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))
+    return whole.select(*names, run.asNondeterministic()(ids).alias(text))

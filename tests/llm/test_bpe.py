@@ -1,5 +1,8 @@
 import hashlib
+import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -42,3 +45,21 @@ def test_store_starts_anew(library, monkeypatch):
         for text in ("one two three", "four <|endoftext|> five six seven", "one"):
             ids, _ = encoder.encode([text])
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pieces_by_both_ways(library, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aé日😀") for n in (1001, 4000)] + ["a" * 5000, "short " + "xy" * 700 + " words"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (10, 1000, 10**9):
+        monkeypatch.setattr(bpe, "LONG_PIECE", limit)
+        ids, counts = bpe.Encoder(bpe.Vocabulary.load(queries.TOKENIZER)).encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_one_long_piece_takes_linear_time():
+    rng, encoder = random.Random(3), bpe.Encoder(bpe.Vocabulary.load(queries.TOKENIZER))
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    start = time.perf_counter()
+    encoder.encode([text])
+    assert time.perf_counter() - start < 10
