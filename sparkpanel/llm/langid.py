@@ -8,7 +8,6 @@ prediction is the mean of the windows' probabilities, weighted by their letters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, smallest_hashes
+
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 192
-#: Labelled rows that the network is fitted on at most, for each language.
-SAMPLE_PER_LANGUAGE = 1500
-#: Places of a sampled text where training windows begin.
-PLACES = (0.0, 0.35, 0.7)
-EPOCHS, BATCH, RATE = 14, 64, 0.02
+#: Labelled rows that the network is fitted on at most, for each language; all windows of their whole texts are used.
+SAMPLE_PER_LANGUAGE = 250
+EPOCHS, BATCH, RATE = 5, 64, 0.02
 UNKNOWN = "und"
 #: Windows handled at once in prediction; bounds memory and stays in the CPU's cache.
 _AT_ONCE = 128
@@ -118,30 +117,41 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
 def train(labelled: DataFrame) -> Network:
     """Fit on columns doc_id, text, lang: SAMPLE_PER_LANGUAGE rows of each language at most.
 
-    Rows are chosen by the smallest hash of doc_id and text. Rows without a
-    language or a letter are not used. Only the sampled windows, a few hundred
-    bytes a row, come to the driver.
+    Rows are chosen by the smallest hash of doc_id and text; their whole texts
+    come to the driver. Rows without a language or a letter are not used.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
-    length = F.length("text")
-    cuts = [F.substring("text", (length * F.lit(p)).cast("int") + 1, F.lit(WINDOW)) for p in PLACES]
-    rows, labels = [], []
-    for number, language in enumerate(languages):
-        chosen = (
-            usable.filter(F.col("lang") == language)
-            .select(F.xxhash64("doc_id", "text").alias("h"), F.array_distinct(F.array(*cuts)).alias("cuts"))
-            .orderBy("h")
-            .limit(SAMPLE_PER_LANGUAGE)
-            .select("cuts")
-        )
-        for r in chosen.collect():
-            for cut in r.cuts:
-                rows.append(window_bytes(cut)[0])
-                labels.append(number)
+    usable = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = smallest_hashes(usable, ["doc_id", "text"], SAMPLE_PER_LANGUAGE, ["lang"]).select("lang", "text").collect()
     if not rows:
         return Network([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    return fit(np.array(rows), np.array(labels), languages)
+    rows.sort()
+    languages = sorted({r.lang for r in rows})
+    windows = [window_bytes(r.text) for r in rows]
+    labels = np.repeat([languages.index(r.lang) for r in rows], [len(w) for w in windows])
+    windows = np.concatenate(windows)
+    lettered = letters_in(windows) > 0
+    return fit(windows[lettered], labels[lettered], languages)
+
+
+def guess(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and probability of each text; the windows of all texts go through the network together."""
+    lettered = [bool(net.languages and t and any(map(str.isalpha, t))) for t in texts]
+    found = [t for t, ok in zip(texts, lettered, strict=True) if ok]
+    languages, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if found:
+        parts = [window_bytes(t) for t in found]
+        sizes = np.array([len(p) for p in parts])
+        begin = np.cumsum(sizes) - sizes
+        rows = np.concatenate(parts)
+        weight = letters_in(rows).astype(np.float64)
+        none = np.add.reduceat(weight, begin) == 0  # letters whose bytes are no letters' after all
+        weight[np.repeat(none, sizes)] = 1
+        keep = weight > 0
+        p = np.zeros((len(rows), len(net.languages)))
+        p[keep] = net.probabilities(rows[keep]) * weight[keep, None]
+        p = np.add.reduceat(p, begin) / np.add.reduceat(weight, begin)[:, None]
+        languages[lettered], scores[lettered] = np.array(net.languages, object)[p.argmax(1)], np.minimum(p.max(1), 1.0)
+    return languages.tolist(), scores.tolist()
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
@@ -149,32 +159,21 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     A text that is null or has no letter gets ``und`` with score 0, as does
     every text when nothing was learned. Columns already named so are replaced.
+    Only texts go to Python, in batches bounded by their bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes at any input size
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    where = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        for batch in batches:
-            languages, scores = [], []
-            for value in batch.column(where):
-                text = value.as_py()
-                if not net.languages or not text or not any(map(str.isalpha, text)):
-                    languages.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                rows = window_bytes(text)
-                weight = letters_in(rows).astype(np.float64)
-                keep = weight > 0
-                p = weight[keep] @ net.probabilities(rows[keep]) / weight[keep].sum() if keep.any() else net.probabilities(rows).mean(0)
-                best = int(p.argmax())
-                languages.append(net.languages[best])
-                scores.append(float(min(1.0, p[best])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages), pa.array(scores)], schema.names)
-
-    return docs.mapInArrow(run, schema)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(net)  # a few hundred kilobytes at any input size
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def answer(texts: pa.Array) -> pa.Array:
+        languages, scores = guess(shared.value, texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    # not deterministic: else Spark runs it once more for each filter on its result
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found = docs.select(*names, answer.asNondeterministic()("text").alias("__language"))
+    return found.select(*names, "__language.lang_pred", "__language.score")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
