@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import window_hash
+from .common import Scratch, window_hash
 
 Q, EDITS = 8, 0.1
 #: Characters of benchmark text that are sent to the executors at once; more are handled in several passes.
@@ -83,26 +84,51 @@ class Index:
         return Index(ids, passages, budget, lengths - Q + 1 - Q * budget, distinct, np.append(begin, len(grams)), item[order], place[order], maybe)
 
 
-def distance(passage: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Fewest edits of the passage to a part of the region, with the part's bounds; None if over most.
+def _fill(passage: np.ndarray, text: np.ndarray, diagonal: int, cost: np.ndarray, most: int) -> np.ndarray | None:
+    """Edits after the whole passage on the diagonals from ``diagonal`` on, given those before it; None once all are over most.
 
-    One row per character of the passage, a vector over the region; begins are
-    carried along. The region is a diagonal band's width longer than the passage.
+    One row for each character of the passage, a vector over the diagonals. A
+    place outside the text is a change like any other: it costs as much as dropping the character.
     """
-    n = len(region)
-    cost, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, c in enumerate(passage, 1):
-        change, drop = cost[:-1] + (region != c), cost[1:] + 1
-        new = np.append(i, np.minimum(change, drop))
-        source = np.append(0, np.where(change <= drop, begin[:-1], begin[1:]))
-        best = np.minimum.accumulate(new - steps)  # inserted characters of the region
-        at = np.maximum.accumulate(np.where(new - steps == best, steps, 0))
-        cost, begin = best + steps, source[at]
-        if cost.min() > most:
+    width = len(cost)
+    around = np.full(len(passage) + width, -1, np.int64)
+    low, high = max(0, diagonal), min(len(text), diagonal + len(around))
+    if low < high:
+        around[low - diagonal : high - diagonal] = text[low:high]
+    steps, last = np.arange(width), np.full(width + 1, len(passage) + most + 1)
+    new = np.empty_like(cost)
+    for i, c in enumerate(passage.tolist()):
+        # the same diagonal goes on by one character of each, the next one by one of the passage alone
+        last[:-1] = cost
+        np.add(cost, around[i : i + width] != c, out=new)
+        np.minimum(new, last[1:] + 1, out=new)
+        new -= steps
+        np.minimum.accumulate(new, out=new)  # inserted characters of the text
+        new += steps
+        cost, new = new, cost
+        if i & 3 == 3 and cost.min() > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
+    return cost
+
+
+def distance(passage: np.ndarray, text: np.ndarray, diagonal: int, most: int) -> tuple[int, int, int] | None:
+    """Fewest edits of the passage to a part of the text, with the part's bounds; None if over most.
+
+    Banded alignment: the shared q-grams lie on the 2 * (most + 1) diagonals from
+    ``diagonal`` on, and an alignment that holds one of them strays at most
+    ``most`` diagonals from it; only cells on those are filled. Where the
+    alignment begins is found backwards from its end.
+    """
+    diagonal -= most
+    cost = _fill(passage, text, diagonal, np.zeros(4 * most + 2, np.int64), most)
+    if cost is None or cost.min() > most:
+        return None
+    best = int(cost.argmin())
+    end = diagonal + len(passage) + best
+    offset = np.arange(2 * most + 1) - most
+    back = _fill(passage[::-1], text[::-1], len(text) - end - most, np.where(offset < 0, len(passage) + most + 1, offset), len(passage))
+    begin = end - len(passage) - int(offset[int(back.argmin())])
+    return int(cost[best]), min(max(begin, 0), len(text)), min(max(end, 0), len(text))
 
 
 def candidates(index: Index, points: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
@@ -125,12 +151,15 @@ def candidates(index: Index, points: np.ndarray, doc: np.ndarray) -> list[tuple[
     diagonal = np.repeat(spots, sizes) - index.place[posting] + (1 << 40)
     width = index.budget[item] + 1
     band = diagonal // width
-    order = np.lexsort((band, item, np.repeat(doc[spots], sizes)))
-    d, i, b = np.repeat(doc[spots], sizes)[order], item[order], band[order]
+    place, owner = index.place[posting], np.repeat(doc[spots], sizes)
+    order = np.lexsort((place, band, item, owner))
+    d, i, b, place = owner[order], item[order], band[order], place[order]
     if not len(d):
         return []
-    new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
-    count = np.diff(np.append(new, len(d)))
+    other = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
+    new = np.flatnonzero(np.append(True, other))
+    # a q-gram of the passage counts once in a band, however often the text repeats it
+    count = np.add.reduceat(np.append(True, other | (place[1:] != place[:-1])).astype(np.int64), new)
     d, i, b = d[new], i[new], b[new]
     follows = np.append((d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (b[1:] == b[:-1] + 1), False)
     with_next = count + np.where(follows, np.append(count[1:], 0), 0)
@@ -150,13 +179,13 @@ def leaks_of(index: Index, texts: list[str | None]) -> list[list[dict]]:
     for d, i, diagonal in candidates(index, points, doc):
         passage, most = index.passages[i], int(index.budget[i])
         body, where = parts[d]
-        low = max(0, diagonal - int(starts[d]) - most)
-        high = min(len(body), diagonal - int(starts[d]) + len(passage) + 3 * most + 2)
-        region = body[low:high]
+        diagonal -= int(starts[d])
+        low = max(0, diagonal - most)
+        region = body[low : max(low, diagonal + len(passage) + 3 * most + 2)]
         at = region.tobytes().find(passage.tobytes())
-        hit = (0, at // 4, at // 4 + len(passage)) if at >= 0 and at % 4 == 0 else distance(passage, region, most)
+        hit = (0, low + at // 4, low + at // 4 + len(passage)) if at >= 0 and at % 4 == 0 else distance(passage, body, diagonal, most)
         if hit and hit[2] > hit[1]:
-            out[d].append({"item_id": index.ids[i], "start": int(where[low + hit[1]]), "end": int(where[low + hit[2] - 1]) + 1, "edits": hit[0]})
+            out[d].append({"item_id": index.ids[i], "start": int(where[hit[1]]), "end": int(where[hit[2] - 1]) + 1, "edits": hit[0]})
     return [_best(x) for x in out]
 
 
@@ -170,28 +199,27 @@ def _best(found: list[dict]) -> list[dict]:
 
 
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+_LEAKS_NAME = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
+
+
+def _in_blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    start, size = 0, 0
+    for n, text in enumerate(texts):
+        size += len(text or "")
+        if size >= BLOCK_CHARS or n == len(texts) - 1:
+            yield texts[start : n + 1]
+            start, size = n + 1, 0
 
 
-def _scan(docs: DataFrame, index: Index, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = docs.schema
-    where, at = docs.columns.index("text"), docs.columns.index(name)
+def _scan(index: Broadcast):
+    """The function of a text column that finds the index's passages."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, found, texts, size = batch.column(where), [], [], 0
-            for n, value in enumerate(column):
-                texts.append(value.as_py())
-                size += len(texts[-1] or "")
-                if size >= BLOCK_CHARS or n == len(column) - 1:
-                    found += leaks_of(shared.value, texts)
-                    texts, size = [], 0
-            before = batch.column(at).to_pylist()
-            columns = list(batch.columns)
-            columns[at] = pa.array([a + b for a, b in zip(before, found, strict=True)], _LEAKS)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+    @F.arrow_udf(_LEAKS_NAME)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([x for block in _in_blocks(texts.to_pylist()) for x in leaks_of(index.value, block)], _LEAKS)
 
-    return docs.mapInArrow(run, schema)
+    # not deterministic: else Spark runs it once more for each filter on its result
+    return run.asNondeterministic()
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
@@ -200,17 +228,25 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
     Places are code points of the text as it is. Case and the width of white
     space don't count. A null or empty text has no leaks; repeated rows have the
     same; passages that are null or shorter than Q characters are not searched.
-    A column already named so is replaced, others stay. Benchmark texts
-    go to the executors PASS_CHARS at a time, chosen by a hash of their item, in
-    as many passes as needed.
+    A column already named so is replaced, others stay. Only texts go to Python.
+    Benchmark texts go to the executors PASS_CHARS at a time, chosen by a hash of
+    their item, in as many passes as needed; a pass's rows are written before the
+    next one begins, so that one index is alive at a time.
     """
-    docs = docs.drop(name).withColumn(name, F.array().cast("array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    passes = -(-chars // PASS_CHARS)
+    passes = max(1, -(-chars // PASS_CHARS))
+    names = [c for c in docs.columns if c != name]
+    docs = docs.select(*names, F.array().cast(_LEAKS_NAME).alias(name))
     for number in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).orderBy("item_id", "text").collect()
-        docs = _scan(docs, Index.build([tuple(r) for r in rows]), name)
+        shared = spark.sparkContext.broadcast(Index.build([tuple(r) for r in rows]))
+        docs = docs.select(*names, F.concat(name, _scan(shared)("text")).alias(name))
+        if number < passes - 1:
+            docs = scratch.write(docs, "pass")
+            shared.destroy()
     return docs
 
 

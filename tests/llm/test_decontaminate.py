@@ -72,3 +72,28 @@ def test_edges_and_passes(spark, monkeypatch):
         assert got == [(3, 1, 0), (3, 1, 0), (4, 5, 0)]
         assert sorted(dc.clean(docs, items).collect(), key=str) == sorted([r for r in docs.collect() if r.doc_id not in (3, 4)], key=str)
     assert dc.leaks(docs.limit(0), items).count() == 0 and dc.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_banded_alignment_finds_what_the_whole_table_finds():
+    rng, found = random.Random(8), 0
+    for _ in range(400):
+        passage = mutated(rng, "".join(rng.choice("abcde ") for _ in range(rng.randrange(20, 70))).strip(), 0)
+        text = "".join(rng.choice("abcde ") for _ in range(rng.randrange(60))) + mutated(rng, passage, rng.randrange(9)) + "".join(rng.choice("abcde ") for _ in range(rng.randrange(60)))
+        index = dc.Index.build([(1, passage)])
+        if not index.ids:
+            continue
+        p, t = ("".join(map(chr, x)) for x in (index.passages[0], dc.normalised(text)[0]))
+        best = semi_global(p, t)
+        got = min((x["edits"] for x in dc.leaks_of(index, [text])[0]), default=None)
+        assert got == (best if best <= index.budget[0] else None)
+        found += got is not None
+    assert found > 100
+
+
+def test_passes_one_by_one_answer_as_one(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, dc.leaks(docs, benchmark).collect()))
+    monkeypatch.setattr(dc, "PASS_CHARS", benchmark.selectExpr("sum(length(text))").first()[0] // 3)
+    assert sorted(map(tuple, dc.leaks(docs, benchmark).collect())) == want
+    long = spark.createDataFrame([(1, "filler words " * 60_000 + benchmark.first().text + " and more" * 1000), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.doc_id for r in dc.leaks(long, benchmark).collect()} == {1} and dc.clean(long, benchmark).count() == 2
