@@ -14,13 +14,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks, connected_components, drop_table, materialize, mix64, signed, window_hash, word_hashes
+from .common import Scratch, blocks, connected_components, key_bitmap, mix64, signed, window_hash, word_hashes
 
 SHINGLE = 5
 K, ROWS, BANDS, MANTISSA = 128, 4, 32, 10
@@ -63,25 +64,24 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key per band; the band's number is part of the key."""
+    """One 64-bit bucket key per band, of one set's registers or of rows of them; the band's number is part of the key."""
     packed = np.ascontiguousarray(regs).view(np.uint64)  # four 16-bit registers each
     with np.errstate(over="ignore"):
         return mix64(packed * np.uint64(_BASE) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def estimate(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
     """Jaccard estimate of register pairs, corrected for chance collisions.
 
     Two disjoint sets of n and m members agree in a register with probability of
     about 0.1699 * 2**-MANTISSA * 4(n/m) / (1 + n/m)**2.
     """
-    if len(a) == 0:
-        return pd.Series([], dtype=float)
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(-1, K)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(-1, K)
-    ratio = n_a.to_numpy(float) / n_b.to_numpy(float)
+    x = np.frombuffer(b"".join(a.to_pylist()), np.uint16).reshape(-1, K)
+    y = np.frombuffer(b"".join(b.to_pylist()), np.uint16).reshape(-1, K)
+    ratio = n_a.to_numpy(zero_copy_only=False) / n_b.to_numpy(zero_copy_only=False)
     chance = 0.169919487159739 * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
-    return pd.Series(((x == y).mean(axis=1) - chance) / (1 - chance))
+    return pa.array(((x == y).mean(axis=1) - chance) / (1 - chance))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,47 +89,69 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1)
         for at, words in blocks((t.as_py() for t in texts), lower=True):
             h = word_hashes((w for x in words for w in x), sum(map(len, words)))
-            sizes, digests, regs, keys, start = [], [], [], [], 0
+            sizes, digests, regs, start = [], [], [], 0
             for x in words:
                 s = shingle_set(h[start : start + len(x)])
                 start += len(x)
                 sizes.append(len(s))
-                r = registers(s) if len(s) else None
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(r.tobytes() if len(s) else None)
-                keys.append(signed(band_keys(r)) if len(s) else None)
+                regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "regs", "keys"],
+                [ids.take(pa.array(at)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "regs"],
             )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at, words in blocks((t.as_py() for t in texts), lower=True):
-            h = word_hashes((w for x in words for w in x), sum(map(len, words)))
-            ends = np.cumsum([len(x) for x in words])
-            sets = [signed(shingle_set(h[e - len(x) : e])) for e, x in zip(ends, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+def _full_sets(wanted: Broadcast | None):
+    """Shingle sets of the texts whose id the bitmap may hold; of all without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(0).fill_null(0).to_numpy())))
+            ids, texts = batch.column(0), batch.column(1)
+            for at, words in blocks((t.as_py() for t in texts), lower=True):
+                h = word_hashes((w for x in words for w in x), sum(map(len, words)))
+                ends = np.cumsum([len(x) for x in words])
+                sets = [signed(shingle_set(h[e - len(x) : e])) for e, x in zip(ends, words, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return run
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and distinct shingles of the documents in wanted (doc_id), and of a few others.
+
+    A bitmap of the wanted ids saves shuffling the texts; where they are too many for it, the texts are joined.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    bitmap = key_bitmap(wanted)
+    if bitmap is None:
+        narrow = narrow.join(wanted, "doc_id", "left_semi")
+    shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
+    return narrow.mapInArrow(_full_sets(shared), "doc_id long, shingles array<long>")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, registers and band keys per row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signatures, "doc_id long, n_shingles long, digest binary, regs binary, keys array<long>"
-    )
+    """doc_id, n_shingles, digest of the whole set and registers per row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, regs binary")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def bands(regs: pa.Array) -> pa.Array:
+    """Band keys of packed registers."""
+    keys = signed(band_keys(np.frombuffer(b"".join(regs.to_pylist()), np.uint16).reshape(-1, K)).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach percent: estimate first, then exact."""
-    guess = F.pandas_udf(estimate, "double")
     side = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("regs").alias(f"regs_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     likely = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .filter(guess("regs_a", "regs_b", "n_a", "n_b") >= ESTIMATE_AT_LEAST)
+        .filter(estimate("regs_a", "regs_b", "n_a", "n_b") >= ESTIMATE_AT_LEAST)
         .select("a", "b")
         .distinct()
     )
@@ -166,8 +188,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and kept
     (doc_id = component_id), one row per input row. Null and empty texts have no
     shingles and link with nothing; repeated texts share a component; a null
-    doc_id keeps a null component and stays (kept). doc_id is taken as a key;
-    rows that repeat one are each answered for their own text. Other columns are ignored. An empty table gives an empty result.
+    doc_id keeps a null component and stays (kept). doc_id is a key: rows that
+    repeat one are one document of several texts, linked with whatever each of
+    them links with. Other columns are ignored. An empty table gives an empty result.
 
     Copies collapse to one representative by the digest of their whole set.
     Buckets then work in rounds: some pivots of each bucket (1, 4, 64, ...), those
@@ -179,51 +202,44 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     see ``prefix_entries``. No pair of different components that meet goes untested.
     """
     spark = docs.sparkSession
-    sigs, _ = materialize(signatures(docs), "minhash-signatures")
+    scratch = Scratch(spark, "minhash")
+    sigs = scratch.write(signatures(docs), "signatures")
     filled = sigs.filter("digest is not null and doc_id is not null")
-    reps = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    mine = filled.join(reps, "digest").filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", "digest"])
-    entries = mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket")).distinct()
+    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x"))
+    reps = scratch.write(first.select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.regs").alias("regs")), "reps")
+    entries = reps.select(F.col("rep").alias("id"), "n", F.explode(bands("regs")).alias("bucket"))
     busy = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members, first_path = materialize(entries.join(busy, "bucket"), "minhash-members")
+    shared = scratch.write(entries.join(busy, "bucket"), "shared")
     # a text that many others are copies of shares more buckets with them than they share with each other
-    central = members.groupBy("id").agg(F.sum("size").alias("score"))
-    members, members_path = materialize(members.join(central, "id").select("bucket", "id", "score", "n", F.col("n").alias("rest")), "minhash-members")
-    drop_table(spark, first_path)
-    wanted, _ = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "minhash-wanted")
-    sets, _ = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"),
-        "minhash-sets",
-    )
-    rep_sigs = sigs.join(wanted, "doc_id", "left_semi").select("doc_id", "regs", "n_shingles")
-    links = spark.createDataFrame([], "a long, b long")
+    central = shared.groupBy("id").agg(F.sum("size").alias("score"))
+    members = scratch.write(shared.join(central, "id").select("bucket", "id", "score", "n", F.col("n").alias("rest")).distinct(), "members")
+    scratch.drop("shared")
+    wanted = scratch.write(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = scratch.write(full_sets(docs, wanted), "sets")
+    rep_sigs = scratch.write(reps.select(F.col("rep").alias("doc_id"), "regs", F.col("n").alias("n_shingles")).join(wanted, "doc_id", "left_semi"), "wanted-signatures")
     labels = spark.createDataFrame([], "node long, component long")
     width, indexed = 1, False
     while not members.isEmpty():
         placed = members.join(labels, members.id == labels.node, "left").select("bucket", "id", "score", "n", "rest", F.coalesce("component", "id").alias("part"))
         open_ = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("bucket", "size")
-        placed, placed_path = materialize(placed.join(open_, "bucket"), "minhash-placed")
-        drop_table(spark, members_path)
+        placed = scratch.write(placed.join(open_, "bucket"), "placed")
         if width > 1 and not indexed:
             indexed = True
             crowded = placed.filter(F.col("size") > CROWD)
             by_prefix = prefix_entries(sets, crowded.select("id", "score", "part", "n").distinct(), percent)
-            placed, new_path = materialize(placed.filter(F.col("size") <= CROWD).drop("size").unionByName(by_prefix), "minhash-placed")
-            drop_table(spark, placed_path)
-            placed_path = new_path
+            placed = scratch.write(placed.filter(F.col("size") <= CROWD).drop("size").unionByName(by_prefix), "placed")
         pivots = placed.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(width)).alias("slot")).agg(F.max(F.struct("score", "id", "part", "n", "rest")).alias("p"))
         pivots = pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.n").alias("pivot_n"), F.col("p.rest").alias("pivot_rest"))
         enough = (100 + percent) * F.least("rest", "pivot_rest") >= percent * (F.col("n") + F.col("pivot_n"))
         pairs = placed.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & enough).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new, _ = materialize(_confirmed(pairs, rep_sigs, sets, percent), "minhash-links")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = connected_components(links, "minhash-labels")
-        members, members_path = materialize(placed.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "score", "n", "rest"), "minhash-members")
-        drop_table(spark, placed_path)
+        links = scratch.write(_confirmed(pairs, rep_sigs, sets, percent), "links")
+        if not links.isEmpty():
+            # the stars so far stand for all links found before
+            labels = connected_components(links.union(labels), scratch, "labels")
+        members = scratch.write(placed.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "score", "n", "rest"), "members")
         width *= 4 if width == 1 else 16
     owner = reps.join(labels, reps.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("part"))
-    return (
+    return scratch.close(
         sigs.select("doc_id", "n_shingles", "digest")
         .join(owner, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))
