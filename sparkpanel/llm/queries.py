@@ -78,7 +78,7 @@ def _span_list(spans: str) -> F.Column:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_read(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"))
+    return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_substring, op3_quality, op4_class_lm, op5_decontamination, op6_html, op7_embedding, op8_language, op9_bpe, op10_pii)}

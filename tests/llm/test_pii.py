@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from sparkpanel.llm import pii, queries
 
@@ -58,6 +60,7 @@ def test_disclosing_terms_and_edges(spark):
     clean = {(r.doc_id, r.near, r.base): r.text for r in pii.sanitise(df).collect()}
     assert "[EMAIL]" in clean[(0, 1, "b")] and "Quillfeather" not in clean[(0, 1, "b")] and clean[(100, 1, "b")] is None
     assert clean[(None, 1, "b")] == "call [PHONE] now" and clean[(200, 1, "b")] == rows[6][1]
+    assert {(r.doc_id, r.near, r.base): r.text for r in pii.sanitise(df, most=0).collect()} == clean
     assert pii.sanitise(df).count() == len(rows) and pii.find(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
 
 
@@ -77,3 +80,49 @@ def test_telling_terms_go_wherever_they_stand(spark):
     # one copied text gives one context, however far the term
     same = spark.createDataFrame([(i, text[0]) for i in range(6)] + rows[6:], "doc_id long, text string")
     assert all(len(r.spans) == 1 for r in pii.find(same).filter("doc_id < 6").collect())
+
+
+def test_terms_that_disclose_a_kind_against_plain_counts(spark):
+    """All spans of the largest given documents, from P(kind | term) counted in dictionaries; no value there is seen often enough."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    n_term, n_kind, n_both, of, contexts = Counter(), Counter(), Counter(), {}, defaultdict(dict)
+    for doc_id, text in rows:
+        spans = pii.base_spans(text)
+        kinds = {k for _, k, _ in spans} | ({"any"} if spans else set())
+        free = [(t, s, e, i) for i, (term, form, s, e) in enumerate(pii._words(text, spans)) for t in (term, form) if t]
+        of[doc_id] = text, spans, kinds, free
+        n_term.update(pii.terms_in(text))
+        n_kind.update(kinds)
+        n_both.update((t, k) for t in {x[0] for x in free} for k in kinds)
+    bits = lambda t, k: math.log2(n_both[t, k] / n_term[t] * len(rows) / n_kind[k])
+    suspects = {(t, k) for (t, k), n in n_both.items() if n > 8 and n >= 0.5 * n_term[t] and bits(t, k) >= 3}
+    wanted = {t for t, _ in suspects}
+    for text, spans, kinds, free in of.values():
+        if any(t in wanted for t, *_ in free):
+            words = [t if t.isalpha() else "" for t, _, _, _ in pii._words(text, spans)]
+            for t, _, _, i in free:
+                if t in wanted:
+                    around = tuple(words[j] if 0 <= j < len(words) else "" for j in range(i - pii.CONTEXT, i + pii.CONTEXT + 1))
+                    contexts[t].setdefault(around, set()).update(kinds)
+
+    def sure(t, k):
+        n, p = len(contexts[t]), sum(k in x for x in contexts[t].values()) / len(contexts[t])
+        return (p + 8 / n - 4 * math.sqrt(p * (1 - p) / n + 4 / n**2)) / (1 + 16 / n) >= 0.5
+
+    telling = {t for t, k in suspects if sure(t, k)}
+    assert {"token", "<40 hex>"} <= telling
+    want = {i: sorted({*spans, *((s, len(pii.KINDS), e) for t, s, e, _ in free if t in telling)}) for i, (_, spans, _, free) in of.items()}
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    assert got == want and sum(map(len, got.values())) > sum(len(x[1]) for x in of.values())
+    joined = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), most=0)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in joined.collect()} == want
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = " ".join(f"word{i} name{i}@example.org {i % 250}.1.2.{i % 250} +1 212 555 {i % 10000:04d}" for i in range(5000))
+    start = time.perf_counter()
+    spans = pii.base_spans(text)
+    pii.sightings(text, spans)
+    assert len(spans) > 14_000 and time.perf_counter() - start < 10
