@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Pieces whose ids a task keeps; the store starts anew when it is full.
-STORE_PIECES = 200_000
+STORE_PIECES = 50_000
 #: Bytes over which a piece is merged by itself; both ways give the same ids.
 LONG_PIECE = 1000
 #: Code points encoded together, at least one text.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 300_000
 _NO_RANK = np.iinfo(np.int64).max
 _SHIFT = np.int64(1 << 20)
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
