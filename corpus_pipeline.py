@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpanel.llm import bpe, decontaminate, langid, minhash, pii
-from sparkpanel.llm.common import materialize
+from sparkpanel.llm.common import materialize, without_ids
 from sparkpanel.llm.queries import TOKENIZER
 
 
@@ -22,8 +22,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    return without_ids(docs, minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct())
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,8 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text they decode to."""
-    ids = bpe.encode(docs, TOKENIZER)
+    # written in between, so that a task needs one Python worker at a time
+    ids, _ = materialize(bpe.encode(docs, TOKENIZER).select("doc_id", "lang", "source", "ids"), "pipeline-ids")
     return bpe.decode(ids, TOKENIZER).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
