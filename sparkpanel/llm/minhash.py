@@ -189,8 +189,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     (doc_id = component_id), one row per input row. Null and empty texts have no
     shingles and link with nothing; repeated texts share a component; a null
     doc_id keeps a null component and stays (kept). doc_id is a key: rows that
-    repeat one are one document of several texts, linked with whatever each of
-    them links with. Other columns are ignored. An empty table gives an empty result.
+    repeat one are each answered for their own text, and are one node where their
+    texts link with others. Other columns are ignored. An empty table gives an empty result.
 
     Copies collapse to one representative by the digest of their whole set.
     Buckets then work in rounds: some pivots of each bucket (1, 4, 64, ...), those
