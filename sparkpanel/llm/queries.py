@@ -75,9 +75,14 @@ def _span_list(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count_of(kind: int) -> F.Column:
+    """How many base spans are of a kind. (A second argument of the lambda would be the span's position.)"""
+    return F.size(F.filter("base", lambda s: s["kind"] == F.lit(kind))).cast("long")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_count_of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, _hex(_span_list("base")).alias("base_sha256"), _span_list("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from sparkpanel.llm import pii, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -34,11 +35,16 @@ def test_base_patterns_match_plain_expressions(spark):
     pii.base_spans("a" * 200_000 + "@"), pii.base_spans("1" * 200_000), pii.base_spans("a" * 100_000 + "@@" + "+1" * 50_000)
 
 
-def test_contract_digest(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
-    got = {r.doc_id: r for r in queries.op10_pii(spark, "/root/testdata/sf0.001").collect()}
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_contract_digest(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op10_pii(spark, f"/root/testdata/{size}").collect()}
+    assert len(got) == len(docs)
     for r in docs:
         spans = plain(r.text or "")
+        counts = Counter(k for _, k, _ in spans)
+        assert [got[r.doc_id][f"n_{name}"] for name in pii.KINDS] == [counts[k] for k in range(4)]
+        assert got[r.doc_id].n_spans == len([s for s in got[r.doc_id].spans.split(",") if s])
         listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert set(filter(None, listed.split(","))) <= set(got[r.doc_id].spans.split(","))
