@@ -1,11 +1,12 @@
-"""Checkpoint folder for iterative operators."""
+"""Checkpoint folder and written intermediate tables for iterative operators."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -22,3 +23,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     ensure_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table; nothing happens once the session has ended."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared checkpoint folder, read again, and its path.
+
+    Lineage ends there, and values that depend on how Spark dealt the rows
+    (partition numbers, positions) stay as they are when a task runs again. The
+    table goes by ``drop_table`` or with the driver's process.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(drop_table, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path

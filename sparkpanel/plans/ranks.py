@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as N
 from ..operators import ranking as K
+from ..operators import sections as P
 from ..panel import ratio
 from .fixtures import KEYS, PANEL, day, r, stock_panel, table
 from .registry import register
@@ -27,6 +28,15 @@ def f3(spark, sf_dir):
     return K.qcut_rank(stock_panel(spark, sf_dir), "prc", 5).select("name", day().alias("date"), F.col("bucket").cast("int").alias("bucket"))
 
 
+@register("f3_section_places", f"""{PANEL}, e AS (SELECT date, quantile_cont(vol, [0.2,0.4,0.6,0.8]) AS q, quantile_cont(mktcap, [0.2,0.8]) AS m FROM panel GROUP BY date)
+ SELECT p.name, strftime(p.date,'%Y-%m-%d') AS date, ntile(5) OVER (PARTITION BY p.date ORDER BY vol, name)::INTEGER AS tile, row_number() OVER (PARTITION BY p.date ORDER BY vol, name) AS position,
+ round((rank() OVER (PARTITION BY p.date ORDER BY vol) + (count(*) OVER (PARTITION BY p.date, vol)-1)/2.0)/count(*) OVER (PARTITION BY p.date),6) AS pct, (1+len(list_filter(q, lambda x: p.vol > x)))::INTEGER AS bucket FROM panel p JOIN e ON p.date=e.date""")
+def f3_places(spark, sf_dir):
+    """Tiles, ranks and quantile buckets by ranges of (date, value), for sections larger than a task."""
+    placed = P.positions(stock_panel(spark, sf_dir).select("name", "date", "vol"), ["date"], "vol", "name")
+    return P.qcut(placed, ["date"], "vol", 5).select("name", day().alias("date"), P.ntile(5).alias("tile"), "position", r(P.pct_rank()).alias("pct"), "bucket")
+
+
 @register("f4_rank_spread", f"""{PANEL}, p AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY vol, name)::DOUBLE/count(*) OVER (PARTITION BY date) AS p FROM panel)
  SELECT strftime(date,'%Y-%m-%d') AS date, round(avg(ret) FILTER (p > 1-1.0/5) - avg(ret) FILTER (p <= 1.0/5),6) AS port_r FROM p GROUP BY 1""")
 def f4(spark, sf_dir):
