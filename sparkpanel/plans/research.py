@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import portfolio as P
 from ..operators import ranking as K
 from ..operators import research as H
-from ..operators import sections as P
+from ..operators import sections as C
 from .fixtures import PANEL, AX, day, over, r, stock_panel, table
 from .portfolios import DEPENDENT, N, _ports, momentum, single
 from .registry import register
@@ -171,8 +171,8 @@ def h10(spark, sf_dir):
 @register("h10_breakpoints_ranges", f"{PANEL} SELECT strftime(date,'%Y-%m-%d') AS date, round(quantile_cont(mktcap,0.2),2) AS p20, round(quantile_cont(mktcap,0.8),2) AS p80 FROM panel GROUP BY 1")
 def h10_ranges(spark, sf_dir):
     """Breakpoints that gather two rows of a date for each share, for dates larger than a task."""
-    placed = P.positions(stock_panel(spark, sf_dir).select("name", "date", "mktcap"), ["date"], "mktcap", "name")
-    return P.breakpoints(placed, ["date"], "mktcap", [0.2, 0.8]).select(day().alias("date"), r(F.col("edges")[0], 2).alias("p20"), r(F.col("edges")[1], 2).alias("p80"))
+    placed = C.positions(stock_panel(spark, sf_dir).select("name", "date", "mktcap"), ["date"], "mktcap", "name")
+    return C.breakpoints(placed, ["date"], "mktcap", [0.2, 0.8]).select(day().alias("date"), r(F.col("edges")[0], 2).alias("p20"), r(F.col("edges")[1], 2).alias("p80"))
 
 
 @register("h11_single_regression", f"{PANEL} SELECT round(regr_slope(ret, mkt),6) AS slope, round(regr_intercept(ret, mkt),6) AS intercept, round(regr_r2(ret, mkt),6) AS r2 FROM panel")
