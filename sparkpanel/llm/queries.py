@@ -112,9 +112,9 @@ _SPACE = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _HASHED = "('0x'||substr(h,{at},8))::BIGINT"
 
 ORACLE: dict[str, str] = {
-    "op11_line_dedup": f"""WITH l AS (SELECT doc_id, string_split(coalesce(text,''),chr(10)) AS a FROM documents), e AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a,1) AS at FROM l),
+    "op11_line_dedup": f"""WITH l AS (SELECT doc_id, string_split(coalesce(text,''),chr(10)) AS a FROM documents), e AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a,1) AS place FROM l),
  k AS (SELECT *, translate(trim(line,{_SPACE}),'{linededup.UPPER}','{linededup.LOWER}') AS key FROM e), s AS (SELECT key AS shared FROM k WHERE length(key)>=1 GROUP BY 1 HAVING count(DISTINCT doc_id)>=10)
- SELECT doc_id, count(*) AS n_lines, count(shared) AS n_dropped, sha256(coalesce(string_agg(line,chr(10) ORDER BY at) FILTER (shared IS NULL),'')) AS kept_sha256 FROM k LEFT JOIN s ON key=shared GROUP BY 1""",
+ SELECT doc_id, count(*) AS n_lines, count(shared) AS n_dropped, sha256(coalesce(string_agg(line,chr(10) ORDER BY place) FILTER (shared IS NULL),'')) AS kept_sha256 FROM k LEFT JOIN s ON key=shared GROUP BY 1""",
     "op12_fill_in_middle": f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t, sha256('42:'||doc_id) AS h FROM documents), k AS (SELECT *, regexp_extract_all(t,'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS a,
  {_HASHED.format(at=1)} AS h1, {_HASHED.format(at=9)} AS h2, {_HASHED.format(at=17)} AS h3, {_HASHED.format(at=25)} AS h4 FROM d),
  c AS (SELECT *, len(a) AS n, least(h1%(len(a)+1),h2%(len(a)+1)) AS i, greatest(h1%(len(a)+1),h2%(len(a)+1)) AS j, CASE WHEN t='' OR contains(t,'<P>') OR contains(t,'<S>') OR contains(t,'<M>') OR h3%100>=50 THEN 'plain' WHEN h4%100<80 THEN 'spm' ELSE 'psm' END AS form FROM k),
