@@ -110,6 +110,12 @@ def contract_ratios(df: DataFrame, strike: str = "strike", price: str = "prc", o
     return df.withColumns({"ks": ratio(strike, price), "p_ratio": ratio(option, price), "elasticity": ratio(F.col(delta) * F.col(price), F.col(option)), "rv_iv": _c(realized) - F.col(implied)})
 
 
+def shift_after(contract: str, date: str, value: str, cut: str) -> Column:
+    """A contract's value up to the cut-off date; after it that of the contract's next date, as vendors that report a day late need (open interest)."""
+    following = F.lead(value).over(Window.partitionBy(contract).orderBy(date))
+    return F.when(F.col(date) <= F.lit(cut).cast("timestamp"), F.col(value)).otherwise(following)
+
+
 def average_absolute(*columns: Column | str) -> Column:
     """Mean of absolute values; null where one is."""
     return reduce(lambda a, b: a + b, [F.abs(_c(c)) for c in columns]) / len(columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
+from ..operators import enrich as N
 from ..operators.enrich import market_breadth
 from ..panel import ratio
 from .fixtures import DAYS, KEYS, PANEL, AX, day, day_panel, over, r, stock_panel
@@ -144,7 +145,7 @@ def e31(spark, sf_dir):
  SELECT {KEYS}, round((prc-lag(prc) OVER (PARTITION BY name ORDER BY date))/nullif(lag(prc) OVER (PARTITION BY name ORDER BY date),0),6) AS opt_r, round(oi-lag(oi) OVER (PARTITION BY name ORDER BY date),6) AS oi_change FROM s""")
 def e33(spark, sf_dir):
     df = stock_panel(spark, sf_dir)
-    df = df.withColumn("oi", F.when(F.col("date") > F.lit("1998-06-01").cast("timestamp"), F.lead("vol").over(AX.history())).otherwise(F.col("vol")))
+    df = df.withColumn("oi", N.shift_after("name", "date", "vol", "1998-06-01"))
     return df.select("name", day().alias("date"), r(R.change("prc", 1, True)).alias("opt_r"), r(R.change("oi")).alias("oi_change"))
 
 

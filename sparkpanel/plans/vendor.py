@@ -11,6 +11,7 @@ from ..operators import etl as X
 from ..operators.rolling import forward_fill
 from ..panel import ratio
 from ..sources import tables
+from ..operators.intervals import interval_tree_join
 from .fixtures import BRANDS, DAYS, HISTORY, KEYS, PANEL, day, day_panel, name_history, pair_prices, r, stock_panel, table
 from .registry import register
 
@@ -288,6 +289,15 @@ def c6(spark, sf_dir):
     return X.interval_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), name_history(spark, sf_dir), ["o_custkey"], "o_orderdate", "effect_date", "to_date").select("o_orderkey", "hist_id")
 
 
+@register("c6_interval_tree", f"""{HISTORY} SELECT o.o_orderkey, count(*) AS n, max(hist_id) AS hist_id FROM orders o JOIN hist h ON o.o_custkey=h.o_custkey AND o.o_orderdate >= h.effect_date - INTERVAL 400 DAY AND o.o_orderdate <= coalesce(h.to_date, TIMESTAMP '9999-01-01') GROUP BY 1""")
+def c6_tree(spark, sf_dir):
+    """Orders with all intervals, from 400 days before they took effect, that hold their date: overlapping intervals by equal bins."""
+    past = name_history(spark, sf_dir).select("o_custkey", F.expr("date_sub(effect_date, 400)").alias("from_date"), F.col("to_date").cast("date").alias("to_date"), "hist_id")
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    met = interval_tree_join(facts, past, ["o_custkey"], "d", "from_date", "to_date")
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("hist_id").alias("hist_id"))
+
+
 @register("c7_asof_join", f"{HISTORY} SELECT o_orderkey, hist_id FROM orders o ASOF JOIN hist h ON o.o_custkey=h.o_custkey AND o_orderdate >= effect_date")
 def c7(spark, sf_dir):
     return X.asof_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), name_history(spark, sf_dir), ["o_custkey"], "o_orderdate", "effect_date", ["hist_id"]).select("o_orderkey", "hist_id")

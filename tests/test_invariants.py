@@ -304,6 +304,11 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "f.csv").write_text("made by hand\nMonth, Mkt , RF\n200101, 1.5, -99.99\n 200102 ,2,0.1\n\nCopyright 2001\n")
     rows = tables.read_csv_table(spark, str(tmp_path / "f.csv"), "month int, mkt double, rf double", 2).collect()
     assert [tuple(r) for r in rows] == [(200101, 1.5, -99.99), (200102, 2.0, 0.1)]
+    (tmp_path / "several").mkdir()
+    for k in range(3):
+        (tmp_path / "several" / f"{k}.csv").write_text(f"200{k}00,9,9\n{k},8,8\n" + "".join(f"20{k}00{i},{i},0.5\n" for i in range(1, 4)) + "end\n")
+    rows = tables.read_csv_table(spark, f"{tmp_path}/several", "month int, mkt double, rf double", 2).collect()
+    assert sorted((r.month, r.mkt) for r in rows) == [(200000 + 1000 * k + i, float(i)) for k in range(3) for i in range(1, 4)]
     for k in range(2):
         tables.append_result(spark, f"{tmp_path}/log", "run", {"k": k}, {"sharpe": 1.5})
     assert {r.parameters for r in spark.read.parquet(f"{tmp_path}/log").collect()} == {'{"k":"0"}', '{"k":"1"}'}
