@@ -84,8 +84,9 @@ def target_encode_loo(df: DataFrame, category: str, target: str, name: str) -> D
 
 
 def information_coefficient(x: str, y: str) -> Column:
-    """Correlation as an aggregate; -2 when a side doesn't vary."""
-    c = F.corr(x, y)
+    """Correlation as an aggregate; -2 when a side doesn't vary. (``corr`` itself raises an error then.)"""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    c = F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y))))
     return F.coalesce(F.when(~F.isnan(c), c), F.lit(-2.0))
 
 

@@ -81,20 +81,65 @@ def factor_regression(df: DataFrame, keys: list[str], y: str, factors: list[str]
 MODELS = {"CAPM": ("mkt_rf",), "FF3": ("mkt_rf", "smb", "hml"), "FF5": ("mkt_rf", "smb", "hml", "rmw", "cma"), "q-factor": ("r_mkt", "r_me", "r_ia", "r_roe", "r_eg")}
 
 
+#: Windows whose sums are made together; bounds a task's memory.
+WINDOW_BLOCK = 1024
+
+
+def rolling_hac(x: np.ndarray, y: np.ndarray, window: int, lags: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hac_ols`` of every full window, a row each: coefficients, t and p.
+
+    A window's sums are differences of running sums, so it costs the factors and not
+    its length. Scores are x (y - x b) and so quadratic in b: their lagged products follow from running sums of the
+    products of x and (x, y) with those ``k`` rows before. Windows of few rows for
+    their factors are refitted: their residuals are so small that sums would leave few of their digits.
+    """
+    p, count = x.shape[1], len(y) - window + 1
+    out = [np.empty((max(count, 0), p)) for _ in range(3)]
+    if window < 3 * p:
+        for i in range(count):
+            out[0][i], out[1][i], out[2][i] = hac_ols(x[i : i + window], y[i : i + window], lags)
+        return out[0], out[1], out[2]
+    for at in range(0, count, WINDOW_BLOCK):
+        upto = min(count, at + WINDOW_BLOCK)
+        xs, z = x[at : upto + window - 1], np.column_stack([x, y])[at : upto + window - 1]
+        first = np.arange(upto - at)
+
+        def sums(each: np.ndarray, skip: int = 0, first: np.ndarray = first) -> np.ndarray:
+            """Of each window, over all its rows but the first ``skip``; ``each`` begins at row ``skip``."""
+            run = np.concatenate([np.zeros((1, *each.shape[1:])), each.cumsum(axis=0)])
+            return run[first + window - skip] - run[first]
+
+        inverse = np.linalg.pinv(sums(xs[:, :, None] * xs[:, None, :]), hermitian=True)
+        beta = np.einsum("wij,wj->wi", inverse, sums(xs * z[:, -1:]))
+        turn = np.column_stack([-beta, np.ones(len(beta))])
+        crossed = xs[:, :, None] * z[:, None, :]  # a row's score is this times (-b, 1)
+        s = np.zeros((len(beta), p, p))
+        for k in range(min(lags, window - 1) + 1):
+            products = sums(np.einsum("tia,tjb->tiajb", crossed[k:], crossed[: len(crossed) - k]), k)
+            g = np.einsum("wiajb,wa,wb->wij", products, turn, turn)
+            s += g if k == 0 else (1 - k / (lags + 1)) * (g + g.transpose(0, 2, 1))
+        spread = np.einsum("wij,wjk,wki->wi", inverse, s, inverse)
+        t = beta / np.sqrt(np.maximum(spread, 1e-300))
+        out[0][at:upto], out[1][at:upto] = beta, t
+        out[2][at:upto] = np.vectorize(math.erfc, otypes=[float])(np.abs(t) / math.sqrt(2))
+    return out[0], out[1], out[2]
+
+
 def rolling_factor_regression(df: DataFrame, keys: list[str], y: str, factors: list[str], window: int, lags: int = 3, ax: Axis = AX) -> DataFrame:
-    """Per key and time the regression on factors over the last ``window`` rows: term, coefficient, t and p; full windows only."""
+    """Per key and time the regression on factors over the last ``window`` rows: term, coefficient, t and p; full windows only.
+
+    Rows with a missing value are left out, so a window spans them.
+    """
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, ax.time]) + ", term string, coefficient double, t double, p double"
     terms = ["alpha", *factors]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[y, *factors]).sort_values(ax.time)
-        x, v, at = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)]), pdf[y].to_numpy(float), pdf[ax.time].to_numpy()
-        rows = []
-        for end in range(window, len(pdf) + 1):
-            beta, t, p = hac_ols(x[end - window : end], v[end - window : end], lags)
-            rows += [(*key, at[end - 1], *cells) for cells in zip(terms, beta, t, p, strict=True)]
-        return pd.DataFrame(rows, columns=[*keys, ax.time, "term", "coefficient", "t", "p"])
+        x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
+        beta, t, p = rolling_hac(x, pdf[y].to_numpy(float), window, lags)
+        at = np.repeat(pdf[ax.time].to_numpy()[window - 1 :], len(terms)) if len(pdf) >= window else pdf[ax.time].to_numpy()[:0]
+        return pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key, strict=True)}, ax.time: at, "term": terms * len(beta), "coefficient": beta.ravel(), "t": t.ravel(), "p": p.ravel()})
 
     return df.select(*keys, ax.time, y, *factors).groupBy(*keys).applyInPandas(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds as A
 from ..operators import forecast as J
 from ..operators import portfolio as P
 from ..operators.rolling import cumulative_return, rolling_std, time_series_ratio
@@ -118,6 +119,32 @@ def j10(spark, sf_dir):
     return J.search(df, prediction_folds(df), {n: J.model_pipeline(n, FEATURES, "y") for n in ("linear", "elastic", "tree")}, "y")
 
 
+OLS = f"""{FRAME}, d AS (SELECT date, row_number() OVER (ORDER BY date)-1 AS i FROM (SELECT DISTINCT date FROM fr)), n AS (SELECT count(*) AS n FROM d), f AS (SELECT k::INTEGER AS fold, k*12 AS i, n FROM n, range(0, 100) t(k) WHERE k*12+36 <= n-1),
+ b AS (SELECT fold, regr_slope(y, mom) AS s, regr_intercept(y, mom) AS c FROM f JOIN d ON d.i BETWEEN f.i AND f.i+35 JOIN fr ON fr.date=d.date GROUP BY 1),
+ p AS (SELECT f.fold, name, fr.date, y, c+s*mom AS prediction FROM f JOIN b ON b.fold=f.fold JOIN d ON d.i BETWEEN f.i+36 AND least(f.i+47, n-1) JOIN fr ON fr.date=d.date)"""
+
+
+@register("j10_search_linear", f"{OLS} SELECT 'ols' AS candidate, round(avg(ic),6) AS ic FROM (SELECT fold, corr(prediction, y) AS ic FROM p GROUP BY 1)")
+def j10_linear(spark, sf_dir):
+    """Mean information coefficient of a regression on one feature over all folds, from sums of each month."""
+    df = frame(spark, sf_dir)
+    return A.search_linear(df, prediction_folds(df), {"ols": (0.0, 0.0)}, ["mom"], "y").select("candidate", r("ic").alias("ic"))
+
+
+@register("j10_search_penalties")
+def j10_penalties(spark, sf_dir):
+    """A grid of penalties on three features, from one scan."""
+    df = frame(spark, sf_dir)
+    grid = {f"penalty={p}, mix={m}": (p, m) for p in (0.0, 0.001, 0.01, 0.1) for m in (0.0, 0.5, 1.0)}
+    return A.search_linear(df, prediction_folds(df), grid, FEATURES, "y").select("candidate", r("ic").alias("ic"))
+
+
+@register("j11_predict_linear", f"{OLS} SELECT fold, {KEYS}, round(prediction,6) AS prediction FROM p")
+def j11_linear(spark, sf_dir):
+    df = frame(spark, sf_dir)
+    return A.predict_linear(df, prediction_folds(df), ["mom"], "y", ["name", "date"]).select("fold", "name", day().alias("date"), r("prediction").alias("prediction"))
+
+
 @register("j10_search_grid")
 def j10_grid(spark, sf_dir):
     """Three points of a grid of four, within a time budget."""
