@@ -136,9 +136,11 @@ def rolling_factor_regression(df: DataFrame, keys: list[str], y: str, factors: l
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[y, *factors]).sort_values(ax.time)
+        if len(pdf) < window:
+            return pd.DataFrame(columns=[*keys, ax.time, "term", "coefficient", "t", "p"])
         x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
         beta, t, p = rolling_hac(x, pdf[y].to_numpy(float), window, lags)
-        at = np.repeat(pdf[ax.time].to_numpy()[window - 1 :], len(terms)) if len(pdf) >= window else pdf[ax.time].to_numpy()[:0]
+        at = np.repeat(pdf[ax.time].to_numpy()[window - 1 :], len(terms))
         return pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key, strict=True)}, ax.time: at, "term": terms * len(beta), "coefficient": beta.ravel(), "t": t.ravel(), "p": p.ravel()})
 
     return df.select(*keys, ax.time, y, *factors).groupBy(*keys).applyInPandas(run, schema)
