@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Axis, ratio
-from .quantiles import percentiles
+from .quantiles import column_quantiles
 
 AX = Axis()
 
@@ -237,8 +237,7 @@ def grid_summary(df: DataFrame, keys: list[list[str]], value: str) -> DataFrame:
 
 def quantile_threshold(df: DataFrame, column: str, p: float = 0.5) -> DataFrame:
     """df with position: 1 above the column's quantile over all rows, 0 elsewhere."""
-    cut = percentiles(df.select(F.lit(column).alias("column"), F.col(column).cast("double").alias("value")), ["column"], "value", [p])
-    cut = cut.select(F.col("q")[0].alias("__q"))
+    cut = column_quantiles(df, [column], [p]).select(F.col("q")[0].alias("__q"))
     return df.crossJoin(F.broadcast(cut)).withColumn("position", F.when(F.col(column) > F.col("__q"), 1).otherwise(0)).drop("__q")  # one row
 
 

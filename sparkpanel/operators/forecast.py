@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Axis, ratio
-from .quantiles import percentiles
+from .quantiles import column_quantiles
 from .ranking import rank_spread
 
 AX = Axis()
@@ -52,8 +52,7 @@ def preprocess(train: DataFrame, df: DataFrame, columns: list[str], limit: float
     """Mean imputation, robust scaling by median and interquartile range, and clipping, all fitted on train."""
     fitted = train.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
     filled = train.crossJoin(F.broadcast(fitted)).select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) for c in columns])
-    long = filled.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    each = percentiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    each = column_quantiles(filled, columns, [0.25, 0.5, 0.75])
     q = each.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"__q_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(fitted)).crossJoin(F.broadcast(q))  # tables of one row
     scaled = {c: ratio(F.coalesce(F.col(c), F.col(f"__m_{c}")) - F.col(f"__q_{c}")[1], F.col(f"__q_{c}")[2] - F.col(f"__q_{c}")[0]) for c in columns}

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Axis, ratio
-from .quantiles import percentiles
+from .eda import side_by_side
+from .quantiles import column_quantiles
 
 AX = Axis()
 
@@ -32,7 +33,7 @@ def summarize_signal(df: DataFrame, value: str, quantiles: tuple[float, ...] = (
     pooled = df.agg(
         F.count_distinct(ax.time).alias("times"), F.count_distinct(ax.name).alias("names"), F.count("*").alias("n"), F.avg(value).alias("mean_pooled"), F.stddev_samp(value).alias("std_pooled"),
     )
-    q = percentiles(df, [], value, list(quantiles)).select(*[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
+    q = column_quantiles(df, [value], list(quantiles)).select(*[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
     tables = [by(ax.time, "section"), by(ax.name, "series"), q]
     if lags:
         tables.append(average_acf(df, value, lags, ax).groupBy().pivot("lag", list(range(1, lags + 1))).agg(F.first("acf")).withColumnsRenamed({f"{k}": f"acf{k}" for k in range(1, lags + 1)}))
@@ -42,9 +43,8 @@ def summarize_signal(df: DataFrame, value: str, quantiles: tuple[float, ...] = (
 
 
 def summarize_variables(df: DataFrame, columns: list[str], quantiles: list[float]) -> DataFrame:
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "value")
-    q = percentiles(long, ["variable"], "value", quantiles).select("variable", *[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
-    return long.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(q, "variable", "left")
+    q = column_quantiles(df, columns, quantiles).select(F.col("column").alias("variable"), *[F.col("q")[i].alias(f"q{int(100 * p)}") for i, p in enumerate(quantiles)])
+    return side_by_side(df, columns, mean=F.avg, std=F.stddev_samp).withColumnRenamed("column", "variable").join(q, "variable", "left")  # a row for each column
 
 
 def hac_ols(x: np.ndarray, y: np.ndarray, lags: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
