@@ -15,15 +15,16 @@ AX = Axis()
 LONG_SHORT = "high_minus_low"
 
 
-def aggregate(ranked: DataFrame, keys: list[str], r: str, weight: str | None = None, covariates: list[str] | None = None, ax: Axis = AX) -> DataFrame:
-    """Per key: weighted return, sorted members, number of returns and means of covariates.
+def aggregate(ranked: DataFrame, keys: list[str], r: str, weight: str | None = None, covariates: list[str] | None = None, members: bool = False, ax: Axis = AX) -> DataFrame:
+    """Per key: weighted return, number of returns, means of covariates and, where asked for, the sorted ``members``.
 
     A null return is left out of the numerator, its weight stays in the denominator.
+    The list of members grows with a bucket; what needs only their changes takes ``members_that_left``.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     return ranked.groupBy(*keys).agg(
         ratio(F.sum(F.col(r) * w), F.sum(w)).alias("r"),
-        F.sort_array(F.collect_list(F.col(ax.name).cast("string"))).alias("members"),
+        *([F.sort_array(F.collect_list(F.col(ax.name).cast("string"))).alias("members")] if members else []),
         F.count(r).alias("n_assets"),
         *[F.avg(c).alias(c) for c in covariates or []],
     )
@@ -39,20 +40,26 @@ def long_short(ports: DataFrame, keys: list[str], n: int, rank: str = "sig_rank"
     return legs.filter("__nh > 0 and __nl > 0").select(*keys, F.lit(LONG_SHORT).alias(rank), (F.col("__h") - F.col("__l")).alias("r"), "n_assets")
 
 
-def sort_portfolios(df: DataFrame, signal: str, r: str, n: int, weight: str | None = None, condition: str | None = None, n_condition: int = 0,
-                    dependent: bool = False, shift: int = 1, covariates: list[str] | None = None, ax: Axis = AX) -> DataFrame:
-    """Single, independent or dependent double sort with long-short rows and returns ``shift`` times later (port_r).
-
-    Rows without a signal or condition (null or NaN) are dropped first. Double sorts carry cond_rank.
-    """
+def ranked_rows(df: DataFrame, signal: str, n: int, condition: str | None = None, n_condition: int = 0, dependent: bool = False, ax: Axis = AX) -> DataFrame:
+    """Rows that have a signal (and condition; neither null nor NaN) with their buckets: sig_rank, and cond_rank in double sorts."""
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     clean = df.filter(known(signal))
     by = []
     if condition:
         clean = clean.filter(known(condition)).withColumn("cond_rank", ntile_rank(condition, n_condition, ax=ax))
         by = ["cond_rank"]
-    ranked = clean.withColumn("sig_rank", ntile_rank(signal, n, *(by if dependent else []), ax=ax))
-    ports = aggregate(ranked, [ax.time, "sig_rank", *by], r, weight, covariates, ax)
+    return clean.withColumn("sig_rank", ntile_rank(signal, n, *(by if dependent else []), ax=ax))
+
+
+def sort_portfolios(df: DataFrame, signal: str, r: str, n: int, weight: str | None = None, condition: str | None = None, n_condition: int = 0,
+                    dependent: bool = False, shift: int = 1, covariates: list[str] | None = None, members: bool = False, ax: Axis = AX) -> DataFrame:
+    """Single, independent or dependent double sort with long-short rows and returns ``shift`` times later (port_r).
+
+    Rows without a signal or condition (null or NaN) are dropped first. Double sorts carry cond_rank; ``members`` lists each bucket's names.
+    """
+    by = ["cond_rank"] if condition else []
+    ranked = ranked_rows(df, signal, n, condition, n_condition, dependent, ax)
+    ports = aggregate(ranked, [ax.time, "sig_rank", *by], r, weight, covariates, members, ax)
     both = ports.withColumn("sig_rank", F.col("sig_rank").cast("string")).unionByName(long_short(ports, [ax.time, *by], n), allowMissingColumns=True)
     later = F.lag("r", shift).over(Window.partitionBy("sig_rank", *by).orderBy(ax.time))
     return both.withColumn("port_r", later)
@@ -114,12 +121,31 @@ def t_pvalue(t: Column, freedom: Column) -> Column:
     return p(t, freedom.cast("double"))
 
 
-def turnover(ports: DataFrame, n: int, keys: tuple[str, ...] = (), single_trip: float = 0.001, ax: Axis = AX) -> DataFrame:
-    """Share of each leg's previous members that left, and the long-short return net of their cost."""
-    w = Window.partitionBy("sig_rank", *keys).orderBy(ax.time)
-    legs = ports.filter(F.col("sig_rank").isin("1", str(n))).withColumn("__before", F.lag("members").over(w))
-    gone = ratio(F.size(F.array_except("__before", "members")).cast("double"), F.size("__before").cast("double"))
-    moved = legs.groupBy(ax.time, *keys).agg(F.max(F.when(F.col("sig_rank") == str(n), gone)).alias("turnover_high"), F.max(F.when(F.col("sig_rank") == "1", gone)).alias("turnover_low"))
+def members_that_left(ranked: DataFrame, keys: list[str], ax: Axis = AX) -> DataFrame:
+    """(keys, time, name): names of a bucket at its time before that are not in it at this time.
+
+    A row a name and bucket, and a look at the name's next time there: no column grows with a bucket.
+    """
+    at, named = Window.partitionBy(*keys).orderBy(ax.time), Window.partitionBy(*keys, ax.name).orderBy(ax.time)
+    times = ranked.select(*keys, ax.time).distinct().withColumn("__next", F.lead(ax.time).over(at))  # the calendar of each bucket
+    seen = ranked.select(*keys, ax.name, ax.time).distinct().withColumn("__seen", F.lead(ax.time).over(named))
+    left = seen.join(times, [*keys, ax.time]).filter(F.col("__next").isNotNull() & ~F.col("__next").eqNullSafe(F.col("__seen")))
+    return left.select(*keys, F.col("__next").alias(ax.time), ax.name)
+
+
+def turnover(ports: DataFrame, ranked: DataFrame, n: int, keys: tuple[str, ...] = (), single_trip: float = 0.001, ax: Axis = AX) -> DataFrame:
+    """Share of each leg's previous members that left, and the long-short return net of their cost.
+
+    ``ports`` and ``ranked`` are of one sort (``sort_portfolios`` and ``ranked_rows``).
+    """
+    bucket = ["sig_rank", *keys]
+    legs = ranked.filter(F.col("sig_rank").isin(1, n)).select(*bucket, ax.name, ax.time)
+    before = F.lag("__n").over(Window.partitionBy(*bucket).orderBy(ax.time))
+    sizes = legs.groupBy(*bucket, ax.time).agg(F.count("*").alias("__n")).withColumn("__before", before)
+    left = members_that_left(legs, bucket, ax).groupBy(*bucket, ax.time).agg(F.count("*").alias("__left"))
+    gone = ratio(F.coalesce("__left", F.lit(0)).cast("double"), F.col("__before").cast("double"))
+    each = sizes.join(left, [*bucket, ax.time], "left").withColumn("__gone", gone)
+    moved = each.groupBy(ax.time, *keys).agg(F.max(F.when(F.col("sig_rank") == n, F.col("__gone"))).alias("turnover_high"), F.max(F.when(F.col("sig_rank") == 1, F.col("__gone"))).alias("turnover_low"))
     spread = ports.filter(F.col("sig_rank") == LONG_SHORT).select(ax.time, *keys, "r")
     cost = 2 * single_trip * (F.coalesce("turnover_high", F.lit(0.0)) + F.coalesce("turnover_low", F.lit(0.0)))
     return spread.join(moved, [ax.time, *keys]).withColumn("net_r", F.col("r") - cost)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
+from ..operators import windows as W
 from ..operators import enrich as N
 from ..operators.enrich import market_breadth
 from ..panel import ratio
@@ -155,6 +156,13 @@ def e36(spark, sf_dir):
     return stock_panel(spark, sf_dir).select("name", day().alias("date"), r(R.rolling_ecdf("prc", 12)).alias("ecdf"))
 
 
+@register("e36_rolling_ecdf_sorted", f"""{PANEL}, i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY date) AS i FROM panel)
+ SELECT a.name, strftime(a.date, '%Y-%m-%d') AS date, round(count(*) FILTER (b.prc <= a.prc)/50.0,6) AS ecdf FROM i a JOIN i b ON a.name=b.name AND b.i BETWEEN a.i-49 AND a.i GROUP BY 1,2""")
+def e36_sorted(spark, sf_dir):
+    """The same share over 50 rows, from one sorted window that moves along each entity."""
+    return W.rolling_ecdf(stock_panel(spark, sf_dir).select("name", "date", "prc"), "prc", 50).select("name", day().alias("date"), r("ecdf").alias("ecdf"))
+
+
 @register("d11_market_breadth", f"{PANEL} SELECT strftime(date,'%Y-%m-%d') AS date, round(avg(CASE WHEN ret>=0 THEN 1.0 ELSE 0 END),6) AS breadth FROM panel GROUP BY 1")
 def d11(spark, sf_dir):
     return market_breadth(stock_panel(spark, sf_dir)).select(day().alias("date"), r("breadth").alias("breadth"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import ensure_checkpoints
 from ..operators import etl, pairs as P
+from ..operators.windows import spread_ecdf
 from ..panel import ratio
 from .fixtures import BRANDS, day, pair_prices, r
 from .registry import register
@@ -76,7 +77,8 @@ def i4(spark, sf_dir):
 
 @register("i4_spread_ecdf", f"{PAIRS}, g AS (SELECT *, list(spread) {W12} AS seen, count(spread) {W12} AS n FROM s) SELECT {XYD}, CASE WHEN n >= 12 THEN round(len(list_filter(seen, lambda v: v <= spread))/12.0,6) END AS signal FROM g")
 def i4_ecdf(spark, sf_dir):
-    return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r(P.spread_ecdf()).alias("signal"))
+    found = spread_ecdf(spreads(spark, sf_dir).select("x", "y", "date", "spread"), ["x", "y"])
+    return found.select("x", "y", day().alias("date"), r("signal").alias("signal"))
 
 
 @register("i5_positions", f"{POSITION} SELECT {XYD}, long::INTEGER AS long, short::INTEGER AS short FROM q")

@@ -43,8 +43,8 @@ def _shown(df, *more):
     return df.select(day().alias("date"), "sig_rank", *more, r("r").alias("r"), "n_assets", r("port_r").alias("port_r"))
 
 
-def single(spark, sf_dir):
-    return P.sort_portfolios(momentum(spark, sf_dir), "mom", "next_r", N, "mktcap")
+def single(spark, sf_dir, members=False):
+    return P.sort_portfolios(momentum(spark, sf_dir), "mom", "next_r", N, "mktcap", members=members)
 
 
 @register("g1_single_sort", f"{_ports()} SELECT {OUT} FROM s")
@@ -96,7 +96,7 @@ def g5_averaged(spark, sf_dir):
  g AS (SELECT date, max(gone) FILTER (sig_rank='5') AS h, max(gone) FILTER (sig_rank='1') AS l FROM t GROUP BY date)
  SELECT strftime(s.date,'%Y-%m-%d') AS date, round(h,6) AS turnover_high, round(l,6) AS turnover_low, round(r-0.002*(coalesce(h,0)+coalesce(l,0)),6) AS net_r FROM s JOIN g ON s.date=g.date WHERE sig_rank='high_minus_low'""")
 def g6(spark, sf_dir):
-    return P.turnover(single(spark, sf_dir), N).select(day().alias("date"), r("turnover_high").alias("turnover_high"), r("turnover_low").alias("turnover_low"), r("net_r").alias("net_r"))
+    return P.turnover(single(spark, sf_dir), P.ranked_rows(momentum(spark, sf_dir), "mom", N), N).select(day().alias("date"), r("turnover_high").alias("turnover_high"), r("turnover_low").alias("turnover_low"), r("net_r").alias("net_r"))
 
 
 def _stats_sql(rf: str) -> str:
@@ -223,7 +223,7 @@ def c10(spark, sf_dir):
 
 @register("d12_portfolio_aggregate", f"{_ports()} SELECT strftime(date,'%Y-%m-%d') AS date, sig_rank, round(r,6) AS r, array_to_string(members,',') AS members, n_assets FROM s WHERE sig_rank <> 'high_minus_low'")
 def d12(spark, sf_dir):
-    return single(spark, sf_dir).filter(F.col("sig_rank") != P.LONG_SHORT).select(day().alias("date"), "sig_rank", r("r").alias("r"), F.array_join("members", ",").alias("members"), "n_assets")
+    return single(spark, sf_dir, True).filter(F.col("sig_rank") != P.LONG_SHORT).select(day().alias("date"), "sig_rank", r("r").alias("r"), F.array_join("members", ",").alias("members"), "n_assets")
 
 
 @register("d13_equal_weight", f"{PANEL} SELECT strftime(date,'%Y-%m-%d') AS date, round(avg(ret*CASE WHEN mkt>0 THEN 1 ELSE -1 END),6) AS r FROM panel GROUP BY 1")
@@ -235,9 +235,5 @@ def d13(spark, sf_dir):
 @register("c13_membership_change", f"""{_ports()}, u AS (SELECT date, sig_rank, unnest(members) AS member FROM s WHERE sig_rank='5'), n AS (SELECT DISTINCT date, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM u))
  SELECT strftime(n.next_date,'%Y-%m-%d') AS date, u.member FROM u JOIN n ON u.date=n.date AND n.next_date IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.date=n.next_date AND v.member=u.member)""")
 def c13(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = single(spark, sf_dir).filter("sig_rank = '5'").withColumn("next_date", F.lead("date").over(Window.partitionBy("sig_rank").orderBy("date")))
-    was = top.filter("next_date is not null").select(F.col("next_date").alias("date"), F.explode("members").alias("member"))
-    now = top.select("date", F.explode("members").alias("member"))
-    return was.join(now, ["date", "member"], "left_anti").select(day().alias("date"), "member")
+    top = P.ranked_rows(momentum(spark, sf_dir), "mom", N).filter(F.col("sig_rank") == N)
+    return P.members_that_left(top, ["sig_rank"]).select(day().alias("date"), F.col("name").cast("string").alias("member"))

@@ -241,7 +241,7 @@ def test_null_keys_and_nan_conditions(spark):
     history = spark.createDataFrame([(None, 1, 10), ("a", 2, 20)], "k string, e int, v int")
     assert [(r.k, r.v) for r in etl.asof_join(facts, history, ["k"], "t", "e", ["v"]).collect()] == [("a", 20)]
     df = spark.createDataFrame([(n, 1, float(i), 0.1 * i, float("nan") if i == 3 else 1.0 * i) for i, n in enumerate("abcdef")], "name string, date int, s double, r double, c double")
-    ports = portfolio.sort_portfolios(df, "s", "r", 1, condition="c", n_condition=1).filter("sig_rank = '1'").first()
+    ports = portfolio.sort_portfolios(df, "s", "r", 1, condition="c", n_condition=1, members=True).filter("sig_rank = '1'").first()
     assert ports.n_assets == 5 and "d" not in ports.members
 
 
@@ -343,3 +343,17 @@ def test_stream_of_bars_scores_each_batch(spark, tmp_path):
     live.run_available(stream, lambda b, _: got.extend(live.scheduled_signal(b, "ret", "mkt", 3, 300.0).collect()), f"{tmp_path}/cp", "append")
     want = live.scheduled_signal(panel, "ret", "mkt", 3, 300.0).collect()
     assert {(r.name, r.target) for r in got} == {(r.name, r.target) for r in want}
+
+
+def test_members_that_left_are_those_of_the_lists(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(t, n, rng.choice([1, 2])) for t in range(1, 9) for n in "abcdefgh" if rng.random() < 0.7 and not (t in (4, 5) and n in "ab")]
+    got = {(r.sig_rank, r.date, r.name) for r in portfolio.members_that_left(spark.createDataFrame(rows, "date int, name string, sig_rank int"), ["sig_rank"]).collect()}
+    want = set()
+    for bucket in (1, 2):
+        times = sorted({t for t, _, b in rows if b == bucket})
+        for was, now in zip(times, times[1:], strict=False):
+            want |= {(bucket, now, n) for t, n, b in rows if b == bucket and t == was} - {(bucket, now, n) for t, n, b in rows if b == bucket and t == now}
+    assert got == want and len(want) > 5
