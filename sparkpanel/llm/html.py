@@ -1,11 +1,14 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element; menus, forms, adverts
-and other page furniture leave an empty line. A line weighs as many code points
-as its text outside links, and more where markup says that it is text: a
-paragraph a little, an article much. The weights are summed over sliding windows
-of lines. Text begins where the sums surge and ends where they dive; both are
-measured by the page's own distribution.
+Markup is stripped to lines, one for each block element. A line weighs as many
+code points as its text outside links; an article mark doubles that, a furniture
+mark halves it. Lines are of the kind of their block: of an article element, of text elements
+(paragraphs, list items, cells) or of bare boxes. The kind of the page's heaviest
+window gives the distribution, in which lines of other kinds are blank, but for those
+as long as its typical line. Weights are summed over sliding windows of
+lines: text is what lies between a rise from nothing to a surge and the dive to nothing
+after it. Of that, lines that markup names as furniture, and boxes
+beside an article, are taken out.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Lines in a window; part of a typical line's weight that a window holds where text surges, and its most without marks.
+#: Lines in a window; part of a typical line's weight that a window holds where text surges, and its most.
 LINES, SHARE, SURGE = 3, 0.25, 80
-#: What a line weighs more in a paragraph or heading, and in an article.
-PARAGRAPH, ARTICLE = 40, 12_000
+#: Kinds of lines, by what they are in; windows of text elements count so many times those of boxes, and those of articles so many times again, when the page's kind is found.
+BOX, TEXT, ARTICLE = range(3)
+PREFER = 8
 
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 #: Attributes up to the end of the tag; quotes count after an equals sign only.
@@ -47,7 +51,7 @@ _ENDS = {t: ({"p"}, _CELLS | {"article", "main", "button"}) for t in _BLOCK - {"
     "tr": ({"tr"}, {"table"}), **dict.fromkeys(("td", "th"), ({"td", "th"}, {"table", "tr"})), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, {"table"})),
     **dict.fromkeys(("dd", "dt"), ({"dd", "dt", "p"}, _CELLS | _SECTIONS | {"dl", "ul", "ol", "menu", "dir"})),
 }
-_PARAGRAPH = {"p", "blockquote", "pre", "dd", "li", "figcaption"}
+_TEXT = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "blockquote", "pre", "figcaption", "td", "th", "caption", "summary")
 _TABLE = {"table", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 _HEADING = re.compile("h[1-6]")
 _ROLE = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -137,8 +141,15 @@ class _Open:
 class Line(NamedTuple):
     text: str
     plain: int  #: code points outside links
-    mark: int  #: weight that markup adds
-    heading: bool
+    kind: int = BOX
+    heading: bool = False
+    furniture: bool = False
+    article: int = -1  #: number of the article element
+    depth: int = 0  #: open boxes around it
+
+
+#: What parts an article from its surroundings.
+GAP = [Line("", 0)] * LINES
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -178,7 +189,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def lines_of(page: str, names: bool = True) -> list[Line]:
-    """Lines of a page. Furniture (named ones too, if ``names``) leaves an empty line.
+    """Lines of a page; those of furniture elements (named ones too, if ``names``) say so. Blank lines part articles from what is around them.
 
     Furniture ends with its end tag, with that of an enclosing element, or where
     HTML ends its element without a tag. An article or main element that begins
@@ -187,21 +198,26 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     plain: list[str] = []
-    skip, links, block = -1, 0, ""  # skip: place of the furniture element that is passed over, or -1
+    skip, links, block, articles = -1, 0, "", 0  # skip: place of the furniture element that is passed over, or -1
+    inside = False
     elements = _Open()
 
     def flush() -> None:
+        nonlocal inside, articles
         line = " ".join("".join(text).split())
         if line:
-            inside = elements.last(("article", "main")) >= 0
-            heading = bool(_HEADING.fullmatch(block))
-            mark = ARTICLE if inside else PARAGRAPH if heading or block in _PARAGRAPH else 0
-            out.append(Line(line, len(line if inside else " ".join("".join(plain).split())), mark, heading))
+            now = elements.last(("article", "main")) >= 0
+            if now != inside:
+                out.extend(GAP)
+                inside, articles = now, articles + now
+            kind = ARTICLE if now else TEXT if elements.last(_TEXT) >= 0 else BOX
+            open_text = sum(len(elements.places.get(t, ())) for t in _TEXT)
+            out.append(Line(line, len(line if now else " ".join("".join(plain).split())), kind, bool(_HEADING.fullmatch(block)), skip >= 0, articles if now else -1, len(elements.tags) - open_text))
         text.clear()
         plain.clear()
 
     for raw, name, attributes in tokens(page):
-        if raw and skip < 0:
+        if raw:
             raw = html.unescape(raw)
             text.append(raw)
             if not links:
@@ -212,9 +228,15 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
         void = tag in _VOID or attributes.endswith("/")
         if tag in _RAW and not closing:
             continue
-        if tag in _BLOCK and skip < 0:
+        if tag in _BLOCK:
             flush()
+            links = 0
+        elif tag == "a":
+            links = 0 if closing else 1
         kept = skip >= 0 and not void and not closing and tag == elements.tags[skip]  # an inline element counts within one of its kind
+        if closing and tag in ("article", "main") and elements.places.get(tag):
+            flush()
+            inside = False
         if closing:
             elements.end(tag)
         elif skip >= 0 and tag in ("article", "main"):
@@ -227,81 +249,116 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
             continue
         if skip >= 0:
             # the element's own end tag, that of an enclosing element, or the start of what follows it
+            flush()
             skip = -1
         if tag in _BLOCK and tag != "br":
             block = "" if closing else tag
         if not closing and not void and _furniture(tag, attributes, elements.last(("article", "main")) >= 0, names):
             flush()
-            out.append(Line("", 0, 0, False))
             skip = len(elements.tags)
             elements.push(tag)
             continue
         if not closing and not void and tag in _BLOCK - {"html", "body"}:
             elements.push(tag)
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag in _BLOCK:
-            links = 0
     flush()
     return out
 
 
-def between_surge_and_dive(lines: list[Line]) -> list[bool]:
-    """Which lines are text.
+def windows_of(weight: np.ndarray) -> np.ndarray:
+    """The weight of LINES lines from each line on."""
+    total = np.cumsum(np.append(0, weight))
+    return total[np.minimum(np.arange(len(weight)) + LINES, len(weight))] - total[:-1]
+
+
+def weights_of(lines: list[Line]) -> np.ndarray:
+    """Weights of the lines in the distribution of the page's kind.
 
-    Half of the page's weight is in lines of at least its typical weight. Text
-    surges where a window holds SHARE of that, at a line that weighs its part of
-    a window, and dives where a window holds less than one line's part. A line
-    with the page's strongest mark always weighs its part. Headings and the few
-    linked lines next to a stretch of text belong to it, where they are marked
-    as the text is; a heading with no text after it doesn't.
+    That is the kind of the heaviest window, where those of text elements count PREFER times those of boxes, and those of articles PREFER times more. Headings
+    are of any kind. A line of another kind weighs nothing unless it is as long as the
+    typical line of the page's kind and as a window of text.
     """
-    strongest = max((x.mark for x in lines if x.plain), default=0)
-    weight = np.array([x.plain + x.mark if x.plain else 0 for x in lines], np.int64)
-    keep = np.zeros(len(lines), bool)
+    weight = np.array([x.plain * (2 if x.kind == ARTICLE else 1) / (2 if x.furniture else 1) for x in lines])
+    kinds, plain = np.array([x.kind for x in lines]), np.array([x.plain for x in lines])
+    headings = np.array([x.heading for x in lines])
     if not weight.any():
-        return keep.tolist()
+        return weight
+    heaviest = [windows_of(np.where((kinds == k) | headings, weight, 0)).max() * PREFER**k if plain[kinds == k].any() else 0 for k in (BOX, TEXT, ARTICLE)]
+    most = int(np.argmax(heaviest))
+    other = (kinds != most) & ~(headings & (most != ARTICLE)) & (plain < max(typical(plain[kinds == most]), LINES * SURGE))
+    return np.where(other, 0, weight)
+
+
+def typical(weight: np.ndarray) -> float:
+    """The weight that lines of half of all weight have at least."""
     order = np.sort(weight)[::-1]
-    typical = order[np.searchsorted(np.cumsum(order), order.sum() / 2)]
-    surge = min(typical * SHARE, LINES * strongest or SURGE)
-    part = max(surge / LINES, 1)
-    total = np.cumsum(np.append(0, weight))
-    window = total[np.minimum(np.arange(len(lines)) + LINES, len(lines))] - total[:-1]
-    i = 0
-    while i < len(lines):
-        if window[i] < surge or weight[i] < part:
-            i += 1
+    return float(order[np.searchsorted(np.cumsum(order), order.sum() / 2)]) if len(order) else 0.0
+
+
+def between_surge_and_dive(lines: list[Line], weight: np.ndarray) -> np.ndarray:
+    """Which lines are text by their weights.
+
+    A stretch of lines begins and ends with lines of weight, and within it no window
+    of LINES lines is empty. It is text if a window of it surges: if it holds SHARE of the typical weight.
+    What weighs nothing within a stretch is text if it is of the page's kind (all of it in links). So are the few
+    linked lines next to a stretch, and a linked heading before it; a heading with nothing after it is not.
+    """
+    keep = np.zeros(len(lines), bool)
+    heavy = np.flatnonzero(weight)
+    if not len(heavy):
+        return keep
+    surge = min(typical(weight) * SHARE, SURGE)
+    window = windows_of(weight)
+    linked = np.array([bool(x.text) and not x.plain for x in lines])
+    for stretch in np.split(heavy, np.flatnonzero(np.diff(heavy) > LINES) + 1):
+        first, last = int(stretch[0]), int(stretch[-1])
+        if window[first : last + 1].max() < surge:
             continue
-        j = i
-        while j < len(lines) and window[j] >= part:
-            j += 1
-        end = j
-        while end > i and weight[end - 1] < part:
-            end -= 1
-        while end > i and lines[end - 1].heading and lines[end - 1].mark < ARTICLE and any(x.mark < ARTICLE and not x.heading for x in lines[i:end]):
-            end -= 1
-        keep[i:end] = True
-        for step, at in ((-1, i - 1), (1, end)):
-            near = lines[at - step].mark
-            links = at
-            while 0 <= links < len(lines) and lines[links].text and not weight[links]:
-                links += step
-            few = abs(links - at) < LINES
-            while 0 <= at < len(lines) and lines[at].text and not weight[at] and lines[at].mark >= near and (few or (lines[at].heading and step < 0)):
+        while last > first and lines[last].heading and lines[last].kind != ARTICLE and not all(x.heading for x in lines[first:last]):
+            last -= 1
+        keep[first : last + 1] = (weight[first : last + 1] > 0) | linked[first : last + 1]
+        for step, at in ((-1, first - 1), (1, last + 1)):
+            kind, end = lines[at - step].kind, at
+            while 0 <= end < len(lines) and linked[end]:
+                end += step
+            few = abs(end - at) < LINES
+            while 0 <= at < len(lines) and linked[at] and lines[at].kind >= kind and (few or (lines[at].heading and step < 0)):
                 keep[at] = True
                 at += step
-        i = max(j, i + 1)
-    return keep.tolist()
+    return keep
+
+
+def taken_out(lines: list[Line], keep: np.ndarray) -> np.ndarray:
+    """Which lines go whatever they weigh: furniture by its mark, and on pages with an article what is boxed beside it, and articles of less than SHARE of the largest one's text."""
+    gone = np.array([x.furniture for x in lines], bool)
+    held: dict[int, int] = {}
+    for x, kept in zip(lines, keep & ~gone, strict=True):
+        if kept and x.article >= 0:
+            held[x.article] = held.get(x.article, 0) + len(x.text)
+    if not held:
+        return gone
+    level = min(x.depth for x in lines if x.article in held) - 1
+    small = {a for a, n in held.items() if n < SHARE * max(held.values())}
+    return gone | np.array([x.article in small or (x.article < 0 and x.depth > level) for x in lines])
+
+
+def text_lines(lines: list[Line]) -> list[str]:
+    """Lines between surge and dive without what is taken out; where that leaves nothing, of the other lines alone."""
+    keep = between_surge_and_dive(lines, weights_of(lines)) if lines else np.zeros(0, bool)
+    gone = taken_out(lines, keep)
+    if lines and not (keep & ~gone).any():
+        lines = [x for x in lines if not x.furniture]
+        keep = between_surge_and_dive(lines, weights_of(lines)) if lines else np.zeros(0, bool)
+        gone = taken_out(lines, keep)
+    return [x.text for x, kept in zip(lines, keep & ~gone, strict=True) if kept]
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive, lines joined by one space; empty if there is none.
+    """The page's text lines joined by one space; empty if there are none.
 
     Where names leave no text at all (a wrapper of the whole page is named like furniture), they don't count.
     """
     for names in (True, False):
-        lines = lines_of(page or "", names)
-        kept = [x.text for x, keep in zip(lines, between_surge_and_dive(lines), strict=True) if keep and x.text]
+        kept = text_lines(lines_of(page or "", names))
         if kept:
             return " ".join(kept)
     return ""
