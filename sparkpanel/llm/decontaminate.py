@@ -230,8 +230,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
     same; passages that are null or shorter than Q characters are not searched.
     A column already named so is replaced, others stay. Only texts go to Python.
     Benchmark texts go to the executors PASS_CHARS at a time, chosen by a hash of
-    their item, in as many passes as needed; a pass's rows are written before the
-    next one begins, so that one index is alive at a time.
+    their item, in as many passes as needed; a pass writes the hashes and leaks of
+    the texts that have any, so one index is alive at a time and no text is written. An empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -239,15 +240,24 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     passes = max(1, -(-chars // PASS_CHARS))
     names = [c for c in docs.columns if c != name]
-    docs = docs.select(*names, F.array().cast(_LEAKS_NAME).alias(name))
-    for number in range(passes):
+
+    def index_of(number: int):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index.build([tuple(r) for r in rows]))
-        docs = docs.select(*names, F.concat(name, _scan(shared)("text")).alias(name))
-        if number < passes - 1:
-            docs = scratch.write(docs, "pass")
-            shared.destroy()
-    return docs
+        return spark.sparkContext.broadcast(Index.build([tuple(r) for r in rows]))
+
+    if passes == 1:
+        return docs.select(*names, _scan(index_of(0))("text").alias(name))
+    key = [F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit(0x5EED), "text").alias("__k2")]  # what a text holds follows from the text
+    found = None
+    for number in range(passes):
+        shared = index_of(number)
+        hits = docs.select(*key, _scan(shared)("text").alias("__leaks")).filter(F.size("__leaks") > 0).dropDuplicates(["__k1", "__k2"])
+        hits = scratch.write(hits, f"pass-{number}")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    each = found.groupBy("__k1", "__k2").agg(F.array_sort(F.flatten(F.collect_list("__leaks"))).alias("__leaks"))
+    met = docs.select(*names, *key).join(each, ["__k1", "__k2"], "left")
+    return met.select(*names, F.coalesce("__leaks", F.array().cast(_LEAKS_NAME)).alias(name))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

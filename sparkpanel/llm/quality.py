@@ -143,10 +143,11 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
     """One row per document: doc_id, doc_<head>, host_<head>, path_<head>, <head> and kept.
 
     <head> is quality or toxic, from 0 to 1: by the document's words alone, by
-    host and by path (posterior means), and combined. kept: likelier good than
+    host and by path (posterior means from the sites' other documents), and combined. kept: likelier good than
     bad, and not likelier toxic than not. A null text is empty; null hosts or
     paths are sites of their own; repeated rows count as often as they occur.
-    Without labels every probability is 0.5 and all documents are kept.
+    Without labels every probability is 0.5 and all documents are kept. An empty
+    table gives an empty table.
     """
     scratch = Scratch(documents.sparkSession, "quality")
     model = model or train(documents, labels)
@@ -179,14 +180,14 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
         *[F.sum(F.col(f"square_{h}") - F.pow(f"host_sum_{h}", 2) / F.col("n_host") * in_host).alias(f"in_host_{h}") for h in HEADS],
         *[F.sum(F.col(f"square_{h}") - F.pow(f"sum_{h}", 2) / F.col("n")).alias(f"in_path_{h}") for h in HEADS],
     ).first()
+    out = scored.join(both.select("host", "path", "n", "n_host", *[f"{part}sum_{h}" for part in ("", "host_") for h in HEADS]), ["host", "path"])
     for h in HEADS:
+        # a document's own evidence is left out of its sites', as it is added for itself
+        own = F.col(f"doc_{h}")
         k = strength(mean[h], spread[f"host_{h}"] or 0, spread[f"in_host_{h}"] or 0, total.hosts, 1, total.n or 0)
-        both = both.withColumn(f"host_{h}", (F.col(f"host_sum_{h}") + k * mean[h]) / (F.col("n_host") + k))
+        out = out.withColumn(f"host_{h}", (F.greatest(F.col(f"host_sum_{h}") - own, F.lit(0.0)) + k * mean[h]) / (F.col("n_host") - 1 + k))
         k = strength(mean[h], spread[f"path_{h}"] or 0, spread[f"in_path_{h}"] or 0, total.paths, total.hosts, total.n or 0)
-        both = both.withColumn(f"path_{h}", (F.col(f"sum_{h}") + k * F.col(f"host_{h}")) / (F.col("n") + k))
-    posterior = both.select("host", "path", *[f"{level}_{h}" for level in ("host", "path") for h in HEADS])
-    out = scored.join(posterior, ["host", "path"])
-    for h in HEADS:
+        out = out.withColumn(f"path_{h}", (F.greatest(F.col(f"sum_{h}") - own, F.lit(0.0)) + k * F.col(f"host_{h}")) / (F.col("n") - 1 + k))
         prior = F.least(F.greatest(F.col(f"path_{h}"), F.lit(1e-4)), F.lit(1 - 1e-4))
         out = out.withColumn(h, 1 / (1 + F.exp(-(_logit(F.col(f"doc_{h}")) + _logit(prior) - float(np.log(mean[h] / (1 - mean[h])))))))
     return out.select("doc_id", *[f"{level}_{h}" for level in ("doc", "host", "path") for h in HEADS], *HEADS, ((F.col("quality") >= 0.5) & (F.col("toxic") <= 0.5)).alias("kept"))
