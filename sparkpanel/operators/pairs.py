@@ -187,14 +187,14 @@ def approximate_p(statistic: float, variables: int) -> float:
     return NormalDist().cdf(sum(c * statistic**i for i, c in enumerate(terms)))
 
 
-def engle_granger(df: DataFrame, cutoff: float = 1.0) -> DataFrame:
-    """Cointegration statistic and p-value of each pair: least squares, then ADF of the residual."""
+def engle_granger(df: DataFrame, cutoff: float = 1.0, lags: int | None = None) -> DataFrame:
+    """Cointegration statistic and p-value of each pair: least squares, then ADF of the residual (with ``lags`` differences, or as many as AIC asks for)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         a = np.column_stack([pdf["p_x"], np.ones(len(pdf))])
         e = pdf["p_y"].to_numpy() - a @ np.linalg.lstsq(a, pdf["p_y"].to_numpy(), rcond=None)[0]
-        t = adf_statistic(e, constant=False)  # the first regression has it
+        t = adf_statistic(e, lags, constant=False)  # the first regression has it
         return pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "statistic": [t], "p": [approximate_p(t, 2)]})
 
     return df.groupBy(*KEYS).applyInPandas(run, "x string, y string, statistic double, p double").filter(F.col("p") <= cutoff).orderBy("p", "x", "y")

@@ -80,10 +80,11 @@ def every_nth(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """A sample of about n rows, always the same: those whose key hashes low."""
+    """A sample of about n rows, always the same: those whose key hashes low. Rows of one key stay or go together; a null is an empty text."""
     total = df.agg(F.count("*").alias("__total"))
-    share = F.pmod(F.xxhash64(*key), F.lit(1_000_000)) / 1_000_000.0
-    return df.crossJoin(F.broadcast(total)).filter(share < n / F.col("__total")).drop("__total")
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    share = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return df.crossJoin(F.broadcast(total)).filter(share < n / F.col("__total")).drop("__total")  # one row
 
 
 #: Ranges that a whole table's order is cut into for running totals.

@@ -113,6 +113,27 @@ def j8(spark, sf_dir):
     return model.transform(df).select("name", "date", "prediction")
 
 
+LINE = f"{FRAME}, b AS (SELECT regr_slope(y, mom) AS s, regr_intercept(y, mom) AS c FROM fr WHERE date < TIMESTAMP '2000-01-01')"
+
+
+def _line(spark, sf_dir):
+    """A linear pipeline on one feature."""
+    df = frame(spark, sf_dir)
+    return J.model_pipeline("linear", ["mom"], "y").fit(df.filter(F.col("date") < F.lit("2000-01-01").cast("timestamp"))), df
+
+
+@register("j8_linear_pipeline", f"{LINE} SELECT {KEYS}, round(c+s*mom,6) AS prediction FROM fr, b")
+def j8_linear(spark, sf_dir):
+    model, df = _line(spark, sf_dir)
+    return model.transform(df).select("name", day().alias("date"), r("prediction").alias("prediction"))
+
+
+@register("j15_linear_dependence", f"{LINE} SELECT g::DOUBLE AS grid, round(c+s*g,6) AS prediction FROM b, (SELECT unnest([-0.5, -0.2, 0.0, 0.2, 0.5]) AS g)")
+def j15_linear(spark, sf_dir):
+    model, df = _line(spark, sf_dir)
+    return J.partial_dependence(model, df, "mom", [-0.5, -0.2, 0.0, 0.2, 0.5]).select("grid", r("prediction").alias("prediction"))
+
+
 @register("j10_search")
 def j10(spark, sf_dir):
     df = frame(spark, sf_dir)
@@ -145,6 +166,16 @@ def j11_linear(spark, sf_dir):
     return A.predict_linear(df, prediction_folds(df), ["mom"], "y", ["name", "date"]).select("fold", "name", day().alias("date"), r("prediction").alias("prediction"))
 
 
+@register("j17_linear_backtest", f"""{OLS}, k AS (SELECT *, ntile(5) OVER (PARTITION BY date ORDER BY round(prediction,12), name) AS k FROM p), a AS (SELECT date, k::VARCHAR AS sig_rank, avg(y) AS r FROM k GROUP BY 1,2),
+ s AS (SELECT * FROM a UNION ALL SELECT h.date, 'high_minus_low', h.r-l.r FROM a h JOIN a l ON h.date=l.date AND h.sig_rank='5' AND l.sig_rank='1') SELECT sig_rank, round(avg(r),6) AS average, round(stddev_samp(r),6) AS volatility, round(avg(CASE WHEN r>0 THEN 1.0 ELSE 0 END),6) AS hit_rate FROM s GROUP BY 1""")
+def j17_linear(spark, sf_dir):
+    """Returns of quintiles by out-of-sample predictions of a regression on one feature."""
+    df = frame(spark, sf_dir)
+    predicted = A.predict_linear(df, prediction_folds(df), ["mom"], "y", ["name", "date", "y"]).withColumn("prediction", F.round("prediction", 12))
+    out = P.return_stats(P.sort_portfolios(predicted, "prediction", "y", 5), ["sig_rank"], "r")
+    return out.select("sig_rank", *[r(c).alias(c) for c in ("average", "volatility", "hit_rate")])
+
+
 @register("j10_search_grid")
 def j10_grid(spark, sf_dir):
     """Three points of a grid of four, within a time budget."""

@@ -130,10 +130,22 @@ def i10(spark, sf_dir):
     return scored(spark, sf_dir).filter("score is not null").orderBy(F.desc("score"), "x", "y").limit(10).select("x", "y", r("score").alias("score"))
 
 
-@register("f17_greedy_disjoint_pairs")
+@register("f17_greedy_disjoint_pairs", f"""{SCORED.replace("WITH ", "WITH RECURSIVE ", 1)}, ranked AS (SELECT x, y, score, row_number() OVER (ORDER BY score DESC, x, y) AS i FROM sc WHERE score IS NOT NULL),
+ pick AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, ''::VARCHAR AS x, ''::VARCHAR AS y, 0.0::DOUBLE AS score, false AS took UNION ALL
+  SELECT ranked.i, CASE WHEN list_contains(used,ranked.x) OR list_contains(used,ranked.y) THEN used ELSE list_concat(used,[ranked.x,ranked.y]) END, ranked.x, ranked.y, ranked.score, NOT (list_contains(used,ranked.x) OR list_contains(used,ranked.y)) FROM pick JOIN ranked ON ranked.i=pick.i+1)
+ SELECT x, y, round(score,6) AS score FROM pick WHERE took ORDER BY pick.score DESC, x, y LIMIT 10""")
 def f17(spark, sf_dir):
     ensure_checkpoints(spark)
-    return P.greedy_disjoint(scored(spark, sf_dir).select("x", "y", "score"), 10)
+    return P.greedy_disjoint(scored(spark, sf_dir).select("x", "y", "score"), 10).select("x", "y", r("score").alias("score"))
+
+
+@register("i11_engle_granger_no_lags", f"""{BRANDS}, pp AS (SELECT a.name AS x, b.name AS y, a.date, a.price AS p_x, b.price AS p_y FROM prices a JOIN prices b ON a.date=b.date AND a.name>b.name),
+ l AS (SELECT x, y, regr_slope(p_y, p_x) AS s, regr_intercept(p_y, p_x) AS c FROM pp GROUP BY 1,2), e AS (SELECT pp.x, pp.y, date, p_y-c-s*p_x AS e FROM pp JOIN l ON pp.x=l.x AND pp.y=l.y),
+ d AS (SELECT x, y, e-lag(e) OVER w AS d, lag(e) OVER w AS b FROM e WINDOW w AS (PARTITION BY x, y ORDER BY date)), f AS (SELECT x, y, sum(d*b)/sum(b*b) AS beta, sum(b*b) AS bb, sum(d*d) AS dd, sum(d*b) AS db, count(d) AS n FROM d GROUP BY 1,2)
+ SELECT x, y, round(beta/sqrt((dd-beta*db)/(n-1)/bb),5) AS statistic FROM f""")
+def i11_plain(spark, sf_dir):
+    """Dickey-Fuller statistics of the residuals of all pairs, without lagged differences."""
+    return P.engle_granger(panel(spark, sf_dir), 1.0, 0).select("x", "y", r("statistic", 5).alias("statistic"))
 
 
 @register("i11_engle_granger")

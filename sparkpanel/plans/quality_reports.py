@@ -17,7 +17,10 @@ def _shown(df, *keys):
     return df.select(*keys, *[r(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in df.dtypes if c not in keys])
 
 
-@register("k1_describe", f'{LONG} SELECT "column", count(value) AS count, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS median, round(stddev_samp(value),6) AS std, round(skewness(value),6) AS skew, round(kurtosis(value),6) AS kurtosis, round(min(value),6) AS min, round(max(value),6) AS max FROM l GROUP BY 1')
+_DESCRIBE = 'SELECT "column", count(value) AS count, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS median, round(stddev_samp(value),6) AS std, round(skewness(value),6) AS skew, round(kurtosis(value),6) AS kurtosis, round(min(value),6) AS min, round(max(value),6) AS max FROM l GROUP BY 1'
+
+
+@register("k1_describe", f"{LONG} {_DESCRIBE}")
 def k1(spark, sf_dir):
     return _shown(eda.describe(stock_panel(spark, sf_dir), COLUMNS), "column")
 
@@ -56,10 +59,13 @@ _analyze("k5_analyze_std", "std", 1.6, "avg(value)-1.6*stddev_samp(value) AS lo,
 _analyze("k5_analyze_iqr", "iqr", 0.4, "quantile_cont(value,0.25)-0.4*(quantile_cont(value,0.75)-quantile_cont(value,0.25)) AS lo, quantile_cont(value,0.75)+0.4*(quantile_cont(value,0.75)-quantile_cont(value,0.25)) AS hi")
 
 
-@register("k6_profile")
+SAMPLE = 'WITH s AS (SELECT * FROM lineitem WHERE (\'0x\'||substr(md5(l_orderkey::VARCHAR||\'|\'||l_linenumber::VARCHAR||\'|\'||l_partkey::VARCHAR),1,8))::BIGINT/4294967296.0 < 2000.0/(SELECT count(*) FROM lineitem)), l AS (SELECT \'l_quantity\' AS "column", l_quantity::DOUBLE AS value FROM s UNION ALL SELECT \'l_extendedprice\', l_extendedprice FROM s)'
+
+
+@register("k6_profile", f"{SAMPLE} {_DESCRIBE}")
 def k6(spark, sf_dir):
     """Summary of a sample, as profiling tools show it."""
-    return eda.describe(sample_rows(table(spark, sf_dir, "lineitem"), 2000, "l_orderkey", "l_linenumber", "l_partkey"), ["l_quantity", "l_extendedprice"])
+    return _shown(eda.describe(sample_rows(table(spark, sf_dir, "lineitem"), 2000, "l_orderkey", "l_linenumber", "l_partkey"), ["l_quantity", "l_extendedprice"]), "column")
 
 
 @register("j18_columns_by_null_share", f"{PANEL} SELECT name, strftime(date,'%Y-%m-%d') AS date, round(prc,6) AS prc FROM panel")

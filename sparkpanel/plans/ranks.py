@@ -74,7 +74,7 @@ def f15(spark, sf_dir):
     return K.every_nth(stock_panel(spark, sf_dir), ["name"], "date", 4).select("name", day().alias("date"))
 
 
-@register("f16_sample")
+@register("f16_sample", """SELECT * FROM orders WHERE ('0x'||substr(md5(o_orderkey::VARCHAR),1,8))::BIGINT/4294967296.0 < 500.0/(SELECT count(*) FROM orders)""")
 def f16(spark, sf_dir):
     return K.sample_rows(table(spark, sf_dir, "orders"), 500, "o_orderkey")
 

@@ -58,7 +58,7 @@ def a9(spark, sf_dir):
     return spark.read.schema("c_custkey long, c_mktsegment string").option("header", True).csv(path)
 
 
-@register("a10_append_result")
+@register("a10_append_result", """SELECT 'mean_price' AS name, '{"status":"'||o_orderstatus||'"}' AS parameters, '{"mean":"'||round(avg(o_totalprice),6)::VARCHAR||'"}' AS stats FROM orders GROUP BY o_orderstatus""")
 def a10(spark, sf_dir):
     """Mean price by order status, logged as one record each."""
     path = scratch_path(spark, "results")
