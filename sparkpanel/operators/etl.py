@@ -68,12 +68,17 @@ def asof_join(fact: DataFrame, history: DataFrame, keys: list[str], date: str, e
     return found.filter("__side = 1 and __v is not null").select("__f.*", *[F.col(f"__v.{v}") for v in values])
 
 
-def pair_panel(prices: DataFrame, value: str = "price", ax: Axis = AX) -> DataFrame:
-    """All pairs of entities on the times both have: x is the later name, y the earlier."""
-    names = prices.select(ax.name).distinct()
-    pairs = names.select(F.col(ax.name).alias("x")).join(names.select(F.col(ax.name).alias("y")), F.col("x") > F.col("y"))
+def pair_panel(prices: DataFrame, value: str = "price", pairs: DataFrame | None = None, ax: Axis = AX) -> DataFrame:
+    """Rows of pairs on the times both have: x is the later name, y the earlier.
+
+    Of the given ``pairs`` (x, y), or of all: then the rows are half the square of the names, for
+    each time. ``tiles.pair_moments`` ranks all pairs without forming them.
+    """
+    if pairs is None:
+        names = prices.select(ax.name).distinct()
+        pairs = names.select(F.col(ax.name).alias("x")).join(names.select(F.col(ax.name).alias("y")), F.col("x") > F.col("y"))
     side = lambda n: prices.select(F.col(ax.name).alias(n), ax.time, F.col(value).alias(f"p_{n}"))
-    return pairs.join(side("x"), "x").join(side("y"), ["y", ax.time]).select("x", "y", ax.time, "p_x", "p_y")
+    return pairs.select("x", "y").join(side("x"), "x").join(side("y"), ["y", ax.time]).select("x", "y", ax.time, "p_x", "p_y")
 
 
 def period_end(frequency: str, t: Column) -> Column:

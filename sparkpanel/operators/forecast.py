@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import drop_table, written
 from ..panel import Axis, ratio
 from .quantiles import column_quantiles
 from .ranking import rank_spread
@@ -132,13 +133,18 @@ def model_pipeline(name: str, features: list[str], label: str, **options):
 
 
 def walk_forward_predict(df: DataFrame, folds: DataFrame, pipeline, keep: list[str], ax: Axis = AX) -> DataFrame:
-    """Out-of-sample predictions of all folds: fit on each train window, predict the next."""
-    rows = fold_rows(df, folds, ax).persist()
+    """Out-of-sample predictions of all folds: fit on each train window, predict the next.
+
+    The folds' rows are written once, for the fits now and the predictions when they are asked for.
+    """
+    return _predict(written(fold_rows(df, folds, ax), "folds")[0], folds, pipeline, keep)
+
+
+def _predict(rows: DataFrame, folds: DataFrame, pipeline, keep: list[str]) -> DataFrame:
     parts = []
-    for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
+    for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):  # a row for each fold
         part = rows.filter(F.col("fold") == fold)
         parts.append(pipeline.fit(part.filter("role = 'train'")).transform(part.filter("role = 'validate'")).select("fold", *keep, "prediction"))
-    rows.unpersist()  # fitted; what is left to do reads each validation window once
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -155,14 +161,16 @@ def search(df: DataFrame, folds: DataFrame, pipelines: dict[str, object], label:
     ``seconds`` no candidate begins after that time.
     """
     names, began, rows = [*pipelines], time.monotonic(), []
+    of_folds, path = written(fold_rows(df, folds, ax), "folds")  # once for all candidates
     if trials is not None and trials < len(names):
         names = random.Random(seed).sample(names, trials)
     for name in names:
         if seconds is not None and rows and time.monotonic() - began > seconds:
             break
-        p = walk_forward_predict(df, folds, pipelines[name], [ax.time, label], ax)
+        p = _predict(of_folds, folds, pipelines[name], [ax.time, label])
         ic = p.groupBy("fold").agg(information_coefficient("prediction", label).alias("ic")).agg(F.avg("ic")).first()[0]
         rows.append((name, ic))
+    drop_table(df.sparkSession, path)
     return df.sparkSession.createDataFrame(rows, "candidate string, ic double").orderBy(F.desc("ic"), "candidate")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import ensure_checkpoints
 from ..operators import etl, pairs as P
+from ..operators.tiles import pair_moments
 from ..operators.windows import spread_ecdf
 from ..panel import ratio
 from .fixtures import BRANDS, day, pair_prices, r
@@ -45,6 +46,25 @@ def i1(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("x", "y").agg(F.count("*").alias("n"), r(F.avg("p_x"), 4).alias("p_x"), r(F.avg("p_y"), 4).alias("p_y"))
 
 
+MOMENTS = f"""{BRANDS}, pp AS (SELECT a.name AS x, b.name AS y, a.date, a.price AS p_x, b.price AS p_y FROM prices a JOIN prices b ON a.date=b.date AND a.name>b.name),
+ mo AS (SELECT x, y, count(*) AS n, corr(p_x, p_y) AS correlation, regr_slope(p_y, p_x) AS hedge_ratio, regr_intercept(p_y, p_x) AS intercept, sqrt((regr_syy(p_y, p_x)-regr_slope(p_y, p_x)*regr_sxy(p_y, p_x))/(count(*)-1)) AS spread_std FROM pp GROUP BY 1,2)"""
+
+
+@register("i1_pair_moments", f"{MOMENTS} SELECT x, y, n, round(correlation,6) AS correlation, round(hedge_ratio,6) AS hedge_ratio, round(intercept,4) AS intercept, round(spread_std,4) AS spread_std FROM mo")
+def i1_moments(spark, sf_dir):
+    """Correlation, hedge ratio and spread of all pairs from block products."""
+    found = pair_moments(pair_prices(spark, sf_dir))
+    return found.select("x", "y", "n", r("correlation").alias("correlation"), r("hedge_ratio").alias("hedge_ratio"), r("intercept", 4).alias("intercept"), r("spread_std", 4).alias("spread_std"))
+
+
+@register("i1_chosen_pairs", f"{MOMENTS}, c AS (SELECT x, y FROM mo ORDER BY round(correlation,9) DESC, x, y LIMIT 10) SELECT pp.x, pp.y, strftime(date,'%Y-%m-%d') AS date, round(p_x,6) AS p_x, round(p_y,6) AS p_y FROM pp JOIN c ON pp.x=c.x AND pp.y=c.y")
+def i1_chosen(spark, sf_dir):
+    """Rows of the ten most correlated pairs; the others have none."""
+    prices = pair_prices(spark, sf_dir)
+    best = pair_moments(prices).orderBy(F.desc(F.round("correlation", 9)), "x", "y").limit(10)
+    return etl.pair_panel(prices, pairs=best).select("x", "y", day().alias("date"), r("p_x").alias("p_x"), r("p_y").alias("p_y"))
+
+
 @register("i2_hedge_ratio_ols", f"{PAIRS} SELECT {XYD}, round(hr,6) AS hr FROM h")
 def i2(spark, sf_dir):
     return spreads(spark, sf_dir).select("x", "y", day().alias("date"), r("hr").alias("hr"))
