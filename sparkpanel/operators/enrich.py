@@ -137,7 +137,11 @@ def forward_position_return(signal: Column | str, cutoff: float, r: str = "ret",
     return threshold_position(signal, cutoff) * F.lead(r).over(ax.history())
 
 
-def symbol_filter(df: DataFrame, column: str, pattern: str, leveraged: tuple[str, ...] = ("DOWN", "UP", "BULL", "BEAR"), exclude: tuple[str, ...] = (), repair: dict[str, str] | None = None, base: str = "base") -> DataFrame:
+#: Parts of the names of leveraged tokens.
+LEVERAGED = ("DOWN", "UP", "BULL", "BEAR")
+
+
+def symbol_filter(df: DataFrame, column: str, pattern: str, leveraged: tuple[str, ...] = LEVERAGED, exclude: tuple[str, ...] = (), repair: dict[str, str] | None = None, base: str = "base") -> DataFrame:
     """Rows whose symbol matches, with the pattern's first group as ``base``; leveraged and excluded names go, cut ones are repaired."""
     found = F.regexp_extract(column, pattern, 1)
     out = df.withColumn(base, found).filter(F.col(base) != "")

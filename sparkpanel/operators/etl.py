@@ -45,7 +45,10 @@ def membership_flag(df: DataFrame, members: DataFrame, on: list[str], flag: str)
 
 
 def interval_join(fact: DataFrame, history: DataFrame, keys: list[str], date: str, start: str, end: str, open_ended: bool = True) -> DataFrame:
-    """Facts with the history rows valid at their date; a null end is open where ``open_ended``."""
+    """Facts with the history rows valid at their date; a null end is open where ``open_ended``.
+
+    Each fact meets all rows of its key; ``intervals.interval_tree_join`` is for keys with long histories.
+    """
     upto = F.col(date) <= F.col(end)
     valid = (F.col(date) >= F.col(start)) & ((F.col(end).isNull() | upto) if open_ended else upto)
     named = history.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in history.columns if c not in keys])

@@ -1,4 +1,8 @@
-"""Ranks, buckets and selections; every order ends with the entity, so ties are settled."""
+"""Ranks, buckets and selections; every order ends with the entity, so ties are settled.
+
+These columns sort a section (a date) in one task, which suits dates of up to some millions of
+entities and needs no job of its own. ``sections`` has the same ranks for sections of any size.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ def pct_rank(signal, ax=AX) -> Column:
 
 
 def qcut_rank(df: DataFrame, value: str, n: int, name: str = "bucket", ax: Axis = AX) -> DataFrame:
-    """Bucket by interpolated quantile edges of a time: right-closed, lowest included, equal edges collapse."""
+    """Bucket by interpolated quantile edges of a time: right-closed, lowest included, equal edges collapse. (``sections.qcut`` for times of any size.)"""
     inner = [i / n for i in range(1, n)]
     edges = df.groupBy(ax.time).agg(F.percentile(value, F.array(*[F.lit(q) for q in inner])).alias("__edges"))
     over = F.size(F.filter("__edges", lambda e: F.col(value) > e))

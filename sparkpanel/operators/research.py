@@ -204,7 +204,7 @@ def q_factor_key(year: Column, part: Column, width: int = 2) -> Column:
 
 
 def breakpoints(df: DataFrame, value: str, shares: list[float], ax: Axis = AX) -> DataFrame:
-    """Percentile breakpoints of each time, in millions."""
+    """Percentile breakpoints of each time, in millions. (``sections.breakpoints`` for times of any size.)"""
     edges = df.groupBy(ax.time).agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("q"))
     return edges.select(ax.time, *[(F.col("q")[i] * 1e6).alias(f"p{int(100 * s)}") for i, s in enumerate(shares)])
 

@@ -174,7 +174,7 @@ def forward_fill(value, ax=AX) -> Column:
 
 
 def rolling_ecdf(value, n, ax=AX) -> Column:
-    """Share of the last n values that don't exceed the present one."""
+    """Share of the last n values that don't exceed the present one, for short windows; ``windows.rolling_ecdf`` is for long ones."""
     seen = F.collect_list(value).over(ax.rows(-n + 1, 0))
     return F.size(F.filter(seen, lambda x: x <= F.col(value))) / F.lit(float(n))
 
