@@ -15,28 +15,32 @@ from sparkpanel.llm.queries import TOKENIZER
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without any letter or text go."""
+    """Documents whose text has a language; those without any letter or text (null too) go. Repeated rows stay or go together; an empty table stays empty."""
     net = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
     return langid.predict(docs, net).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Rows without a text or id, and empty texts, are in no group and stay. Rows of one id stay or go
+    together. An empty table stays empty.
+    """
     return without_ids(docs, minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct())
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts hold none; repeated rows stay or go together; an empty table stays empty."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that disclose it generalised; n_chars follows."""
+    """All documents, with personal data and terms that disclose it generalised; n_chars follows. A null text stays null with a null n_chars; repeated rows stay; an empty table stays empty."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and the text they decode to."""
+    """Token ids of each document and the text they decode to. A null text has no ids and decodes to an empty one; repeated rows stay; an empty table stays empty."""
     # written in between, so that a task needs one Python worker at a time
     ids, _ = materialize(bpe.encode(docs, TOKENIZER).select("doc_id", "lang", "source", "ids"), "pipeline-ids")
     return bpe.decode(ids, TOKENIZER).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

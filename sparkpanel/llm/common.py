@@ -98,7 +98,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the batches that Spark sends to Python by their bytes too, as texts may be long; smaller settings stay."""
+    """Bound the batches that Spark sends to Python by their bytes too, as texts may be long; smaller settings stay.
+
+    The settings stay for the session: results are computed when they are asked for, and need the bound then.
+    """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
         if not (now or "").isdigit() or not 0 < int(now) <= most:

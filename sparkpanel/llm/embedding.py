@@ -81,6 +81,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     null or non-finite components, link with nothing. Equal vectors of a label
     are one point of the join and count as many times as they occur. vec_id is
     taken as a key; a null one keeps a null component. Other columns are ignored.
+    An empty table gives an empty table.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embedding")

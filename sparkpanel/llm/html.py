@@ -367,7 +367,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars (code points) of the main text in place of html.
 
-    A null or empty page, or one without any text, gives an empty text. Whole
+    A null or empty page, or one without any text, gives an empty text; repeated rows
+    give the same text each, an empty table an empty table. Whole
     pages are read whatever their length, and only they go to Python; columns
     named text or n_chars are replaced.
     """

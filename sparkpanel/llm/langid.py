@@ -159,6 +159,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     A text that is null or has no letter gets ``und`` with score 0, as does
     every text when nothing was learned. Columns already named so are replaced.
+    Repeated rows get the same answer, an empty table gives an empty table.
     Only texts go to Python, in batches bounded by their bytes.
     """
     spark = docs.sparkSession

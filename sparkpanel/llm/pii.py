@@ -369,7 +369,7 @@ def find(docs: DataFrame, most: int = TELLING_MOST) -> DataFrame:
     exclusive; spans adds each occurrence of a disclosing term as kind
     ``len(KINDS)``. A null text has none. Repeated rows get the same spans. No
     other column is read. Up to ``most`` disclosing terms are looked up in the
-    tasks, more are joined.
+    tasks, more are joined. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     telling = telling_terms(docs, scratch, most)
@@ -409,7 +409,8 @@ def replaced(text: str, spans: list) -> str:
 def sanitise(docs: DataFrame, most: int = TELLING_MOST) -> DataFrame:
     """docs with personal data in text replaced by the name of its kind; rows and columns stay.
 
-    Only texts go to Python, and no row is shuffled, unless more than ``most`` terms disclose.
+    A null text stays null; repeated rows stay, with the same text each; an empty
+    table gives an empty table. Only texts go to Python, and no row is shuffled, unless more than ``most`` terms disclose.
     """
     scratch = Scratch(docs.sparkSession, "pii-sanitise")
     telling = telling_terms(docs, scratch, most)

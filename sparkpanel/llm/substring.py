@@ -79,6 +79,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     space. A null text is empty; texts shorter than a window stay whole; equal
     texts of two rows go wholly; a null or repeated doc_id is as good as any, as
     rows are matched by a 128-bit hash of their content. Other columns are ignored.
+    An empty table gives an empty table.
 
     Edges meet by 96 bits of two independent hashes; a repeated span is then
     compared with its source's by a 128-bit hash of the words.
