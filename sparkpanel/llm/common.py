@@ -194,6 +194,24 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return marked.filter("not __suspect").unionByName(found).drop("__suspect")
 
 
+#: Keys that are broadcast at most, where some are seen far more often than others.
+HOT_KEYS = 1 << 16
+
+
+def join_seen(rows: DataFrame, keys: DataFrame, on: list[str], seen: str, most: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with a table of unique keys that says in ``seen`` how many rows each has.
+
+    Keys with more than one part in ``most`` of all sightings (so fewer than ``most`` keys) are
+    broadcast: their rows stay where they are. The rows of the others are shuffled, and none of those is hot.
+    """
+    total = keys.agg(F.sum(seen)).first()[0] or 0
+    hot = keys.filter(F.col(seen) * most > total)
+    more = [c for c in keys.columns if c not in on]
+    met = rows.join(F.broadcast(hot), on, "left")
+    rest = met.filter(F.col(seen).isNull()).drop(*more).join(keys.filter(F.col(seen) * most <= total), on)
+    return met.filter(F.col(seen).isNotNull()).unionByName(rest)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, release_shuffles, signed, window_hash, word_hashes
+from .common import Scratch, blocks, join_seen, release_shuffles, signed, window_hash, word_hashes
 
 WIDTH, KMER = 35, 12
 #: Words of a source whose spans are read together.
@@ -153,10 +153,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     places = marks.select("row", "kmers", "places").join(texts.select("row"), "row", "left_semi")
     places = places.select("row", F.explode(F.arrays_zip("kmers", "places")).alias("x")).select("row", F.col("x.kmers").alias("kmer"), F.col("x.places").alias("place"))
     where = F.xxhash64("row", "place")
-    shared = places.groupBy("kmer").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo < hi").select("kmer")
-    hits = places.join(shared, "kmer").groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    shared = places.groupBy("kmer").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.count("*").alias("seen")).filter("lo < hi").select("kmer", "seen")
+    hits = join_seen(places, scratch.write(shared, "kmers"), ["kmer"], "seen").groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
     hits = scratch.write(hits.join(texts, "row").select("key", "id", "row", "places"), "hits")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "kmers")
     release_shuffles(spark)
     source = keyed.select("text", "key", "id").join(hits, ["key", "id"])
     edges = scratch.write(source.select("text", "row", "places").mapInArrow(find_edges, "edge long, check int, row long, start int"), "edges")

@@ -37,3 +37,12 @@ def test_batches_are_bounded_by_bytes(spark):
     df = spark.createDataFrame([("x" * 3_000_000,)] * 9, "text string").coalesce(1)
     sizes = df.mapInArrow(lambda batches: (b.select([]).from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
     assert sum(r.n for r in sizes) == 9 and max(r.n for r in sizes) <= 4
+
+
+def test_join_of_hot_keys_is_the_plain_join(spark):
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i % 40, i) for i in range(600)] + [(None, 7)] * 3, "k int, v int")
+    keys = rows.filter("k < 30").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("w"))
+    want = sorted(map(tuple, rows.join(keys, "k").select("k", "v", "n", "w").collect()))
+    for most in (1, 5, 1000):
+        assert sorted(map(tuple, common.join_seen(rows, keys, ["k"], "n", most).select("k", "v", "n", "w").collect())) == want
+    assert common.join_seen(rows, keys.filter("k < 0"), ["k"], "n").count() == 0
