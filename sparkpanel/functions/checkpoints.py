@@ -25,8 +25,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Intermediate tables of this process that haven't been dropped.
+_tables: set[str] = set()
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Drop a table when the driver's process ends, if it isn't dropped before."""
+    _tables.add(path)
+    atexit.register(drop_table, spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the intermediate tables that a result reads; the result can't be computed again after that.
+
+    For long sessions: results of operators that write tables are lazy, so their last tables
+    stay until someone says that they have been used. What wasn't written by this library stays.
+    """
+    read = df.inputFiles()
+    for path in [p for p in _tables if any(p.split("://")[-1].lstrip("/") in f for f in read)]:
+        drop_table(df.sparkSession, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate table; nothing happens once the session has ended."""
+    _tables.discard(path)
     try:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -43,5 +65,5 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(drop_table, spark, path)
+    remember(spark, path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -33,6 +33,22 @@ def test_columns_match_numpy(spark):
     assert {r.column: r.n for r in quantiles.column_quantiles(small.limit(0), ["smooth", "tied"], [0.5]).collect()} == {"smooth": 0, "tied": 0}
 
 
+def test_written_results_can_be_released(spark, tmp_path):
+    from sparkpanel.functions import checkpoints
+
+    df = spark.range(10)
+    kept, path = checkpoints.written(df, "kept")
+    other, gone = checkpoints.written(df.selectExpr("id * 2 as id"), "gone")
+    df.write.parquet(f"{tmp_path}/mine")
+    result = other.unionByName(spark.read.parquet(f"{tmp_path}/mine"))
+    assert result.count() == 20
+    checkpoints.release(result)
+    assert kept.count() == 10 and spark.read.parquet(f"{tmp_path}/mine").count() == 10
+    assert gone not in checkpoints._tables and path in checkpoints._tables
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        spark.read.parquet(gone).count()
+
+
 def test_few_rows_match_numpy(spark):
     for n in range(1, 8):
         values = [float((i * 5) % 7) for i in range(n)]
