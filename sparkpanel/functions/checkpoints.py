@@ -42,7 +42,7 @@ def release(df: DataFrame) -> None:
     stay until someone says that they have been used. What wasn't written by this library stays.
     """
     read = df.inputFiles()
-    for path in [p for p in _tables if any(p.split("://")[-1].lstrip("/") in f for f in read)]:
+    for path in [p for p in _tables if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]:  # names are unique
         drop_table(df.sparkSession, path)
 
 
