@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import tempfile
 import time
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import drop_table, remember
+
 #: Words handled together by the vectorised tokenising helpers; bounds a task's memory.
 BLOCK_WORDS = 200_000
 
@@ -38,29 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local_folder[0]}"
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _drop_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        drop_table(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended
-        pass
-
-
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a Parquet table in the shared folder and read it again.
 
     Cuts lineage: a lost executor costs no recomputation of what went before.
-    The table goes with the driver's process, or earlier by ``drop_table``.
+    The table goes with the driver's process, or earlier by ``drop_table``, or by
+    ``checkpoints.release`` of a result that reads it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkpanel/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop_quietly, spark, path)
+    remember(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
