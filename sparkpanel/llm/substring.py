@@ -162,7 +162,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     edges = scratch.write(source.select("text", "row", "places").mapInArrow(find_edges, "edge long, check int, row long, start int"), "edges")
     release_shuffles(spark)
     repeated = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("source")).filter("n > 1")
-    met = edges.join(repeated, ["edge", "check"]).select("row", "start", F.col("source.row").alias("source_row"), (F.col("start") - F.col("source.start")).alias("shift"))
+    repeated = scratch.write(repeated, "repeated")
+    met = join_seen(edges, repeated, ["edge", "check"], "n").select("row", "start", F.col("source.row").alias("source_row"), (F.col("start") - F.col("source.start")).alias("shift"))
     run = Window.partitionBy("row", "source_row", "shift").orderBy("start")
     paths = (
         met.withColumn("run", F.col("start") - F.row_number().over(run))
@@ -170,7 +171,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .agg(F.min("start").alias("start"), F.count("*").alias("n"))
     )
     paths = scratch.write(paths.select("row", "source_row", "start", "n", (F.col("start") - F.col("shift")).alias("source")), "paths")
-    scratch.drop("edges")
+    scratch.drop("edges", "repeated")
     release_shuffles(spark)
     # a source may have many followers, but its text bounds the distinct spans of each block of it
     asked = paths.select(F.col("source_row").alias("row"), "source", "n").distinct().groupBy("row", F.floor(F.col("source") / SOURCE_BLOCK).alias("block"))
