@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 #: Pieces whose ids a task keeps; the store starts anew when it is full.
 STORE_PIECES = 50_000
@@ -252,6 +252,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for batch in batches:
             parts = [encoder.encode(texts) for texts in _groups(batch.to_pylist())]
             yield pa.concat_arrays([_lists(pa.array(flat, pa.int32()), counts) for flat, counts in parts] or [pa.array([], pa.list_(pa.int32()))])
+            give_back()
 
     # not deterministic: else Spark runs it once more for each use of its result
     return docs.select(*(c for c in docs.columns if c != ids), run.asNondeterministic()(text).alias(ids))
@@ -271,6 +272,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
         for batch in batches:
             counts = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
             yield pc.binary_join(_lists(tokens.value.take(batch.flatten()), counts), " ")
+            give_back()
 
     names = [c for c in encoded.columns if c != text]
     whole = encoded.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))

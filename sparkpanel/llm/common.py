@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -183,6 +184,16 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return marked.filter("not __suspect").unionByName(found).drop("__suspect")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def give_back() -> None:
+    """Return the memory that a finished batch has freed to the system; a reused Python worker would hold it through the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 #: Keys that are broadcast at most, where some are seen far more often than others.
 HOT_KEYS = 1 << 16
 

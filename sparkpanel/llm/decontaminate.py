@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, window_hash
+from .common import Scratch, give_back, window_hash
 
 Q, EDITS = 8, 0.1
 #: Characters of benchmark text that are sent to the executors at once; more are handled in several passes.
@@ -216,7 +216,9 @@ def _scan(index: Broadcast):
 
     @F.arrow_udf(_LEAKS_NAME)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([x for block in _in_blocks(texts.to_pylist()) for x in leaks_of(index.value, block)], _LEAKS)
+        found = pa.array([x for block in _in_blocks(texts.to_pylist()) for x in leaks_of(index.value, block)], _LEAKS)
+        give_back()
+        return found
 
     # not deterministic: else Spark runs it once more for each filter on its result
     return run.asNondeterministic()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, smallest_hashes
+from .common import bounded_batches, give_back, smallest_hashes
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 192
 #: Labelled rows that the network is fitted on at most, for each language; all windows of their whole texts are used.
@@ -169,6 +169,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def answer(texts: pa.Array) -> pa.Array:
         languages, scores = guess(shared.value, texts.to_pylist())
+        give_back()
         return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     # not deterministic: else Spark runs it once more for each filter on its result

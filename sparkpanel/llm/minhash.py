@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks, connected_components, key_bitmap, mix64, signed, window_hash, word_hashes
+from .common import Scratch, blocks, connected_components, give_back, key_bitmap, mix64, signed, window_hash, word_hashes
 
 SHINGLE = 5
 K, ROWS, BANDS, MANTISSA = 128, 4, 32, 10
@@ -100,6 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [ids.take(pa.array(at)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "regs"],
             )
+        give_back()
 
 
 def _full_sets(wanted: Broadcast | None):
@@ -115,6 +116,7 @@ def _full_sets(wanted: Broadcast | None):
                 ends = np.cumsum([len(x) for x in words])
                 sets = [signed(shingle_set(h[e - len(x) : e])) for e, x in zip(ends, words, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            give_back()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_WORDS, Scratch, key_bitmap, signed, window_hash, word_hashes
+from .common import BLOCK_WORDS, Scratch, give_back, key_bitmap, signed, window_hash, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side that make the context of an entity or a term; copied contexts count once.
@@ -198,6 +198,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.append(sightings(text, found))
         columns = [pa.array([x[i] for x in seen], kind) for i, kind in enumerate((_NEAR, _ENTITIES, _TERMS))]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), *columns], ["text_key", "kinds", "near", "entities", "terms"])
+        give_back()
 
 
 def occurrences(text: str, spans: list[tuple[int, int, int]], known: Callable[[np.ndarray], np.ndarray], contexts: bool = False) -> list[tuple[int, int, int, int]]:
@@ -271,6 +272,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts:
             keys, counts = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], ["term_key", "n"])
+        give_back()
 
 
 def lower_share(n: Column, all_: Column, errors: float) -> Column:
@@ -420,7 +422,9 @@ def sanitise(docs: DataFrame, most: int = TELLING_MOST) -> DataFrame:
 
         @F.arrow_udf(T.StringType())
         def clean(texts: pa.Array) -> pa.Array:
-            return pa.array([t if t is None else replaced(t, all_spans(t, shared.value)[1]) for t in texts.to_pylist()], pa.string())
+            out = pa.array([t if t is None else replaced(t, all_spans(t, shared.value)[1]) for t in texts.to_pylist()], pa.string())
+            give_back()
+            return out
 
         scratch.drop(*list(scratch.paths))
         return docs.select(*[clean.asNondeterministic()("text").alias("text") if n == "text" else F.col(n) for n in names])
