@@ -112,3 +112,21 @@ def test_permutation_importance_of_what_matters_and_what_does_not(spark):
     got = {r.feature: r for r in forecast.permutation_importance(model, df, ["mom", "noise"], "y", repeats=3).collect()}
     assert got["mom"].drop > 0.8 and abs(got["noise"].drop) < 0.01 and got["mom"].deviation < 0.2
     df.unpersist()
+
+
+def test_equal_prices_in_any_order_of_lines(spark, tmp_path):
+    """Suppliers with the same lines in another order have the same price: one bucket (f3_qcut), one value (k2_info)."""
+    from pyspark.sql import types as T
+
+    from sparkpanel.plans import registry
+
+    prices = [0.1, 0.2, 0.3, 1e5 + 0.7, 3333.33, 2.05, 71234.56]
+    lines = [(s, 2.0, p, f"1996-0{m}-01 00:00:00") for s in range(12) for m in (1, 2) for p in prices[s % 7 :] + prices[: s % 7]]
+    df = spark.createDataFrame(lines, "l_suppkey long, l_quantity double, l_extendedprice double, d string").select("l_suppkey", "l_quantity", "l_extendedprice", F.col("d").cast(T.TimestampType()).alias("l_shipdate"))
+    df.repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries = registry.queries()
+    assert {r.bucket for r in queries["f3_qcut"](spark, str(tmp_path)).collect()} == {1}
+    info = {r.column: r for r in queries["k2_info"](spark, str(tmp_path)).collect()}
+    assert info["prc"].distinct == 1 and info["ret"].distinct == 1
+
+
