@@ -27,8 +27,7 @@ def k1(spark, sf_dir):
 
 @register("k2_info", f"{LONG} SELECT \"column\", 'double' AS dtype, count(DISTINCT value) AS \"distinct\", round(avg(CASE WHEN value=0 THEN 1.0 ELSE 0 END),6) AS zero_share, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END),6) AS null_share FROM l GROUP BY 1")
 def k2(spark, sf_dir):
-    df = stock_panel(spark, sf_dir).withColumns({c: r(c, 9) for c in COLUMNS})
-    return _shown(eda.info(df, COLUMNS), "column", "dtype")
+    return _shown(eda.info(stock_panel(spark, sf_dir), COLUMNS), "column", "dtype")
 
 
 @register("k3_histogram", """WITH l AS (SELECT 'l_quantity' AS "column", l_quantity AS value FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem), s AS (SELECT "column", min(value) AS lo, max(value) AS hi FROM l GROUP BY 1)
