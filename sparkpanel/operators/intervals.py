@@ -44,7 +44,7 @@ def interval_tree_join(fact: DataFrame, history: DataFrame, keys: list[str], dat
     Each interval is cut into dyadic bins, and each fact asks for the one bin
     of every level that holds its date: what meets belongs together, so the join makes its output
     and nothing else, and a key with a long history is spread over its bins. Costs a row of a fact for each
-    level that any interval uses (about the log of the longest interval), and two rows of an interval for each
+    level that any interval uses (about the log of the longest interval, of what lies between the first and the last date of the facts), and two rows of an interval for each
     level at most. With few intervals a key, ``etl.interval_join`` is cheaper.
 
     Null keys, dates or starts match nothing; a null end is open where ``open_ended`` and matches nothing
@@ -57,12 +57,17 @@ def interval_tree_join(fact: DataFrame, history: DataFrame, keys: list[str], dat
     whole = {"tinyint", "smallint", "int", "bigint"}
     if not (len(kinds) == 1 or kinds <= whole) or not (kind == "date" or kind.startswith("timestamp") or kind in whole):
         raise TypeError(f"dates, timestamps or integers of one kind are needed, not {sorted(kinds)}")
-    last = F.coalesce(_number(end, kind), F.lit(2**61)) if open_ended else _number(end, kind)
-    bins = history.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*values).alias("__v"), F.explode(dyadic_bins(_number(start, kind), last + 1)).alias("__b"))
+    first, most = fact.agg(F.min(_number(date, kind)), F.max(_number(date, kind))).first()  # two numbers
+    if first is None:
+        first, most = 0, -1  # no dates: no bins
+    begin = F.when(F.col(start).isNotNull(), F.greatest(_number(start, kind), F.lit(first).cast("long")))
+    last = F.least(_number(end, kind), F.lit(most).cast("long")) if open_ended else F.when(F.col(end).isNotNull(), F.least(_number(end, kind), F.lit(most).cast("long")))
+    bins = history.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*values).alias("__v"), F.explode(dyadic_bins(begin, last + 1)).alias("__b"))
     bins = bins.select("*", F.col("__b.level").alias("__level"), F.col("__b.place").alias("__place")).drop("__b")
     levels = sorted(r[0] for r in bins.select("__level").distinct().collect())  # LEVELS numbers at most
     if not levels:
         levels = [0]
     asked = fact.withColumn("__ask", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("__at", F.call_function("shiftright", _number(date, kind), F.col("__ask")))
+    # exploded bins are far more than Spark guesses from the files, so they are never broadcast
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys]) & (F.col("__ask") == F.col("__level")) & (F.col("__at") == F.col("__place"))
-    return asked.join(bins, same).select(*fact.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+    return asked.join(bins.hint("merge"), same).select(*fact.columns, *[F.col(f"__v.{v}").alias(v) for v in values])

@@ -60,3 +60,14 @@ def test_empty_tables_and_kinds(spark):
     assert intervals.interval_tree_join(fact, none, ["k"], "d", "s", "e").collect() == []
     with pytest.raises(TypeError):
         intervals.interval_tree_join(fact, none.withColumn("s", F.lit("x")), ["k"], "d", "s", "e")
+
+
+def test_open_ends_use_levels_of_the_dates_only(spark):
+    """An open interval is cut where the facts' dates end: no copies of a fact for levels that no date can meet."""
+    import datetime as dt
+
+    fact = spark.createDataFrame([(1, dt.date(1998, 1, 1) + dt.timedelta(days=i)) for i in range(100)], "k int, d date")
+    history = spark.createDataFrame([(1, dt.date(1990, 1, 1), None, 1), (1, dt.date(1998, 2, 1), dt.date(2050, 1, 1), 2)], "k int, a date, b date, h int")
+    met = intervals.interval_tree_join(fact, history, ["k"], "d", "a", "b")
+    asked = [len(line.split(",")) for line in met._jdf.queryExecution().analyzed().toString().split("\n") if "explode(array(" in line]
+    assert met.count() == 169 and asked and max(asked) <= 10
