@@ -130,3 +130,22 @@ def test_equal_prices_in_any_order_of_lines(spark, tmp_path):
     assert info["prc"].distinct == 1 and info["ret"].distinct == 1
 
 
+
+
+def test_similar_items_in_passes_and_ties(spark, monkeypatch):
+    """A pass for each few queries and blocks of few items give what all pairs give; ties go to the smaller item, pairs are never shuffled."""
+    from sparkpanel.operators import recommend
+
+    monkeypatch.setattr(recommend, "PASS_TERMS", 5)
+    rows = [(i, t, 1.0 / (1 + (i // 3 + t) % 4)) for i in range(30) for t in range(4) if (i // 3 + t) % 3]
+    df = spark.createDataFrame([(i, f"t{t}", w) for i, t, w in rows], "item int, term string, weight double")
+    got = {}
+    for r in recommend.similar_items(df, "item", spark.createDataFrame([(0,), (7,), (29,), (99,)], "item int"), 4).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.item, round(r.similarity, 9)))
+    of = {}
+    for i, t, w in rows:
+        of.setdefault(i, {})[t] = w
+    for q in (0, 7, 29):
+        dots = [(-round(sum(w * of[q].get(t, 0) for t, w in of[i].items()), 9), i) for i in of if i != q and of[q].keys() & of[i].keys()]
+        assert got[q] == [(i, -s) for s, i in sorted(dots)[:4]]
+    assert 99 not in got
