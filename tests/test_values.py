@@ -149,3 +149,11 @@ def test_similar_items_in_passes_and_ties(spark, monkeypatch):
         dots = [(-round(sum(w * of[q].get(t, 0) for t, w in of[i].items()), 9), i) for i in of if i != q and of[q].keys() & of[i].keys()]
         assert got[q] == [(i, -s) for s, i in sorted(dots)[:4]]
     assert 99 not in got
+
+
+def test_fits_read_a_written_frame(spark):
+    """Models are fitted on a table of their own, not on the panel made from all lines again and again."""
+    data = "/root/testdata/sf0.001"
+    kept = forecasts._kept(spark, data)
+    assert kept.count() == forecasts.frame(spark, data).count() and all("/frame-" in f for f in kept.inputFiles())
+    assert all("/frame-" in f for f in forecasts._line(spark, data)[1].inputFiles())
