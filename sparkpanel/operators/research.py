@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..panel import Axis, ratio
 from .eda import side_by_side
@@ -86,64 +90,113 @@ WINDOW_BLOCK = 1024
 
 
 def rolling_hac(x: np.ndarray, y: np.ndarray, window: int, lags: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``hac_ols`` of every full window, a row each: coefficients, t and p.
+    """``hac_ols`` of every full window, a row each: coefficients, t and p. Leading axes are histories of one length.
 
     A window's sums are differences of running sums, so it costs the factors and not
     its length. Scores are x (y - x b) and so quadratic in b: their lagged products follow from running sums of the
     products of x and (x, y) with those ``k`` rows before. Windows of few rows for
     their factors are refitted: their residuals are so small that sums would leave few of their digits.
     """
-    p, count = x.shape[1], len(y) - window + 1
-    out = [np.empty((max(count, 0), p)) for _ in range(3)]
+    p, count = x.shape[-1], y.shape[-1] - window + 1
+    out = [np.empty((*y.shape[:-1], max(count, 0), p)) for _ in range(3)]
     if window < 3 * p:
-        for i in range(count):
-            out[0][i], out[1][i], out[2][i] = hac_ols(x[i : i + window], y[i : i + window], lags)
+        for *h, i in np.ndindex(*y.shape[:-1], max(count, 0)):
+            rows = (*h, slice(i, i + window))
+            out[0][*h, i], out[1][*h, i], out[2][*h, i] = hac_ols(x[rows], y[rows], lags)
         return out[0], out[1], out[2]
     for at in range(0, count, WINDOW_BLOCK):
         upto = min(count, at + WINDOW_BLOCK)
-        xs, z = x[at : upto + window - 1], np.column_stack([x, y])[at : upto + window - 1]
+        xs, z = x[..., at : upto + window - 1, :], np.concatenate([x, y[..., None]], axis=-1)[..., at : upto + window - 1, :]
         first = np.arange(upto - at)
 
-        def sums(each: np.ndarray, skip: int = 0, first: np.ndarray = first) -> np.ndarray:
+        def sums(each: np.ndarray, axis: int, skip: int = 0, first: np.ndarray = first) -> np.ndarray:
             """Of each window, over all its rows but the first ``skip``; ``each`` begins at row ``skip``."""
+            each = np.moveaxis(each, axis, 0)
             run = np.concatenate([np.zeros((1, *each.shape[1:])), each.cumsum(axis=0)])
-            return run[first + window - skip] - run[first]
+            return np.moveaxis(run[first + window - skip] - run[first], 0, axis)
 
-        inverse = np.linalg.pinv(sums(xs[:, :, None] * xs[:, None, :]), hermitian=True)
-        beta = np.einsum("wij,wj->wi", inverse, sums(xs * z[:, -1:]))
-        turn = np.column_stack([-beta, np.ones(len(beta))])
-        crossed = xs[:, :, None] * z[:, None, :]  # a row's score is this times (-b, 1)
-        s = np.zeros((len(beta), p, p))
+        inverse = np.linalg.pinv(sums(xs[..., :, None] * xs[..., None, :], -3), hermitian=True)
+        beta = np.einsum("...ij,...j->...i", inverse, sums(xs * z[..., -1:], -2))
+        turn = np.concatenate([-beta, np.ones((*beta.shape[:-1], 1))], axis=-1)
+        crossed = xs[..., :, None] * z[..., None, :]  # a row's score is this times (-b, 1)
+        rows, s = crossed.shape[-3], np.zeros((*beta.shape, p))
         for k in range(min(lags, window - 1) + 1):
-            products = sums(np.einsum("tia,tjb->tiajb", crossed[k:], crossed[: len(crossed) - k]), k)
-            g = np.einsum("wiajb,wa,wb->wij", products, turn, turn)
-            s += g if k == 0 else (1 - k / (lags + 1)) * (g + g.transpose(0, 2, 1))
-        spread = np.einsum("wij,wjk,wki->wi", inverse, s, inverse)
+            products = sums(np.einsum("...ia,...jb->...iajb", crossed[..., k:, :, :], crossed[..., : rows - k, :, :]), -5, k)
+            g = np.einsum("...iajb,...a,...b->...ij", products, turn, turn)
+            s += g if k == 0 else (1 - k / (lags + 1)) * (g + np.swapaxes(g, -1, -2))
+        spread = np.einsum("...ij,...jk,...ki->...i", inverse, s, inverse)
         t = beta / np.sqrt(np.maximum(spread, 1e-300))
-        out[0][at:upto], out[1][at:upto] = beta, t
-        out[2][at:upto] = np.vectorize(math.erfc, otypes=[float])(np.abs(t) / math.sqrt(2))
+        out[0][..., at:upto, :], out[1][..., at:upto, :] = beta, t
+        out[2][..., at:upto, :] = np.vectorize(math.erfc, otypes=[float])(np.abs(t) / math.sqrt(2))
     return out[0], out[1], out[2]
 
 
+#: Rows of entities that are regressed together; bounds a task's memory, but for the longest history.
+ROWS = 1 << 16
+#: Entities whose results are returned together.
+KEYS = 256
+
+
+def rolling_hac_many(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, window: int, lags: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rolling_hac`` of histories that follow one another, of ``sizes`` rows: all their full windows in order.
+
+    Histories of one length are stacked, so the running sums are each history's own.
+    """
+    counts, p = np.maximum(sizes - window + 1, 0), x.shape[1]
+    first, start = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    out = [np.empty((counts.sum(), p)) for _ in range(3)]
+    for size in np.unique(sizes[counts > 0]):
+        there = np.flatnonzero(sizes == size)
+        for part in np.array_split(there, max(1, -(-len(there) * int(size) // ROWS))):
+            rows, at = first[part, None] + np.arange(size), start[part, None] + np.arange(size - window + 1)
+            for o, got in zip(out, rolling_hac(x[rows], y[rows], window, lags), strict=True):
+                o[at] = got
+    return out[0], out[1], out[2]
+
+
+def rolling_factor_arrays(df: DataFrame, keys: list[str], y: str, factors: list[str], window: int, lags: int = 3, ax: Axis = AX) -> DataFrame:
+    """``rolling_factor_regression`` with a row for each key and time: arrays of coefficients, t and p, of the constant first.
+
+    A task takes histories as lists, many at once.
+    """
+    kinds = {f.name: f for f in df.schema.fields}
+    values = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[kinds[k] for k in (*keys, ax.time)], *[T.StructField(c, values) for c in ("coefficient", "t", "p")]])
+    columns = [y, *factors]
+    full = df.select(*keys, ax.time, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"__{i}") for i, c in enumerate(columns)])
+    full = full.dropna(subset=[f"__{i}" for i in range(len(columns))])
+    row = F.struct(F.col(ax.time).alias("time"), *[f"__{i}" for i in range(len(columns))])
+    listed = full.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows")).filter(F.size("__rows") >= window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch["__rows"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            for low in range(0, len(sizes), KEYS):  # of one batch, so that what is returned stays small
+                part = slice(low, min(low + KEYS, len(sizes)))
+                rows = batch["__rows"].slice(low, KEYS).flatten()
+                z = np.column_stack([rows.field(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+                own = sizes[part]
+                found = rolling_hac_many(np.column_stack([np.ones(len(z)), z[:, 1:]]), z[:, 0], own, window, lags)
+                counts = own - window + 1
+                shift = np.repeat(ends[part] - own - (ends[low] - sizes[low]) + window - 1 - (np.cumsum(counts) - counts), counts)
+                at = pa.array(shift + np.arange(counts.sum()))
+                key = pa.array(low + np.repeat(np.arange(len(own)), counts))
+                width = len(columns)
+                lists = [pa.ListArray.from_arrays(np.arange(0, f.size + 1, width, dtype=np.int32), pa.array(f.ravel())) for f in found]
+                yield pa.RecordBatch.from_arrays([*[batch[k].take(key) for k in keys], rows.field(0).take(at), *lists], names=schema.names)
+
+    return listed.mapInArrow(run, schema)
+
+
 def rolling_factor_regression(df: DataFrame, keys: list[str], y: str, factors: list[str], window: int, lags: int = 3, ax: Axis = AX) -> DataFrame:
     """Per key and time the regression on factors over the last ``window`` rows: term, coefficient, t and p; full windows only.
 
     Rows with a missing value are left out, so a window spans them.
     """
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, ax.time]) + ", term string, coefficient double, t double, p double"
-    terms = ["alpha", *factors]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y, *factors]).sort_values(ax.time)
-        if len(pdf) < window:
-            return pd.DataFrame(columns=[*keys, ax.time, "term", "coefficient", "t", "p"])
-        x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
-        beta, t, p = rolling_hac(x, pdf[y].to_numpy(float), window, lags)
-        at = np.repeat(pdf[ax.time].to_numpy()[window - 1 :], len(terms))
-        return pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key, strict=True)}, ax.time: at, "term": terms * len(beta), "coefficient": beta.ravel(), "t": t.ravel(), "p": p.ravel()})
-
-    return df.select(*keys, ax.time, y, *factors).groupBy(*keys).applyInPandas(run, schema)
+    each = rolling_factor_arrays(df, keys, y, factors, window, lags, ax)
+    terms = F.array(*[F.lit(t) for t in ("alpha", *factors)])
+    return each.select(*keys, ax.time, F.inline(F.arrays_zip(terms.alias("term"), "coefficient", "t", "p")))
 
 
 def factor_alpha(df: DataFrame, keys: list[str], r: str, model: str = "FF3", momentum: bool = False, rf: str = "rf", window: int | None = None, lags: int = 3, ax: Axis = AX) -> DataFrame:

@@ -91,9 +91,8 @@ def g10_rolling_factor(spark, sf_dir):
 @register("g10_rolling_capm_robust", f"{FACTORS}, j AS (SELECT name, date, ret-0.001 AS x, mkt_rf FROM panel JOIN fa USING (date) WHERE ret IS NOT NULL) SELECT name, strftime(date,'%Y-%m-%d') AS date, round(regr_intercept(x, mkt_rf) {over(-23, 0)},6) AS alpha, round(regr_slope(x, mkt_rf) {over(-23, 0)},6) AS beta FROM j QUALIFY count(x) {over(-23, 0)}=24")
 def g10_rolling_robust(spark, sf_dir):
     """The same windows by the general rolling regression."""
-    out = H.factor_alpha(excess(spark, sf_dir).withColumn("rf", F.lit(0.001)), ["name"], "ret", "CAPM", window=24)
-    pick = lambda t: F.max(F.when(F.col("term") == t, F.col("coefficient")))
-    return out.groupBy("name", day().alias("date")).agg(r(pick("alpha")).alias("alpha"), r(pick("mkt_rf")).alias("beta"))
+    out = H.rolling_factor_arrays(excess(spark, sf_dir), ["name"], "x", list(H.MODELS["CAPM"]), 24)
+    return out.select("name", day().alias("date"), *[r(F.col("coefficient")[i]).alias(c) for i, c in enumerate(("alpha", "beta"))])
 
 
 @register("h4_uni_sort_alpha", f"""{_ports()}, k2 AS (SELECT date, avg(ret)-0.001 AS mkt_rf FROM panel GROUP BY 1 HAVING avg(ret) IS NOT NULL)

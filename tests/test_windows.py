@@ -66,3 +66,31 @@ def test_rolling_regression_with_gaps_and_short_histories(spark):
             for j, term in enumerate(("alpha", "f")):
                 assert all(math.isclose(u, v, rel_tol=1e-9, abs_tol=1e-9) for u, v in zip(mine[part[-1][0], term], (beta[j], t[j], p[j]), strict=True))
     assert F.col("x") is not None
+
+
+def test_histories_together_equal_each_alone(monkeypatch):
+    """g10_rolling_capm_robust: many histories in one call, of several lengths and scales, in parts of a few rows."""
+    monkeypatch.setattr(research, "ROWS", 150)
+    rng = np.random.default_rng(9)
+    sizes = np.array([60, 5, 24, 60, 0, 41, 60, 23, 1500])
+    x = np.column_stack([np.ones(sizes.sum()), rng.normal(0, 0.05, (sizes.sum(), 2))])
+    y = rng.normal(0, 1, sizes.sum()) * np.repeat(10.0 ** np.arange(len(sizes)), sizes)
+    for window in (24, 7):  # sums, and refits
+        got = research.rolling_hac_many(x, y, sizes, window)
+        want = [research.rolling_hac(x[e - n : e], y[e - n : e], window) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+        for i, each in enumerate(got):
+            assert np.allclose(each, np.concatenate([w[i] for w in want]), rtol=1e-9, atol=1e-12)
+
+
+def test_rolling_arrays_take_keys_and_times_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(research, "KEYS", 2)
+    rows = [(None if n == 3 else f"n{n}", n % 2, t, float("nan") if t == 4 else float((t * 7 + n) % 5), float(t * t % 11)) for n in range(7) for t in range(12 + n)]
+    df = spark.createDataFrame(rows, "name string, side int, date int, y double, f double")
+    long = {(r.name, r.side, r.date, r.term): (r.coefficient, r.t, r.p) for r in research.rolling_factor_regression(df, ["name", "side"], "y", ["f"], 10).collect()}
+    wide = research.rolling_factor_arrays(df, ["name", "side"], "y", ["f"], 10).collect()
+    assert len(wide) == sum(11 + n - 9 for n in range(7)) and len(long) == 2 * len(wide)
+    for r in wide:
+        part = [(y, f) for m, s, t, y, f in rows if m == r.name and s == r.side and t <= r.date and t != 4][-10:]
+        beta, t, p = research.hac_ols(np.column_stack([np.ones(10), [f for _, f in part]]), np.array([y for y, _ in part]))
+        assert np.allclose([r.coefficient, r.t, r.p], [beta, t, p], rtol=1e-8, atol=1e-9)
+        assert long[r.name, r.side, r.date, "f"] == (r.coefficient[1], r.t[1], r.p[1])
