@@ -1,6 +1,7 @@
 """Values of queries without SQL, worked out again in numpy from the same panel."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -157,3 +158,29 @@ def test_fits_read_a_written_frame(spark):
     kept = forecasts._kept(spark, data)
     assert kept.count() == forecasts.frame(spark, data).count() and all("/frame-" in f for f in kept.inputFiles())
     assert all("/frame-" in f for f in forecasts._line(spark, data)[1].inputFiles())
+
+
+def test_tfidf_of_common_and_other_terms(spark, monkeypatch):
+    """l1_tfidf: the same weights with all terms, a few or none in the head; several texts of a key are one, a null text counts as a document."""
+    from sparkpanel.operators import recommend
+
+    monkeypatch.setattr(recommend, "TEXTS", 3)
+    monkeypatch.setattr(recommend, "HEAD_LENGTH", 6)
+    words = ["the", "Alpha", "beta", "gamma7", "x", "\u00c4rger", "elephants", "z9"]
+    texts = [(i, None if i == 5 else "" if i == 6 else " ".join(words[(i * k) % len(words)] for k in range(1, 3 + i)) + f" own{i}") for i in range(12)] + [(3, "beta, beta once"), (None, "alpha lost")]
+    want, tf = {}, {}
+    for key, text in texts:
+        for w in re.split(r"[\W_]+", (text or "").lower()):
+            if len(w) >= 2 and w not in recommend.STOP_WORDS:
+                tf.setdefault(key, {}).setdefault(w, 0)
+                tf[key][w] += 1
+    df = {w: sum(w in t for t in tf.values()) for t in tf.values() for w in t}
+    for key, t in tf.items():
+        each = {w: c * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in t.items()}
+        want |= {(key, w): x / math.sqrt(sum(y * y for y in each.values())) for w, x in each.items() if key is not None}
+    for head in (0, 3, 1000):
+        monkeypatch.setattr(recommend, "HEAD_TERMS", head)
+        for rows in (texts, [t for t in texts if t[1] is None]):
+            got = recommend.tfidf(spark.createDataFrame(rows, "item long, text string"), "item", "text").collect()
+            assert len({(r.item, r.term) for r in got}) == len(got)
+            assert {(r.item, r.term): r.weight for r in got} == (pytest.approx(want) if rows is texts else {})
