@@ -314,6 +314,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.parameters for r in spark.read.parquet(f"{tmp_path}/log").collect()} == {'{"k":"0"}', '{"k":"1"}'}
 
 
+def test_csv_lines_keep_their_order(spark, tmp_path):
+    """Long paths outgrow short lines; which of them is broadcast must not show in the rows."""
+    for n in (1, 60, 120):
+        place = tmp_path / ("x" * n)
+        place.mkdir()
+        (place / "f.csv").write_text("made by hand\nMonth, Mkt\n200101,1\n200102,2\n200103,3\nend\n")
+        rows = tables.read_csv_table(spark, str(place / "f.csv"), "month int, mkt double", 2).collect()
+        assert [tuple(x) for x in rows] == [(200101, 1.0), (200102, 2.0), (200103, 3.0)]
+
+
 def test_jdbc_round_trip(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id int, v double")
