@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import drop_table, remember
+from ..functions.checkpoints import drop_table, release_shuffles, remember  # noqa: F401 (operators take release_shuffles from here)
 
 #: Words handled together by the vectorised tokenising helpers; bounds a task's memory.
 BLOCK_WORDS = 200_000
@@ -98,18 +96,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now.
-
-    Spark does so when the driver collects its garbage, which a driver with
-    little to do may not for long while executors' disks fill.
-    """
-    for _ in range(2):  # the first collection lets go of finished plans, the second of their shuffles
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def smallest_hashes(df: DataFrame, key: list[str], most: int, by: list[str] | None = None) -> DataFrame:
     """The ``most`` rows of df (of each group of columns ``by``) with the smallest hash of ``key``.
 
