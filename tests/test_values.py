@@ -1,6 +1,7 @@
 """Values of queries without SQL, worked out again in numpy from the same panel."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -133,6 +134,30 @@ def test_equal_prices_in_any_order_of_lines(spark, tmp_path):
 
 
 
+@pytest.mark.parametrize("most", [1, 256])
+def test_similar_items_take_common_terms_as_a_matrix(spark, monkeypatch, most):
+    """l2_similar_items: texts come as lists (no row a term is shuffled), and whichever terms are in the matrix, similarities are those of all pairs."""
+    from sparkpanel.operators import recommend
+
+    monkeypatch.setattr(recommend, "DENSE_TERMS", most)
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{min(int(rng.expovariate(0.15)), 40)}" for _ in range(rng.randrange(0, 30)))) for i in range(300)] + [(300, None), (301, "... a")]
+    docs = spark.createDataFrame(texts, "item int, text string").repartition(3)
+    lists = recommend.tfidf(docs, "item", "text", listed=True)
+    weight = {}
+    for r in recommend.tfidf(docs, "item", "text").collect():
+        weight.setdefault(r.item, {})[r.term] = r.weight
+    assert {r.item: dict(zip(r.terms, r.weights, strict=True)) for r in lists.collect() if r.terms} == weight
+    queries = docs.filter("item % 50 = 0").select("item")
+    got = {}
+    for r in recommend.similar_items(lists, "item", queries, 4).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((round(r.similarity, 9), r["item"]))
+    for q in range(0, 301, 50):
+        sums = {i: sum(x * w.get(t, 0.0) for t, x in weight.get(q, {}).items()) for i, w in weight.items() if i != q}
+        want = sorted((-round(v, 9), i) for i, v in sums.items() if v > 0)[:4]
+        assert [i for _, i in got.get(q, [])] == [i for _, i in want] and all(abs(a + b) < 2e-9 for (a, _), (b, _) in zip(got.get(q, []), want, strict=True))
+
+
 def test_similar_items_in_passes_and_ties(spark, monkeypatch):
     """A pass for each few queries and blocks of few items give what all pairs give; ties go to the smaller item, pairs are never shuffled."""
     from sparkpanel.operators import recommend
